@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import quality_rules as rules
+from . import simhash
 from .common import table
 
 
@@ -23,5 +24,9 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", bpe.n_ids().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_quality_rules)}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_quality_rules, op6_simhash)}
 ORACLE_SQL = {"op4_quality_rules": rules.oracle()}
