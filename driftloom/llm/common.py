@@ -102,15 +102,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], equal for equal bytes."""
-    n = len(data)
-    if not n or not len(starts):
-        return np.zeros(len(starts), np.uint64)
-    up, down = np.full(n, _PRIME), np.full(n + 1, _PRIME_INV)
-    up[0] = down[0] = 1
-    np.cumprod(up, out=up)
-    np.cumprod(down, out=down)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+class SpanHasher:
+    """64-bit hashes of data[start:end], equal for equal bytes, from prefix sums of a polynomial."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        up, self.down = np.full(n, _PRIME), np.full(n + 1, _PRIME_INV)
+        up[:1] = self.down[:1] = 1
+        np.cumprod(up, out=up)
+        np.cumprod(self.down, out=self.down)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+class Lookup:
+    """Values by 64-bit key: keys sorted, found through a table over their leading bits."""
+
+    BITS = 18
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.start = np.searchsorted(self.keys, np.arange((1 << self.BITS) + 1, dtype=np.uint64) << np.uint64(64 - self.BITS)) if len(keys) else np.zeros((1 << self.BITS) + 1, np.int64)
+        self.start[-1] = len(keys)
+        self.most = int(np.diff(self.start).max())
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``hashes`` that are keys, and their values."""
+        slot = (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        at, end = self.start[slot], self.start[slot + 1]
+        where, which = [], []
+        left = np.flatnonzero(at < end)
+        for j in range(self.most):
+            if j:
+                left = left[at[left] + j < end[left]]
+            k = at[left] + j
+            hit = self.keys[k] == hashes[left]
+            where.append(left[hit])
+            which.append(k[hit])
+        if not where:
+            return np.zeros(0, np.int64), self.values[:0]
+        w = np.concatenate(where)
+        return w, self.values[np.concatenate(which)]

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import quality_rules as rules
-from . import simhash
-from .common import table
+from . import simhash, toxicity
+from .common import bucket_of, table
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +28,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_quality_rules, op6_simhash)}
+def _held_out(modulus: int, remainder: int):
+    return F.coalesce(bucket_of("doc_id", modulus) == remainder, F.lit(False))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~_held_out(4, 2)))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_quality_rules, op6_simhash, op9_toxicity)}
 ORACLE_SQL = {"op4_quality_rules": rules.oracle()}
