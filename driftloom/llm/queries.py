@@ -6,12 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, language_id, quality_model
 from . import quality_rules as rules
 from . import simhash, toxicity
 from .common import bucket_of, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.fit(docs.filter(~_held_out(3, 1)))
+    return language_id.identify(docs.select("doc_id", "text"), net).select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_model.fit(docs, labels.filter(~_held_out(5, 0)))
+    return quality_model.score(docs.select("doc_id", "text"), model).select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -38,5 +50,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_quality_rules, op6_simhash, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality_model, op4_quality_rules, op6_simhash, op9_toxicity)}
 ORACLE_SQL = {"op4_quality_rules": rules.oracle()}
