@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, language_id, quality_model
 from . import quality_rules as rules
-from . import simhash, toxicity
+from . import simhash, suffix_tree, toxicity
 from .common import bucket_of, table
 
 
@@ -50,5 +50,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality_model, op4_quality_rules, op6_simhash, op9_toxicity)}
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", _held_out(5, 1).alias("held_out"))
+    return suffix_tree.train_and_score(spark, docs, ~F.col("held_out")).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality_model, op4_quality_rules, op6_simhash, op9_toxicity, op10_suffix_tree)}
 ORACLE_SQL = {"op4_quality_rules": rules.oracle()}
