@@ -50,7 +50,7 @@ def templates(text: Column) -> Column:
     units = "|".join(u.replace("$", r"\$") for u in sorted(UNITS, key=lambda u: (-len(u), u)))
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}(?<=[^.!?:\s] \p{Lu})\p{Ll}\S*", "<name>")
     out = F.regexp_replace(out, r"[^\s\d]*+\d\S*+", "<num>")
-    out = F.when(F.contains(out, F.lit("<num> ")), F.regexp_replace(out, rf"(?i)(?<=<num> )(?:{units})(?=[\s.,;:!?)]|$)", "<unit>")).otherwise(out)
+    out = F.regexp_replace(out, rf"(?i)(?<=<num> )(?:{units})(?=[\s.,;:!?)]|$)", "<unit>")
     return _bare(F.lower(out))
 
 
