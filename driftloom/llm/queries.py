@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, quality_model
+from . import bpe, decontaminate, language_id, line_dedup, quality_model
 from . import quality_rules as rules
 from . import simhash, suffix_tree, toxicity
 from .common import bucket_of, table
@@ -45,6 +45,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_lines, n_removed, kept_sha256) of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def _held_out(modulus: int, remainder: int):
     return F.coalesce(bucket_of("doc_id", modulus) == remainder, F.lit(False))
 
@@ -60,5 +66,5 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.train_and_score(spark, docs, ~F.col("held_out")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality_model, op4_quality_rules, op6_simhash, op7_decontaminate, op9_toxicity, op10_suffix_tree)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality_model, op4_quality_rules, op6_simhash, op7_decontaminate, op8_line_dedup, op9_toxicity, op10_suffix_tree)}
 ORACLE_SQL = {"op4_quality_rules": rules.oracle()}
