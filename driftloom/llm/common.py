@@ -34,13 +34,21 @@ def bucket_of(col: str, modulus: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir.
 
     A folder of this machine is set only where the session names none (tests on one machine)."""
-    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
