@@ -87,22 +87,26 @@ class Block:
         return s, e, np.searchsorted(self.offsets, s, "right") - 1
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, Block]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of about BLOCK_BYTES of text."""
     for batch in batches:
         column = batch.column(text).cast(pa.large_string()).fill_null("")
         if not len(column):
             continue
-        sizes = np.diff(np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8))
+        run = np.cumsum(np.diff(np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)))
         at = 0
-        run = np.cumsum(sizes)
         while at < len(column):
             limit = (run[at - 1] if at else 0) + BLOCK_BYTES
             end = max(at + 1, int(np.searchsorted(run, limit, "right")))
-            yield batch.slice(at, end - at), Block(column.slice(at, end - at))
+            yield batch.slice(at, end - at)
             at = end
 
 
+def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, Block]]:
+    for part in slices(batches, text):
+        yield part, Block(part.column(text))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
