@@ -19,12 +19,14 @@ read, so further columns cannot clash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_RE, checkpointed
 
-WINDOW, LEAST_WORDS = 8, 4
+WINDOW, LEAST_WORDS = 8, 4  # the window is a power of two
 LEAST_SHARE, LEAST_WINDOWS = 0.5, 20
 #: Windows of the benchmark up to which they are broadcast (some 100 bytes each); beyond, both sides are shuffled.
 MOST_BROADCAST = 500_000
@@ -54,30 +56,65 @@ def templates(text: Column) -> Column:
     return _bare(F.lower(out))
 
 
-def windows(rows: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, at, h, literals, slots): each window's place, hash, number of words that are no slot, and the values of its
-    slots in order (null if it has none).
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _pairs(step: int) -> Callable[[Column], Column]:
+    """Hashes of each value and the one ``step`` after it."""
+
+    def of(hashes: Column) -> Column:
+        n = F.size(hashes) - step
+        return F.when(n > 0, F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b)))
+
+    return of
+
+
+def _hashes(template: Column) -> Column:
+    """The hash of each window, by way of those of two and four tokens."""
+    out, step = F.transform(template, lambda t: F.xxhash64(t)), 1
+    while step < WINDOW:
+        out = _bound(out, _pairs(step))
+        step *= 2
+    return out
+
+
+def _slots(template: Column, text: Column) -> Column:
+    """The bare tokens with null for those that are no slot, or null if none is."""
+    marked = F.zip_with(template, _bare(F.lower(text)), lambda t, w: F.when(t.startswith("<"), w))
+    return _bound(marked, lambda m: F.when(F.exists(m, lambda w: w.isNotNull()), m))
+
+
+def windows(rows: DataFrame, id: str, text: str, slots: bool = True) -> DataFrame:
+    """(id, at, h, slots): each window's place, hash, and its tokens with null for words that are no slot (null for all
+    windows of a text without any slot, and without ``slots``).
+
+    A text's windows are one array, of which only the windows leave the generator."""
+    out = rows.filter(F.col(id).isNotNull() & F.col(text).isNotNull())
+    body = F.col(text)
+    if not slots:
+        out = out.select(F.col(id).alias("id"), F.posexplode(_hashes(templates(body))).alias("at", "h"))
+        return out.select("id", (F.col("at") + 1).alias("at"), "h", F.lit(None).cast("array<string>").alias("slots"))
+
+    def cut(h: Column, i: Column, marked: Column) -> Column:
+        return F.struct((i + 1).alias("at"), h.alias("h"), F.slice(marked, i + 1, F.lit(WINDOW)).alias("slots"))
 
-    Only these narrow columns leave the generator, not the text."""
-    out = rows.filter(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("_text"))
-    out = out.select("id", templates(F.col("_text")).alias("_template"), F.lower("_text").alias("_text"))
-    out = out.filter(F.size("_template") >= WINDOW)
-    slotted = F.transform("_template", lambda t: t.startswith("<"))
-    out = out.select("id", "_template", slotted.alias("_slot"), F.when(F.array_contains(slotted, True), _bare(F.col("_text"))).alias("_bare"))
-    out = out.select("id", "_template", "_slot", "_bare", F.explode(F.sequence(F.lit(1), F.size("_template") - (WINDOW - 1))).alias("at"))
+    cuts = _bound(templates(body), lambda t: _bound(_slots(t, body), lambda m: F.transform(_hashes(t), lambda h, i: cut(h, i, m))))
+    return out.select(F.col(id).alias("id"), F.explode(cuts).alias("w")).select("id", "w.at", "w.h", "w.slots")
 
-    def cut(c: str) -> Column:
-        return F.slice(c, F.col("at"), F.lit(WINDOW))
 
-    values = F.filter(F.transform(cut("_bare"), lambda w, k: F.when(F.get(cut("_slot"), k), w)), lambda w: w.isNotNull())
-    has = F.array_contains(cut("_slot"), True)
-    return out.select("id", "at", F.xxhash64(cut("_template")).alias("h"), F.when(has, WINDOW - F.size(values)).otherwise(WINDOW).alias("literals"), F.when(has, values).alias("slots"))
+def _values(slots: Column) -> Column:
+    """The slots' values in order, null if there are none."""
+    kept = F.array_compact(slots)
+    return F.when(F.size(kept) > 0, kept)
 
 
 def owned(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> DataFrame:
     """(h, item, item_at, theirs, n): each window of the benchmark with the item that owns it, the values of its slots
     and the number of windows that this item owns."""
-    mine = windows(benchmark, id, text).filter(F.col("literals") >= LEAST_WORDS)
+    mine = windows(benchmark, id, text).withColumn("slots", _values(F.col("slots")))
+    mine = mine.filter(WINDOW - F.coalesce(F.size("slots"), F.lit(0)) >= LEAST_WORDS)
     first = mine.groupBy("h").agg(F.min(F.struct("id", "at", "slots")).alias("w"))
     first = first.select("h", F.col("w.id").alias("item"), F.col("w.at").alias("item_at"), F.col("w.slots").alias("theirs"))
     return first.join(first.groupBy("item").agg(F.count("*").alias("n")), "item").select("h", "item", "item_at", "theirs", "n")
@@ -89,10 +126,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
     ``n_windows`` are the item's windows found in consistent alignments, ``share`` their share of all that it owns,
     ``exact`` whether all slots agree."""
     known = checkpointed(owned(benchmark, item, item_text))
+    # a benchmark without numbers and names needs no slots of the documents
+    slotted = known.filter("theirs is not null").limit(1).count() > 0
     if known.count() <= MOST_BROADCAST:
         known = F.broadcast(known)
-    hits = windows(docs, id, text).drop("literals").join(known, "h")
-    hits = hits.select("id", "item", "n", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), F.arrays_zip("theirs", F.col("slots").alias("ours")).alias("pairs"))
+    hits = windows(docs, id, text, slotted).join(known, "h")
+    hits = hits.select("id", "item", "n", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), F.arrays_zip("theirs", _values(F.col("slots")).alias("ours")).alias("pairs"))
     hits = checkpointed(hits)  # read twice below; only what the benchmark meets
     slots = hits.filter("pairs is not null").select("id", "item", "diagonal", F.explode("pairs").alias("p")).select("id", "item", "diagonal", "p.theirs", "p.ours")
     by_value = slots.groupBy("id", "item", "diagonal", "theirs").agg(F.min("ours").alias("low"), F.max("ours").alias("high"))
