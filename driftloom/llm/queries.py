@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, language_id, line_dedup, quality_model
 from . import quality_rules as rules
-from . import simhash, suffix_tree, toxicity
+from . import simhash, suffix_dedup, suffix_tree, toxicity
 from .common import bucket_of, table
 
 
@@ -36,6 +36,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", bpe.n_ids().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,5 +71,5 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.train_and_score(spark, docs, ~F.col("held_out")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality_model, op4_quality_rules, op6_simhash, op7_decontaminate, op8_line_dedup, op9_toxicity, op10_suffix_tree)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality_model, op4_quality_rules, op5_suffix_dedup, op6_simhash, op7_decontaminate, op8_line_dedup, op9_toxicity, op10_suffix_tree)}
 ORACLE_SQL = {"op4_quality_rules": rules.oracle()}
