@@ -2,9 +2,9 @@
 
 Encoding: the merge ranks become a transducer over bytes. By the locality of BPE, a tokenisation is the one that
 the merges give exactly if each two neighbouring tokens are (``Ranks.stable``). So a reader of the bytes so far
-needs only the places where a token may still begin: for each, how far into the vocabulary's trie the bytes since
-then lead, and the token before. A set of these is one deterministic state; states and their arcs are made when
-first reached. A token is emitted once the tokenisations up to all places that are still open agree on it; those
+needs only the places where a token may have begun: for each, how far into the vocabulary's trie the bytes since
+then lead. A set of these is one deterministic state; states and their arcs are made when first reached. An arc's
+output is the token that ends there and holds next to the one before it. A token is emitted once the tokenisations up to all places that are still open agree on it; those
 places reach back by at most the longest token's length.
 
 Decoding: token bytes are joined block by block and an incremental UTF-8 machine carries a character that a block
@@ -21,6 +21,7 @@ import base64
 import gc
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from struct import pack
 
 import numpy as np
@@ -30,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces in each of a worker's two memories, and states of its transducer; what is full starts anew.
-MOST_PIECES, MOST_STATES = 200_000, 150_000
+#: Pieces in each of a worker's two memories, states of its transducer and remembered pairs; what is full starts anew.
+MOST_PIECES, MOST_STATES, MOST_PAIRS = 200_000, 150_000, 400_000
 
 
 class Ranks:
@@ -45,16 +46,20 @@ class Ranks:
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.joined: dict[tuple[int, int], int] = {}
-        self._stable: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         rank = self.rank
         for t in sorted(self.tokens):  # in rank order, parts come before what is made of them
             text = self.tokens[t]
             for i in range(1, len(text)):
                 a, b = rank.get(text[:i]), rank.get(text[i:])
-                if a is not None and b is not None and a < t and b < t and self._holds(a, b):
+                if a is not None and b is not None and a < t and b < t and self.holds(a, b):
                     self.left[t], self.right[t] = a, b
                     self.joined[a, b] = t
                     break
+        self.sizes = np.zeros(max(self.tokens) + 1, np.int64)
+        for t, text in self.tokens.items():
+            self.sizes[t] = len(text)
+        self.pairs = Pairs(self)
         # only tokens that merges can reach take part; the others match whole pieces only
         self.trie: list[dict[int, int]] = [{}]
         self.depth = [0]
@@ -71,7 +76,7 @@ class Ranks:
                     self.depth.append(depth)
             self.ends[node] = t
 
-    def _holds(self, a: int, b: int) -> bool:
+    def holds(self, a: int, b: int) -> bool:
         """Whether the merges leave the boundary between a and b alone.
 
         The merges that built a's right edge and b's left edge are undone, latest first. A merge across the boundary
@@ -98,20 +103,18 @@ class Ranks:
                 until, b = b + 1, left[b]
 
     def stable(self, a: int, b: int) -> bool:
-        key = (a, b)
-        out = self._stable.get(key)
-        if out is None:
-            if len(self._stable) > 4 * MOST_PIECES:
-                self._stable.clear()
-            out = self._stable[key] = self._holds(a, b)
+        """``holds``, remembered in ``known`` under a * 2^20 + b."""
+        if len(self.known) > MOST_PAIRS:
+            self.known.clear()
+        out = self.known[a << 20 | b] = self.holds(a, b)
         return out
 
 
 class Transducer:
-    """Bytes in, tokens out. Reading a byte, a state names the one token with which the bytes so far would end.
-
-    A state is a tuple of (trie node, token before), oldest first, one for each place where a token may begin that
-    later bytes complete. ``encode`` settles tokens once the open places have a common boundary behind them."""
+    """Bytes in, tokens out. A state is the set of the trie nodes that the latest bytes may lead to, one for each place
+    where a token may have begun; states and arcs are made when first reached, so this is the trie's nondeterministic
+    automaton, determinised lazily. An arc names the tokens that may end with its byte; of these exactly one holds
+    next to the token before it. ``encode`` settles tokens once the open places have a common boundary behind them."""
 
     #: Bytes between two looks for what can be settled.
     STEP = 1024
@@ -121,30 +124,80 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
+        self.states: list[tuple[int, ...]] = [(0,)]
         self.number = {self.states[0]: 0}
-        self.arcs: dict[int, tuple[int, int]] = {}
-
-    def _arc(self, state: int, byte: int) -> tuple[int, int]:
-        trie, ends, stable = self.ranks.trie, self.ranks.ends, self.ranks.stable
-        following, last = [], -1
-        for node, before in self.states[state]:
-            node = trie[node].get(byte)
-            if node is None:
-                continue
-            if last < 0:
-                token = ends.get(node)
-                if token is not None and (before < 0 or stable(before, token)):
-                    last = token
-            if trie[node]:
-                following.append((node, before))
-        following.append((0, last))
-        key = tuple(following)
+        self.arcs: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
+        # the same arcs as arrays: number by state and byte; next state, ending tokens and their sizes by number
+        self.numbers = np.full((1 << 10, 256), -1, np.int32)
+        self.to = np.zeros(1 << 12, np.int32)
+        self.tokens = np.zeros((1 << 12, 4), np.int32)
+        self.sizes = np.zeros((1 << 12, 4), np.int32)
+
+    def _arc(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        trie, ends, depth = self.ranks.trie, self.ranks.ends, self.ranks.depth
+        reached = [to for node in self.states[state] if (to := trie[node].get(byte)) is not None]
+        ending = tuple((ends[node], depth[node]) for node in reached if node in ends)
+        key = (*(node for node in reached if trie[node]), 0)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-        out = self.arcs[state << 8 | byte] = (to, last)
+        number = len(self.arcs)
+        out = self.arcs[state << 8 | byte] = (to, ending)
+        if len(self.states) > len(self.numbers):
+            self.numbers = np.concatenate([self.numbers, np.full_like(self.numbers, -1)])
+        if number == len(self.to):
+            self.to, self.tokens, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.to, self.tokens, self.sizes))
+        if (more := len(ending) - self.tokens.shape[1]) > 0:
+            self.tokens, self.sizes = np.pad(self.tokens, ((0, 0), (0, more))), np.pad(self.sizes, ((0, 0), (0, more)))
+        self.numbers[state, byte] = number
+        self.to[number] = to
+        self.tokens[number, : len(ending)] = [t for t, _ in ending]
+        self.sizes[number, : len(ending)] = [k for _, k in ending]
+        return out
+
+    def encode_short(self, pieces: list[bytes]) -> list[bytes]:
+        """``encode`` of many short pieces side by side, each as little-endian 32-bit integers."""
+        if len(self.states) > MOST_STATES:
+            self._reset()
+        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
+        length = np.fromiter((len(pieces[i]) for i in order), np.int64, len(order))
+        longest = int(length[0]) if len(order) else 0
+        data = np.frombuffer(b"".join(pieces[i].ljust(longest, b"\0") for i in order), np.uint8).reshape(len(order), longest)
+        last = np.zeros((longest, len(order)), np.int32)
+        state = np.zeros(len(order), np.int32)
+        for j in range(longest):
+            n = int(np.searchsorted(-length, -j, "left"))
+            byte = data[:n, j]
+            arc = self.numbers[state[:n], byte]
+            if len(new := np.flatnonzero(arc < 0)):
+                for key in np.unique(state[new].astype(np.int64) << 8 | byte[new]).tolist():
+                    self._arc(key >> 8, key & 255)
+                arc = self.numbers[state[:n], byte]
+            state = self.to[arc]
+            left, c = np.arange(n), 0
+            while len(left):
+                token, before = self.tokens[arc[left], c], j - self.sizes[arc[left], c]
+                holds = (before < 0) | self.ranks.pairs.hold(last[np.maximum(before, 0), left], token)
+                last[j, left[holds]] = token[holds]
+                left, c = left[~holds], c + 1
+        size = self.ranks.sizes
+        at, rows, found = length.copy(), np.arange(len(order)), []
+        owners = []
+        while len(rows):
+            token = last[at[rows] - 1, rows]
+            found.append(token)
+            owners.append(rows)
+            at[rows] -= size[token]
+            rows = rows[at[rows] > 0]
+        out = [b""] * len(pieces)
+        if found:
+            owner, token = np.concatenate(owners)[::-1], np.concatenate(found)[::-1]
+            by = np.argsort(owner, kind="stable")
+            ids = token[by].astype("<u4").tobytes()
+            cut = (4 * np.searchsorted(owner[by], np.arange(len(order) + 1))).tolist()
+            for k, i in enumerate(order):
+                out[i] = ids[cut[k] : cut[k + 1]]
         return out
 
     def _back(self, last: list[int], at: int) -> list[int]:
@@ -160,23 +213,43 @@ class Transducer:
             self._reset()
         out: list[int] = []
         last: list[int] = []
-        state, arcs = 0, self.arcs
+        state, get, known, stable = 0, self.arcs.get, self.ranks.known.get, self.ranks.stable
+        n = 0
+        begun = True  # whether last[0] begins the piece, so that no token stands before it
+        before = -1
         for byte in piece:
-            arc = arcs.get(state << 8 | byte) or self._arc(state, byte)
+            arc = get(state << 8 | byte) or self._arc(state, byte)
             state = arc[0]
-            last.append(arc[1])
-            if len(last) >= self.STEP:
+            n += 1
+            for token, size in arc[1]:
+                if size < n:
+                    a = last[n - size - 1]
+                elif size == n:
+                    if begun:
+                        break
+                    a = before
+                else:
+                    continue
+                holds = known(a << 20 | token)
+                if holds is None:
+                    holds = stable(a, token)
+                if holds:
+                    break
+            last.append(token)
+            if n >= self.STEP:
                 settled = self._settle(state, last)
                 if settled:
                     out += self._back(last, settled)[::-1]
+                    before, begun = out[-1], False
                     del last[:settled]
-        return out + self._back(last, len(last))[::-1]
+                    n -= settled
+        return out + self._back(last, n)[::-1]
 
     def _settle(self, state: int, last: list[int]) -> int:
         """The latest boundary that the tokenisations up to all open places share."""
         size, depth = self.ranks.size, self.ranks.depth
         common: set[int] | None = None
-        for node, _ in self.states[state]:
+        for node in self.states[state]:
             at, seen = len(last) - depth[node], set()
             while at > 0:
                 seen.add(at)
@@ -185,29 +258,64 @@ class Transducer:
         return max(common or {0})
 
 
+class Pairs:
+    """Whether the boundary between two tokens holds, remembered in a table of fixed size that newer pairs overwrite."""
+
+    BITS = 20
+
+    def __init__(self, ranks: Ranks):
+        self.ranks = ranks
+        self.keys = np.full(1 << self.BITS, -1, np.int64)
+        self.values = np.zeros(1 << self.BITS, bool)
+
+    def hold(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 20 | b
+        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).view(np.int64)
+        out = self.values[slot]
+        if len(new := np.flatnonzero(self.keys[slot] != key)):
+            fresh, at = np.unique(key[new], return_inverse=True)
+            value = np.fromiter((self.ranks.holds(k >> 20, k & 0xFFFFF) for k in fresh.tolist()), bool, len(fresh))
+            out[new] = value[at]
+            where = slot[new]
+            self.keys[where], self.values[where] = key[new], out[new]
+        return out
+
+
 class Pieces(dict):
     """Piece of text to its ids as little-endian 32-bit integers.
 
     A full memory becomes the old one; pieces met again move from it to the new one, so that frequent pieces stay."""
 
+    #: Bytes of a piece that is encoded along with others, or kept.
+    SHORT = 64
+
     def __init__(self, ranks: Ranks):
         super().__init__()
         self.ranks, self.transducer, self.old = ranks, Transducer(ranks), {}
 
-    def __missing__(self, piece: str) -> bytes:
-        out = self.old.get(piece)
-        if out is None:
-            raw = piece.encode()
-            whole = self.ranks.rank.get(raw)
-            ids = [whole] if whole is not None else self.transducer.encode(raw)
-            out = pack(f"<{len(ids)}I", *ids)
-            if len(raw) > 64:
-                return out
+    def prepare(self, pieces: set[str]) -> None:
+        """Encode what is not known yet, side by side."""
         if len(self) >= MOST_PIECES:
             self.old = dict(self)
             self.clear()
-        self[piece] = out
-        return out
+        missing = pieces - self.keys()
+        again = missing & self.old.keys()
+        for p in again:
+            self[p] = self.old[p]
+        short = []
+        for p in missing - again:
+            raw = p.encode()
+            whole = self.ranks.rank.get(raw)
+            if whole is not None:
+                self[p] = pack("<I", whole)
+            elif len(raw) <= self.SHORT:
+                short.append((p, raw))
+        if short:
+            self.update(zip((p for p, _ in short), self.transducer.encode_short([raw for _, raw in short]), strict=True))
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.transducer.encode(piece.encode())
+        return pack(f"<{len(ids)}I", *ids)
 
 
 class Utf8Machine:
@@ -245,26 +353,53 @@ class Utf8Machine:
 
 
 class Codec:
-    #: Ids that the decoder takes at a time.
-    STEP = 4096
+    #: Ids that the decoder takes at a time, characters that are encoded together.
+    STEP, GROUP = 1 << 15, 1 << 20
 
     def __init__(self, path: str, pattern: str):
         self.ranks = Ranks(path)
         self.pieces = Pieces(self.ranks)
         self.pattern = regex.compile(pattern)
-        self.token = [self.ranks.tokens.get(i) for i in range(max(self.ranks.tokens) + 1)]
+        # the bytes of all tokens in one array, and where each begins (one past the end: no such token)
+        self.letters = np.frombuffer(b"".join(self.ranks.tokens[i] for i in sorted(self.ranks.tokens)), np.uint8)
+        self.places = np.cumsum(self.ranks.sizes) - self.ranks.sizes
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; texts are taken together up to GROUP characters, longer ones piecewise."""
+        out: list[bytes] = []
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            if len(text) > self.GROUP:
+                self._flush(held, out)
+                found, parts = (m[0] for m in self.pattern.finditer(text)), []
+                while some := list(islice(found, self.GROUP >> 2)):
+                    self._flush([some], parts)
+                out.append(b"".join(parts))
+                size = 0
+                continue
+            held.append(self.pattern.findall(text) if not self.pattern.groups else [m[0] for m in self.pattern.finditer(text)])
+            size += len(text)
+            if size > self.GROUP:
+                self._flush(held, out)
+                size = 0
+        self._flush(held, out)
+        return out
 
-    def encode(self, text: str) -> bytes:
-        found = self.pattern.findall(text) if not self.pattern.groups else [m[0] for m in self.pattern.finditer(text)]
-        return b"".join(map(self.pieces.__getitem__, found))
+    def _flush(self, held: list[list[str]], out: list[bytes]) -> None:
+        self.pieces.prepare(set().union(*held))
+        out += [b"".join(map(self.pieces.__getitem__, found)) for found in held]
+        held.clear()
 
     def decode_bytes(self, ids: bytes) -> Iterator[bytes]:
         at = np.frombuffer(ids, "<u4")
-        if len(at) and int(at.max()) >= len(self.token):
-            raise ValueError(f"no token has the id {int(at.max())}")
-        get = self.token.__getitem__
+        if len(at) and (int(at.max()) >= len(self.places) or not self.ranks.sizes[at].all()):
+            raise ValueError("there are ids without a token")
         for i in range(0, len(at), self.STEP):
-            yield b"".join(map(get, at[i : i + self.STEP].tolist()))
+            ids = at[i : i + self.STEP]
+            size = self.ranks.sizes[ids]
+            end = np.cumsum(size)
+            yield self.letters[np.repeat(self.places[ids] - (end - size), size) + np.arange(end[-1])].tobytes()
 
     def decode(self, ids: bytes) -> str:
         machine = Utf8Machine()
@@ -282,7 +417,7 @@ def _encoder(path: str, pattern: str):
     @F.arrow_udf(T.BinaryType())
     def encode_text(texts: pa.Array) -> pa.Array:
         encode = codec(path, pattern).encode
-        return pa.array([b"" if not t else encode(t) for t in texts.to_pylist()], pa.binary())
+        return pa.array(encode([t or "" for t in texts.to_pylist()]), pa.binary())
 
     return encode_text
 
