@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +54,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark's cleaner then removes the shuffle files of results that nothing
+    refers to any more, instead of whenever the heap happens to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, after letting go of what earlier tables were made
+    from."""
+    spark = df.sparkSession
+    release(spark)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fields(df: DataFrame, *names: str) -> str:
     """DDL of the named columns of ``df``."""
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
@@ -114,17 +133,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the prime and of its inverse, kept for the blocks to come."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_PRIME, _PRIME_INV)):
+            full = np.full(max(n, BLOCK_BYTES), base)
+            full[0] = 1
+            _POWERS[i] = np.cumprod(full)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 class SpanHasher:
     """64-bit hashes of data[start:end], equal for equal bytes, from prefix sums of a polynomial."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        up, self.down = np.full(n, _PRIME), np.full(n + 1, _PRIME_INV)
-        up[:1] = self.down[:1] = 1
-        np.cumprod(up, out=up)
-        np.cumprod(self.down, out=self.down)
+        up, self.down = _powers(n + 1)
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=self.total[1:])
+        terms = data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= up[:n]
+        np.cumsum(terms, out=self.total[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))

@@ -6,8 +6,8 @@ bytes, 1 below 40, else 2). Of each class of linked lines (links count transitiv
 and place in the document; the others are removed.
 
 Join: a line of length l is cut into threshold + 1 segments, of which a linked line has at least one unchanged. Each
-line indexes its segments under its length and probes the substrings of its own that an equal or shorter line's
-segments may equal; those that some alignment within the threshold cannot reach are not probed. Index and probe entries
+line indexes its segments under its length, where equally long lines meet, and probes the other substrings of its own
+that an equal or shorter line's segments may equal; those that some alignment within the threshold cannot reach are not probed. Index and probe entries
 meet by hash in sorted partitions. Entries of a key are compared by their byte histograms (folded into 16 counters;
 each edit changes at most two by one) before a pair leaves the task, so that a group whose lines share a segment but
 differ elsewhere makes next to no pairs. Pairs are then verified by a banded bit-parallel edit distance.
@@ -91,18 +91,30 @@ def entries(hasher: SpanHasher, start: np.ndarray, end: np.ndarray) -> Iterator[
             high = np.minimum(np.minimum(first + which, first + less + (kr - which)), length[rows] - size)
             for shift in range(int((high - low).max(initial=-1)) + 1):
                 fits = low + shift <= high
+                if not less:  # there the index entry itself is the probe
+                    fits &= low + shift != first
                 r = rows[fits]
                 yield key(start[r] + low[fits] + shift, size[fits], other[r], which), r, True
 
 
+#: For each of four groups of counters, what a byte adds to the group's four 16-bit fields.
+_FIELDS = [np.where((np.arange(256) & 12) == 4 * g, np.uint64(1) << (16 * (np.arange(256) & 3)).astype(np.uint64), np.uint64(0)) for g in range(4)]
+
+
 def histograms(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Counts of bytes modulo 16 in a line, each modulo 16, as one 64-bit value."""
+    """Counts of bytes modulo 16 in each line, each modulo 16, as one 64-bit value; the lines are in order."""
     out = np.zeros(len(start), np.uint64)
     if not len(start):
         return out
-    for c in range(16):
-        total = np.concatenate([np.zeros(1, np.int32), np.cumsum((data & 15) == c, dtype=np.int32)])
-        out |= ((total[end] - total[start]) & 15).astype(np.uint64) << np.uint64(4 * c)
+    bounds = np.stack([start, end], axis=1).ravel()
+    for g in range(4):
+        fields_ = np.append(_FIELDS[g][data], np.uint64(0))
+        total = np.add.reduceat(fields_, bounds)[::2]
+        for c in range(4):
+            out |= (total >> np.uint64(16 * c) & np.uint64(15)) << np.uint64(16 * g + 4 * c)
+    for i in np.flatnonzero(end - start > 65535):  # fields may have run over
+        counts = np.bincount(data[start[i] : end[i]] & 15, minlength=16) & 15
+        out[i] = sum(int(n) << 4 * c for c, n in enumerate(counts))
     return out
 
 
@@ -124,10 +136,9 @@ def _to_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(start):
             continue
         hasher = SpanHasher(block.data)
-        line = hasher(start, end) & ~np.uint64(1)
-        line, at = np.unique(line, return_index=True)
-        start, end = start[at], end[at]
         bag = histograms(block.data, start, end)
+        line, at = np.unique(hasher(start, end) & ~np.uint64(1), return_index=True)
+        start, end, bag = start[at], end[at], bag[at]
         for key, rows, probe in entries(hasher, start, end):
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array((line[rows] | np.uint64(probe)).view(np.int64)), pa.array(bag[rows].view(np.int64))], names=["key", "line", "bag"])
 
@@ -136,9 +147,9 @@ def _to_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b), a < b: lines with a common key and near histograms; the entries come sorted by key and line."""
 
     def group(line: np.ndarray, bag: np.ndarray) -> Iterator[pa.RecordBatch]:
-        probe = (line & np.uint64(1)).astype(bool)
+        indexed = (line & np.uint64(1)) == 0
         line = line & ~np.uint64(1)
-        (pl, pb), (il, ib) = (line[probe], bag[probe]), (line[~probe], bag[~probe])
+        (pl, pb), (il, ib) = (line, bag), (line[indexed], bag[indexed])
         for i in range(0, len(pl), TILE):
             for j in range(0, len(il), TILE):
                 x, y = np.nonzero(_near(pb[i : i + TILE], ib[j : j + TILE], 4) & (pl[i : i + TILE, None] != il[None, j : j + TILE]))
