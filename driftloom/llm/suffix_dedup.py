@@ -6,12 +6,13 @@ hash of their anchor, and each run of strings with one anchor travels as one seg
 
 1. Anchors that only one document has are dropped: entries are sorted by hash within hashed partitions, after those of
    one block of texts with one hash became one entry.
-2. The segments of the others, equal ones of a block as one entry with its documents, are brought together by anchor.
-   An anchor with one distinct segment is settled at once. The distinct segments of the others are joined to one text,
-   of which suffixes smaller than their successors are sorted directly, the rest induced by bucket scans
-   (``suffix_array``); suffixes whose common prefix with their neighbour reaches ``length`` are one string, and its
-   smallest document is known.
-3. The ranges of each document are merged and cut out of its text.
+2. The segments of the others are brought together by anchor as hashes of their bytes, equal ones of a block as one
+   entry with its documents. An anchor with one distinct segment is settled at once.
+3. The distinct segments of the other anchors, with their smallest documents, are joined to one text, of which suffixes
+   smaller than their successors are sorted directly, the rest induced by bucket scans (``suffix_array``); suffixes
+   whose common prefix with their neighbour reaches ``length`` are one string, and its smallest document is known. All
+   places of these segments get that answer by a join.
+4. The ranges of each document are merged and cut out of its text.
 
 Cases: a null or empty text has no byte; texts shorter than ``length`` stay; rows of one id count as one document and
 are treated alike; rows without an id stay and do not count; an empty table gives an empty table. Other columns are
@@ -28,7 +29,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, SpanHasher, blocks, checkpointed
+from .common import Block, SpanHasher, blocks, release, written
 
 LENGTH, GRAM = 50, 24
 #: Bytes of distinct segments sorted together (one anchor's segments always are).
@@ -127,8 +128,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(np.concatenate([doc[shared], extra]), np.concatenate([h[shared], np.repeat(h, many)[np.repeat(shared, many)]]))
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, segment, docs, starts): the segments with shared anchors, equal ones of a block as one entry."""
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, content, size, docs, starts): the segments with shared anchors by the hash of their bytes, equal ones of a
+    block as one entry."""
     for batch, block in blocks(batches, "text"):
         h, text, first, last = anchors(block)
         wanted = batch.column("hs")
@@ -152,10 +154,61 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (h[1:] != h[:-1]) | (content[1:] != content[:-1])
         begin = np.flatnonzero(new)
         cut = np.append(begin, len(h))
-        raw = block.data.tobytes()
-        segments = [raw[s:e] for s, e in zip(first[begin].tolist(), end[begin].tolist(), strict=True)]
-        place = first - block.offsets[text]
-        yield pa.record_batch([pa.array(h[begin].view(np.int64)), pa.array(segments, pa.binary()), _lists(doc, cut), _lists(place, cut)], names=["h", "segment", "docs", "starts"])
+        columns = [h[begin].view(np.int64), content[begin].view(np.int64), (end - first)[begin]]
+        yield pa.record_batch([*map(pa.array, columns), _lists(doc, cut), _lists(first - block.offsets[text], cut)], names=["h", "content", "size", "docs", "starts"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, content, doc, low, high): where an anchor has one content, the ranges to remove, with h and content null;
+    where it has several, all their places. The entries come sorted by anchor."""
+
+    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, content, size = (table.column(c).to_numpy() for c in ("h", "content", "size"))
+        docs, starts = table.column("docs").combine_chunks(), table.column("starts").combine_chunks()
+        doc, start = docs.flatten().to_numpy(), starts.flatten().to_numpy()
+        entry = np.repeat(np.arange(len(h)), np.diff(docs.offsets.to_numpy()))
+        edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        group = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
+        lone = (np.minimum.reduceat(content, edge) == np.maximum.reduceat(content, edge))[group]
+        least = np.full(len(edge), np.iinfo(np.int64).max)
+        np.minimum.at(least, group[entry], doc)
+        keep = np.flatnonzero(~lone[entry] | (doc > least[group[entry]]))
+        e = entry[keep]
+        mask = lone[e]
+        low = start[keep]
+        yield pa.record_batch([pa.array(h[e], mask=mask), pa.array(content[e], mask=mask), pa.array(doc[keep]), pa.array(low), pa.array(low + size[e])], names=["h", "content", "doc", "low", "high"])
+
+    yield from _by_anchor(batches, "docs", 1 << 22, settle)
+
+
+def _by_anchor(batches: Iterator[pa.RecordBatch], sized: str, most: int, settle) -> Iterator[pa.RecordBatch]:
+    """Calls ``settle`` with whole anchors, of some ``most`` bytes in the column ``sized`` together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.column(sized).nbytes
+        if size > most:
+            table = pa.Table.from_batches(held)
+            h = table.column("h").to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+            if cut:
+                yield from settle(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+                size = sum(b.column(sized).nbytes for b in held)
+    if held:
+        yield from settle(pa.Table.from_batches(held))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, content, least, segment): the bytes of each document's places in the column needs."""
+    for batch in batches:
+        for t, doc, needs in zip(batch.column("text").to_pylist(), batch.column("doc").to_pylist(), batch.column("needs").to_pylist(), strict=True):
+            raw = (t or "").encode()
+            columns = [[n["h"] for n in needs], [n["content"] for n in needs], [doc] * len(needs)]
+            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns), pa.array([raw[n["low"] : n["high"]] for n in needs], pa.binary())], names=["h", "content", "least", "segment"])
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -269,95 +322,81 @@ def smallest(segments: list[bytes], docs: np.ndarray, length: int = LENGTH) -> l
     return [least[b : b + s - length + 1] for b, s in zip(begin[:-1].tolist(), size.tolist(), strict=True)]
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, low, high): bytes to remove; the segments come sorted by anchor."""
+def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, content, firsts): for each string that starts in a segment the smallest document with it."""
 
     def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        h = table.column("h").to_numpy()
-        segments = table.column("segment").to_pylist()
-        docs, starts = table.column("docs").combine_chunks(), table.column("starts").combine_chunks()
-        cut = docs.offsets.to_numpy()
-        doc, start = docs.values.to_numpy()[cut[0] : cut[-1]], starts.values.to_numpy()[starts.offsets.to_numpy()[0] : starts.offsets.to_numpy()[-1]]
-        cut = cut - cut[0]
-        entry = np.repeat(np.arange(len(h)), np.diff(cut))
-        numbers: dict[tuple[int, bytes], int] = {}
-        number = np.array([numbers.setdefault(x, len(numbers)) for x in zip(h.tolist(), segments, strict=True)])
-        distinct = list(numbers)
-        least = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, number[entry], doc)
-        anchor = np.array([x[0] for x in distinct])
-        new = np.append(True, anchor[1:] != anchor[:-1])
-        group = np.cumsum(new) - 1
-        lone = np.bincount(group)[group] == 1
-        row = number[entry]
-        # one distinct segment: it goes where a smaller document has it
-        hit = np.flatnonzero(lone[row] & (doc > least[row]))
-        size = np.array([len(x[1]) for x in distinct])
-        if len(hit):
-            yield pa.record_batch([pa.array(doc[hit]), pa.array(start[hit]), pa.array(start[hit] + size[row[hit]])], names=["doc", "low", "high"])
-        several = np.flatnonzero(~lone)
-        if not len(several):
-            return
-        firsts = smallest([distinct[i][1] for i in several.tolist()], least[several])
-        flat = np.concatenate(firsts)
-        width = np.array([len(f) for f in firsts])
-        offset = np.zeros(len(distinct), np.int64)
-        offset[several] = np.cumsum(width) - width
-        here = np.flatnonzero(~lone[row])
-        count = size[row[here]] - LENGTH + 1
-        which = np.repeat(np.arange(len(here)), count)
-        within = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        gone = flat[offset[row[here]][which] + within] < doc[here][which]
+        firsts = smallest(table.column("segment").to_pylist(), table.column("least").to_numpy())
+        cut = np.concatenate([[0], np.cumsum([len(f) for f in firsts])])
+        yield pa.record_batch([table.column("h").combine_chunks(), table.column("content").combine_chunks(), _lists(np.concatenate(firsts), cut)], names=["h", "content", "firsts"])
+
+    yield from _by_anchor(batches, "segment", SORTED_BYTES, settle)
+
+
+def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, low, high): the runs of strings that a smaller document has."""
+    for batch in batches:
+        doc, low = batch.column("doc").to_numpy(), batch.column("low").to_numpy()
+        firsts = batch.column("firsts")
+        which = np.repeat(np.arange(batch.num_rows), np.diff(firsts.offsets.to_numpy()))
+        begin = np.concatenate([[0], np.cumsum(np.diff(firsts.offsets.to_numpy()))])
+        within = np.arange(len(which)) - begin[which]
+        gone = firsts.flatten().to_numpy() < doc[which]
         which, within = which[gone], within[gone]
         if not len(which):
-            return
-        begins = np.ones(len(which), bool)
-        begins[1:] = (which[1:] != which[:-1]) | (within[1:] != within[:-1] + 1)
-        b = np.flatnonzero(begins)
+            continue
+        new = np.ones(len(which), bool)
+        new[1:] = (which[1:] != which[:-1]) | (within[1:] != within[:-1] + 1)
+        b = np.flatnonzero(new)
         e = np.append(b[1:], len(which)) - 1
-        base = start[here]
-        yield pa.record_batch([pa.array(doc[here][which[b]]), pa.array(base[which[b]] + within[b]), pa.array(base[which[e]] + within[e] + LENGTH)], names=["doc", "low", "high"])
+        yield pa.record_batch([pa.array(doc[which[b]]), pa.array(low[which[b]] + within[b]), pa.array(low[which[e]] + within[e] + LENGTH)], names=["doc", "low", "high"])
 
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.column("segment").nbytes
-        if size > SORTED_BYTES:
-            table = pa.Table.from_batches(held)
-            h = table.column("h").to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
-            if cut:
-                yield from settle(table.slice(0, cut))
-                held = table.slice(cut).combine_chunks().to_batches()
-                size = sum(b.column("segment").nbytes for b in held)
-    if held:
-        yield from settle(pa.Table.from_batches(held))
+
+def _shared_anchors(rows: DataFrame) -> DataFrame:
+    """(doc, hs): the anchors of each document that another one has."""
+    entries = rows.mapInArrow(_anchor_entries, "h long, doc long, more array<long>")
+    shared = entries.repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "doc long, h long")
+    return written(shared.groupBy("doc").agg(F.collect_set("h").alias("hs")))
+
+
+def _places(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    found = rows.join(wanted, rows["id"] == wanted["doc"]).select("id", "text", "hs")
+    found = found.mapInArrow(_contents, "h long, content long, size long, docs array<long>, starts array<long>")
+    return written(found.repartition("h").sortWithinPartitions("h").mapInArrow(_grouped, "h long, content long, doc long, low long, high long"))
+
+
+def _strings(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(h, content, firsts) of anchors with several contents, each content's bytes taken from its first place."""
+    one = places.groupBy("h", "content").agg(F.min(F.struct("doc", "low", "high")).alias("r"))
+    needs = one.groupBy(F.col("r.doc").alias("doc")).agg(F.collect_list(F.struct("h", "content", "r.low", "r.high")).alias("needs"))
+    segments = rows.join(needs, rows["id"] == needs["doc"]).select("text", "doc", "needs").mapInArrow(_cut, "h long, content long, least long, segment binary")
+    # rows of one id give their segments twice
+    segments = segments.repartition("h").sortWithinPartitions("h")
+    return written(segments.mapInArrow(_sorted, "h long, content long, firsts array<long>"))
 
 
 def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, ranges): each document's ranges of bytes to remove, as an array of structs low and high."""
+    """(doc, ranges): each document's ranges of bytes to remove, as an array of structs low and high."""
     rows = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    entries = rows.mapInArrow(_anchor_entries, "h long, doc long, more array<long>")
-    shared = entries.repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "doc long, h long")
-    wanted = checkpointed(shared.groupBy("doc").agg(F.collect_set("h").alias("hs")))
-    found = rows.join(wanted, rows["id"] == wanted["doc"]).select("id", "text", "hs").mapInArrow(_segments, "h long, segment binary, docs array<long>, starts array<long>")
-    ranges = found.repartition("h").sortWithinPartitions("h").mapInArrow(_ranges, "doc long, low long, high long")
-    return checkpointed(ranges.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges")))
+    places = _places(rows, _shared_anchors(rows))
+    several = places.filter("h is not null")
+    strings = _strings(rows, several).groupBy("h", "content").agg(F.min("firsts").alias("firsts"))
+    late = several.join(strings, ["h", "content"]).select("doc", "low", "firsts").mapInArrow(_late, "doc long, low long, high long")
+    ranges = places.filter("h is null").select("doc", "low", "high").union(late)
+    return written(ranges.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges")))
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans (removed runs) and kept (the remaining bytes)."""
     names = [c for c in docs.columns if c not in MADE]
-    gone = repeated(docs, id, text)
-    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(gone, F.col(f"`{id}`").cast("long") == F.col("doc"), "left").drop("doc")
+    gone = repeated(docs, id, text).select(F.col("doc").alias("_gone_id"), F.col("ranges").alias("_ranges"))
+    release(docs.sparkSession)
+    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(gone, F.col(f"`{id}`").cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, spans, kept = [], [], [], []
-            for t, ranges in zip(batch.column(text).to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+            for t, ranges in zip(batch.column(text).to_pylist(), batch.column("_ranges").to_pylist(), strict=True):
                 raw = (t or "").encode()
                 parts, at, cut, runs = [], 0, 0, 0
                 for r in sorted(ranges or (), key=lambda r: r["low"]):
