@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task's Python side works on at a time (one longer document is a block of its own).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Java regular expression of one separator between words.
 SPACE_RE = r"[\x20\x09-\x0D]"
 
@@ -57,8 +58,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Have the driver collect its garbage: Spark's cleaner then removes the shuffle files of results that nothing
     refers to any more, instead of whenever the heap happens to fill."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's references are handed back by a thread of its own
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -140,7 +143,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the prime and of its inverse, kept for the blocks to come."""
     if len(_POWERS[0]) < n:
         for i, base in enumerate((_PRIME, _PRIME_INV)):
-            full = np.full(max(n, BLOCK_BYTES), base)
+            full = np.full(max(n, BLOCK_BYTES + BLOCK_BYTES // 4), base)
             full[0] = 1
             _POWERS[i] = np.cumprod(full)
     return _POWERS[0][:n], _POWERS[1][:n]
