@@ -370,7 +370,6 @@ def _strings(rows: DataFrame, places: DataFrame) -> DataFrame:
     one = places.groupBy("h", "content").agg(F.min(F.struct("doc", "low", "high")).alias("r"))
     needs = one.groupBy(F.col("r.doc").alias("doc")).agg(F.collect_list(F.struct("h", "content", "r.low", "r.high")).alias("needs"))
     segments = rows.join(needs, rows["id"] == needs["doc"]).select("text", "doc", "needs").mapInArrow(_cut, "h long, content long, least long, segment binary")
-    # rows of one id give their segments twice
     segments = segments.repartition("h").sortWithinPartitions("h")
     return written(segments.mapInArrow(_sorted, "h long, content long, firsts array<long>"))
 
@@ -380,8 +379,8 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     rows = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     places = _places(rows, _shared_anchors(rows))
     several = places.filter("h is not null")
-    strings = _strings(rows, several).groupBy("h", "content").agg(F.min("firsts").alias("firsts"))
-    late = several.join(strings, ["h", "content"]).select("doc", "low", "firsts").mapInArrow(_late, "doc long, low long, high long")
+    # a content that many documents have is a skewed key here, which Spark splits
+    late = several.join(_strings(rows, several), ["h", "content"]).select("doc", "low", "firsts").mapInArrow(_late, "doc long, low long, high long")
     ranges = places.filter("h is null").select("doc", "low", "high").union(late)
     return written(ranges.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges")))
 
