@@ -115,7 +115,8 @@ def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that connect just what is within two bits."""
     reached = distinct.select("fp").mapInArrow(_to_anchors, "anchor long, fp long")
     shared = reached.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    near = reached.join(shared, "anchor").select("anchor", "fp").mapInArrow(_at_anchor, "middle long, fp long")
+    near = checkpointed(reached.join(shared, "anchor").select("anchor", "fp"))
+    near = near.mapInArrow(_at_anchor, "middle long, fp long")
     met = near.groupBy("middle").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
     return met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b").distinct()
 
