@@ -21,7 +21,7 @@ import base64
 import gc
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, filterfalse, islice
 from struct import pack
 
 import numpy as np
@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 
 #: Pieces in each of a worker's two memories, states of its transducer and remembered pairs; what is full starts anew.
 MOST_PIECES, MOST_STATES, MOST_PAIRS = 200_000, 150_000, 400_000
+#: Rows of a batch that are Python objects at a time.
+ROWS = 256
 
 
 class Ranks:
@@ -293,12 +295,12 @@ class Pieces(dict):
         super().__init__()
         self.ranks, self.transducer, self.old = ranks, Transducer(ranks), {}
 
-    def prepare(self, pieces: set[str]) -> None:
-        """Encode what is not known yet, side by side."""
+    def prepare(self, lists: list[list[str]]) -> None:
+        """Encode the pieces of the lists that are not known yet, side by side."""
         if len(self) >= MOST_PIECES:
             self.old = dict(self)
             self.clear()
-        missing = pieces - self.keys()
+        missing = set(filterfalse(self.__contains__, chain.from_iterable(lists)))
         again = missing & self.old.keys()
         for p in again:
             self[p] = self.old[p]
@@ -387,7 +389,7 @@ class Codec:
         return out
 
     def _flush(self, held: list[list[str]], out: list[bytes]) -> None:
-        self.pieces.prepare(set().union(*held))
+        self.pieces.prepare(held)
         out += [b"".join(map(self.pieces.__getitem__, found)) for found in held]
         held.clear()
 
@@ -417,7 +419,9 @@ def _encoder(path: str, pattern: str):
     @F.arrow_udf(T.BinaryType())
     def encode_text(texts: pa.Array) -> pa.Array:
         encode = codec(path, pattern).encode
-        return pa.array(encode([t or "" for t in texts.to_pylist()]), pa.binary())
+        # a few rows at a time, so that not all texts of a batch are Python strings at once
+        parts = [pa.array(encode([t or "" for t in texts.slice(i, ROWS).to_pylist()]), pa.binary()) for i in range(0, len(texts), ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
     return encode_text
 
@@ -426,7 +430,8 @@ def _decoder(path: str, pattern: str):
     @F.arrow_udf(T.StringType())
     def decode_ids(ids: pa.Array) -> pa.Array:
         decode = codec(path, pattern).decode
-        return pa.array([decode(x or b"") for x in ids.to_pylist()], pa.string())
+        parts = [pa.array([decode(x or b"") for x in ids.slice(i, ROWS).to_pylist()], pa.string()) for i in range(0, len(ids), ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return decode_ids
 
