@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ from .graph import components
 ONE, TWO = 20, 40
 #: Line hashes of candidate pairs up to which their texts are found by a broadcast set (8 bytes each), else by a join.
 MOST_BROADCAST = 2_000_000
-#: Entries of a key compared with each other at a time, pairs verified at a time.
-TILE, CHUNK = 2048, 4096
+#: Entries of a key compared with each other at a time; pairs verified at a time and bytes of their lines.
+TILE, CHUNK, CHUNK_BYTES = 512, 4096, 4 << 20
 
 
 def threshold(length: np.ndarray) -> np.ndarray:
@@ -227,12 +228,19 @@ def distances(first: list[bytes], second: list[bytes], most: int = 2) -> np.ndar
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(0, batch.num_rows, CHUNK):
-            part = batch.slice(i, CHUNK)
-            x, y = part.column("x").to_pylist(), part.column("y").to_pylist()
-            d = distances(x, y)
-            shorter = np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64)
-            yield part.filter(pa.array(d <= threshold(shorter))).select(["a", "b"])
+        sizes = [pa.compute.binary_length(batch.column(c)).to_numpy() for c in ("x", "y")]
+        shorter, longer = np.minimum(*sizes).astype(np.int64), np.maximum(*sizes).astype(np.int64)
+        order = np.argsort(longer, kind="stable")
+        i = 0
+        while i < len(order):  # pairs of like length, as many as their bytes allow
+            n = 1
+            while n < CHUNK and i + n < len(order) and (n + 1) * longer[order[i + n]] <= CHUNK_BYTES:
+                n += 1
+            rows = order[i : i + n]
+            part = batch.take(pa.array(rows))
+            d = distances(part.column("x").to_pylist(), part.column("y").to_pylist())
+            yield part.filter(pa.array(d <= threshold(shorter[rows]))).select(["a", "b"])
+            i += n
 
 
 def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
