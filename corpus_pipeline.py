@@ -18,10 +18,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from driftloom.llm import bpe, decontaminate, line_dedup, near_copies, toxicity
 from driftloom.llm.common import shared_folder, table
 
-#: SimHash over shingles of five words, linked at two differing bits (a similarity of some 0.97 of the bits).
+#: Words of a shingle; texts that share four fifths of their shingles are near copies, as are those whose fingerprints
+#: over the shingles differ in two bits or less.
 SHINGLE = 5
 
 
@@ -41,7 +42,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near-duplicates."""
-    return simhash.keep_first(docs, words=SHINGLE)
+    return near_copies.keep_first(docs, words=SHINGLE)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,13 +34,19 @@ CHUNK = 1 << 15
 _LOWER = LOWER.tobytes()
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of one text."""
+def shingles(text: str | None, words: int = 3) -> np.ndarray:
+    """The hashes of a text's shingles in order, as often as they occur."""
     w = (text or "").encode().translate(_LOWER).split()
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     grams = [b" ".join(x) for x in zip(*(w[k:] for k in range(words)), strict=False)] if len(w) >= words else [b" ".join(w)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit fingerprint of these hashes."""
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), CHUNK):
         part = hashes[i : i + CHUNK]
@@ -48,6 +54,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The unsigned 64-bit fingerprint of one text."""
+    return majority(shingles(text, words))
+
+
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """One row (id, fp) for each row; fp holds the fingerprint's bits in a long."""
 

@@ -14,7 +14,7 @@ import xxhash
 from conftest import SF, rows
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, decontaminate, language_id, line_dedup, quality_model, queries, simhash, suffix_dedup, suffix_tree, toxicity
+from driftloom.llm import bpe, decontaminate, language_id, line_dedup, near_copies, quality_model, queries, simhash, suffix_dedup, suffix_tree, toxicity
 from driftloom.llm import quality_rules as rules
 from driftloom.llm.graph import components
 
@@ -300,6 +300,35 @@ def test_links_find_all_pairs_within_two_bits(spark):
     assert groups(got) == groups(want)
 
 
+@pytest.mark.parametrize("few", [8, 0])
+def test_near_copies_share_four_fifths_of_their_shingles(spark, docs, corpus, monkeypatch, few):
+    import corpus_pipeline as C
+
+    monkeypatch.setattr(near_copies, "FEW", few)
+    r = random.Random(8)
+    data = [(i, t) for i, t in corpus]
+    for k in range(6):  # groups of near copies by one to three changed words of 120
+        base = [f"w{k}x{j}" for j in range(120)]
+        for _ in range(8):
+            w = list(base)
+            for j in r.sample(range(120), r.randrange(1, 4)):
+                w[j] = f"new{r.randrange(10**6)}"
+            data.append((1000 + len(data), " ".join(w)))
+    fps = brute_simhash(data, 5)
+    sets = {i: set(simhash.shingles(t, 5).tolist()) for i, t in data}
+    root = brute_classes(fps)
+    similar = [(a, b) for a in sets for b in sets if a < b and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert sum((fps[a] ^ fps[b]).bit_count() > 2 for a, b in similar) > 20
+    for a, b in similar:
+        x, y = sorted((root[a], root[b]))
+        root = {i: x if c == y else c for i, c in root.items()}
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data] + [(None, "no id", "en", "s", 5)], SCHEMA).repartition(5)
+    got = {x.doc_id: x.component_id for x in near_copies.near_copies(frame).collect()}
+    assert got == root
+    kept = sorted((x.doc_id for x in C.drop_near_copies(spark, frame, "").collect()), key=str)
+    assert kept == sorted({*root.values(), None}, key=str)
+
+
 def test_components(spark, empty):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 101), (7, 7)]
     got = {x.node: x.component for x in components(spark.createDataFrame(chain, "a long, b long")).collect()}
