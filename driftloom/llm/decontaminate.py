@@ -2,17 +2,17 @@
 
 Both sides are canonicalised: a token with a digit becomes <num>, a unit after it <unit>, a capitalised word inside a
 sentence <name>; the rest is lower-cased and loses its punctuation. Windows of eight template tokens, at least half of
-them words, are joined by hash. A window that several benchmark items share belongs to the first of them, so that a
-document's window meets one item at most and common phrases make no pairs. Windows of a document and an item on the
-same diagonal (position in the document less position in the item) form an alignment. Its slots must be consistent: one
-value of the item stands for one value of the document throughout. So a question with other numbers or names is
-caught, and a text that just fits the template with unrelated values is not.
+them words, are joined by hash, each with all items that have it. Windows of a document and an item on the same
+diagonal (position in the document less position in the item) form an alignment. Its slots must be consistent: one
+value of the item stands for one value of the document throughout. Windows that hold another value for one that is not
+do not count; windows without slots and verbatim ones do. So a question with other numbers or names is caught, and a
+text that just fits the template with unrelated values is not.
 
-A document is contaminated by an item if its consistent alignments hold ``LEAST_SHARE`` of the item's own windows or
-``LEAST_WINDOWS`` of them.
+A document is contaminated by an item if its alignments hold ``LEAST_SHARE`` of the item's windows or ``LEAST_WINDOWS``
+of them.
 
-Cases: null and empty texts, and texts or items of fewer than eight tokens, have no window and match nothing; an item
-without a window of its own is represented by the item that owns its windows; repeated rows of a document count once;
+Cases: null and empty texts, and texts or items of fewer than eight tokens, have no window and match nothing; items
+whose windows and slots are all the same are one item, named by the smallest id; repeated rows of a document count once;
 rows without an id cannot be named and are never contaminated; empty tables give an empty table. Only ids and texts are
 read, so further columns cannot clash.
 """
@@ -110,22 +110,23 @@ def _values(slots: Column) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
-def owned(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> DataFrame:
-    """(h, item, item_at, theirs, n): each window of the benchmark with the item that owns it, the values of its slots
-    and the number of windows that this item owns."""
+def known_windows(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> DataFrame:
+    """(h, item, item_at, theirs, n): each window of each item, the values of its slots and the number of windows of the
+    item."""
     mine = windows(benchmark, id, text).withColumn("slots", _values(F.col("slots")))
     mine = mine.filter(WINDOW - F.coalesce(F.size("slots"), F.lit(0)) >= LEAST_WORDS)
-    first = mine.groupBy("h").agg(F.min(F.struct("id", "at", "slots")).alias("w"))
-    first = first.select("h", F.col("w.id").alias("item"), F.col("w.at").alias("item_at"), F.col("w.slots").alias("theirs"))
-    return first.join(first.groupBy("item").agg(F.count("*").alias("n")), "item").select("h", "item", "item_at", "theirs", "n")
+    items = mine.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "h", "slots"))).alias("all"))
+    items = items.groupBy("all").agg(F.min("id").alias("item"))
+    each = items.select("item", F.size("all").alias("n"), F.explode("all").alias("w"))
+    return each.select("w.h", "item", F.col("w.at").alias("item_at"), F.col("w.slots").alias("theirs"), "n")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, n_windows, share, exact) of each contaminated document and item.
 
-    ``n_windows`` are the item's windows found in consistent alignments, ``share`` their share of all that it owns,
+    ``n_windows`` are the item's windows found with consistent slots, ``share`` their share of all that it has,
     ``exact`` whether all slots agree."""
-    known = checkpointed(owned(benchmark, item, item_text))
+    known = checkpointed(known_windows(benchmark, item, item_text))
     # a benchmark without numbers and names needs no slots of the documents
     slotted = known.filter("theirs is not null").limit(1).count() > 0
     if known.count() <= MOST_BROADCAST:
@@ -135,9 +136,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
     hits = checkpointed(hits)  # read twice below; only what the benchmark meets
     slots = hits.filter("pairs is not null").select("id", "item", "diagonal", F.explode("pairs").alias("p")).select("id", "item", "diagonal", "p.theirs", "p.ours")
     by_value = slots.groupBy("id", "item", "diagonal", "theirs").agg(F.min("ours").alias("low"), F.max("ours").alias("high"))
-    checked = by_value.groupBy("id", "item", "diagonal").agg(F.min(F.col("low") == F.col("high")).alias("consistent"), F.min((F.col("low") == F.col("theirs")) & (F.col("high") == F.col("theirs"))).alias("same"))
-    found = hits.groupBy("id", "item", "diagonal", "item_at").agg(F.min("n").alias("n")).join(checked, ["id", "item", "diagonal"], "left")
-    found = found.filter(F.coalesce("consistent", F.lit(True)))
+    checked = by_value.groupBy("id", "item", "diagonal").agg(F.collect_set(F.when(F.col("low") != F.col("high"), F.col("theirs"))).alias("mixed"), F.min((F.col("low") == F.col("theirs")) & (F.col("high") == F.col("theirs"))).alias("same"))
+    found = hits.join(checked, ["id", "item", "diagonal"], "left")
+    conflicting = F.exists("pairs", lambda p: (p["theirs"] != p["ours"]) & F.array_contains("mixed", p["theirs"]))
+    found = found.filter(~F.coalesce(conflicting, F.lit(False)))
     found = found.groupBy("id", "item").agg(F.countDistinct("item_at").alias("n_windows"), F.min("n").alias("n"), F.min(F.coalesce("same", F.lit(True))).alias("exact"))
     found = found.filter((F.col("n_windows") >= LEAST_SHARE * F.col("n")) | (F.col("n_windows") >= LEAST_WINDOWS))
     return found.select(F.col("id").alias(id), F.col("item").alias(item), F.col("n_windows").cast("long").alias("n_windows"), (F.col("n_windows") / F.col("n")).alias("share"), "exact")

@@ -360,6 +360,20 @@ def test_slots_must_be_consistent(spark):
     assert [x.doc_id for x in decontaminate.matches(df, bench).collect()] == [1]
 
 
+def test_windows_count_for_all_items_that_share_them(spark):
+    head = "the merchant of the old town by the river has 3 red lamps on the table of the upper room and keeps "
+    a, b = head + "3 blue lamps under the stairs", head + "5 blue lamps under the stairs"
+    longer = head + "three cats who sleep all day long beneath the warm stove while rain falls upon the roof and nobody comes to call on them until the late evening bell rings twice"
+    bench = spark.createDataFrame([(0, longer), (1, a), (2, b), (3, a)], "item_id long, text string")
+    df = spark.createDataFrame([(1, a), (2, b), (3, head + "nothing else"), (4, head.replace("3", "8") + "7 blue lamps under the stairs")], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.share, x.exact) for x in decontaminate.matches(df, bench).collect()}
+    assert got[1, 1] == got[2, 2] == (1.0, True)
+    assert got[1, 2][1] is got[2, 1][1] is False
+    assert {(3, 1), (3, 2)} <= set(got)
+    assert got[4, 2] == (1.0, False) and got.get((4, 1), (0, False))[0] < 1
+    assert all(i != 3 for _, i in got)  # the same item as 1
+
+
 def test_both_join_paths_agree(spark, monkeypatch):
     broadcast = queries.op7_decontaminate(spark, SF).toPandas()
     monkeypatch.setattr(decontaminate, "MOST_BROADCAST", -1)
