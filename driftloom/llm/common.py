@@ -24,8 +24,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
-_PRIME_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Two primes below 2^31, for each the base of its polynomial.
+PRIMES = ((2147483647, 1575931494), (2147483629, 1103515245))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +40,12 @@ def bucket_of(col: str, modulus: int):
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir.
 
-    A folder of this machine is set only where the session names none (tests on one machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    Only where the session names none and runs on this machine alone (tests) is a folder of this machine set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -64,14 +66,40 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, after letting go of what earlier tables were made
-    from."""
-    spark = df.sparkSession
-    release(spark)
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Tables:
+    """Parquet tables that cut lineages, in a folder of their own within the shared folder.
+
+    ``drop`` deletes those that no later result is read from."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove_folder(self.spark, self.paths[id(t)])
+
+
+def unused(stem: str, *frames: DataFrame) -> str:
+    """A column name that no frame has, whatever the case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    name = stem
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def fields(df: DataFrame, *names: str) -> str:
@@ -136,33 +164,58 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
 
+def _grown(base: int, prime: int, n: int) -> np.ndarray:
+    """The first n powers of the base modulo the prime, by doubling."""
+    out = np.ones(n, np.uint64)
+    done, step = 1, base
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(step) % np.uint64(prime)
+        done, step = 2 * done, step * step % prime
+    return out
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the prime and of its inverse, kept for the blocks to come."""
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_PRIME, _PRIME_INV)):
-            full = np.full(max(n, BLOCK_BYTES + BLOCK_BYTES // 4), base)
-            full[0] = 1
-            _POWERS[i] = np.cumprod(full)
-    return _POWERS[0][:n], _POWERS[1][:n]
+
+def _powers(prime: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, kept for the blocks to come."""
+    kept = _POWERS.get(prime)
+    if kept is None or len(kept[0]) < n:
+        size = max(n, BLOCK_BYTES + BLOCK_BYTES // 4)
+        kept = _POWERS[prime] = _grown(base, prime, size), _grown(pow(base, -1, prime), prime, size)
+    return kept[0][:n], kept[1][:n]
 
 
 class SpanHasher:
-    """64-bit hashes of data[start:end], equal for equal bytes, from prefix sums of a polynomial."""
+    """64-bit hashes of data[start:end], equal for equal bytes: two polynomials modulo primes, from prefix sums.
+
+    Different bytes of n each have the same hash with a chance of some (n / 2^31)^2, so equal hashes are no proof of equal
+    bytes."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        up, self.down = _powers(n + 1)
-        self.total = np.zeros(n + 1, np.uint64)
-        terms = data.astype(np.uint64)
-        terms += np.uint64(1)
-        terms *= up[:n]
-        np.cumsum(terms, out=self.total[1:])
+        self.parts = []
+        for prime, base in PRIMES:
+            up, down = _powers(prime, base, n + 1)
+            total = np.zeros(n + 1, np.uint64)
+            terms = (data.astype(np.uint64) + np.uint64(1)) * up[:n] % np.uint64(prime)
+            np.cumsum(terms, out=total[1:])
+            self.parts.append((total, down, np.uint64(prime)))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        (t1, d1, p1), (t2, d2, p2) = self.parts
+        first = (t1[ends] - t1[starts]) % p1 * d1[starts] % p1
+        second = (t2[ends] - t2[starts]) % p2 * d2[starts] % p2
+        return mixed((first << np.uint64(31) | second) + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def rolling(self, size: int) -> np.ndarray:
+        """The hashes of all spans of one size, in order; those of ``__call__``."""
+        (t1, d1, p1), (t2, d2, p2) = self.parts
+        n = len(t1) - size
+        first = (t1[size:] - t1[:n]) % p1 * d1[:n] % p1
+        second = (t2[size:] - t2[:n]) % p2 * d2[:n] % p2
+        return mixed((first << np.uint64(31) | second) + np.uint64(size * 0xC2B2AE3D27D4EB4F % (1 << 64)))
 
 
 class Lookup:

@@ -1,17 +1,20 @@
 """Benchmark decontamination by template windows, in built-in functions only.
 
 Both sides are canonicalised: a token with a digit becomes <num>, a unit after it <unit>, a capitalised word inside a
-sentence <name>; the rest is lower-cased and loses its punctuation. Windows of eight template tokens, at least half of
-them words, are joined by hash, each with all items that have it. Windows of a document and an item on the same
+sentence <name>; the rest is lower-cased and loses its punctuation. Windows of eight template tokens, at least four of
+them words, are joined by hash, each with all items that have it; an item of fewer tokens is one window as a whole.
+Windows of a document and an item on the same
 diagonal (position in the document less position in the item) form an alignment. Its slots must be consistent: one
 value of the item stands for one value of the document throughout. Windows that hold another value for one that is not
 do not count; windows without slots and verbatim ones do. So a question with other numbers or names is caught, and a
 text that just fits the template with unrelated values is not.
 
 A document is contaminated by an item if its alignments hold ``LEAST_SHARE`` of the item's windows or ``LEAST_WINDOWS``
-of them.
+of them. So of an item's n windows, m of which suffice, any n - m + 1 hold one that a contaminated document has: the
+n - m + 1 that the fewest items have find the candidates, and only these meet all windows of the item. A window that
+many items share therefore brings only those together with a document that little else can find.
 
-Cases: null and empty texts, and texts or items of fewer than eight tokens, have no window and match nothing; items
+Cases: null and empty texts, and items of fewer than four words, have no window and match nothing; items
 whose windows and slots are all the same are one item, named by the smallest id; repeated rows of a document count once;
 rows without an id cannot be named and are never contaminated; empty tables give an empty table. Only ids and texts are
 read, so further columns cannot clash.
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_RE, checkpointed
@@ -86,22 +89,35 @@ def _slots(template: Column, text: Column) -> Column:
     return _bound(marked, lambda m: F.when(F.exists(m, lambda w: w.isNotNull()), m))
 
 
-def windows(rows: DataFrame, id: str, text: str, slots: bool = True) -> DataFrame:
+def _short(template: Column, size: int, cut: Callable[[Column, Column], Column]) -> Column:
+    """``cut`` of the hash and place of each window of fewer tokens."""
+    places = F.sequence(F.lit(0), F.size(template) - size)
+    each = F.transform(places, lambda i: cut(F.xxhash64(F.lit(size), F.slice(template, i + 1, F.lit(size))), i))
+    return F.when(F.size(template) >= size, each)
+
+
+def windows(rows: DataFrame, id: str, text: str, slots: bool = True, sizes: tuple[int, ...] = (WINDOW,)) -> DataFrame:
     """(id, at, h, slots): each window's place, hash, and its tokens with null for words that are no slot (null for all
     windows of a text without any slot, and without ``slots``).
 
-    A text's windows are one array, of which only the windows leave the generator."""
+    A text's windows are one array for each size, of which only the windows leave the generator."""
     out = rows.filter(F.col(id).isNotNull() & F.col(text).isNotNull())
     body = F.col(text)
-    if not slots:
-        out = out.select(F.col(id).alias("id"), F.posexplode(_hashes(templates(body))).alias("at", "h"))
-        return out.select("id", (F.col("at") + 1).alias("at"), "h", F.lit(None).cast("array<string>").alias("slots"))
 
-    def cut(h: Column, i: Column, marked: Column) -> Column:
-        return F.struct((i + 1).alias("at"), h.alias("h"), F.slice(marked, i + 1, F.lit(WINDOW)).alias("slots"))
+    def cut(marked: Column | None, size: int) -> Callable[[Column, Column], Column]:
+        def of(h: Column, i: Column) -> Column:
+            mine = F.lit(None).cast("array<string>") if marked is None else F.slice(marked, i + 1, F.lit(size))
+            return F.struct((i + 1).alias("at"), h.alias("h"), mine.alias("slots"))
+
+        return of
+
+    def cuts(t: Column, m: Column | None) -> Column:
+        each = [F.transform(_hashes(t), cut(m, size)) if size == WINDOW else _short(t, size, cut(m, size)) for size in sizes]
+        none = F.array().cast("array<struct<at:int,h:bigint,slots:array<string>>>")
+        return each[0] if len(each) == 1 else F.concat(*[F.coalesce(e, none) for e in each])
 
-    cuts = _bound(templates(body), lambda t: _bound(_slots(t, body), lambda m: F.transform(_hashes(t), lambda h, i: cut(h, i, m))))
-    return out.select(F.col(id).alias("id"), F.explode(cuts).alias("w")).select("id", "w.at", "w.h", "w.slots")
+    every = _bound(templates(body), lambda t: _bound(_slots(t, body), lambda m: cuts(t, m)) if slots else cuts(t, None))
+    return out.select(F.col(id).alias("id"), F.explode(every).alias("w")).select("id", "w.at", "w.h", "w.slots")
 
 
 def _values(slots: Column) -> Column:
@@ -111,14 +127,22 @@ def _values(slots: Column) -> Column:
 
 
 def known_windows(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> DataFrame:
-    """(h, item, item_at, theirs, n): each window of each item, the values of its slots and the number of windows of the
-    item."""
-    mine = windows(benchmark, id, text).withColumn("slots", _values(F.col("slots")))
-    mine = mine.filter(WINDOW - F.coalesce(F.size("slots"), F.lit(0)) >= LEAST_WORDS)
-    items = mine.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "h", "slots"))).alias("all"))
+    """(h, item, item_at, theirs, n, size, first): each window of each item, the values of its slots, the number of
+    windows of the item, the tokens of the window, and whether it is one of those that find candidates."""
+    tokens = benchmark.filter(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.size(templates(F.col(text))).alias("size"))
+    mine = windows(tokens, "id", "text").withColumn("size", F.lit(WINDOW))
+    for size in range(LEAST_WORDS, WINDOW):  # whole items
+        mine = mine.union(windows(tokens.filter(F.col("size") == size), "id", "text", sizes=(size,)).withColumn("size", F.lit(size)))
+    mine = mine.withColumn("slots", _values(F.col("slots")))
+    mine = mine.filter(F.col("size") - F.coalesce(F.size("slots"), F.lit(0)) >= LEAST_WORDS)
+    items = mine.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "h", "slots", "size"))).alias("all"))
     items = items.groupBy("all").agg(F.min("id").alias("item"))
     each = items.select("item", F.size("all").alias("n"), F.explode("all").alias("w"))
-    return each.select("w.h", "item", F.col("w.at").alias("item_at"), F.col("w.slots").alias("theirs"), "n")
+    each = each.select("w.h", "item", F.col("w.at").alias("item_at"), F.col("w.slots").alias("theirs"), "n", "w.size")
+    owners = each.groupBy("h").agg(F.countDistinct("item").alias("owners"))
+    enough = F.least(F.ceil(LEAST_SHARE * F.col("n")), F.lit(LEAST_WINDOWS))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("owners", "item_at"))
+    return each.join(owners, "h").withColumn("first", rank <= F.col("n") - enough + 1).drop("owners")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -127,13 +151,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
     ``n_windows`` are the item's windows found with consistent slots, ``share`` their share of all that it has,
     ``exact`` whether all slots agree."""
     known = checkpointed(known_windows(benchmark, item, item_text))
-    # a benchmark without numbers and names needs no slots of the documents
-    slotted = known.filter("theirs is not null").limit(1).count() > 0
-    if known.count() <= MOST_BROADCAST:
-        known = F.broadcast(known)
-    hits = windows(docs, id, text, slotted).join(known, "h")
+    sizes = tuple(sorted(r["size"] for r in known.select("size").distinct().collect()))  # eight at most
+    small = known.count() <= MOST_BROADCAST
+    hint = F.broadcast if small else (lambda df: df)
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    probes = known.filter("first").select("h", "item")
+    candidates = checkpointed(windows(rows, "id", "text", False, sizes or (WINDOW,)).join(hint(probes), "h").select("id", "item").distinct())
+    # only what the benchmark meets goes on; it is read twice below
+    again = rows.join(candidates.select("id").distinct(), "id", "left_semi")
+    hits = windows(again, "id", "text", True, sizes or (WINDOW,)).join(hint(known), "h").join(candidates, ["id", "item"], "left_semi")
     hits = hits.select("id", "item", "n", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), F.arrays_zip("theirs", _values(F.col("slots")).alias("ours")).alias("pairs"))
-    hits = checkpointed(hits)  # read twice below; only what the benchmark meets
+    hits = checkpointed(hits)
     slots = hits.filter("pairs is not null").select("id", "item", "diagonal", F.explode("pairs").alias("p")).select("id", "item", "diagonal", "p.theirs", "p.ours")
     by_value = slots.groupBy("id", "item", "diagonal", "theirs").agg(F.min("ours").alias("low"), F.max("ours").alias("high"))
     checked = by_value.groupBy("id", "item", "diagonal").agg(F.collect_set(F.when(F.col("low") != F.col("high"), F.col("theirs"))).alias("mixed"), F.min((F.col("low") == F.col("theirs")) & (F.col("high") == F.col("theirs"))).alias("same"))

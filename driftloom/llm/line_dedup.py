@@ -9,10 +9,15 @@ Join: a line of length l is cut into threshold + 1 segments, of which a linked l
 line indexes its segments under its length, where equally long lines meet, and probes the other substrings of its own
 that an equal or shorter line's segments may equal; those that some alignment within the threshold cannot reach are not probed. Index and probe entries
 meet by hash in sorted partitions. Entries of a key are compared by their byte histograms (folded into 16 counters;
-each edit changes at most two by one) before a pair leaves the task, so that a group whose lines share a segment but
-differ elsewhere makes next to no pairs. Pairs are then verified by a banded bit-parallel edit distance.
+each edit changes at most two by one). Candidate pairs are verified by a banded bit-parallel edit distance.
 
-Equal lines, and segments, are taken for equal by 64-bit hashes; lines of a verified pair are compared in full.
+Keys of more than ``HOT`` entries are not compared in their task. Their entries are keyed anew by parts of the histograms
+(linked lines agree in at least two of six parts, so each line has fifteen such keys). Of keys that are hot still, lines
+are compared with leaders turn by turn, then those that are still apart with each other, dealt over tasks
+(``graph.connected``). No entry and no pair of different classes is dropped.
+
+Lines are told apart by 128-bit BLAKE2b digests of their bytes, keys by half as long hashes; the latter only bring lines
+together that are then compared in full.
 
 Cases: null and empty texts have no line and stay as they are; rows of one id count as one document, so repeated rows
 lose and keep the same lines; rows without an id come last in order and keep all lines; a document that loses every
@@ -22,22 +27,26 @@ line has an empty text; an empty table gives an empty table. Other columns are k
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, SpanHasher, _SPACE, blocks, checkpointed, fields, mixed
-from .graph import components
+from .common import Block, SpanHasher, _SPACE, blocks, checkpointed, fields, mixed, unused
+from .graph import connected
 
 #: Lengths from which one and two edits are allowed.
 ONE, TWO = 20, 40
-#: Line hashes of candidate pairs up to which their texts are found by a broadcast set (8 bytes each), else by a join.
-MOST_BROADCAST = 2_000_000
-#: Entries of a key compared with each other at a time; pairs verified at a time and bytes of their lines.
-TILE, CHUNK, CHUNK_BYTES = 512, 4096, 4 << 20
+#: Entries of a key up to which they are compared in one task.
+HOT = 64
+#: Pairs verified at a time, bytes of their lines, and bytes between two looks for pairs that are too far apart already.
+CHUNK, CHUNK_BYTES, LOOK = 4096, 4 << 20, 64
+#: Histograms of linked lines differ by at most 4 in all, so of six parts of the counters two are equal.
+PARTS = [sum(15 << 4 * c for c in range(16) if c % 6 in kept) for kept in combinations(range(6), 2)]
 
 
 def threshold(length: np.ndarray) -> np.ndarray:
@@ -128,88 +137,145 @@ def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return total <= most
 
 
+def _distinct(block: Block) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Start, end and bytes of the different lines of a block that may have near ones."""
+    start, end, _, _ = lines(block)
+    long = end - start >= ONE
+    raw = block.data.tobytes()
+    at = {raw[s:e]: s for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)}
+    first = np.fromiter(at.values(), np.int64, len(at))
+    order = np.argsort(first)
+    found = list(at)
+    found = [found[i] for i in order.tolist()]
+    return first[order], first[order] + np.fromiter(map(len, found), np.int64, len(found)), found
+
+
+def digest(line: bytes) -> bytes:
+    return blake2b(line, digest_size=16).digest()
+
+
+def _short(digests: list[bytes]) -> np.ndarray:
+    """Half of each digest, but for the lowest bit."""
+    return np.frombuffer(b"".join(digests), np.uint64)[::2] & ~np.uint64(1)
+
+
 def _to_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, line, bag): the lowest bit of ``line`` tells probes from index entries."""
     for _, block in blocks(batches, "text"):
-        start, end, _, _ = lines(block)
-        long = end - start >= ONE
-        start, end = start[long], end[long]
+        start, end, found = _distinct(block)
         if not len(start):
             continue
-        hasher = SpanHasher(block.data)
-        bag = histograms(block.data, start, end)
-        line, at = np.unique(hasher(start, end) & ~np.uint64(1), return_index=True)
-        start, end, bag = start[at], end[at], bag[at]
-        for key, rows, probe in entries(hasher, start, end):
+        line, bag = _short(list(map(digest, found))), histograms(block.data, start, end)
+        del found
+        for key, rows, probe in entries(SpanHasher(block.data), start, end):
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array((line[rows] | np.uint64(probe)).view(np.int64)), pa.array(bag[rows].view(np.int64))], names=["key", "line", "bag"])
 
 
+MET = "key long, a long, b long, bag long"
+
+
 def _to_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b), a < b: lines with a common key and near histograms; the entries come sorted by key and line."""
-
-    def group(line: np.ndarray, bag: np.ndarray) -> Iterator[pa.RecordBatch]:
-        indexed = (line & np.uint64(1)) == 0
-        line = line & ~np.uint64(1)
-        (pl, pb), (il, ib) = (line, bag), (line[indexed], bag[indexed])
-        for i in range(0, len(pl), TILE):
-            for j in range(0, len(il), TILE):
-                x, y = np.nonzero(_near(pb[i : i + TILE], ib[j : j + TILE], 4) & (pl[i : i + TILE, None] != il[None, j : j + TILE]))
-                if len(x):
-                    a, b = pl[i + x], il[j + y]
-                    yield pa.record_batch([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], names=["a", "b"])
-
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """Of keys of up to HOT entries (key null, a, b): lines with near histograms, a < b. Of others the entries (key, a, b
+    null, bag) with a the line. The entries come sorted by key and line."""
+    key = line = bag = np.zeros(0, np.uint64)
+    hot: np.uint64 | None = None  # the key at the end of the last batch, if it is known to be hot
+
+    def out(keys, a, b, bags) -> pa.RecordBatch:
+        n = len(a)
+        columns = [pa.nulls(n, pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (keys, a, b, bags)]
+        return pa.record_batch(columns, names=["key", "a", "b", "bag"])
+
+    def settled(key: np.ndarray, line: np.ndarray, bag: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        size, plain = np.diff(edge), line & ~np.uint64(1)
+        # lines are sorted as signed values, so that one line's two entries are neighbours and ends differ if any do
+        several = plain[edge[:-1]] != plain[edge[1:] - 1]
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        for g in np.flatnonzero(several & (size <= HOT)).tolist():
+            i, j = edge[g], edge[g + 1]
+            index = i + np.flatnonzero((line[i:j] & np.uint64(1)) == 0)
+            x, y = np.nonzero(_near(bag[i:j], bag[index], 4) & (plain[i:j, None] != plain[None, index]))
+            if len(x):
+                pairs.append((plain[i + x], plain[index[y]]))
+        if pairs:
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            yield out(None, np.minimum(a, b), np.maximum(a, b), None)
+        many = np.repeat(several & (size > HOT), size)
+        if many.any():
+            yield out(key[many], plain[many], None, bag[many])
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, line, bag = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "line", "bag"))
-        if held and key[0] == held[0][0][0] and key[-1] == key[0]:
-            held.append((key, line, bag))
-            continue
-        if held:
-            key, line, bag = (np.concatenate([h[i] for h in held] + [x]) for i, x in enumerate((key, line, bag)))
+        key, line, bag = (np.concatenate([x, batch.column(c).to_numpy().view(np.uint64)]) for x, c in ((key, "key"), (line, "line"), (bag, "bag")))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        key, line, bag = key[new], line[new], bag[new]
+        if hot is not None:
+            n = int(np.argmax(key != hot)) if (key != hot).any() else len(key)
+            if n:
+                yield out(key[:n], line[:n] & ~np.uint64(1), None, bag[:n])
+            if n == len(key):
+                key, line, bag = key[n:], line[n:], bag[n:]
+                continue
+            key, line, bag, hot = key[n:], line[n:], bag[n:], None
         # the last key may go on in the next batch
         cut = int(np.searchsorted(key.view(np.int64), key.view(np.int64)[-1]))
-        held = [(key[cut:], line[cut:], bag[cut:])]
-        yield from _groups(key[:cut], line[:cut], bag[:cut], group)
-    if held:
-        key, line, bag = (np.concatenate([h[i] for h in held]) for i in range(3))
-        yield from _groups(key, line, bag, group)
-
-
-def _groups(key: np.ndarray, line: np.ndarray, bag: np.ndarray, group) -> Iterator[pa.RecordBatch]:
-    """Calls ``group`` for each key that has two different lines."""
-    if not len(key):
-        return
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-    key, line, bag = key[new], line[new], bag[new]
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    plain = line & ~np.uint64(1)
-    # lines are sorted as signed values, so that one line's two entries are neighbours and ends differ if any do
-    for i, j in zip(edge[:-1], edge[1:], strict=True):
-        if j - i > 1 and plain[i] != plain[j - 1]:
-            yield from group(line[i:j], bag[i:j])
+        if cut:
+            yield from settled(key[:cut], line[:cut], bag[:cut])
+        key, line, bag = key[cut:], line[cut:], bag[cut:]
+        if len(key) > HOT:
+            hot = key[0]
+            yield out(key, line & ~np.uint64(1), None, bag)
+            key, line, bag = key[:0], line[:0], bag[:0]
+    if len(key):
+        yield from settled(key, line, bag)
+
+
+def _apart(x: bytes, y: bytes) -> tuple[bytes, bytes]:
+    """Two lines without what they have in common at the start and at the end, which costs no edits."""
+    n = min(len(x), len(y))
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    differ = a[:n] != b[:n]
+    low = int(differ.argmax()) if differ.any() else n
+    n -= low
+    differ = (a[len(x) - n :] != b[len(y) - n :])[::-1]
+    high = int(differ.argmax()) if differ.any() else n
+    return x[low : len(x) - high], y[low : len(y) - high]
 
 
 def distances(first: list[bytes], second: list[bytes], most: int = 2) -> np.ndarray:
     """Edit distances of pairs by a bit-parallel recurrence over a band around the diagonal, side by side in numpy.
 
-    Exact up to ``most``; what exceeds it is reported as more. Bit 63 stands for the row ``most`` below the diagonal."""
-    size = len(first)
-    n1, n2 = np.array([len(x) for x in first], np.int64), np.array([len(x) for x in second], np.int64)
-    score = np.full(size, most, np.int64)
+    Exact up to ``most``; what exceeds it is reported as more. Bit 63 stands for the row ``most`` below the diagonal.
+    A path of at most ``most`` edits leaves no value above three times ``most`` in the band, so pairs with one are given up."""
+    both = [_apart(x, y) for x, y in zip(first, second, strict=True)]
+    out = np.full(len(both), most + 1, np.int64)
+    n1, n2 = np.array([len(x) for x, _ in both], np.int64), np.array([len(y) for _, y in both], np.int64)
+    rows = np.flatnonzero(np.abs(n1 - n2) <= most)
+    n1, n2 = n1[rows], n2[rows]
+    size = len(rows)
+    score = np.minimum(n1, most)
     width = int(max(n1.max(initial=0), n2.max(initial=0)))
     one = np.full((size, width + 3 * most + 2), -1, np.int16)
     two = np.full((size, width + 1), -2, np.int16)
-    for i, (x, y) in enumerate(zip(first, second, strict=True)):
+    for i, k in enumerate(rows.tolist()):
+        x, y = both[k]
         one[i, most : most + len(x)] = np.frombuffer(x, np.uint8)
         two[i, : len(y)] = np.frombuffer(y, np.uint8)
     top, ones = np.uint64(63), np.uint64(1)
     vp = np.full(size, (~np.uint64(0)) << np.uint64(63 - most))
     vn = np.zeros(size, np.uint64)
-    for j in range(int(n2.max(initial=0))):
-        eq = np.zeros(size, np.uint64)
+    j = 0
+    while len(rows):
+        if j % LOOK == 0 or j == width:
+            done = j >= n2
+            out[rows[done]] = np.minimum(score[done], most + 1)
+            left = ~done & (score <= 3 * most)
+            if not left.all():
+                rows, n1, n2, score, vp, vn, one, two = (v[left] for v in (rows, n1, n2, score, vp, vn, one, two))
+                continue
+        eq = np.zeros(len(rows), np.uint64)
         for t in range(2 * most + 1):
             eq |= (one[:, j + t] == two[:, j]).astype(np.uint64) << np.uint64(63 - 2 * most + t)
         d0 = (((eq & vp) + vp) ^ vp) | eq | vn
@@ -222,8 +288,8 @@ def distances(first: list[bytes], second: list[bytes], most: int = 2) -> np.ndar
         along = ((hp >> row) & ones).astype(np.int64) - ((hn >> row) & ones).astype(np.int64)
         score += np.where(live & ~diagonal, along, 0)
         vp, vn = hn | ~((d0 >> ones) | hp), (d0 >> ones) & hp
-    score = np.where(np.abs(n1 - n2) > most, most + 1, score)
-    return np.minimum(score, most + 1)
+        j += 1
+    return out
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,75 +309,98 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i += n
 
 
-def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(line, bytes) of the lines whose hash is in ``wanted`` (column line)."""
-    n = wanted.count()
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["line"].to_numpy(np.int64))) if n <= MOST_BROADCAST else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in blocks(batches, "text"):
-            start, end, _, _ = lines(block)
-            long = end - start >= ONE
-            start, end = start[long], end[long]
-            if not len(start):
-                continue
-            line, at = np.unique((SpanHasher(block.data)(start, end) & ~np.uint64(1)).view(np.int64), return_index=True)
-            if shared is not None:
-                found = np.searchsorted(shared.value, line)
-                hit = found < len(shared.value)
-                hit[hit] = shared.value[found[hit]] == line[hit]
-                line, at = line[hit], at[hit]
-            yield pa.record_batch([pa.array(line), pa.array([block.data[s:e].tobytes() for s, e in zip(start[at], end[at], strict=True)], pa.binary())], names=["line", "bytes"])
-
-    out = docs.select(F.col(text).alias("text")).mapInArrow(run, "line long, bytes binary")
-    if shared is None:
-        out = out.join(wanted, "line", "left_semi")
-    return out.groupBy("line").agg(F.min("bytes").alias("bytes"))
-
-
-def links(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(a, b): hashes of different lines within the threshold, each pair once."""
-    keyed = docs.select(F.col(text).alias("text")).mapInArrow(_to_entries, "key long, line long, bag long")
-    pairs = keyed.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_to_pairs, "a long, b long")
-    pairs = checkpointed(pairs.distinct())
-    wanted = checkpointed(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct())
-    texts = checkpointed(_texts(docs, text, wanted))
-    both = pairs.join(texts.select(F.col("line").alias("a"), F.col("bytes").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("bytes").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
-
-
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, block in blocks(batches, "text"):
         start, end, text, place = lines(block)
         if len(start):
-            line = SpanHasher(block.data)(start, end) & ~np.uint64(1)
-            yield pa.record_batch([pa.array(line.view(np.int64)), batch.column("id").take(pa.array(text)), pa.array(place)], names=["line", "id", "place"])
+            raw, seen = block.data.tobytes(), {}
+            each = []
+            for s, e in zip(start.tolist(), end.tolist(), strict=True):
+                line = raw[s:e]
+                d = seen.get(line)
+                if d is None:
+                    d = seen[line] = digest(line)
+                each.append(d)
+            yield pa.record_batch([pa.array(each, pa.binary()), pa.array(_short(each).view(np.int64)), batch.column("id").take(pa.array(text)), pa.array(place)], names=["line", "short", "id", "place"])
+
+
+def _at_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, bytes) of the lines at the places in the column ``places``."""
+    for batch in batches:
+        for t, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
+            parts = (t or "").split("\n")
+            found = [parts[p].strip(" \t\n\x0b\x0c\r").encode() for p in places if p < len(parts)]  # other rows may have the same id
+            each = list(map(digest, found))
+            yield pa.record_batch([pa.array(each, pa.binary()), pa.array(found, pa.binary())], names=["line", "bytes"])
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two histograms differ by 4 at most, counters compared modulo 16."""
+    total = F.lit(0)
+    for c in range(16):
+        d = (F.shiftright(a, 4 * c).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * c).bitwiseAND(F.lit(15))).bitwiseAND(F.lit(15))
+        total += F.least(d, 16 - d)
+    return total <= 4
+
+
+class Join:
+    """The edit join of the lines of ``rows`` (id, text); ``firsts`` has (line, short, first, n) of each line."""
+
+    def __init__(self, rows: DataFrame, firsts: DataFrame):
+        self.rows, self.firsts = rows, firsts
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) of lines that are within the threshold."""
+        wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+        at = self.firsts.join(wanted, "line", "left_semi").groupBy(F.col("first.id").alias("at")).agg(F.collect_list("first.place").alias("places"))
+        texts = self.rows.join(at, self.rows["id"] == at["at"]).select("text", "places").mapInArrow(_at_places, "line binary, bytes binary")
+        texts = checkpointed(texts.groupBy("line").agg(F.min("bytes").alias("bytes")))
+        both = pairs.join(texts.select(F.col("line").alias("a"), F.col("bytes").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("bytes").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(_verified, "a binary, b binary")
+
+    def classes(self) -> DataFrame:
+        """(node, component) of the lines that are linked to others."""
+        keyed = self.rows.select("text").mapInArrow(_to_entries, "key long, line long, bag long")
+        met = checkpointed(keyed.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_to_pairs, MET))
+        parts = F.array(*[F.xxhash64("key", F.lit(i), F.col("bag").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(PARTS)])
+        again = met.filter("key is not null").select(F.explode(parts).alias("key"), F.col("a").alias("line"), "bag")
+        met2 = checkpointed(again.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_to_pairs, MET))
+        pairs = met.union(met2).filter("key is null").select("a", "b").distinct()
+        hot = met2.filter("key is not null").distinct()
+        # from the short digests to the lines that have them
+        wanted = pairs.select(F.col("a").alias("short")).union(pairs.select("b")).union(hot.select("a")).distinct()
+        names = checkpointed(self.firsts.join(wanted, "short").select("short", "line"))
+        x, y = names.select(F.col("short").alias("a"), F.col("line").alias("x")), names.select(F.col("short").alias("b"), F.col("line").alias("y"))
+        pairs = checkpointed(pairs.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        hot = checkpointed(hot.join(x, "a").select("key", F.col("x").alias("node"), F.col("bag").alias("x")))
+        return connected(self.verified(pairs), hot, _alike, self.verified)
 
 
 def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, places): the lines of each document that are not the first of their class."""
     rows = docs.filter(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
-    found = checkpointed(rows.mapInArrow(_occurrences, f"line long, {fields(docs, id).replace(f'`{id}`', 'id', 1)}, place long"))
-    firsts = found.groupBy("line").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"))
-    linked = components(links(rows)).select(F.col("node").alias("line"), "component")
+    found = checkpointed(rows.mapInArrow(_occurrences, f"line binary, short long, {fields(rows, 'id')}, place long"))
+    firsts = checkpointed(found.groupBy("line").agg(F.min("short").alias("short"), F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")))
+    linked = Join(rows, firsts).classes().select(F.col("node").alias("line"), "component")
     firsts = firsts.join(linked, "line", "left").filter("n > 1 or component is not null")
     firsts = firsts.select("line", "first", F.coalesce("component", "line").alias("component"))
     kept = firsts.groupBy("component").agg(F.min("first").alias("keep"))
     gone = found.join(firsts.join(kept, "component").select("line", "keep"), "line").filter(F.struct("id", "place") != F.col("keep"))
-    return gone.groupBy("id").agg(F.collect_set("place").alias("places")).withColumnRenamed("id", id)
+    return gone.groupBy("id").agg(F.collect_set("place").alias("places"))
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the lines that are not the first of their class, with n_lines and n_removed."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removals(docs, id, text).select(F.col(id).alias("_gone_id"), F.col("places").alias("_places"))
-    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(gone, F.col(f"`{id}`") == F.col("_gone_id"), "left").drop("_gone_id")
+    whose, places_ = unused("gone_id", docs), unused("gone_places", docs)
+    gone = removals(docs, id, text).select(F.col("id").alias(whose), F.col("places").alias(places_))
+    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(gone, F.col(f"`{id}`") == F.col(whose), "left").drop(whose)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
         for batch in batches:
             texts, total, removed = [], [], []
-            for t, places in zip(batch.column(text).to_pylist(), batch.column("_places").to_pylist(), strict=True):
+            for t, places in zip(batch.column(text).to_pylist(), batch.column(places_).to_pylist(), strict=True):
                 parts = (t or "").split("\n")
                 total.append(sum(1 for p in parts if p.strip(" \t\n\x0b\x0c\r")))
                 removed.append(len(places or ()))

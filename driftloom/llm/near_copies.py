@@ -6,9 +6,8 @@ shingles only, and nodes of a common entry are candidates, which are verified by
 The order is by the count in a sample of the texts, then by hash: common phrases come last and are seldom entered.
 The sample decides what the join costs, not what it finds.
 
-Only components are asked for, so nodes that are connected already need no comparison. As long as the entries hold many
-pairs of nodes of different components, each node is compared with one leader of its entries; what is still apart then
-is compared pair by pair. So a large group of near copies makes pairs in proportion to its size.
+Only components are asked for, so nodes that are connected already need no comparison (``graph.connected``): a large
+group of near copies makes pairs in proportion to its size.
 
 Cases: rows without an id stay and take no part; a null or empty text, or one without words, has no shingle and is
 linked by its fingerprint; a text of fewer words than a shingle is one shingle; repeated rows are one node.
@@ -21,17 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fields, slices, written
-from .graph import components
+from .common import checkpointed, fields, slices
+from .graph import connected
 from .simhash import links, majority, shingles
 
 #: Texts that the order of shingles is learned from, and the occurrences and number of shingles that are moved back.
 SAMPLE, LEAST, MOST_COMMON = 50_000, 4, 200_000
-#: Pairs for each entry up to which all are compared.
-FEW = 8
 
 
 def _node(hashes: np.ndarray) -> int:
@@ -111,64 +108,31 @@ def _verified(pairs: DataFrame, first: DataFrame, rows: DataFrame, id: str, text
             yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(first, "node").select(F.col("first").alias(id), "node")
-    sets = written(rows.join(wanted, id).select("node", text).mapInArrow(run, "node long, set array<long>"))
+    sets = checkpointed(rows.join(wanted, id).select("node", text).mapInArrow(run, "node long, set array<long>"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
-def _like(a: str, b: str):
+def _alike(a: Column, b: Column) -> Column:
     """Whether sets of these sizes can be similar."""
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
-def _led(mixed: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each node with one leader of another component, if it has any of a like size."""
-    leader = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "c")).alias("l"))
-    met = mixed.join(leader, "key").filter((F.col("c") != F.col("l.c")) & _like("n", "l.n"))
-    return met.groupBy(F.col("node").alias("b")).agg(F.min("l.node").alias("a")).select("a", "b")
-
-
-def _across(mixed: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): all pairs of nodes of like size that share an entry and are of different components."""
-    one, two = classes.select("key", "c"), classes.select("key", F.col("c").alias("d"))
-    x = mixed.select("key", "c", F.col("node").alias("a"), F.col("n").alias("na"))
-    y = mixed.select("key", F.col("c").alias("d"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    met = one.join(two, "key").filter("c < d").join(x, ["key", "c"]).join(y, ["key", "d"]).filter(_like("na", "nb"))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """(id, component_id): the smallest id of the component, for the rows that have an id."""
     rows = docs.select(id, text).filter(F.col(id).isNotNull())
-    described = written(_described(rows, id, text, words))
+    described = checkpointed(_described(rows, id, text, words))
     first = checkpointed(described.groupBy("node").agg(F.min(id).alias("first"), F.min("fp").alias("fp")))
-    entries = written(_entries(rows, text, words, _common(rows, id, text, words, first.count())))
+    entries = checkpointed(_entries(rows, text, words, _common(rows, id, text, words, first.count())))
     ends = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    met = written(entries.join(ends, "key").select("key", "node", "n").distinct())
+    met = checkpointed(entries.join(ends, "key").select("key", "node", F.col("n").alias("x")).distinct())
 
     of = first.groupBy("fp").agg(F.min("node").alias("node"))
     copies = first.join(of.withColumnRenamed("node", "a"), "fp").select("a", F.col("node").alias("b")).filter("a <> b")
     near = links(of).join(of.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
     edges = checkpointed(copies.union(near.select("x", "y")))
 
-    turn, before, ended = 0, None, False
-    while True:
-        labels = components(edges).select("node", "component")
-        if ended:
-            break
-        now = met.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-        classes = now.groupBy("key", "c").agg(F.count("*").alias("m"))
-        several = classes.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-        mixed = checkpointed(now.join(several, "key"))
-        classes = checkpointed(mixed.groupBy("key", "c").agg(F.count("*").alias("m")))
-        sums = classes.groupBy("key").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
-        total, n = sums.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0))).first()
-        # all pairs if they are few, or if another turn of leaders does not make them much fewer
-        ended = total <= FEW * n or (before is not None and 2 * total > before)
-        pairs = checkpointed(_across(mixed, classes) if ended else _led(mixed, turn))
-        edges = checkpointed(edges.union(_verified(pairs, first, rows, id, text, words)))
-        turn, before = turn + 1, total
-
+    labels = connected(edges, met, _alike, lambda pairs: _verified(pairs, first, rows, id, text, words))
     labelled = first.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     return described.join(labelled.join(least, "component").select("node", "component_id"), "node").select(id, "component_id")

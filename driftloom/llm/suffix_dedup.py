@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, SpanHasher, blocks, release, written
+from .common import Block, SpanHasher, blocks, Tables, release, unused
 
 LENGTH, GRAM = 50, 24
 #: Bytes of distinct segments sorted together (one anchor's segments always are).
@@ -44,7 +44,7 @@ def anchors(block: Block, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     if n < length:
         return none.view(np.uint64), none, none, none
     at = np.arange(n - GRAM + 1)
-    grams = SpanHasher(block.data)(at, at + GRAM)
+    grams = SpanHasher(block.data).rolling(GRAM)
     bits = np.uint64(32)  # the same for all blocks, so that equal strings have equal anchors; ties go to the first
     least = (grams >> bits << bits) | at.astype(np.uint64)
     reach = 1
@@ -352,50 +352,61 @@ def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(doc[which[b]]), pa.array(low[which[b]] + within[b]), pa.array(low[which[e]] + within[e] + LENGTH)], names=["doc", "low", "high"])
 
 
-def _shared_anchors(rows: DataFrame) -> DataFrame:
+def _shared_anchors(rows: DataFrame, tables: Tables) -> DataFrame:
     """(doc, hs): the anchors of each document that another one has."""
     entries = rows.mapInArrow(_anchor_entries, "h long, doc long, more array<long>")
     shared = entries.repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "doc long, h long")
-    return written(shared.groupBy("doc").agg(F.collect_set("h").alias("hs")))
+    return tables.write(shared.groupBy("doc").agg(F.collect_set("h").alias("hs")))
 
 
-def _places(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _places(rows: DataFrame, wanted: DataFrame, tables: Tables) -> DataFrame:
     found = rows.join(wanted, rows["id"] == wanted["doc"]).select("id", "text", "hs")
     found = found.mapInArrow(_contents, "h long, content long, size long, docs array<long>, starts array<long>")
-    return written(found.repartition("h").sortWithinPartitions("h").mapInArrow(_grouped, "h long, content long, doc long, low long, high long"))
+    return tables.write(found.repartition("h").sortWithinPartitions("h").mapInArrow(_grouped, "h long, content long, doc long, low long, high long"))
 
 
-def _strings(rows: DataFrame, places: DataFrame) -> DataFrame:
+def _strings(rows: DataFrame, places: DataFrame, tables: Tables) -> DataFrame:
     """(h, content, firsts) of anchors with several contents, each content's bytes taken from its first place."""
     one = places.groupBy("h", "content").agg(F.min(F.struct("doc", "low", "high")).alias("r"))
     needs = one.groupBy(F.col("r.doc").alias("doc")).agg(F.collect_list(F.struct("h", "content", "r.low", "r.high")).alias("needs"))
     segments = rows.join(needs, rows["id"] == needs["doc"]).select("text", "doc", "needs").mapInArrow(_cut, "h long, content long, least long, segment binary")
     segments = segments.repartition("h").sortWithinPartitions("h")
-    return written(segments.mapInArrow(_sorted, "h long, content long, firsts array<long>"))
+    return tables.write(segments.mapInArrow(_sorted, "h long, content long, firsts array<long>"))
 
 
 def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, ranges): each document's ranges of bytes to remove, as an array of structs low and high."""
+    spark = docs.sparkSession
+    tables = Tables(spark, "suffix-dedup")
     rows = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    places = _places(rows, _shared_anchors(rows))
+    wanted = _shared_anchors(rows, tables)
+    release(spark)
+    places = _places(rows, wanted, tables)
+    tables.drop(wanted)
+    release(spark)
     several = places.filter("h is not null")
+    strings = _strings(rows, several, tables)
+    release(spark)
     # a content that many documents have is a skewed key here, which Spark splits
-    late = several.join(_strings(rows, several), ["h", "content"]).select("doc", "low", "firsts").mapInArrow(_late, "doc long, low long, high long")
+    late = several.join(strings, ["h", "content"]).select("doc", "low", "firsts").mapInArrow(_late, "doc long, low long, high long")
     ranges = places.filter("h is null").select("doc", "low", "high").union(late)
-    return written(ranges.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges")))
+    out = tables.write(ranges.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges")))
+    tables.drop(places, strings)
+    return out
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans (removed runs) and kept (the remaining bytes)."""
     names = [c for c in docs.columns if c not in MADE]
-    gone = repeated(docs, id, text).select(F.col("doc").alias("_gone_id"), F.col("ranges").alias("_ranges"))
+    whose, ranges_ = unused("gone_id", docs), unused("gone_ranges", docs)
+    gone = repeated(docs, id, text).select(F.col("doc").alias(whose), F.col("ranges").alias(ranges_))
     release(docs.sparkSession)
-    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(gone, F.col(f"`{id}`").cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
+    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(gone, F.col(f"`{id}`").cast("long") == F.col(whose), "left").drop(whose)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, spans, kept = [], [], [], []
-            for t, ranges in zip(batch.column(text).to_pylist(), batch.column("_ranges").to_pylist(), strict=True):
+            for t, ranges in zip(batch.column(text).to_pylist(), batch.column(ranges_).to_pylist(), strict=True):
                 raw = (t or "").encode()
                 parts, at, cut, runs = [], 0, 0, 0
                 for r in sorted(ranges or (), key=lambda r: r["low"]):

@@ -14,7 +14,7 @@ import xxhash
 from conftest import SF, rows
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, decontaminate, language_id, line_dedup, near_copies, quality_model, queries, simhash, suffix_dedup, suffix_tree, toxicity
+from driftloom.llm import bpe, decontaminate, graph, language_id, line_dedup, near_copies, quality_model, queries, simhash, suffix_dedup, suffix_tree, toxicity
 from driftloom.llm import quality_rules as rules
 from driftloom.llm.graph import components
 
@@ -304,7 +304,7 @@ def test_links_find_all_pairs_within_two_bits(spark):
 def test_near_copies_share_four_fifths_of_their_shingles(spark, docs, corpus, monkeypatch, few):
     import corpus_pipeline as C
 
-    monkeypatch.setattr(near_copies, "FEW", few)
+    monkeypatch.setattr(graph, "FEW", few)
     r = random.Random(8)
     data = [(i, t) for i, t in corpus]
     for k in range(6):  # groups of near copies by one to three changed words of 120
@@ -374,6 +374,86 @@ def test_windows_count_for_all_items_that_share_them(spark):
     assert all(i != 3 for _, i in got)  # the same item as 1
 
 
+def brute_template(text):
+    """(template, bare token) of each token."""
+    import regex
+
+    out = regex.sub(r"\p{Lu}(?<=[^.!?:\s] \p{Lu})\p{Ll}\S*", "<name>", text or "")
+    out = regex.sub(r"[^\s\d]*+\d\S*+", "<num>", out)
+    units = "|".join(regex.escape(u) for u in sorted(decontaminate.UNITS, key=lambda u: (-len(u), u)))
+    out = regex.sub(rf"(?i)(?<=<num> )(?:{units})(?=[\s.,;:!?)]|$)", "<unit>", out)
+    bare = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t.translate({ord(c): None for c in decontaminate._PUNCTUATION})) if w]
+    return list(zip(bare(out.lower()), bare((text or "").lower()), strict=True))
+
+
+def brute_matches(data, bench):
+    """All documents against all items, window by window."""
+
+    def cut(tokens, size):
+        return [tokens[k : k + size] for k in range(len(tokens) - size + 1)]
+
+    def key(w):
+        return tuple(t for t, _ in w)
+
+    def values(w):
+        return [v for t, v in w if t.startswith("<")]
+
+    items = {}
+    for i, t in sorted(bench):
+        tokens = brute_template(t)
+        size = min(8, len(tokens))
+        each = [(k, w) for k, w in enumerate(cut(tokens, size)) if size and size - len(values(w)) >= 4]
+        same = tuple((k, key(w), tuple(values(w))) for k, w in each)
+        if each and same not in {s for _, _, s in items.values()}:
+            items[i] = (size, each, same)
+    out = {}
+    for d, t in {(d, t) for d, t in data if d is not None}:
+        tokens = brute_template(t)
+        for i, (size, each, _) in items.items():
+            runs = defaultdict(list)
+            for at, w in enumerate(cut(tokens, size)):
+                for k, v in each:
+                    if key(w) == key(v):
+                        runs[at - k].append((k, list(zip(values(v), values(w), strict=True))))
+            found, exact = set(), True
+            for windows in runs.values():
+                to = defaultdict(set)
+                for _, pairs in windows:
+                    for a, b in pairs:
+                        to[a].add(b)
+                good = [(k, p) for k, p in windows if not any(a != b and len(to[a]) > 1 for a, b in p)]
+                found |= {k for k, _ in good}
+                exact &= not good or all(s == {a} for a, s in to.items())
+            if found and (2 * len(found) >= len(each) or len(found) >= 20):
+                out[d, i] = (len(found), round(len(found) / len(each), 9), exact)
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(12)
+    names, units = ["Anna", "Boris", "Clara"], ["kg", "miles", "boxes"]
+
+    def phrase(n):
+        return " ".join(r.choice([*WORDS[:12], str(r.randrange(4)), r.choice(names), f"{r.randrange(4)} {r.choice(units)}"] if r.random() < 0.3 else WORDS[:6]) for _ in range(n))
+
+    parts = [phrase(9) for _ in range(12)]
+    bench = [(k, " ".join(r.sample(parts, r.randrange(1, 4)))) for k in range(25)] + [(30 + k, phrase(r.randrange(2, 8))) for k in range(10)] + [(50, " ".join(parts[:3])), (51, parts[0] + " " + phrase(12)), (52, parts[1] + " " + phrase(12)), (53, parts[2] + " " + phrase(12))]
+
+    def altered(t):
+        return re.sub(r"\b[0-3]\b", lambda m: str((int(m[0]) + shift) % 5) if r.random() < 0.9 else m[0], t)
+
+    data = []
+    for d in range(120):
+        shift = r.randrange(3)
+        data.append((d, ". ".join([phrase(r.randrange(12)), altered(r.choice(bench)[1]), r.choice(parts), phrase(r.randrange(8))])))
+    data += [(500 + k, t) for k, t in bench] + [(None, bench[0][1]), (900, None), (901, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = decontaminate.matches(docs, spark.createDataFrame([*bench, (None, "x"), (99, None)], "item_id long, text string")).collect()
+    want = brute_matches(data, bench)
+    assert {(x.doc_id, x.item_id): (x.n_windows, round(x.share, 9), x.exact) for x in got} == want and len(want) > 100
+    assert (550, 50) in want and any(i in range(30, 40) for _, i in want)
+
+
 def test_both_join_paths_agree(spark, monkeypatch):
     broadcast = queries.op7_decontaminate(spark, SF).toPandas()
     monkeypatch.setattr(decontaminate, "MOST_BROADCAST", -1)
@@ -438,9 +518,9 @@ def test_line_dedup(spark, empty, monkeypatch):
     data += [(100, None), (101, ""), (102, "  \n\t"), (103, base[0] + "\n" + base[0])]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     gone = brute_lines(data)
-    for most in (line_dedup.MOST_BROADCAST, -1):
-        monkeypatch.setattr(line_dedup, "MOST_BROADCAST", most)
-        got = {x.doc_id: x for x in line_dedup.dedup(clashing(df, "n_lines", "line", "places")).collect()}
+    for hot in (line_dedup.HOT, 2):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        got = {x.doc_id: x for x in line_dedup.dedup(clashing(df, "n_lines", "line", "places", "id", "gone_id", "gone_places")).collect()}
         for i, t in data:
             parts = (t or "").split("\n")
             assert got[i].n_removed == sum((i, k) in gone for k in range(len(parts)))
@@ -452,6 +532,30 @@ def test_line_dedup(spark, empty, monkeypatch):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_lines_of_equal_polynomials_stay(spark):
+    """The Thue-Morse order and its opposite, which polynomials modulo a power of two take for equal."""
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    one = "".join("ab"[b] for b in bits)
+    two = "".join("ba"[b] for b in bits)
+    assert [x.n_removed for x in line_dedup.dedup(spark.createDataFrame([(0, one), (1, two)], "doc_id long, text string")).collect()] == [0, 0]
+
+
+def test_many_lines_of_one_segment_and_very_long_lines(spark):
+    r = random.Random(10)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    many = ["the same first third of each line" + "".join(r.choice(letters) for _ in range(66)) for _ in range(20_000)]
+    near = [x[:50] + "#" + x[51:] for x in many[:300]] + [x[:60] + x[61:] for x in many[300:500]]
+    family = [f"number {k:05d} of a family of lines that differ in one or two figures" for k in range(600)]
+    huge = "".join(r.choice(letters) for _ in range(300_000))
+    data = [(k, "\n".join(many[k * 200 : (k + 1) * 200])) for k in range(100)]
+    data += [(200, "\n".join(near)), (300, "\n".join(family)), (400, huge), (401, huge[:100_000] + huge[100_001:140_000] + "#" + huge[140_000:]), (402, huge[::-1]), (403, huge[1:] + "###")]
+    got = {x.doc_id: x.n_removed for x in line_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(16)).collect()}
+    assert [got[k] for k in range(100)] == [0] * 100 and got[200] == 500 and got[300] == 599
+    assert [got[k] for k in (400, 401, 402, 403)] == [0, 1, 0, 0]
+
+
 # 10 suffix tree
 
 
