@@ -102,6 +102,18 @@ def unused(stem: str, *frames: DataFrame) -> str:
     return name
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, most: int, seed: str) -> DataFrame:
+    """(text, label) of at most ``most`` different labelled texts, drawn by hashes; several labels of one id count as their
+    maximum, null texts as empty, and equal texts of one id once."""
+    wanted = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(label).cast("int").alias("label"))
+    wanted = wanted.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(most)
+    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(wanted), "id")
+    rows = checkpointed(rows.withColumn("h", F.xxhash64("id", "text")).dropDuplicates(["id", "h"]))
+    # ids may belong to several texts
+    drawn = rows.select("h").orderBy(F.xxhash64(F.lit(seed), F.col("h")), "h").limit(most)
+    return rows.join(F.broadcast(drawn.distinct()), "h", "left_semi").select("text", "label")
+
+
 def fields(df: DataFrame, *names: str) -> str:
     """DDL of the named columns of ``df``."""
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
@@ -120,6 +132,13 @@ class Block:
         self.offsets = raw - raw[0]
         self.n = n
 
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray) -> Block:
+        """A block of these bytes, cut at ``offsets``."""
+        out = cls.__new__(cls)
+        out.data, out.offsets, out.n = data, offsets, len(offsets) - 1
+        return out
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text number of each word, in order."""
         space = _SPACE[self.data]
@@ -221,18 +240,17 @@ class SpanHasher:
 class Lookup:
     """Values by 64-bit key: keys sorted, found through a table over their leading bits."""
 
-    BITS = 18
-
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
-        self.start = np.searchsorted(self.keys, np.arange((1 << self.BITS) + 1, dtype=np.uint64) << np.uint64(64 - self.BITS)) if len(keys) else np.zeros((1 << self.BITS) + 1, np.int64)
-        self.start[-1] = len(keys)
+        self.bits = min(24, max(8, len(keys).bit_length() + 1))
+        edges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        self.start = np.append(np.searchsorted(self.keys, edges), len(keys)).astype(np.int32)
         self.most = int(np.diff(self.start).max())
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``hashes`` that are keys, and their values."""
-        slot = (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         at, end = self.start[slot], self.start[slot + 1]
         where, which = [], []
         left = np.flatnonzero(at < end)
