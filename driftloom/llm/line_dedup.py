@@ -199,7 +199,8 @@ def _to_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pairs.append((plain[i + x], plain[index[y]]))
         if pairs:
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            yield out(None, np.minimum(a, b), np.maximum(a, b), None)
+            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield out(None, a, b, None)
         many = np.repeat(several & (size > HOT), size)
         if many.any():
             yield out(key[many], plain[many], None, bag[many])

@@ -1,15 +1,17 @@
 """Language model scoring by a probabilistic suffix tree over words.
 
 Symbols are the words of a text, lower-cased in ASCII, then one end. The root is the distribution of single symbols;
-deeper states are contexts of one word, two words and so on. A context is a candidate if it makes up at least
-``LEAST_CONTEXT`` of all symbols, its next symbols if each pair with it makes up at least ``LEAST_EDGE``; it becomes a
-state if the training texts gain at least ``LEAST_GAIN`` in log-likelihood from it over its longest proper suffix
+deeper states are contexts of one word, two words and so on up to ``DEPTH``. A context is a candidate if it occurs
+``LEAST_CONTEXT`` times, a next symbol of it is told from others if it follows ``LEAST_EDGE`` times; the context becomes
+a state if the training texts gain at least ``LEAST_GAIN`` in log-likelihood from it over its longest proper suffix
 (the count times the divergence of the two). A state's distribution is absolutely discounted and gives what is left
 to that of its suffix, so each is a proper distribution. A symbol is scored by the longest state that ends its past.
 
-Both bounds are shares of the corpus, so there are at most 1 / LEAST_CONTEXT contexts of a length and 1 / LEAST_EDGE
-next symbols, whatever the size: these are what the driver gathers and the executors receive. All counts, however,
-cover all training texts, and the counts of rarer words reach their occurrences through a shuffled join.
+All bounds are counts, so the tree grows with the corpus. It is grown level by level as tables: a run of words can be
+frequent only if both runs of one word less are, so that each pass counts few runs beyond the pairs. What a pass needs to
+know of the level before is a bit for each hash, in ``FILTER_BITS`` bits whatever the size; a wrong bit only makes
+work, as counts decide. For scoring, the ``MOST_BROADCAST`` most frequent words and that many entries of the tree go to the executors; what a text
+has of others is joined to the tables.
 
 Cases: a null or empty text is its end alone; rows without an id are training rows; repeated rows count and are scored
 each; without any training text every symbol has the root's probability of an unseen one; an empty table gives an
@@ -23,19 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Block, Lookup, SpanHasher, blocks, checkpointed
+from .common import LOWER, Block, Lookup, SpanHasher, blocks, checkpointed, mixed, unused
 
-LEAST_CONTEXT, LEAST_EDGE, LEAST_COUNT, LEAST_GAIN = 1e-5, 1e-6, 3, 8.0
 #: Words of the longest context; taken off each count of a next symbol.
-DEPTH, DISCOUNT = 2, 0.75
+DEPTH, DISCOUNT = 4, 0.75
+LEAST_CONTEXT, LEAST_EDGE, LEAST_GAIN = 20, 3, 8.0
+MOST_BROADCAST = 1 << 19
+#: Bits of a filter (a power of two); a filter is at most an eighth as many bytes.
+FILTER_BITS = 1 << 27
 #: The hash that stands for the end of a text, and keys that a task sums up before it hands them on.
 END = np.uint64(0x0D15EA5E0DDBA115)
 HELD = 1 << 21
 MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
 
 def symbols(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Hash and number of the text of each symbol, text by text, each with its end."""
@@ -50,7 +57,52 @@ def symbols(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(block.n), counts)
 
 
-def _summed(keys: Iterator[np.ndarray], name: str) -> Iterator[pa.RecordBatch]:
+class Runs:
+    """The runs of symbols of a block: ``run(k)`` has the hashes of the k symbols up to each place, ``whole(k)`` the
+    places where these are in one text."""
+
+    def __init__(self, hashes: np.ndarray, owner: np.ndarray):
+        self.hashes = hashes
+        new = np.ones(len(owner), bool)
+        new[1:] = owner[1:] != owner[:-1]
+        begin = np.flatnonzero(new)
+        self.place = np.arange(len(owner)) - np.repeat(begin, np.diff(np.append(begin, len(owner))))
+        self.made = [np.zeros(len(hashes), np.uint64), hashes]
+
+    def run(self, k: int) -> np.ndarray:
+        while len(self.made) <= k:
+            last = self.made[-1]
+            longer = np.zeros(len(last), np.uint64)
+            longer[1:] = mixed(last[:-1] * _STEP + self.hashes[1:])
+            self.made.append(longer)
+        return self.made[k]
+
+    def whole(self, k: int) -> np.ndarray:
+        return np.flatnonzero(self.place >= k - 1)
+
+
+class Filter:
+    """A bit for each value of a hash's leading bits."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def of(hashes: DataFrame) -> Filter:
+        """The filter of the column h; at most FILTER_BITS / 64 rows reach the driver."""
+        leading = F.shiftrightunsigned("h", 64 - (FILTER_BITS.bit_length() - 1))
+        bits = hashes.select(F.shiftright(leading, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), leading.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+        found = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+        words = np.zeros(FILTER_BITS // 64, np.uint64)
+        words[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
+        return Filter(words)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(64 - (FILTER_BITS.bit_length() - 1))
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) > 0
+
+
+def _summed(keys: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Counts of 64-bit keys, summed up to about HELD keys at a time."""
     key, n, size, held = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, []
 
@@ -67,233 +119,285 @@ def _summed(keys: Iterator[np.ndarray], name: str) -> Iterator[pa.RecordBatch]:
             key, n = merge()
             held, size = [], 0
             if len(key) > HELD:
-                yield pa.record_batch([pa.array(key), pa.array(n)], names=[name, "n"])
+                yield key, n
                 key, n = key[:0], n[:0]
     if held or len(key):
-        key, n = merge()
-        yield pa.record_batch([pa.array(key), pa.array(n)], names=[name, "n"])
+        yield merge()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(h, n): how often each symbol occurs in the column text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _summed((symbols(block)[0].view(np.int64) for _, block in blocks(batches, "text")), "h")
+        for key, n in _summed(symbols(block)[0].view(np.int64) for _, block in blocks(batches, "text")):
+            yield pa.record_batch([pa.array(key), pa.array(n)], names=["h", "n"])
 
     return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-class Level:
-    """The states of one length.
+def _pass(texts: DataFrame, k: int, last: Filter | None, here: Filter) -> DataFrame:
+    """One reading of the texts. (g, n): counts of the runs of k + 1 symbols whose parts of k are in ``here``; and of those of k
+    that are there (g, null, context, suffix, symbol), if ``last`` is the filter of their parts (k > 1)."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast((last.words if last else None, here.words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, now = shared.value
+        now = Filter(now)
+        described: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def rows(key, n, context, suffix, symbol) -> pa.RecordBatch:
+            columns = [pa.nulls(len(key), pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (key, n, context, suffix, symbol)]
+            return pa.record_batch(columns, names=["g", "n", "context", "suffix", "symbol"])
 
-    ``edges`` finds state * 2^32 + symbol, its values are numbers in ``share``. ``rest`` is what a state leaves to its
-    suffix (1 for contexts that are no state). ``longer`` finds the candidates one symbol longer, by the same keys."""
+        def distinct() -> tuple[np.ndarray, ...]:
+            every = [np.concatenate(x) for x in zip(*described, strict=True)]
+            _, first = np.unique(every[0], return_index=True)
+            return tuple(x[first] for x in every)
 
-    def __init__(self, edges: Lookup, share: np.ndarray, rest: np.ndarray, longer: Lookup):
-        self.edges, self.share, self.rest, self.longer = edges, share, rest, longer
+        def keys() -> Iterator[np.ndarray]:
+            nonlocal size
+            for _, block in blocks(batches, "text"):
+                runs = Runs(*symbols(block))
+                short, known = runs.run(k), np.zeros(len(runs.hashes), bool)
+                at = runs.whole(k)
+                known[at] = now.has(short[at])
+                if k > 1:
+                    at = np.flatnonzero(known)
+                    _, first = np.unique(short[at], return_index=True)
+                    at = at[first]
+                    described.append((short[at], runs.run(k - 1)[at - 1], runs.run(k - 1)[at], runs.hashes[at]))
+                    size += len(at)
+                    if size >= HELD // 4:
+                        described[:] = [distinct()]
+                        size = len(described[0][0])
+                at = runs.whole(k + 1)
+                at = at[known[at] & known[at - 1]]
+                yield runs.run(k + 1)[at].view(np.int64)
+
+        for key, n in _summed(keys()):
+            yield rows(key, n, None, None, None)
+            if size >= HELD:
+                g, *rest = distinct()
+                yield rows(g, None, *rest)
+                described.clear()
+                size = 0
+        if described:
+            g, *rest = distinct()
+            yield rows(g, None, *rest)
+
+    found = texts.mapInArrow(run, "g long, n long, context long, suffix long, symbol long")
+    kind = F.col("n").isNull().alias("described")
+    least = [F.min(c).alias(c) for c in ("context", "suffix", "symbol")]
+    found = found.groupBy("g", kind).agg(F.sum("n").alias("n"), *least)
+    return checkpointed(found.filter(F.col("described") | (F.col("n") >= LEAST_EDGE)))
 
 
 class Tree:
-    def __init__(self, total: int, distinct: int, words: Lookup, counts: np.ndarray):
-        self.total, self.distinct, self.words, self.counts = total, distinct, words, counts
-        self.levels: list[Level] = []
+    """``total`` and ``distinct`` symbols of the training texts, ``counts`` of each (h, n), and ``entries`` (key, n, value): of the next symbols of
+    states the log10 probability, of states that of what they leave to their suffixes."""
+
+    def __init__(self, counts: DataFrame, total: int, distinct: int, entries: DataFrame | None, depth: int):
+        self.counts, self.total, self.distinct, self.entries, self.depth = counts, total, distinct, entries, depth
 
     @property
     def unseen(self) -> float:
         """Log10 of what divides the smoothed counts of the root."""
         return math.log10(self.total + 0.5 * (self.distinct + 1))
 
-    def known(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of each symbol among the frequent ones, or -1."""
-        out = np.full(len(hashes), -1, np.int64)
-        at, number = self.words.find(hashes)
-        out[at] = number
-        return out
-
-    def contexts(self, number: np.ndarray, text: np.ndarray, depth: int) -> np.ndarray:
-        """For each symbol the candidate context of ``depth`` symbols before it, or -1."""
-        out = np.full(len(number), -1, np.int64)
-        if len(number) <= depth:
-            return out
-        if depth == 1:
-            out[1:] = np.where(text[1:] == text[:-1], number[:-1], -1)
-            return out
-        shorter = self.contexts(number, text, depth - 1)
-        there = np.flatnonzero((shorter[:-1] >= 0) & (number[:-1] >= 0) & (text[1:] == text[:-1]))
-        at, found = self.levels[depth - 2].longer.find(_key(shorter[there], number[there]))
-        out[there[at] + 1] = found
-        return out
-
-    def score(self, number: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log10 probability of each symbol, and by the root alone; those of rare symbols lack the root's factor."""
-        rare = number < 0
-        root = np.where(rare, 1.0, (self.counts[number] + 0.5) / 10**self.unseen) if len(self.counts) else np.ones(len(number))
-        p = root.copy()
-        for depth, level in enumerate(self.levels, 1):
-            context = self.contexts(number, text, depth)
-            there = np.flatnonzero(context >= 0)
-            p[there] *= level.rest[context[there]]
-            seen = there[number[there] >= 0]
-            at, edge = level.edges.find(_key(context[seen], number[seen]))
-            p[seen[at]] += level.share[edge]
-        return np.log10(p), np.log10(root)
 
+def edge_key(k: int, run: np.ndarray) -> np.ndarray:
+    """Keys of next symbols after contexts of k, by the hashes of both."""
+    return mixed(run + np.uint64(2 * k))
 
-def _key(context: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return _scattered(context.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64))
 
+def state_key(k: int, run: np.ndarray) -> np.ndarray:
+    return mixed(run + np.uint64(2 * k + 1))
 
-def _scattered(key: np.ndarray) -> np.ndarray:
-    """An invertible map that spreads keys over the leading bits, as Lookup expects."""
-    return key * np.uint64(0x9E3779B97F4A7C15)
 
+def _keyed(rows: DataFrame, k: int) -> DataFrame:
+    """(key, n, value) of (g, n, value) and (c, n, rest): entries of level k."""
 
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, state = b.column("h").to_numpy().view(np.uint64), b.column("state").to_numpy(zero_copy_only=False)
+            key = np.where(state, state_key(k, h), edge_key(k, h))
+            yield pa.record_batch([pa.array(key.view(np.int64)), b.column("n"), b.column("value")], names=["key", "n", "value"])
 
-def _lookup(keys: np.ndarray) -> Lookup:
-    return Lookup(keys, np.arange(len(keys)))
+    return rows.select("h", "state", "n", "value").mapInArrow(run, "key long, n long, value double")
 
 
 def fit(texts: DataFrame, counts: DataFrame, depth: int = DEPTH) -> Tree:
     """The tree of the column text, given the counts of its symbols."""
-    spark = texts.sparkSession
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(LEAST_COUNT, math.ceil(LEAST_EDGE * total))
-    frequent = counts.filter(F.col("n") >= least).toPandas().sort_values("h")
-    hashes = frequent["h"].to_numpy(np.int64).view(np.uint64)
-    tree = Tree(total, distinct, _lookup(hashes), frequent["n"].to_numpy(np.int64))
-    parent_count = tree.counts  # occurrences of each candidate context
-    # the end begins no context
-    candidate = (tree.counts >= LEAST_CONTEXT * total) & (hashes != END)
-    for level in range(1, depth + 1):
-        shared = spark.sparkContext.broadcast((tree, candidate))
-        found = texts.mapInArrow(_edge_counter(shared, level), "edge long, n long").groupBy("edge").agg(F.sum("n").alias("n"))
-        edges = found.filter(F.col("n") >= least).toPandas().sort_values("edge")
-        keys, n = edges["edge"].to_numpy(np.int64).view(np.uint64), edges["n"].to_numpy(np.int64)
-        plain = keys * _BACK
-        context, symbol = (plain >> np.uint64(32)).astype(np.int64), (plain & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        state = _States(tree, context, symbol, n, parent_count)
-        share, rest, kept = state.tested()
-        longer = n >= LEAST_CONTEXT * total
-        longer &= hashes[symbol] != END
-        tree.levels.append(Level(_lookup(keys[kept]), share[kept], rest, _lookup(keys[longer])))
-        parent_count, candidate = n[longer], np.ones(int(longer.sum()), bool)
-        if not len(parent_count):
+    tree = Tree(counts, total, distinct, None, depth)
+    # runs of one symbol: how often, and the probability by the tree so far
+    known = counts.filter(F.col("n") >= LEAST_EDGE).select(F.col("h").alias("g"), "n", ((F.col("n") + 0.5) / F.lit(10**tree.unseen)).alias("q"))
+    here, last, found = Filter.of(known.select(F.col("g").alias("h"))), None, None
+    levels = []
+    for k in range(1, depth + 2):
+        after = _pass(texts, k, last, here)
+        if k > 1:
+            # the runs of k symbols are next symbols after contexts of k - 1
+            runs = found.filter("not described").select("g", "n").join(after.filter("described").select("g", "context", "suffix", "symbol"), "g")
+            runs = runs.join(known.select(F.col("g").alias("suffix"), F.col("q").alias("low")), "suffix")
+            runs = checkpointed(runs.join(known.select(F.col("g").alias("context"), F.col("n").alias("often")), "context"))
+            states = _tested(runs)
+            levels.append((k - 1, runs, states))
+            share = (F.col("n") - DISCOUNT) / F.col("often")
+            q = F.when(F.col("rest").isNotNull(), share + F.col("rest") * F.col("low")).otherwise(F.col("low"))
+            known = checkpointed(runs.join(states.select("context", "rest"), "context", "left").select("g", "n", q.alias("q"), F.col("rest").isNotNull().alias("edge")))
+            edges = known.filter("edge").select(F.col("g").alias("h"), F.lit(False).alias("state"), "n", F.log10("q").alias("value"))
+            entries = _keyed(edges.union(states.select(F.col("context").alias("h"), F.lit(True), F.col("often"), F.log10("rest"))), k - 1)
+            tree.entries = entries if tree.entries is None else tree.entries.union(entries)
+        last, found = here, after
+        here = Filter.of(after.filter("not described").select(F.col("g").alias("h")))
+        if k > 1 and not here.words.any():
             break
+    if tree.entries is not None:
+        tree.entries = checkpointed(tree.entries)
     return tree
 
 
-def _edge_counter(shared, level: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, candidate = shared.value
+def _tested(runs: DataFrame) -> DataFrame:
+    """(context, often, rest) of the contexts of ``runs`` that become states."""
+    runs = runs.filter(F.col("often") >= LEAST_CONTEXT).withColumn("share", (F.col("n") - DISCOUNT) / F.col("often"))
+    sums = runs.groupBy("context").agg((1 - F.sum("share")).alias("rest"), F.sum("n").alias("seen"), F.min("often").alias("often"))
+    gain = F.col("n") * F.log((F.col("share") + F.col("rest") * F.col("low")) / F.col("low"))
+    gains = runs.select("context", "n", "share", "low").join(sums, "context").groupBy("context").agg(F.sum(gain).alias("gain"), F.min("rest").alias("rest"), F.min("seen").alias("seen"), F.min("often").alias("often"))
+    lost = F.greatest(F.col("often") - F.col("seen"), F.lit(0)) * F.log("rest")
+    return checkpointed(gains.filter(F.col("gain") + lost >= LEAST_GAIN).select("context", "often", "rest"))
+
+
+class Local:
+    """The part of a tree that executors have at hand, and a filter of the rest (none if there is no rest)."""
+
+    def __init__(self, tree: Tree):
+        self.depth, self.unseen = tree.depth, tree.unseen
+        words = tree.counts.orderBy(F.desc("n"), "h").limit(MOST_BROADCAST).toPandas()
+        self.words = Lookup(words["h"].to_numpy(np.int64).view(np.uint64), np.log10(words["n"].to_numpy() + 0.5) - self.unseen)
+        self.entries, self.rest = Lookup(np.zeros(0, np.uint64), np.zeros(0)), None
+        if tree.entries is None:
+            return
+        entries = tree.entries.orderBy(F.desc("n"), "key").limit(MOST_BROADCAST).toPandas()
+        self.entries = Lookup(entries["key"].to_numpy(np.int64).view(np.uint64), entries["value"].to_numpy())
+        if len(entries) == MOST_BROADCAST:
+            least, last = int(entries["n"].iloc[-1]), int(entries["key"].iloc[-1])
+            beyond = tree.entries.filter((F.col("n") < least) | ((F.col("n") == least) & (F.col("key") > last)))
+            self.rest = Filter.of(beyond.select(F.col("key").alias("h")))
+
+    def score(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each symbol: log10 probability by the root (0 for words that are not at hand), by the states alone, whether
+        it ends at the root, whether its word is at hand, and whether it needs entries that are not at hand."""
+        root, known = np.zeros(len(hashes)), np.zeros(len(hashes), bool)
+        at, value = self.words.find(hashes)
+        root[at], known[at] = value, True
+        runs = Runs(hashes, owner)
+        states, open_, far = np.zeros(len(hashes)), np.ones(len(hashes), bool), np.zeros(len(hashes), bool)
+        for k in range(self.depth, 0, -1):
+            at = runs.whole(k + 1)
+            edge, state = edge_key(k, runs.run(k + 1)[at]), state_key(k, runs.run(k)[at - 1])
+            if self.rest is not None:
+                far[at] |= self.rest.has(edge) | self.rest.has(state)
+            left = np.flatnonzero(open_[at])
+            hit, value = self.entries.find(edge[left])
+            states[at[left[hit]]] += value
+            open_[at[left[hit]]] = False
+            left = np.flatnonzero(open_[at])
+            hit, value = self.entries.find(state[left])
+            states[at[left[hit]]] += value
+        return root, states, open_, known, far
+
+    def keys(self, hashes: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The keys of the symbols at these places, from the longest context on, each next symbol before its state; 0 for
+        contexts longer than the past."""
+        runs = Runs(hashes, owner)
+        out = np.zeros((len(at), 2 * self.depth), np.uint64)
+        for i, k in enumerate(range(self.depth, 0, -1)):
+            there = np.flatnonzero(runs.place[at] >= k)
+            out[there, 2 * i] = edge_key(k, runs.run(k + 1)[at[there]])
+            out[there, 2 * i + 1] = state_key(k, runs.run(k)[at[there] - 1])
+        return out
 
-        def keys() -> Iterator[np.ndarray]:
-            for _, block in blocks(batches, "text"):
-                hashes, text = symbols(block)
-                number = tree.known(hashes)
-                context = tree.contexts(number, text, level)
-                there = np.flatnonzero((context >= 0) & (number >= 0))
-                there = there[candidate[context[there]]]
-                yield _key(context[there], number[there]).view(np.int64)
-
-        return _summed(keys(), "edge")
-
-    return run
-
-
-class _States:
-    """Candidate contexts of one length with their next symbols, tested against their suffixes."""
-
-    def __init__(self, tree: Tree, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, count: np.ndarray):
-        self.tree, self.context, self.symbol, self.n, self.count = tree, context, symbol, n, count
-
-    def _suffix(self) -> np.ndarray:
-        """The probability of each edge's symbol in its context's longest proper suffix."""
-        tree = self.tree
-        p = (tree.counts[self.symbol] + 0.5) / 10**tree.unseen if len(self.symbol) else np.zeros(0)
-        if not tree.levels:
-            return p
-        # the words of the contexts, oldest first, from the keys by which each level found them
-        words, context = [], self.context
-        for level in reversed(tree.levels):
-            key = level.longer.keys[np.argsort(level.longer.values)][context] * _BACK if len(level.longer.keys) else np.zeros(0, np.uint64)
-            words.append((key & np.uint64(0xFFFFFFFF)).astype(np.int64))
-            context = (key >> np.uint64(32)).astype(np.int64)
-        past = [context, *words[::-1]][1:]  # without the oldest word
-        for depth, level in enumerate(tree.levels, 1):
-            # the suffix of this length, looked up word by word
-            state = past[-depth].copy()
-            for step in range(1, depth):
-                here = np.flatnonzero(state >= 0)
-                at, to = tree.levels[step - 1].longer.find(_key(state[here], past[-depth + step][here]))
-                state[:] = np.where(state >= 0, -1, state)
-                state[here[at]] = to
-            here = np.flatnonzero(state >= 0)
-            p[here] *= level.rest[state[here]]
-            at, edge = level.edges.find(_key(state[here], self.symbol[here]))
-            p[here[at]] += level.share[edge]
-        return p
-
-    def tested(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each edge's share, each context's rest, and which edges belong to states."""
-        size = len(self.count)
-        p = self._suffix()
-        share = (self.n - DISCOUNT) / self.count[self.context]
-        rest = 1 - np.bincount(self.context, share, size)
-        gain = 1.0 * np.bincount(self.context, self.n * np.log((share + rest[self.context] * p) / np.maximum(p, 1e-300)), size)
-        seen = np.bincount(self.context, self.n, size)
-        gain += np.maximum(self.count - seen, 0) * np.log(np.maximum(rest, 1e-12))
-        state = gain >= LEAST_GAIN
-        return share, np.where(state, rest, 1.0), state[self.context]
-
-
-def score(docs: DataFrame, tree: Tree, counts: DataFrame, text: str = "text") -> DataFrame:
+
+def _lists(values: pa.Array, owner: np.ndarray, n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)), values)
+
+
+def score(docs: DataFrame, tree: Tree, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens, base_score and score."""
     names = [c for c in docs.columns if c not in MADE]
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    kept = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"), *[F.col(f"`{c}`") for c in names])
-    made = "_known long, _rare array<long>, n_tokens long, base_score double, score double"
+    body, row, known_, rare_, far_ = (unused(c, docs) for c in ("body", "row", "known", "rare", "far"))
+    local = Local(tree)
+    shared = docs.sparkSession.sparkContext.broadcast(local)
+    kept = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(body), *[F.col(f"`{c}`") for c in names])
+    made = f"`{known_}` long, `{rare_}` array<struct<h:long,root:boolean>>, `{far_}` array<struct<h:long,known:boolean,keys:array<long>>>, n_tokens long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch, block in blocks(batches, "_text"):
+        for batch, block in blocks(batches, body):
             hashes, owner = symbols(block)
-            number = model.known(hashes)
-            p, root = model.score(number, owner)
-            rare = number < 0
-            cut = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(owner[rare], minlength=block.n))]).astype(np.int32)
+            root, states, ends, known, far = model.score(hashes, owner)
+            p = np.where(far, 0.0, states + np.where(ends, root, 0.0))
+            rare, open_ = np.flatnonzero(~known), np.flatnonzero(far)
+            signed = hashes.view(np.int64)
+            rares = pa.StructArray.from_arrays([pa.array(signed[rare]), pa.array(ends[rare] & ~far[rare])], ["h", "root"])
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(model.keys(hashes, owner, open_).ravel().view(np.int64)), 2 * model.depth).cast(pa.list_(pa.int64()))
+            opens = pa.StructArray.from_arrays([pa.array(signed[open_]), pa.array(known[open_]), keys], ["h", "known", "keys"])
             yield pa.record_batch(
                 [
                     *batch.columns[1:],
-                    pa.array(np.bincount(owner[~rare], minlength=block.n).astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(cut), pa.array(hashes[rare].view(np.int64))),
+                    pa.array(np.bincount(owner[known], minlength=block.n).astype(np.int64)),
+                    _lists(rares, owner[rare], block.n),
+                    _lists(opens, owner[open_], block.n),
                     pa.array(np.bincount(owner, minlength=block.n).astype(np.int64)),
                     pa.array(np.bincount(owner, root, block.n)),
                     pa.array(np.bincount(owner, p, block.n)),
                 ],
-                names=[*names, "_known", "_rare", "n_tokens", "base_score", "score"],
+                names=[*names, known_, rare_, far_, "n_tokens", "base_score", "score"],
             )
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    first = checkpointed(kept.mapInArrow(run, f"{schema}, {made}".lstrip(", ")).withColumn("_row", F.monotonically_increasing_id()))
-    rare = first.select("_row", F.explode("_rare").alias("h")).join(counts, "h", "left")
-    rare = rare.groupBy("_row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5) - tree.unseen).alias("_more"), F.count("n").alias("_seen"))
-    more, seen = F.coalesce("_more", F.lit(0.0)), F.coalesce("_seen", F.lit(0))
-    out = first.drop("_rare").join(rare, "_row", "left")
-    return out.select(
+    first = checkpointed(kept.mapInArrow(run, f"{schema}, {made}".lstrip(", ")).withColumn(row, F.monotonically_increasing_id()))
+
+    def at_root(often: Column) -> Column:
+        return F.log10(F.coalesce(often, F.lit(0)) + 0.5) - tree.unseen
+
+    rare = first.select(F.col(row).alias("at"), F.explode(rare_).alias("w")).select("at", "w.h", "w.root").join(tree.counts, "h", "left")
+    more = rare.groupBy("at").agg(F.sum(at_root(F.col("n"))).alias("base"), F.sum(F.when(F.col("root"), at_root(F.col("n"))).otherwise(0.0)).alias("own"), F.count("n").alias("seen"))
+    if local.rest is not None:
+        more = more.withColumn("far", F.lit(0.0)).union(_far(first.select(F.col(row).alias("at"), F.posexplode(far_).alias("place", "w")), tree, at_root))
+        more = more.groupBy("at").agg(*[F.sum(c).alias(c) for c in ("base", "own", "seen", "far")])
+    else:
+        more = more.withColumn("far", F.lit(0.0))
+    more = more.select(F.col("at"), *[F.col(c).alias(unused(f"more_{c}", docs)) for c in ("base", "own", "seen", "far")])
+    base, own, seen, far = (F.coalesce(F.col(unused(f"more_{c}", docs)), F.lit(0)) for c in ("base", "own", "seen", "far"))
+    return first.join(more.withColumnRenamed("at", unused("more_at", docs)), F.col(row) == F.col(unused("more_at", docs)), "left").select(
         *[F.col(f"`{c}`") for c in names],
         "n_tokens",
         # without training texts no symbol is known
-        (F.col("_known") + seen).alias("n_known"),
+        (F.col(known_) + seen).cast("long").alias("n_known"),
         F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("base_score") + base).alias("base_score"),
+        (F.col("score") + own + far).alias("score"),
     )
 
 
+def _far(open_: DataFrame, tree: Tree, at_root) -> DataFrame:
+    """(at, base, own, seen, far): the log10 probabilities of symbols whose entries are looked up in the tables."""
+    each = open_.select("at", "place", F.col("w.h").alias("h"), F.posexplode("w.keys").alias("j", "key")).join(tree.entries.select("key", "value"), "key", "left")
+    edge = (F.col("j") % 2 == 0) & F.col("value").isNotNull()
+    states = F.collect_list(F.when((F.col("j") % 2 == 1) & F.col("value").isNotNull(), F.struct("j", "value")))
+    each = each.groupBy("at", "place").agg(F.min("h").alias("h"), F.min(F.when(edge, F.struct("j", "value"))).alias("edge"), states.alias("states"))
+    each = each.join(tree.counts, "h", "left")
+    before = F.filter("states", lambda s: F.col("edge").isNull() | (s["j"] < F.col("edge.j")))
+    total = F.aggregate(before, F.lit(0.0), lambda t, s: t + s["value"]) + F.coalesce(F.col("edge.value"), at_root(F.col("n")))
+    return each.groupBy("at").agg(F.lit(0.0).alias("base"), F.lit(0.0).alias("own"), F.lit(0).cast("long").alias("seen"), F.sum(total).alias("far"))
+
+
 def train_and_score(spark: SparkSession, docs: DataFrame, train, text: str = "text") -> DataFrame:
     """``docs`` scored by the tree of its rows for which the condition ``train`` holds."""
     texts = docs.filter(train).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = checkpointed(word_counts(texts))
-    return score(docs, fit(texts, counts), counts, text)
+    return score(docs, fit(texts, counts), text)

@@ -174,6 +174,56 @@ def test_toxicity(spark, empty):
     assert {x.score for x in toxicity.score(df, none).collect()} == {0.0}
 
 
+def test_disguised_words_are_restored():
+    import pyarrow as pa
+
+    r = random.Random(11)
+    common = "the of and you are was shall path thing other in it is stone river under water will what well known this that".split()
+    rude = "idiot stupid fuck shit ass worthless pathetic clown trash scum".split()
+    grams = Counter()
+    for w in [r.choice(common) for _ in range(4000)] + [r.choice(rude) for _ in range(1500)]:
+        for i in range(len(w) + 1):
+            grams[f"^^{w}$"[i : i + 3]] += 1
+    model = toxicity.CharModel(grams)
+    forms = {
+        "a$$": "ass", "f*ck": "fuck", "f**k": "fuck", '"sh1t"': "shit", "5h17": "shit", "idio7": "idiot", "sh-it": "shit", "s  t  u  p  i  d": "stupid", "worthle$$": "worthless",
+        "worthle55": "worthless", '"idi0t"': "idiot", "id-iot": "idiot", "i  d i o\tt": "idiot", "tra5h!": "trash", "cl0wn5": "clowns", "id" + "i" * 60 + "ot": "idiot", "i.d.i.o.t": "idiot", "i. d. i. o. t.": "idiot", "€": "€",
+        "y o u a r e a w o r t h l e s s p a t h e t i c i d i o t": "you are a worthless pathetic idiot", "108.51.216.133": "108.51.216.133", "plain words, here.": "plain words, here.", "(lown": "clown", "Tr@$h": "trash",
+    }
+    block = toxicity.restored(pa.array([*forms, None, ""]), model)
+    got = [block.data[a:b].tobytes().decode() for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)]
+    wrong = {f: g for (f, w), g in zip(forms.items(), got, strict=False) if g != w}
+    assert set(wrong) <= {"cl0wn5", "y o u a r e a w o r t h l e s s p a t h e t i c i d i o t"} and got[-2:] == ["", ""]
+    assert all(w in wrong.get("y o u a r e a w o r t h l e s s p a t h e t i c i d i o t", "worthless pathetic idiot") for w in ("worthless", "pathetic", "idiot"))
+    # a probability over all next characters
+    chars = {g for g in model.n if len(g) == 1}
+    for past in ("^^", "sh", "zz", "qt"):
+        assert abs(sum(model.share(past + c) for c in chars) + (model.share(past + "\0")) - 1) < 1e-9
+
+
+def test_readings_are_the_best_of_all():
+    r = random.Random(12)
+    grams = Counter()
+    for w in ["aba", "bas", "sab", "tab", "ist", "ass", "bat"] * 5:
+        for i in range(len(w) + 1):
+            grams[f"^^{w}$"[i : i + 3]] += r.randrange(1, 4)
+    model = toxicity.CharModel(grams)
+
+    def every(span, past="^^", before=""):
+        if not span:
+            return [model.cost(past + "$") if past != "^^" else 0.0]
+        out = []
+        for x, cost in model.ways(span[0], before):
+            to, said = model.step(past, x)
+            out += [cost + said + rest for rest in every(span[1:], to, span[0])]
+        return out
+
+    for _ in range(60):
+        span = "".join(r.choice("ab5s1 7-!$t") for _ in range(r.randrange(1, 7)))
+        assert abs(model._viterbi(span)[0] - max(every(span))) < 1e-9
+    assert len(model._viterbi("a" * 20_000 + "5" * 20_000)[1]) < 40_000
+
+
 # 4 quality rules
 
 
@@ -576,26 +626,65 @@ def test_suffix_tree(spark, docs, corpus, empty):
     assert all(x.n_known == 0 and abs(x.score - x.base_score) < 1e-9 for x in lonely)
 
 
-def test_suffix_tree_is_a_distribution_that_learns_contexts(spark):
-    data = [(i, " ".join(["north", "sea", "wind", "over", "land"] * 8)) for i in range(20)] + [(50 + i, "sea land wind north over " * 3) for i in range(3)]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    counts = suffix_tree.word_counts(df.select("text")).persist()
-    tree = suffix_tree.fit(df.select("text"), counts)
-    assert tree.levels and len(tree.levels[0].share)
-    got = {x.doc_id: x for x in suffix_tree.score(df, tree, counts).collect()}
-    assert got[0].score > got[0].base_score + 10
-    # over all next symbols, seen or not, probabilities add up to one after any past
-    n = len(tree.counts)
-    for a in range(n):
-        for b in range(n):
-            past = np.array([a, b])
-            total = sum(10 ** tree.score(np.append(past, x), np.zeros(3, np.int64))[0][-1] for x in range(n))
-            unseen = 0.5 / 10**tree.unseen
-            for level, context in ((1, b), (2, None)):
-                if level <= len(tree.levels):
-                    c = tree.contexts(np.append(past, 0), np.zeros(3, np.int64), level)[-1]
-                    unseen *= tree.levels[level - 1].rest[c] if c >= 0 else 1
-            assert abs(total + unseen - 1) < 1e-6
+class BruteTree:
+    """The tree of lists of tokens, by its definition."""
+
+    def __init__(self, texts, depth):
+        self.count = [Counter() for _ in range(depth + 2)]
+        for w in texts:
+            for k in range(1, depth + 2):
+                for i in range(len(w) - k + 1):
+                    self.count[k][tuple(w[i : i + k])] += 1
+        self.total, self.kinds, self.rest, self.depth = sum(self.count[1].values()), len(self.count[1]), {}, depth
+        for k in range(1, depth + 1):
+            following = defaultdict(dict)
+            for g, n in self.count[k + 1].items():
+                if n >= suffix_tree.LEAST_EDGE:
+                    following[g[:-1]][g[-1]] = n
+            fresh = {}
+            for c, edges in following.items():
+                n = self.count[k][c]
+                if n < suffix_tree.LEAST_CONTEXT:
+                    continue
+                rest = 1 - sum((m - suffix_tree.DISCOUNT) / n for m in edges.values())
+                gain = sum(m * np.log(((m - suffix_tree.DISCOUNT) / n + rest * (q := self.p(c[1:], s))) / q) for s, m in edges.items())
+                gain += (n - sum(edges.values())) * np.log(rest)
+                if gain >= suffix_tree.LEAST_GAIN:
+                    fresh[c] = rest
+            self.rest |= fresh
+
+    def p(self, past, s):
+        if not past:
+            return (self.count[1][s,] + 0.5) / (self.total + 0.5 * (self.kinds + 1))
+        low = self.p(past[1:], s)
+        if past not in self.rest:
+            return low
+        n = self.count[len(past) + 1][(*past, s)]
+        return (max(0, (n - suffix_tree.DISCOUNT) / self.count[len(past)][past]) if n >= suffix_tree.LEAST_EDGE else 0) + self.rest[past] * low
+
+
+@pytest.mark.parametrize("most", [1 << 19, 40])
+def test_suffix_tree_scores_by_the_longest_state(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_tree, "MOST_BROADCAST", most)
+    r = random.Random(14)
+    phrases = [[r.choice(WORDS[:9]) for _ in range(r.randrange(4, 8))] for _ in range(14)]
+    data = [(i, " ".join(" ".join(r.choice(phrases)) if r.random() < 0.7 else r.choice(WORDS) for _ in range(r.randrange(1, 30)))) for i in range(150)]
+    data += [(200, None), (201, ""), (202, "Never Seen before"), (203, " ".join(phrases[0] * 500)), (None, " ".join(phrases[1])), (3, data[3][1])]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    held = F.coalesce(F.col("doc_id") % 5 == 1, F.lit(False))
+    got = suffix_tree.train_and_score(spark, clashing(df, "row", "rare", "known", "far", "body", "at", "_row", "_rare", "base"), ~held).collect()
+    tokens = [(i, (t or "").lower().split() + [None]) for i, t in data]
+    tree = BruteTree([w for i, w in tokens if i is None or i % 5 != 1], suffix_tree.DEPTH)
+    assert {len(c) for c in tree.rest} == {1, 2, 3, 4} and suffix_tree.DEPTH == 4
+    want = sorted((str(i), round(sum(np.log10(tree.p(tuple(w[max(0, k - 4) : k]), s)) for k, s in enumerate(w)), 6)) for i, w in tokens)
+    assert [(str(x.doc_id), round(x.score, 6)) for x in sorted(got, key=lambda x: (str(x.doc_id), round(x.score, 6)))] == want
+    seen = {s for i, w in tokens if i is None or i % 5 != 1 for s in w}
+    for x in got:
+        w = next(w for i, w in tokens if i == x.doc_id)
+        assert x.n_known == sum(s in seen for s in w) and x.row == x._rare == "x"
+    # over all symbols and an unseen one, probabilities add up to one after any past
+    for past in list(tree.rest)[:50]:
+        assert abs(sum(tree.p(past, s) for s in seen) + tree.p(past, "unseen") - 1) < 1e-9
 
 
 # registration and pipeline
