@@ -103,7 +103,7 @@ def unused(stem: str, *frames: DataFrame) -> str:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, most: int, seed: str) -> DataFrame:
-    """(text, label) of at most ``most`` different labelled texts, drawn by hashes; several labels of one id count as their
+    """(h, text, label) of at most ``most`` different labelled texts, drawn by hashes; several labels of one id count as their
     maximum, null texts as empty, and equal texts of one id once."""
     wanted = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(label).cast("int").alias("label"))
     wanted = wanted.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(most)
@@ -111,7 +111,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, labe
     rows = checkpointed(rows.withColumn("h", F.xxhash64("id", "text")).dropDuplicates(["id", "h"]))
     # ids may belong to several texts
     drawn = rows.select("h").orderBy(F.xxhash64(F.lit(seed), F.col("h")), "h").limit(most)
-    return rows.join(F.broadcast(drawn.distinct()), "h", "left_semi").select("text", "label")
+    return rows.join(F.broadcast(drawn.distinct()), "h", "left_semi").select("h", "text", "label")
 
 
 def fields(df: DataFrame, *names: str) -> str:

@@ -5,11 +5,11 @@ length that cover all of it. The network embeds bytes, runs filters of several w
 filter's maximum and maps these to languages by a softmax; a text's distribution is the mean of its windows'
 distributions weighted by their letters. Training is plain numpy with Adam on the driver.
 
-The network is fitted on a bounded sample: about ``PER_LANGUAGE`` labelled rows of each language, drawn by a hash of
-the id, and at most ``WINDOWS_PER_TEXT`` evenly spaced windows of each. Scoring reads every text as a whole.
+The network is fitted on the whole texts of a bounded sample: at most ``PER_LANGUAGE`` labelled texts of each language,
+drawn by a hash of id and text. Scoring reads every text as a whole.
 
 Cases: a null text, and one without a letter, is ``und`` with score 1; rows whose language is null are not learned
-from; without any labelled row every text is ``und`` with score 0; ties go to the language first in order; repeated
+from; equal texts of one id are learned from once; without any labelled row every text is ``und`` with score 0; ties go to the language first in order; repeated
 rows are scored alike; an empty table gives an empty table. Other columns are kept, those named lang_pred or score
 are replaced.
 """
@@ -17,15 +17,14 @@ are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a window, windows and rows that training takes.
-WINDOW, WINDOWS_PER_TEXT, PER_LANGUAGE = 192, 3, 1500
+#: Bytes of a window, and labelled texts that training takes of each language.
+WINDOW, PER_LANGUAGE = 192, 300
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: Windows scored at a time.
@@ -130,26 +129,23 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, bytes) of all windows of the texts that have letters."""
     for batch in batches:
         langs, found = [], []
         for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             w = windows(t or "")
-            w = w[_LETTER[w].sum(axis=1) >= min(WINDOW // 4, int(_LETTER[w].sum(axis=1).max()))]
-            for i in sorted({j * len(w) // WINDOWS_PER_TEXT for j in range(WINDOWS_PER_TEXT)}):
-                if _LETTER[w[i]].any():
-                    langs.append(lang)
-                    found.append(w[i].tobytes())
+            for x in w[_LETTER[w].any(axis=1)]:
+                langs.append(lang)
+                found.append(x.tobytes())
         yield pa.record_batch([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "bytes"])
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", per_language: int = PER_LANGUAGE) -> Network:
     """Learn from ``docs``, already restricted to training rows."""
-    known = docs.filter(F.col(lang).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Network([])
-    share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, per_language / n))) for k, n in counts.items()))
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    known = docs.filter(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.lit("language"), F.col(id), F.col(text)).alias("h"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # of which Spark keeps the first of each partition
+    drawn = known.select("lang", "h").distinct().withColumn("place", place).filter(F.col("place") <= per_language).select("lang", "h")
+    drawn = known.join(F.broadcast(drawn), ["lang", "h"]).dropDuplicates(["lang", "h"])
     sample = drawn.select("text", "lang").mapInArrow(_training_windows, "lang string, bytes binary").toPandas().sort_values(["lang", "bytes"])
     languages = sorted(set(sample["lang"]))
     net = Network(languages)
