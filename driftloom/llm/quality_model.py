@@ -1,17 +1,16 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text becomes the set of its n-grams of length one to three over two streams of tokens: its lower-cased words (single
-words only) and its words' shapes (runs of letters, capitals, digits and each sign; a word that equals the one before
-is marked). Each indicator is scaled by its class log-count ratio, and a linear hinge-loss model is fitted to the
+A text becomes the set of its n-grams of length one to three over two streams of tokens: its lower-cased words and its
+words' shapes (runs of letters, capitals, digits and each sign; a word that equals the one before is marked). Each indicator that ``LEAST_TEXTS`` training texts have is scaled by its class log-count ratio, and a linear hinge-loss model is fitted to the
 scaled rows by dual coordinate descent. Margins of rows kept out of that fit give the logistic curve that turns
 margins into scores.
 
 N-grams are hashed into ``BUCKETS`` features, so the model has a fixed size. It is fitted on at most
-``MOST_LABELLED`` labelled rows, drawn by a hash of the id; scoring reads every text as a whole.
+``MOST_LABELLED`` labelled texts, drawn by a hash of id and text; scoring reads every text as a whole.
 
 Cases: null and empty texts have no n-gram and score as the bias says; labels that are null or of absent documents
 are ignored; several labels of one document count as their maximum; without labels of both kinds every score is the
-share of ones (0.5 without labels); repeated rows score alike. Other columns are kept, those named score or predicted
+share of ones (0.5 without labels); repeated rows are learned from once and score alike. Other columns are kept, those named score or predicted
 are replaced.
 """
 
@@ -24,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Block, SpanHasher, blocks, mixed
+from .common import LOWER, Block, SpanHasher, blocks, labelled_sample, mixed
 
-MOST_LABELLED = 8_000
-BUCKETS = 1 << 18
+MOST_LABELLED = 4_000
+#: Features (a power of two).
+BUCKETS = 1 << 20
 ORDER = 3
+#: Training texts that must have a feature for it to count.
+LEAST_TEXTS = 2
 #: Added to counts, bound of the dual variables, sweeps over the rows, share of rows for the logistic curve.
 SMOOTHING, COST, SWEEPS, CALIBRATION = 1.0, 0.1, 12, 5
 THRESHOLD = 0.3
@@ -62,16 +64,18 @@ def _words_and_shapes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text number, feature) pairs of a block, sorted."""
     words, shapes, text = _words_and_shapes(block)
-    grams, owners = [words], [text]
-    gram = shapes
-    for n in range(1, ORDER + 1):
-        if n > 1:
-            gram = mixed(gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + shapes[n - 1 :])
-        whole = text[: len(gram)] == text[n - 1 :]
-        grams.append(gram[whole] + np.uint64(n))
-        owners.append(text[n - 1 :][whole])
-    key = np.unique((np.concatenate(owners).astype(np.int64) << 18) | (np.concatenate(grams) >> np.uint64(46)).astype(np.int64))
-    return key >> 18, key & (BUCKETS - 1)
+    keys = []
+    bits = BUCKETS.bit_length() - 1
+    for stream, tokens in enumerate((words, shapes)):
+        gram = tokens
+        for n in range(1, ORDER + 1):
+            if n > 1:
+                gram = mixed(gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[n - 1 :])
+            whole = text[: len(gram)] == text[n - 1 :]
+            feature = mixed(gram[whole] + np.uint64(2 * n + stream)) >> np.uint64(64 - bits)
+            keys.append((text[n - 1 :][whole].astype(np.int64) << bits) | feature.astype(np.int64))
+    key = np.unique(np.concatenate(keys))
+    return key >> bits, key & (BUCKETS - 1)
 
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +83,7 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         text, feature = features(block)
         cut = np.searchsorted(text, np.arange(block.n + 1))
         rows = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(feature.astype(np.int32)))
-        yield pa.record_batch([batch.column("label"), rows], names=["label", "features"])
+        yield pa.record_batch([batch.column("h"), batch.column("label"), rows], names=["h", "label", "features"])
 
 
 class Model:
@@ -94,7 +98,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
 
 
-def descend(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+def descend(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, sweeps: int = SWEEPS) -> tuple[np.ndarray, float]:
     """Weights of the features (already scaled) and the bias that minimise the regularised hinge loss.
 
     One dual variable a row is set to its best value in turn; the class with fewer rows has the larger bound."""
@@ -104,7 +108,7 @@ def descend(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray) -> tuple[n
     norm = np.array([(v * v).sum() + 1.0 for v in values])
     bound = np.where(y > 0, COST * len(y) / (2 * max(1, (y > 0).sum())), COST * len(y) / (2 * max(1, (y < 0).sum())))
     dual = np.zeros(len(y))
-    for _ in range(SWEEPS):
+    for _ in range(sweeps):
         for i in r.permutation(len(y)):
             f, v = rows[i], values[i]
             gradient = y[i] * (w[f] @ v + bias) - 1
@@ -134,23 +138,24 @@ def _logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED) -> Model:
     """Learn from the texts of ``docs`` that ``labels`` marks (already restricted to training rows)."""
-    drawn = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(id).agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64(F.lit("quality"), F.col(id)), id).limit(most)
-    table = docs.select(id, F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(drawn), id).select("text", "label")
-    found = table.mapInArrow(_training_rows, "label int, features array<int>").toArrow()
+    found = labelled_sample(docs, labels, id, text, label, most, "quality").mapInArrow(_training_rows, "h long, label int, features array<int>").toArrow().combine_chunks()
     y = np.where(found.column("label").to_numpy() > 0, 1, -1)
-    rows = [np.asarray(x, np.int64) for x in found.column("features").to_pylist()]
-    order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i]), rows[i][:64].tobytes(), rows[i].tobytes()))
-    y, rows = y[order], [rows[i] for i in order]
+    lists = found.column("features").combine_chunks() if len(y) else pa.array([], pa.list_(pa.int32()))
+    cut, features_ = lists.offsets.to_numpy(), lists.values.to_numpy()
+    order = np.argsort(found.column("h").to_numpy(), kind="stable")
+    y, rows = y[order], [features_[cut[i] : cut[i + 1]] for i in order.tolist()]
     if len(set(y.tolist())) < 2:
         share = float((y > 0).mean()) if len(y) else 0.5
         return Model(np.zeros(BUCKETS), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     aside = np.arange(len(y)) % CALIBRATION == 0
 
     def ratios(mask: np.ndarray) -> np.ndarray:
-        ones, zeros = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
+        ones, zeros = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for i in np.flatnonzero(mask):
             (ones if y[i] > 0 else zeros)[rows[i]] += 1
-        return np.log((ones / ones.sum()) / (zeros / zeros.sum()))
+        kept = ones + zeros >= LEAST_TEXTS
+        ones, zeros = ones + SMOOTHING, zeros + SMOOTHING
+        return np.where(kept, np.log((ones / ones[kept].sum()) / (zeros / zeros[kept].sum())), 0.0)
 
     def fitted(mask: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
         scale = ratios(mask)
