@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE
+from .common import SPACE_RE, unused
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -84,31 +84,31 @@ def _repeated(words: Column, hashes: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed and the ratios."""
-    kept = [c for c in docs.columns if not c.startswith("_")]
-    body = F.coalesce(F.col(text), F.lit(""))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in _MADE]
+    t, w, ls, h, g = (unused(c, docs) for c in ("body", "words", "solid_lines", "hashes", "windows"))
     spaces = " \t\n\x0b\f\r"
-    out = docs.select(*kept, body.alias("_t"))
+    out = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(t))
     out = out.select(
-        *kept, "_t",
-        F.filter(F.split("_t", SPACE_RE + "+"), lambda w: w != "").alias("_w"),
-        F.filter(F.split("_t", "\n"), lambda x: F.translate(x, spaces, "") != "").alias("_l"),
+        *kept, t,
+        F.filter(F.split(t, SPACE_RE + "+"), lambda x: x != "").alias(w),
+        F.filter(F.split(t, "\n"), lambda x: F.translate(x, spaces, "") != "").alias(ls),
     )
-    out = out.select(*kept, "_t", "_w", "_l", F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
-    n = F.size("_h")
+    out = out.select(*kept, t, w, ls, F.transform(w, lambda x: F.xxhash64(x)).alias(h))
+    n = F.size(h)
     # each window's hash is that of its words' hashes
-    out = out.select(*kept, "_t", "_w", "_l", F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_h", i, F.lit(WINDOW))))).alias("_g"))
+    out = out.select(*kept, t, w, ls, F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, F.lit(WINDOW))))).alias(g))
     out = out.select(
-        *[c for c in kept if c not in _MADE],
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("_t", spaces, "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(_repeated(F.col("_w"), F.col("_g")), F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size(F.filter("_w", lambda w: F.lower(w).isin(*stop_words))).cast("long").alias("n_stop_words"),
-        (F.length("_t") - F.length(F.translate("_t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
-    )
+        *kept,
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.translate(t, spaces, "")).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size(ls).cast("long").alias("n_lines"),
+        (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
+        F.coalesce(_repeated(F.col(w), F.col(g)), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.size(F.filter(w, lambda x: F.lower(x).isin(*stop_words))).cast("long").alias("n_stop_words"),
+        (F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
+    )
     words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     return out.select(
         "*",
