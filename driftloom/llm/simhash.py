@@ -4,9 +4,10 @@ A text's fingerprint is the bitwise majority of the hashes of its word shingles.
 less have a midpoint within one bit of both. Anchors are the words of a covering code of the 64-bit space: nine
 blocks of seven bits, each covered with radius one by the perfect (7, 4) Hamming code, and the last bit as it is.
 Each fingerprint goes to the anchors of all midpoints that it may have: those that lie within the covering radius
-plus its half of the threshold, some 26 of 2^37. Anchors that one fingerprint alone reaches are done. At the others
-fingerprints are compared through their midpoints: those with the same midpoint, 65 at most, are within two bits of
-each other, and all that are within two bits share one. So a group of any size needs no list of its pairs.
+plus its half of the threshold, some 26 of 2^37. At each anchor fingerprints are compared with each other, and those
+connected there get an edge to the first of them, so that a group needs no list of its pairs. Anchors of more than
+``MOST`` fingerprints are not held in a task: these meet at their midpoints instead (those with the same midpoint, 65 at
+most, are within two bits of each other, and all that are within two bits share one), dealt over all tasks.
 
 Cases: a null or empty text, or one without words, has fingerprint 0 and is linked like any other; a text of fewer
 words than a shingle is one shingle; repeated rows have equal fingerprints and one component; a row without an id
@@ -31,6 +32,8 @@ from .graph import components
 SEED = 42
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 15
+#: Fingerprints of an anchor that are compared in one task.
+MOST = 1024
 _LOWER = LOWER.tobytes()
 
 
@@ -112,11 +115,74 @@ def _to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(anchors[new].view(np.int64)), pa.array(fp[rows].view(np.int64))], names=["anchor", "fp"])
 
 
+def _classes(fps: np.ndarray) -> np.ndarray:
+    """For each fingerprint the first one that it is connected to by links of two bits or less."""
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+    label = np.arange(len(fps))
+    while True:
+        least = np.where(near, label[None, :], len(fps)).min(axis=1)
+        if (least == label).all():
+            return label
+        label = least
+
+
 def _at_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, anchor): edges of the anchors, and (fp, null, anchor) of those with too many; they come sorted by anchor."""
+    anchor = fp = np.zeros(0, np.uint64)
+    full: np.uint64 | None = None  # the anchor at the end of the last batch, if it has too many
+
+    def out(a: np.ndarray, b: np.ndarray | None, anchor: np.ndarray | None) -> pa.RecordBatch:
+        columns = [pa.nulls(len(a), pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (a, b, anchor)]
+        return pa.record_batch(columns, names=["a", "b", "anchor"])
+
+    def settled(anchor: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
+        size = np.diff(edge)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        pair = edge[:-1][size == 2]
+        pair = pair[np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= 2]
+        found.append((fp[pair], fp[pair + 1]))
+        for g in np.flatnonzero((size > 2) & (size <= MOST)).tolist():
+            here = fp[edge[g] : edge[g + 1]]
+            label = _classes(here)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            found.append((here[label[moved]], here[moved]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(a):
+            yield out(a, b, None)
+        many = np.repeat(size > MOST, size)
+        if many.any():
+            yield out(fp[many], None, anchor[many])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, fp = np.concatenate([anchor, _longs(batch, "anchor")]), np.concatenate([fp, _longs(batch, "fp")])
+        if full is not None:
+            on = anchor == full
+            if on.any():
+                yield out(fp[on], None, anchor[on])
+            anchor, fp = anchor[~on], fp[~on]
+            if not len(anchor):
+                continue
+            full = None
+        cut = int(np.searchsorted(anchor.view(np.int64), anchor.view(np.int64)[-1]))  # the last anchor may go on
+        if cut:
+            yield from settled(anchor[:cut], fp[:cut])
+        anchor, fp = anchor[cut:], fp[cut:]
+        if len(anchor) > MOST:
+            full = anchor[0]
+            yield out(fp, None, anchor)
+            anchor, fp = anchor[:0], fp[:0]
+    if len(anchor):
+        yield from settled(anchor, fp)
+
+
+def _at_midpoint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 1 << 14):
             part = batch.slice(i, 1 << 14)
-            fp, anchor = _longs(part, "fp"), _longs(part, "anchor")
+            fp, anchor = _longs(part, "a"), _longs(part, "anchor")
             middle = midpoints(fp)
             rows, columns = np.nonzero(anchor_of(middle) == anchor[:, None])
             yield pa.record_batch([pa.array(middle[rows, columns].view(np.int64)), pa.array(fp[rows].view(np.int64))], names=["middle", "fp"])
@@ -125,11 +191,11 @@ def _at_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that connect just what is within two bits."""
     reached = distinct.select("fp").mapInArrow(_to_anchors, "anchor long, fp long")
-    shared = reached.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    near = checkpointed(reached.join(shared, "anchor").select("anchor", "fp"))
-    near = near.mapInArrow(_at_anchor, "middle long, fp long")
-    met = near.groupBy("middle").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
-    return met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b").distinct()
+    met = checkpointed(reached.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_at_anchor, "a long, b long, anchor long"))
+    middle = met.filter("b is null").mapInArrow(_at_midpoint, "middle long, fp long")
+    middle = middle.groupBy("middle").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
+    middle = middle.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
+    return met.filter("b is not null").select("a", "b").union(middle).distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:

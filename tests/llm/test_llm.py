@@ -95,6 +95,27 @@ def test_language_network_gradients():
         assert abs((up - down) / 2e-2 - grad[k][at]) < 0.02 + 0.1 * abs(grad[k][at])
 
 
+def test_language_network_by_hand():
+    net = language_id.Network(["a", "b", "c"])
+    x = np.random.default_rng(1).integers(97, 123, (3, 12)).astype(np.uint8)
+    got = net.probabilities(x, net.tables())
+    for row, p in zip(x, got, strict=True):
+        pooled = []
+        for w in language_id.WIDTHS:
+            for f in range(language_id.FILTERS):
+                best = max(sum(float(net.p["embed"][row[i + k]] @ net.p[f"filter{w}"][k * language_id.EMBEDDING : (k + 1) * language_id.EMBEDDING, f]) for k in range(w)) for i in range(len(row) - w + 1))
+                pooled.append(max(0.0, best + net.p[f"shift{w}"][f]))
+        z = np.exp(np.array(pooled) @ net.p["out"] + net.p["bias"])
+        assert np.allclose(p, z / z.sum(), atol=1e-4)
+
+
+def test_language_training_is_bounded_and_reads_whole_texts(spark):
+    rows_ = [(7, f"la{k} " + "lu " * 400, "xx") for k in range(50)] + [(None, "stri" * 300, "yy")] * 30
+    net = language_id.fit(spark.createDataFrame(rows_, "doc_id long, text string, lang string"), per_language=10)
+    assert net.languages == ["xx", "yy"]
+    assert len(language_id.windows("lu " * 400)) == 7
+
+
 # 2 BPE
 
 
@@ -151,6 +172,37 @@ def test_dual_descent_separates():
     assert all(np.sign(w[f].sum() + b) == s for f, s in zip(rows_, y, strict=True))
 
 
+def test_quality_features_are_the_grams_of_words_and_shapes():
+    from driftloom.llm.common import Block
+    import pyarrow as pa
+
+    both = quality_model.features(Block(pa.array(["One two three", None, "One two three", "one TWO three 4"])))
+    sets = [set(both[1][both[0] == k].tolist()) for k in range(4)]
+    assert len(sets[0]) == 11 and not sets[1] and sets[0] == sets[2]  # shapes: Aa, a, Aa a, a a, Aa a a
+    # words 1-3 of the last are those of the first: three, two and one grams of them
+    assert len(sets[0] & sets[3]) == 6 + 1
+
+
+def test_dual_descent_reaches_the_optimum():
+    r = np.random.default_rng(3)
+    rows_ = [np.sort(r.choice(12, 4, replace=False)) for _ in range(40)]
+    y = np.where(r.random(40) < 0.4, 1, -1)
+    scale = r.normal(0, 1, quality_model.BUCKETS)
+    w, bias = quality_model.descend(rows_, scale, y, sweeps=3000)
+    values = [scale[f] / max(1.0, np.sqrt((scale[f] ** 2).sum())) for f in rows_]
+    bound = np.where(y > 0, quality_model.COST * 40 / (2 * (y > 0).sum()), quality_model.COST * 40 / (2 * (y < 0).sum()))
+
+    def primal(w, bias):
+        hinge = np.array([max(0.0, 1 - t * (w[f] @ v + bias)) for f, v, t in zip(rows_, values, y, strict=True)])
+        return 0.5 * (w @ w + bias * bias) + bound @ hinge
+
+    best = primal(w, bias)
+    for _ in range(400):  # no step away from it is better
+        d = np.zeros(len(w))
+        d[:12] = r.normal(0, 10.0 ** -int(r.integers(1, 5)), 12)
+        assert primal(w + d, bias + r.normal(0, 0.01)) >= best - 1e-6
+
+
 def test_toxicity(spark, empty):
     r = random.Random(5)
     mild = lambda n=40: [r.choice(WORDS) for _ in range(n)]
@@ -241,6 +293,8 @@ def test_quality_rules(docs, corpus, empty):
         assert (x.n_dup_lines, x.n_repeat_words) == (len(lines) - len(set(lines)), n_repeat)
         assert x.base_failed == (len(w) < 20 or 100 * n_repeat > 30 * len(w)) and not (x.kept and x.base_failed)
     assert rules.quality_rules(empty).count() == 0
+    odd = rules.quality_rules(clashing(docs.union(docs).withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id"))), "_t", "body", "words", "_mine", "Hashes"))
+    assert odd.count() == 2 * len(corpus) and {"_t", "body", "words", "_mine", "Hashes"} <= set(odd.columns)
 
 
 def test_quality_rules_equal_sql(spark, duck):
@@ -333,7 +387,9 @@ def test_simhash(docs, corpus, empty):
     assert Counter(x.doc_id for x in kept.collect()) == Counter({c: 2 for c in brute_classes(brute_simhash(corpus)).values()})
 
 
-def test_links_find_all_pairs_within_two_bits(spark):
+@pytest.mark.parametrize("most", [1024, 2])
+def test_links_find_all_pairs_within_two_bits(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST", most)
     r = random.Random(7)
     fps = [r.getrandbits(64) for _ in range(30)]
     for f in fps[:20]:
