@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding.
 
 Encoding: the merge ranks become a transducer over bytes. By the locality of BPE, a tokenisation is the one that
-the merges give exactly if each two neighbouring tokens are (``Ranks.stable``). So a reader of the bytes so far
+the merges give exactly if each two neighbouring tokens are (``Ranks.holds``). So a reader of the bytes so far
 needs only the places where a token may have begun: for each, how far into the vocabulary's trie the bytes since
 then lead. A set of these is one deterministic state; states and their arcs are made when first reached. An arc's
-output is the token that ends there and holds next to the one before it. A token is emitted once the tokenisations up to all places that are still open agree on it; those
-places reach back by at most the longest token's length.
+output is the token that ends there and holds next to the one before it. A token is emitted once the tokenisations up to
+all places that are still open agree on it, looked for every ``STEP`` bytes; those places reach back by at most the
+longest token's length. Pieces run through the transducer side by side.
 
-Decoding: token bytes are joined block by block and an incremental UTF-8 machine carries a character that a block
-cuts over to the next block.
+Decoding: token bytes are joined block by block and a table-driven incremental UTF-8 machine carries a character that a
+block cuts over to the next block.
 
 Cases: a null or empty text has no ids and decodes to the empty text; ids out of range raise ValueError; bytes that
 are no UTF-8 decode to U+FFFD, one for each maximal part, as the standard says; repeated rows are encoded alike; an
@@ -27,12 +28,12 @@ from struct import pack
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces in each of a worker's two memories, states of its transducer and remembered pairs; what is full starts anew.
-MOST_PIECES, MOST_STATES, MOST_PAIRS = 200_000, 150_000, 400_000
+#: Pieces in each of a worker's two memories, and states of its transducer; what is full starts anew.
+MOST_PIECES, MOST_STATES = 200_000, 150_000
 #: Rows of a batch that are Python objects at a time.
 ROWS = 256
 
@@ -40,15 +41,13 @@ ROWS = 256
 class Ranks:
     """A rank file: token bytes and, for each token, the pair of which the merges make it."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            pairs = [line.split() for line in f if line.strip()]
+    def __init__(self, data: bytes):
+        pairs = [line.split() for line in data.splitlines() if line.strip()]
         self.rank = {base64.b64decode(a): int(b) for a, b in pairs}
         self.tokens: dict[int, bytes] = {v: k for k, v in self.rank.items()}
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.joined: dict[tuple[int, int], int] = {}
-        self.known: dict[int, bool] = {}
         rank = self.rank
         for t in sorted(self.tokens):  # in rank order, parts come before what is made of them
             text = self.tokens[t]
@@ -104,22 +103,15 @@ class Ranks:
             else:
                 until, b = b + 1, left[b]
 
-    def stable(self, a: int, b: int) -> bool:
-        """``holds``, remembered in ``known`` under a * 2^20 + b."""
-        if len(self.known) > MOST_PAIRS:
-            self.known.clear()
-        out = self.known[a << 20 | b] = self.holds(a, b)
-        return out
-
 
 class Transducer:
     """Bytes in, tokens out. A state is the set of the trie nodes that the latest bytes may lead to, one for each place
     where a token may have begun; states and arcs are made when first reached, so this is the trie's nondeterministic
     automaton, determinised lazily. An arc names the tokens that may end with its byte; of these exactly one holds
-    next to the token before it. ``encode`` settles tokens once the open places have a common boundary behind them."""
+    next to the token before it. ``encode`` emits tokens once the open places have a common boundary behind them."""
 
-    #: Bytes between two looks for what can be settled.
-    STEP = 1024
+    #: Bytes between two looks for what can be emitted.
+    STEP = 64
 
     def __init__(self, ranks: Ranks):
         self.ranks = ranks
@@ -128,24 +120,23 @@ class Transducer:
     def _reset(self) -> None:
         self.states: list[tuple[int, ...]] = [(0,)]
         self.number = {self.states[0]: 0}
-        self.arcs: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
-        # the same arcs as arrays: number by state and byte; next state, ending tokens and their sizes by number
+        # arcs as arrays: number by state and byte; next state, ending tokens and their sizes by number
+        self.arcs = 0
         self.numbers = np.full((1 << 10, 256), -1, np.int32)
         self.to = np.zeros(1 << 12, np.int32)
         self.tokens = np.zeros((1 << 12, 4), np.int32)
         self.sizes = np.zeros((1 << 12, 4), np.int32)
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+    def _arc(self, state: int, byte: int) -> None:
         trie, ends, depth = self.ranks.trie, self.ranks.ends, self.ranks.depth
         reached = [to for node in self.states[state] if (to := trie[node].get(byte)) is not None]
-        ending = tuple((ends[node], depth[node]) for node in reached if node in ends)
+        ending = [(ends[node], depth[node]) for node in reached if node in ends]
         key = (*(node for node in reached if trie[node]), 0)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-        number = len(self.arcs)
-        out = self.arcs[state << 8 | byte] = (to, ending)
+        number, self.arcs = self.arcs, self.arcs + 1
         if len(self.states) > len(self.numbers):
             self.numbers = np.concatenate([self.numbers, np.full_like(self.numbers, -1)])
         if number == len(self.to):
@@ -156,106 +147,101 @@ class Transducer:
         self.to[number] = to
         self.tokens[number, : len(ending)] = [t for t, _ in ending]
         self.sizes[number, : len(ending)] = [k for _, k in ending]
-        return out
 
-    def encode_short(self, pieces: list[bytes]) -> list[bytes]:
-        """``encode`` of many short pieces side by side, each as little-endian 32-bit integers."""
-        if len(self.states) > MOST_STATES:
-            self._reset()
-        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
-        length = np.fromiter((len(pieces[i]) for i in order), np.int64, len(order))
-        longest = int(length[0]) if len(order) else 0
-        data = np.frombuffer(b"".join(pieces[i].ljust(longest, b"\0") for i in order), np.uint8).reshape(len(order), longest)
-        last = np.zeros((longest, len(order)), np.int32)
-        state = np.zeros(len(order), np.int32)
-        for j in range(longest):
-            n = int(np.searchsorted(-length, -j, "left"))
-            byte = data[:n, j]
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The tokens of each piece, as little-endian 32-bit integers."""
+        out: list[list[bytes]] = [[] for _ in pieces]
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        rows = np.argsort(-length, kind="stable")
+        rows = rows[length[rows] > 0]
+        state = np.zeros(len(rows), np.int32)
+        # of each piece: the last token emitted (-1 before any), then the token that ends at each byte not yet settled
+        held = [np.full(1, -1, np.int32)] * len(rows)
+        done = 0
+        while len(rows):
+            step = min(self.STEP, int(length[rows[0]]) - done)
+            if not done and len(self.states) > MOST_STATES:
+                self._reset()
+            reach = max(map(len, held))
+            begin = np.fromiter((reach - len(h) for h in held), np.int64, len(rows))
+            last = np.zeros((reach + step, len(rows)), np.int32)
+            for i in np.flatnonzero(begin < reach - 1).tolist():
+                last[begin[i] : reach, i] = held[i]
+            alike = np.flatnonzero(begin == reach - 1)
+            last[reach - 1, alike] = [held[i][0] for i in alike.tolist()]
+            data = np.frombuffer(b"".join(pieces[i][done : done + step].ljust(step, b"\0") for i in rows.tolist()), np.uint8).reshape(len(rows), step)
+            left_over = length[rows] - done
+            for j in range(step):
+                n = int(np.searchsorted(-left_over, -j, "left"))
+                self._advance(data[:n, j], state, last, reach + j, begin)
+            ended = left_over <= step
+            self._emit(rows[ended], last[:, ended], reach + left_over[ended], begin[ended], out)
+            going = np.flatnonzero(~ended)
+            following = []
+            for i in going.tolist():
+                column = last[begin[i] :, i]
+                settled = self._settled(int(state[i]), column)
+                if settled:
+                    ids = self._back(column, settled)
+                    out[rows[i]].append(ids[::-1].tobytes())
+                    column = np.concatenate([ids[:1], column[settled + 1 :]])
+                following.append(column)
+            held, rows, state, done = following, rows[going], state[going], done + step
+        return [b"".join(x) for x in out]
+
+    def _advance(self, byte: np.ndarray, state: np.ndarray, last: np.ndarray, at: int, begin: np.ndarray) -> None:
+        """Read one byte of each of the first pieces: new states, and in row ``at`` of ``last`` the tokens that end there."""
+        n = len(byte)
+        arc = self.numbers[state[:n], byte]
+        if len(new := np.flatnonzero(arc < 0)):
+            for key in np.unique(state[new].astype(np.int64) << 8 | byte[new]).tolist():
+                self._arc(key >> 8, key & 255)
             arc = self.numbers[state[:n], byte]
-            if len(new := np.flatnonzero(arc < 0)):
-                for key in np.unique(state[new].astype(np.int64) << 8 | byte[new]).tolist():
-                    self._arc(key >> 8, key & 255)
-                arc = self.numbers[state[:n], byte]
-            state = self.to[arc]
-            left, c = np.arange(n), 0
-            while len(left):
-                token, before = self.tokens[arc[left], c], j - self.sizes[arc[left], c]
-                holds = (before < 0) | self.ranks.pairs.hold(last[np.maximum(before, 0), left], token)
-                last[j, left[holds]] = token[holds]
-                left, c = left[~holds], c + 1
+        state[:n] = self.to[arc]
+        left, c = np.arange(n), 0
+        while len(left):
+            token, before = self.tokens[arc[left], c], at - self.sizes[arc[left], c]
+            past = last[np.maximum(before, 0), left]
+            # a token that begins before what is settled is none; the first of a piece has no other before it
+            holds = (before >= begin[left]) & ((past < 0) | self.ranks.pairs.hold(np.maximum(past, 0), token))
+            last[at, left[holds]] = token[holds]
+            left, c = left[~holds], c + 1
+
+    def _emit(self, rows: np.ndarray, last: np.ndarray, end: np.ndarray, begin: np.ndarray, out: list[list[bytes]]) -> None:
+        """Hand on the tokens of the pieces that end."""
         size = self.ranks.sizes
-        at, rows, found = length.copy(), np.arange(len(order)), []
-        owners = []
-        while len(rows):
-            token = last[at[rows] - 1, rows]
+        at, which, found, owners = end - 1, np.arange(len(rows)), [], []
+        while len(which):
+            token = last[at[which], which]
             found.append(token)
-            owners.append(rows)
-            at[rows] -= size[token]
-            rows = rows[at[rows] > 0]
-        out = [b""] * len(pieces)
+            owners.append(which)
+            at[which] -= size[token]
+            which = which[at[which] > begin[which]]
         if found:
             owner, token = np.concatenate(owners)[::-1], np.concatenate(found)[::-1]
             by = np.argsort(owner, kind="stable")
             ids = token[by].astype("<u4").tobytes()
-            cut = (4 * np.searchsorted(owner[by], np.arange(len(order) + 1))).tolist()
-            for k, i in enumerate(order):
-                out[i] = ids[cut[k] : cut[k + 1]]
-        return out
+            cut = (4 * np.searchsorted(owner[by], np.arange(len(rows) + 1))).tolist()
+            for k, i in enumerate(rows.tolist()):
+                out[i].append(ids[cut[k] : cut[k + 1]])
 
-    def _back(self, last: list[int], at: int) -> list[int]:
-        """The tokens of the first ``at`` bytes, latest first."""
-        out, size = [], self.ranks.size
+    def _back(self, column: np.ndarray, at: int) -> np.ndarray:
+        """The tokens of the bytes up to place ``at``, latest first."""
+        found, size = [], self.ranks.sizes
         while at > 0:
-            out.append(last[at - 1])
-            at -= size[out[-1]]
-        return out
+            found.append(column[at])
+            at -= int(size[column[at]])
+        return np.array(found, "<u4")
 
-    def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > MOST_STATES:
-            self._reset()
-        out: list[int] = []
-        last: list[int] = []
-        state, get, known, stable = 0, self.arcs.get, self.ranks.known.get, self.ranks.stable
-        n = 0
-        begun = True  # whether last[0] begins the piece, so that no token stands before it
-        before = -1
-        for byte in piece:
-            arc = get(state << 8 | byte) or self._arc(state, byte)
-            state = arc[0]
-            n += 1
-            for token, size in arc[1]:
-                if size < n:
-                    a = last[n - size - 1]
-                elif size == n:
-                    if begun:
-                        break
-                    a = before
-                else:
-                    continue
-                holds = known(a << 20 | token)
-                if holds is None:
-                    holds = stable(a, token)
-                if holds:
-                    break
-            last.append(token)
-            if n >= self.STEP:
-                settled = self._settle(state, last)
-                if settled:
-                    out += self._back(last, settled)[::-1]
-                    before, begun = out[-1], False
-                    del last[:settled]
-                    n -= settled
-        return out + self._back(last, n)[::-1]
-
-    def _settle(self, state: int, last: list[int]) -> int:
+    def _settled(self, state: int, column: np.ndarray) -> int:
         """The latest boundary that the tokenisations up to all open places share."""
-        size, depth = self.ranks.size, self.ranks.depth
+        size, depth = self.ranks.sizes, self.ranks.depth
         common: set[int] | None = None
         for node in self.states[state]:
-            at, seen = len(last) - depth[node], set()
+            at, seen = len(column) - 1 - depth[node], set()
             while at > 0:
                 seen.add(at)
-                at -= size[last[at - 1]]
+                at -= int(size[column[at]])
             common = seen if common is None else common & seen
         return max(common or {0})
 
@@ -288,12 +274,12 @@ class Pieces(dict):
 
     A full memory becomes the old one; pieces met again move from it to the new one, so that frequent pieces stay."""
 
-    #: Bytes of a piece that is encoded along with others, or kept.
-    SHORT = 64
+    #: Bytes of the longest piece that is remembered for other texts.
+    REMEMBERED = 64
 
     def __init__(self, ranks: Ranks):
         super().__init__()
-        self.ranks, self.transducer, self.old = ranks, Transducer(ranks), {}
+        self.ranks, self.transducer, self.old, self.long = ranks, Transducer(ranks), {}, {}
 
     def prepare(self, lists: list[list[str]]) -> None:
         """Encode the pieces of the lists that are not known yet, side by side."""
@@ -304,53 +290,95 @@ class Pieces(dict):
         again = missing & self.old.keys()
         for p in again:
             self[p] = self.old[p]
-        short = []
+        new = []
         for p in missing - again:
             raw = p.encode()
             whole = self.ranks.rank.get(raw)
             if whole is not None:
                 self[p] = pack("<I", whole)
-            elif len(raw) <= self.SHORT:
-                short.append((p, raw))
-        if short:
-            self.update(zip((p for p, _ in short), self.transducer.encode_short([raw for _, raw in short]), strict=True))
+            else:
+                new.append((p, raw))
+        self.long = {}
+        for (p, raw), ids in zip(new, self.transducer.encode([raw for _, raw in new]), strict=True):
+            (self if len(raw) <= self.REMEMBERED else self.long)[p] = ids
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode())
-        return pack(f"<{len(ids)}I", *ids)
+        return self.long[piece]
+
+
+def _utf8_table() -> tuple[list[list[int]], list[int]]:
+    """Next states by state and byte, and the bits of a first byte that belong to the character.
+
+    States: 0 between characters, 1 to 3 so many more bytes, 4 to 7 after the bytes that narrow the next one (E0, ED, F0,
+    F4), 8 no UTF-8."""
+    table = [[8] * 256 for _ in range(8)]
+    bits = [0] * 256
+    for byte in range(256):
+        if byte < 0x80:
+            table[0][byte], bits[byte] = 0, byte
+        elif 0xC2 <= byte < 0xE0:
+            table[0][byte], bits[byte] = 1, byte & 31
+        elif 0xE0 <= byte < 0xF0:
+            table[0][byte], bits[byte] = {0xE0: 4, 0xED: 5}.get(byte, 2), byte & 15
+        elif 0xF0 <= byte < 0xF5:
+            table[0][byte], bits[byte] = {0xF0: 6, 0xF4: 7}.get(byte, 3), byte & 7
+    for byte in range(0x80, 0xC0):
+        table[1][byte], table[2][byte], table[3][byte] = 0, 1, 2
+        table[4][byte] = 1 if byte >= 0xA0 else 8
+        table[5][byte] = 1 if byte < 0xA0 else 8
+        table[6][byte] = 2 if byte >= 0x90 else 8
+        table[7][byte] = 2 if byte < 0x90 else 8
+    return table, bits
 
 
 class Utf8Machine:
-    """Incremental UTF-8: ``feed`` returns the characters that are complete; ``end`` what a cut text leaves."""
+    """Incremental UTF-8 by a table of states: ``feed`` returns the characters that are complete, ``end`` what a cut text
+    leaves. A maximal part that no character begins with becomes U+FFFD.
+
+    Stretches that are well-formed from one character's start to another's end go through Python's own decoder."""
+
+    TABLE, BITS = _utf8_table()
 
     def __init__(self) -> None:
-        self.held = b""
-
-    @staticmethod
-    def _open(tail: bytes) -> int:
-        """How many bytes at the end begin a character that more bytes could complete."""
-        for back in range(1, min(3, len(tail)) + 1):
-            lead = tail[-back]
-            if lead & 0xC0 == 0x80:
+        self.state, self.value = 0, 0
+
+    def _run(self, data: bytes, out: list[str]) -> None:
+        table, state, value = self.TABLE, self.state, self.value
+        for byte in data:
+            to = table[state][byte]
+            if to == 8 and state:  # the part before is broken off; the byte begins anew
+                out.append("\ufffd")
+                state = 0
+                to = table[0][byte]
+            if to == 8:
+                out.append("\ufffd")
+                state = 0
                 continue
-            need = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
-            if need <= back:
-                return 0
-            if back > 1:
-                low, high = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(lead, (0x80, 0xBF))
-                if not low <= tail[-back + 1] <= high:
-                    return 0
-            return back
-        return 0
+            value = value << 6 | byte & 63 if state else self.BITS[byte]
+            state = to
+            if not state:
+                out.append(chr(value))
+        self.state, self.value = state, value
 
     def feed(self, data: bytes) -> str:
-        data = self.held + data
-        cut = len(data) - self._open(data[-3:])
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        out: list[str] = []
+        start = 0
+        while self.state and start < len(data):
+            self._run(data[start : start + 1], out)
+            start += 1
+        end = len(data)  # the last character may be open
+        while end > start and len(data) - end < 3 and data[end - 1] & 0xC0 == 0x80:
+            end -= 1
+        end = max(start, end - 1)
+        try:
+            out.append(data[start:end].decode())
+        except UnicodeDecodeError:
+            self._run(data[start:end], out)
+        self._run(data[end:], out)
+        return "".join(out)
 
     def end(self) -> str:
-        out, self.held = self.held.decode("utf-8", "replace"), b""
+        out, self.state = "\ufffd" if self.state else "", 0
         return out
 
 
@@ -358,8 +386,8 @@ class Codec:
     #: Ids that the decoder takes at a time, characters that are encoded together.
     STEP, GROUP = 1 << 15, 1 << 20
 
-    def __init__(self, path: str, pattern: str):
-        self.ranks = Ranks(path)
+    def __init__(self, ranks: bytes, pattern: str):
+        self.ranks = Ranks(ranks)
         self.pieces = Pieces(self.ranks)
         self.pattern = regex.compile(pattern)
         # the bytes of all tokens in one array, and where each begins (one past the end: no such token)
@@ -409,16 +437,24 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+def codec(ranks: bytes, pattern: str) -> Codec:
     """One a worker process, as loading a vocabulary takes about a second."""
     gc.set_threshold(500_000, 50, 1000)  # the states are many small tuples without cycles
-    return Codec(path, pattern)
+    return Codec(ranks, pattern)
+
+
+def _rank_file(path: str):
+    """The rank file as a broadcast, so that only the driver opens it; it is some megabytes."""
+    with open(path, "rb") as f:
+        return SparkSession.active().sparkContext.broadcast(f.read())
 
 
 def _encoder(path: str, pattern: str):
+    ranks = _rank_file(path)
+
     @F.arrow_udf(T.BinaryType())
     def encode_text(texts: pa.Array) -> pa.Array:
-        encode = codec(path, pattern).encode
+        encode = codec(ranks.value, pattern).encode
         # a few rows at a time, so that not all texts of a batch are Python strings at once
         parts = [pa.array(encode([t or "" for t in texts.slice(i, ROWS).to_pylist()]), pa.binary()) for i in range(0, len(texts), ROWS)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
@@ -427,9 +463,11 @@ def _encoder(path: str, pattern: str):
 
 
 def _decoder(path: str, pattern: str):
+    ranks = _rank_file(path)
+
     @F.arrow_udf(T.StringType())
     def decode_ids(ids: pa.Array) -> pa.Array:
-        decode = codec(path, pattern).decode
+        decode = codec(ranks.value, pattern).decode
         parts = [pa.array([decode(x or b"") for x in ids.slice(i, ROWS).to_pylist()], pa.string()) for i in range(0, len(ids), ROWS)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
