@@ -35,7 +35,7 @@ DEPTH, DISCOUNT = 4, 0.75
 LEAST_CONTEXT, LEAST_EDGE, LEAST_GAIN = 20, 3, 8.0
 MOST_BROADCAST = 1 << 19
 #: Bits of a filter (a power of two); a filter is at most an eighth as many bytes.
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 #: The hash that stands for the end of a text, and keys that a task sums up before it hands them on.
 END = np.uint64(0x0D15EA5E0DDBA115)
 HELD = 1 << 21
@@ -89,12 +89,12 @@ class Filter:
 
     @staticmethod
     def of(hashes: DataFrame) -> Filter:
-        """The filter of the column h; at most FILTER_BITS / 64 rows reach the driver."""
+        """The filter of the column h; at most FILTER_BITS / 64 pairs of numbers reach the driver."""
         leading = F.shiftrightunsigned("h", 64 - (FILTER_BITS.bit_length() - 1))
         bits = hashes.select(F.shiftright(leading, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), leading.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
-        found = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+        found = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
         words = np.zeros(FILTER_BITS // 64, np.uint64)
-        words[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
+        words[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
         return Filter(words)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
@@ -275,15 +275,15 @@ class Local:
 
     def __init__(self, tree: Tree):
         self.depth, self.unseen = tree.depth, tree.unseen
-        words = tree.counts.orderBy(F.desc("n"), "h").limit(MOST_BROADCAST).toPandas()
-        self.words = Lookup(words["h"].to_numpy(np.int64).view(np.uint64), np.log10(words["n"].to_numpy() + 0.5) - self.unseen)
+        words = tree.counts.orderBy(F.desc("n"), "h").limit(MOST_BROADCAST).toArrow()
+        self.words = Lookup(words["h"].to_numpy().view(np.uint64), np.log10(words["n"].to_numpy() + 0.5) - self.unseen)
         self.entries, self.rest = Lookup(np.zeros(0, np.uint64), np.zeros(0)), None
         if tree.entries is None:
             return
-        entries = tree.entries.orderBy(F.desc("n"), "key").limit(MOST_BROADCAST).toPandas()
-        self.entries = Lookup(entries["key"].to_numpy(np.int64).view(np.uint64), entries["value"].to_numpy())
+        entries = tree.entries.orderBy(F.desc("n"), "key").limit(MOST_BROADCAST).toArrow()
+        self.entries = Lookup(entries["key"].to_numpy().view(np.uint64), entries["value"].to_numpy())
         if len(entries) == MOST_BROADCAST:
-            least, last = int(entries["n"].iloc[-1]), int(entries["key"].iloc[-1])
+            least, last = entries["n"][-1].as_py(), entries["key"][-1].as_py()
             beyond = tree.entries.filter((F.col("n") < least) | ((F.col("n") == least) & (F.col("key") > last)))
             self.rest = Filter.of(beyond.select(F.col("key").alias("h")))
 
