@@ -12,7 +12,8 @@ meet by hash in sorted partitions. Entries of a key are compared by their byte h
 each edit changes at most two by one). Candidate pairs are verified by a banded bit-parallel edit distance.
 
 Keys of more than ``HOT`` entries are not compared in their task. Their entries are keyed anew by parts of the histograms
-(linked lines agree in at least two of six parts, so each line has fifteen such keys). Of keys that are hot still, lines
+(linked lines agree in at least two of six parts, so each line has fifteen such keys). Of keys that are hot still, and of
+those with more than ``FEW`` near pairs for each entry, lines
 are compared with leaders turn by turn, then those that are still apart with each other, dealt over tasks
 (``graph.connected``). No entry and no pair of different classes is dropped.
 
@@ -41,8 +42,8 @@ from .graph import connected
 
 #: Lengths from which one and two edits are allowed.
 ONE, TWO = 20, 40
-#: Entries of a key up to which they are compared in one task.
-HOT = 64
+#: Entries of a key up to which they are compared in one task, and near pairs for each of them up to which these leave it.
+HOT, FEW = 64, 2
 #: Pairs verified at a time, bytes of their lines, and bytes between two looks for pairs that are too far apart already.
 CHUNK, CHUNK_BYTES, LOOK = 4096, 4 << 20, 64
 #: Histograms of linked lines differ by at most 4 in all, so of six parts of the counters two are equal.
@@ -175,8 +176,8 @@ MET = "key long, a long, b long, bag long"
 
 
 def _to_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of keys of up to HOT entries (key null, a, b): lines with near histograms, a < b. Of others the entries (key, a, b
-    null, bag) with a the line. The entries come sorted by key and line."""
+    """Of keys of up to HOT entries (key null, a, b): lines with near histograms, a < b. Of others, and of those with too
+    many pairs (b 1, else null), the entries (key, a, b, bag) with a the line. The entries come sorted by key and line."""
     key = line = bag = np.zeros(0, np.uint64)
     hot: np.uint64 | None = None  # the key at the end of the last batch, if it is known to be hot
 
@@ -191,19 +192,23 @@ def _to_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # lines are sorted as signed values, so that one line's two entries are neighbours and ends differ if any do
         several = plain[edge[:-1]] != plain[edge[1:] - 1]
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        dense = np.zeros(len(size), bool)
         for g in np.flatnonzero(several & (size <= HOT)).tolist():
             i, j = edge[g], edge[g + 1]
             index = i + np.flatnonzero((line[i:j] & np.uint64(1)) == 0)
             x, y = np.nonzero(_near(bag[i:j], bag[index], 4) & (plain[i:j, None] != plain[None, index]))
-            if len(x):
+            if len(x) > 2 * FEW * (j - i):
+                dense[g] = True
+            elif len(x):
                 pairs.append((plain[i + x], plain[index[y]]))
         if pairs:
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
             a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield out(None, a, b, None)
-        many = np.repeat(several & (size > HOT), size)
-        if many.any():
-            yield out(key[many], plain[many], None, bag[many])
+        for rows, mark in ((several & (size > HOT), None), (dense, np.ones(int(size[dense].sum()), np.int64))):
+            many = np.repeat(rows, size)
+            if many.any():
+                yield out(key[many], plain[many], mark, bag[many])
 
     for batch in batches:
         if not batch.num_rows:
@@ -364,10 +369,10 @@ class Join:
         keyed = self.rows.select("text").mapInArrow(_to_entries, "key long, line long, bag long")
         met = checkpointed(keyed.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_to_pairs, MET))
         parts = F.array(*[F.xxhash64("key", F.lit(i), F.col("bag").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(PARTS)])
-        again = met.filter("key is not null").select(F.explode(parts).alias("key"), F.col("a").alias("line"), "bag")
+        again = met.filter("key is not null and b is null").select(F.explode(parts).alias("key"), F.col("a").alias("line"), "bag")
         met2 = checkpointed(again.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_to_pairs, MET))
         pairs = met.union(met2).filter("key is null").select("a", "b").distinct()
-        hot = met2.filter("key is not null").distinct()
+        hot = met.filter("b = 1").union(met2).filter("key is not null").select("key", "a", "bag").distinct()
         # from the short digests to the lines that have them
         wanted = pairs.select(F.col("a").alias("short")).union(pairs.select("b")).union(hot.select("a")).distinct()
         names = checkpointed(self.firsts.join(wanted, "short").select("short", "line"))

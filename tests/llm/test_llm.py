@@ -628,6 +628,7 @@ def test_line_dedup(spark, empty, monkeypatch):
     gone = brute_lines(data)
     for hot in (line_dedup.HOT, 2):
         monkeypatch.setattr(line_dedup, "HOT", hot)
+        monkeypatch.setattr(line_dedup, "FEW", hot // 32)
         got = {x.doc_id: x for x in line_dedup.dedup(clashing(df, "n_lines", "line", "places", "id", "gone_id", "gone_places")).collect()}
         for i, t in data:
             parts = (t or "").split("\n")
