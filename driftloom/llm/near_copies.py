@@ -2,7 +2,9 @@
 
 Texts with the same shingles are one node. Two sets of shingles of a Jaccard similarity of 0.8 or more share one of the
 first n - ceil(0.8 n) + 1 shingles of each, in whatever order all sets are sorted. So each node is entered under these
-shingles only, and nodes of a common entry are candidates, which are verified by their whole sets. No such pair is lost.
+shingles only. Nodes of a common entry are candidates if their sizes allow it and so do their sketches: 256 bits, each
+the parity of the shingles that fall to it, of which two sets differ in no more than they differ in shingles, a ninth of
+both sizes at most. Candidates are verified by their whole sets. No such pair is lost.
 The order is by the count in a sample of the texts, then by hash: common phrases come last and are seldom entered.
 The sample decides what the join costs, not what it finds.
 
@@ -64,14 +66,23 @@ def _common(rows: DataFrame, id: str, text: str, words: int, n: int) -> tuple[np
     return key[order], table["n"].to_numpy(np.int64)[order]
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Four numbers whose bits are the parities of the different hashes by their leading byte."""
+    odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+_X = "struct<n:bigint,s0:bigint,s1:bigint,s2:bigint,s3:bigint>"
+
+
 def _entries(rows: DataFrame, text: str, words: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, node, n): the shingles under which each node is entered, and how many it has."""
+    """(key, node, x): the shingles under which each node is entered, and how many it has with their sketch."""
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = shared.value
         for batch in slices(batches, text):
-            keys, nodes, sizes, seen = [np.zeros(0, np.uint64)], [], [], set()
+            keys, nodes, about, seen = [np.zeros(0, np.uint64)], [], [np.zeros((0, 5), np.int64)], set()
             for t in batch.column(text).to_pylist():
                 hashes = shingles(t, words)
                 node = _node(hashes)
@@ -87,11 +98,13 @@ def _entries(rows: DataFrame, text: str, words: int, common: tuple[np.ndarray, n
                 n = len(own)
                 keys.append(own[np.argsort(rank, kind="stable")[: n + (-4 * n // 5) + 1]])
                 nodes.append(node)
-                sizes.append(n)
+                about.append(np.concatenate([[n], sketch(own)])[None, :])
             each = [len(k) for k in keys[1:]]
-            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int64), each))], names=["key", "node", "n"])
+            x = np.repeat(np.concatenate(about), each, axis=0)
+            x = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in range(5)], ["n", "s0", "s1", "s2", "s3"])
+            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), each)), x], names=["key", "node", "x"])
 
-    return rows.select(text).mapInArrow(run, "key long, node long, n long")
+    return rows.select(text).mapInArrow(run, f"key long, node long, x {_X}")
 
 
 def _verified(pairs: DataFrame, first: DataFrame, rows: DataFrame, id: str, text: str, words: int) -> DataFrame:
@@ -114,8 +127,9 @@ def _verified(pairs: DataFrame, first: DataFrame, rows: DataFrame, id: str, text
 
 
 def _alike(a: Column, b: Column) -> Column:
-    """Whether sets of these sizes can be similar."""
-    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+    """Whether sets of these sizes and sketches can be similar."""
+    differ = sum((F.bit_count(a[f"s{i}"].bitwiseXOR(b[f"s{i}"])) for i in range(4)), F.lit(0))
+    return (5 * F.least(a["n"], b["n"]) >= 4 * F.greatest(a["n"], b["n"])) & (9 * differ <= a["n"] + b["n"])
 
 
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
@@ -125,7 +139,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     first = checkpointed(described.groupBy("node").agg(F.min(id).alias("first"), F.min("fp").alias("fp")))
     entries = checkpointed(_entries(rows, text, words, _common(rows, id, text, words, first.count())))
     ends = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    met = checkpointed(entries.join(ends, "key").select("key", "node", F.col("n").alias("x")).distinct())
+    met = checkpointed(entries.join(ends, "key").select("key", "node", "x").distinct())
 
     of = first.groupBy("fp").agg(F.min("node").alias("node"))
     copies = first.join(of.withColumnRenamed("node", "a"), "fp").select("a", F.col("node").alias("b")).filter("a <> b")
