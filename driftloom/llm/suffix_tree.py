@@ -7,8 +7,8 @@ a state if the training texts gain at least ``LEAST_GAIN`` in log-likelihood fro
 (the count times the divergence of the two). A state's distribution is absolutely discounted and gives what is left
 to that of its suffix, so each is a proper distribution. A symbol is scored by the longest state that ends its past.
 
-All bounds are counts, so the tree grows with the corpus. It is grown level by level as tables: a run of words can be
-frequent only if both runs of one word less are, so that each pass counts few runs beyond the pairs. What a pass needs to
+All bounds are counts, so the tree grows with the corpus. It is grown level by level as tables: a run of words counts only
+if its context is a candidate and its suffix is frequent, so that each pass counts few runs beyond the pairs. What a pass needs to
 know of the level before is a bit for each hash, in ``FILTER_BITS`` bits whatever the size; a wrong bit only makes
 work, as counts decide. For scoring, the ``MOST_BROADCAST`` most frequent words and that many entries of the tree go to the executors; what a text
 has of others is joined to the tables.
@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Block, Lookup, SpanHasher, blocks, checkpointed, mixed, unused
+from .common import LOWER, Block, Lookup, SpanHasher, Tables, blocks, checkpointed, mixed, release, remove_folder, unused
 
 #: Words of the longest context; taken off each count of a next symbol.
 DEPTH, DISCOUNT = 4, 0.75
@@ -135,21 +136,20 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _pass(texts: DataFrame, k: int, last: Filter | None, here: Filter) -> DataFrame:
-    """One reading of the texts. (g, n): counts of the runs of k + 1 symbols whose parts of k are in ``here``; and of those of k
-    that are there (g, null, context, suffix, symbol), if ``last`` is the filter of their parts (k > 1)."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((last.words if last else None, here.words))
+def _pass(texts: DataFrame, k: int, here: Filter, often: Filter) -> DataFrame:
+    """One reading of the texts: (g, described, n, context, suffix). Not described are the counts of the runs of k + 1 symbols
+    whose first k are in ``often`` and whose last k are in ``here``; described, for k > 1, are the runs of k that are in
+    ``here``: what precedes their last symbol, and what follows their first."""
+    shared = texts.sparkSession.sparkContext.broadcast((here.words, often.words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, now = shared.value
-        now = Filter(now)
+        now, context = map(Filter, shared.value)
         described: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def rows(key, n, context, suffix, symbol) -> pa.RecordBatch:
-            columns = [pa.nulls(len(key), pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (key, n, context, suffix, symbol)]
-            return pa.record_batch(columns, names=["g", "n", "context", "suffix", "symbol"])
+        def rows(key, n, context, suffix) -> pa.RecordBatch:
+            columns = [pa.nulls(len(key), pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (key, n, context, suffix)]
+            return pa.record_batch(columns, names=["g", "n", "context", "suffix"])
 
         def distinct() -> tuple[np.ndarray, ...]:
             every = [np.concatenate(x) for x in zip(*described, strict=True)]
@@ -167,17 +167,18 @@ def _pass(texts: DataFrame, k: int, last: Filter | None, here: Filter) -> DataFr
                     at = np.flatnonzero(known)
                     _, first = np.unique(short[at], return_index=True)
                     at = at[first]
-                    described.append((short[at], runs.run(k - 1)[at - 1], runs.run(k - 1)[at], runs.hashes[at]))
+                    described.append((short[at], runs.run(k - 1)[at - 1], runs.run(k - 1)[at]))
                     size += len(at)
                     if size >= HELD // 4:
                         described[:] = [distinct()]
                         size = len(described[0][0])
                 at = runs.whole(k + 1)
-                at = at[known[at] & known[at - 1]]
+                at = at[known[at]]
+                at = at[context.has(short[at - 1])]
                 yield runs.run(k + 1)[at].view(np.int64)
 
         for key, n in _summed(keys()):
-            yield rows(key, n, None, None, None)
+            yield rows(key, n, None, None)
             if size >= HELD:
                 g, *rest = distinct()
                 yield rows(g, None, *rest)
@@ -187,11 +188,9 @@ def _pass(texts: DataFrame, k: int, last: Filter | None, here: Filter) -> DataFr
             g, *rest = distinct()
             yield rows(g, None, *rest)
 
-    found = texts.mapInArrow(run, "g long, n long, context long, suffix long, symbol long")
-    kind = F.col("n").isNull().alias("described")
-    least = [F.min(c).alias(c) for c in ("context", "suffix", "symbol")]
-    found = found.groupBy("g", kind).agg(F.sum("n").alias("n"), *least)
-    return checkpointed(found.filter(F.col("described") | (F.col("n") >= LEAST_EDGE)))
+    found = texts.mapInArrow(run, "g long, n long, context long, suffix long")
+    found = found.groupBy("g", F.col("n").isNull().alias("described")).agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix"))
+    return found.filter(F.col("described") | (F.col("n") >= LEAST_EDGE))
 
 
 class Tree:
@@ -232,42 +231,45 @@ def fit(texts: DataFrame, counts: DataFrame, depth: int = DEPTH) -> Tree:
     """The tree of the column text, given the counts of its symbols."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tree = Tree(counts, total, distinct, None, depth)
+    tables = Tables(texts.sparkSession, "suffix-tree")
     # runs of one symbol: how often, and the probability by the tree so far
     known = counts.filter(F.col("n") >= LEAST_EDGE).select(F.col("h").alias("g"), "n", ((F.col("n") + 0.5) / F.lit(10**tree.unseen)).alias("q"))
-    here, last, found = Filter.of(known.select(F.col("g").alias("h"))), None, None
-    levels = []
+    found, parts = known, []
     for k in range(1, depth + 2):
-        after = _pass(texts, k, last, here)
+        here = Filter.of(found.select(F.col("g").alias("h")))
+        often = Filter.of(found.filter(F.col("n") >= LEAST_CONTEXT).select(F.col("g").alias("h")))
+        after = tables.write(_pass(texts, k, here, often))
+        release(texts.sparkSession)
         if k > 1:
             # the runs of k symbols are next symbols after contexts of k - 1
-            runs = found.filter("not described").select("g", "n").join(after.filter("described").select("g", "context", "suffix", "symbol"), "g")
+            runs = found.join(after.filter("described").select("g", "context", "suffix"), "g")
             runs = runs.join(known.select(F.col("g").alias("suffix"), F.col("q").alias("low")), "suffix")
-            runs = checkpointed(runs.join(known.select(F.col("g").alias("context"), F.col("n").alias("often")), "context"))
-            states = _tested(runs)
-            levels.append((k - 1, runs, states))
+            runs = tables.write(runs.join(known.filter(F.col("n") >= LEAST_CONTEXT).select(F.col("g").alias("context"), F.col("n").alias("often")), "context"))
+            states = tables.write(_tested(runs))
             share = (F.col("n") - DISCOUNT) / F.col("often")
             q = F.when(F.col("rest").isNotNull(), share + F.col("rest") * F.col("low")).otherwise(F.col("low"))
-            known = checkpointed(runs.join(states.select("context", "rest"), "context", "left").select("g", "n", q.alias("q"), F.col("rest").isNotNull().alias("edge")))
+            known = tables.write(runs.join(states.select("context", "rest"), "context", "left").select("g", "n", q.alias("q"), F.col("rest").isNotNull().alias("edge")))
             edges = known.filter("edge").select(F.col("g").alias("h"), F.lit(False).alias("state"), "n", F.log10("q").alias("value"))
-            entries = _keyed(edges.union(states.select(F.col("context").alias("h"), F.lit(True), F.col("often"), F.log10("rest"))), k - 1)
-            tree.entries = entries if tree.entries is None else tree.entries.union(entries)
-        last, found = here, after
-        here = Filter.of(after.filter("not described").select(F.col("g").alias("h")))
-        if k > 1 and not here.words.any():
+            parts.append(_keyed(edges.union(states.select(F.col("context").alias("h"), F.lit(True), F.col("often"), F.log10("rest"))), k - 1))
+            tables.drop(runs)
+            release(texts.sparkSession)
+        found = after.filter("not described").select("g", "n")
+        if k > 1 and not often.words.any():
             break
-    if tree.entries is not None:
-        tree.entries = checkpointed(tree.entries)
+    if parts:
+        tree.entries = checkpointed(reduce(DataFrame.union, parts))
+    remove_folder(texts.sparkSession, tables.folder)
     return tree
 
 
 def _tested(runs: DataFrame) -> DataFrame:
     """(context, often, rest) of the contexts of ``runs`` that become states."""
-    runs = runs.filter(F.col("often") >= LEAST_CONTEXT).withColumn("share", (F.col("n") - DISCOUNT) / F.col("often"))
+    runs = runs.withColumn("share", (F.col("n") - DISCOUNT) / F.col("often"))
     sums = runs.groupBy("context").agg((1 - F.sum("share")).alias("rest"), F.sum("n").alias("seen"), F.min("often").alias("often"))
     gain = F.col("n") * F.log((F.col("share") + F.col("rest") * F.col("low")) / F.col("low"))
     gains = runs.select("context", "n", "share", "low").join(sums, "context").groupBy("context").agg(F.sum(gain).alias("gain"), F.min("rest").alias("rest"), F.min("seen").alias("seen"), F.min("often").alias("often"))
     lost = F.greatest(F.col("often") - F.col("seen"), F.lit(0)) * F.log("rest")
-    return checkpointed(gains.filter(F.col("gain") + lost >= LEAST_GAIN).select("context", "often", "rest"))
+    return gains.filter(F.col("gain") + lost >= LEAST_GAIN).select("context", "often", "rest")
 
 
 class Local:
