@@ -9,9 +9,9 @@ to that of its suffix, so each is a proper distribution. A symbol is scored by t
 
 All bounds are counts, so the tree grows with the corpus. It is grown level by level as tables: a run of words counts only
 if its context is a candidate and its suffix is frequent, so that each pass counts few runs beyond the pairs. What a pass needs to
-know of the level before is a bit for each hash, in ``FILTER_BITS`` bits whatever the size; a wrong bit only makes
-work, as counts decide. For scoring, the ``MOST_BROADCAST`` most frequent words and that many entries of the tree go to the executors; what a text
-has of others is joined to the tables.
+know of the level before is two bits for each hash, of ``FILTER_BITS`` bits whatever the size; a wrong bit only makes
+work, as counts decide. For scoring, the most frequent words and entries of the tree, up to ``MOST_WORDS`` and ``MOST_ENTRIES``, go to the
+executors; what a text has of others is joined to the tables.
 
 Cases: a null or empty text is its end alone; rows without an id are training rows; repeated rows count and are scored
 each; without any training text every symbol has the root's probability of an unseen one; an empty table gives an
@@ -33,9 +33,10 @@ from .common import LOWER, Block, Lookup, SpanHasher, Tables, blocks, checkpoint
 
 #: Words of the longest context; taken off each count of a next symbol.
 DEPTH, DISCOUNT = 4, 0.75
-LEAST_CONTEXT, LEAST_EDGE, LEAST_GAIN = 20, 3, 8.0
-MOST_BROADCAST = 1 << 19
-#: Bits of a filter (a power of two); a filter is at most an eighth as many bytes.
+LEAST_CONTEXT, LEAST_EDGE, LEAST_GAIN = 20, 5, 8.0
+#: Words and entries of the tree that executors have at hand (16 bytes each).
+MOST_WORDS, MOST_ENTRIES = 1 << 19, 1 << 22
+#: Bits of a filter (a power of two); a filter is an eighth as many bytes.
 FILTER_BITS = 1 << 26
 #: The hash that stands for the end of a text, and keys that a task sums up before it hands them on.
 END = np.uint64(0x0D15EA5E0DDBA115)
@@ -83,7 +84,7 @@ class Runs:
 
 
 class Filter:
-    """A bit for each value of a hash's leading bits."""
+    """Two bits for each hash, named by its leading and its last bits."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
@@ -91,16 +92,19 @@ class Filter:
     @staticmethod
     def of(hashes: DataFrame) -> Filter:
         """The filter of the column h; at most FILTER_BITS / 64 pairs of numbers reach the driver."""
-        leading = F.shiftrightunsigned("h", 64 - (FILTER_BITS.bit_length() - 1))
-        bits = hashes.select(F.shiftright(leading, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), leading.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+        places = F.array(F.shiftrightunsigned("h", 64 - (FILTER_BITS.bit_length() - 1)), F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)))
+        at = hashes.select(F.explode(places).alias("at"))
+        bits = at.select(F.shiftright("at", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int")).alias("b"))
         found = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
         words = np.zeros(FILTER_BITS // 64, np.uint64)
         words[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
         return Filter(words)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> np.uint64(64 - (FILTER_BITS.bit_length() - 1))
-        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) > 0
+        out = np.ones(len(hashes), bool)
+        for at in (hashes >> np.uint64(64 - (FILTER_BITS.bit_length() - 1)), hashes & np.uint64(FILTER_BITS - 1)):
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) > 0
+        return out
 
 
 def _summed(keys: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -272,22 +276,27 @@ def _tested(runs: DataFrame) -> DataFrame:
     return gains.filter(F.col("gain") + lost >= LEAST_GAIN).select("context", "often", "rest")
 
 
+def _most(table: DataFrame, most: int, *columns: Column | str) -> tuple[int, pa.Table]:
+    """Those rows of the highest counts n that are ``most`` or fewer, and the least count of them (1 for all rows)."""
+    by_count = table.groupBy("n").agg(F.count("*").alias("rows")).toArrow().sort_by([("n", "descending")])
+    fits = int((np.cumsum(by_count["rows"].to_numpy()) <= most).sum())
+    least = 1 if fits == len(by_count) else by_count["n"][fits - 1].as_py() if fits else 1 << 62
+    return least, table.filter(F.col("n") >= least).select(*columns).toArrow()
+
+
 class Local:
     """The part of a tree that executors have at hand, and a filter of the rest (none if there is no rest)."""
 
     def __init__(self, tree: Tree):
         self.depth, self.unseen = tree.depth, tree.unseen
-        words = tree.counts.orderBy(F.desc("n"), "h").limit(MOST_BROADCAST).toArrow()
-        self.words = Lookup(words["h"].to_numpy().view(np.uint64), np.log10(words["n"].to_numpy() + 0.5) - self.unseen)
+        _, words = _most(tree.counts, MOST_WORDS, "h", F.log10(F.col("n") + 0.5).alias("value"))
+        self.words = Lookup(words["h"].to_numpy().view(np.uint64), words["value"].to_numpy() - self.unseen)
         self.entries, self.rest = Lookup(np.zeros(0, np.uint64), np.zeros(0)), None
-        if tree.entries is None:
-            return
-        entries = tree.entries.orderBy(F.desc("n"), "key").limit(MOST_BROADCAST).toArrow()
-        self.entries = Lookup(entries["key"].to_numpy().view(np.uint64), entries["value"].to_numpy())
-        if len(entries) == MOST_BROADCAST:
-            least, last = entries["n"][-1].as_py(), entries["key"][-1].as_py()
-            beyond = tree.entries.filter((F.col("n") < least) | ((F.col("n") == least) & (F.col("key") > last)))
-            self.rest = Filter.of(beyond.select(F.col("key").alias("h")))
+        if tree.entries is not None:
+            least, entries = _most(tree.entries, MOST_ENTRIES, "key", "value")
+            self.entries = Lookup(entries["key"].to_numpy().view(np.uint64), entries["value"].to_numpy())
+            if least > 1:
+                self.rest = Filter.of(tree.entries.filter(F.col("n") < least).select(F.col("key").alias("h")))
 
     def score(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each symbol: log10 probability by the root (0 for words that are not at hand), by the states alone, whether
@@ -311,16 +320,20 @@ class Local:
             states[at[left[hit]]] += value
         return root, states, open_, known, far
 
-    def keys(self, hashes: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The keys of the symbols at these places, from the longest context on, each next symbol before its state; 0 for
-        contexts longer than the past."""
+    def keys(self, hashes: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of ``at``, rank, key): entries that the symbols at these places may have, from the longest context on, each
+        next symbol before its state."""
         runs = Runs(hashes, owner)
-        out = np.zeros((len(at), 2 * self.depth), np.uint64)
+        found = []
         for i, k in enumerate(range(self.depth, 0, -1)):
             there = np.flatnonzero(runs.place[at] >= k)
-            out[there, 2 * i] = edge_key(k, runs.run(k + 1)[at[there]])
-            out[there, 2 * i + 1] = state_key(k, runs.run(k)[at[there] - 1])
-        return out
+            for j, key in ((2 * i, edge_key(k, runs.run(k + 1)[at[there]])), (2 * i + 1, state_key(k, runs.run(k)[at[there] - 1]))):
+                some = self.rest.has(key)
+                some[self.entries.find(key)[0]] = True
+                found.append((there[some], np.full(int(some.sum()), j, np.int8), key[some]))
+        which, rank, key = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(which, kind="stable")
+        return which[order], rank[order], key[order]
 
 
 def _lists(values: pa.Array, owner: np.ndarray, n: int) -> pa.Array:
@@ -334,7 +347,7 @@ def score(docs: DataFrame, tree: Tree, text: str = "text") -> DataFrame:
     local = Local(tree)
     shared = docs.sparkSession.sparkContext.broadcast(local)
     kept = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(body), *[F.col(f"`{c}`") for c in names])
-    made = f"`{known_}` long, `{rare_}` array<struct<h:long,root:boolean>>, `{far_}` array<struct<h:long,known:boolean,keys:array<long>>>, n_tokens long, base_score double, score double"
+    made = f"`{known_}` long, `{rare_}` array<struct<h:long,root:boolean>>, `{far_}` array<struct<h:long,keys:array<struct<j:byte,key:long>>>>, n_tokens long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -345,8 +358,9 @@ def score(docs: DataFrame, tree: Tree, text: str = "text") -> DataFrame:
             rare, open_ = np.flatnonzero(~known), np.flatnonzero(far)
             signed = hashes.view(np.int64)
             rares = pa.StructArray.from_arrays([pa.array(signed[rare]), pa.array(ends[rare] & ~far[rare])], ["h", "root"])
-            keys = pa.FixedSizeListArray.from_arrays(pa.array(model.keys(hashes, owner, open_).ravel().view(np.int64)), 2 * model.depth).cast(pa.list_(pa.int64()))
-            opens = pa.StructArray.from_arrays([pa.array(signed[open_]), pa.array(known[open_]), keys], ["h", "known", "keys"])
+            which, rank, key = model.keys(hashes, owner, open_) if len(open_) else (open_, np.zeros(0, np.int8), open_)
+            keys = _lists(pa.StructArray.from_arrays([pa.array(rank), pa.array(key.view(np.int64))], ["j", "key"]), which, len(open_))
+            opens = pa.StructArray.from_arrays([pa.array(signed[open_]), keys], ["h", "keys"])
             yield pa.record_batch(
                 [
                     *batch.columns[1:],
@@ -388,7 +402,7 @@ def score(docs: DataFrame, tree: Tree, text: str = "text") -> DataFrame:
 
 def _far(open_: DataFrame, tree: Tree, at_root) -> DataFrame:
     """(at, base, own, seen, far): the log10 probabilities of symbols whose entries are looked up in the tables."""
-    each = open_.select("at", "place", F.col("w.h").alias("h"), F.posexplode("w.keys").alias("j", "key")).join(tree.entries.select("key", "value"), "key", "left")
+    each = open_.select("at", "place", F.col("w.h").alias("h"), F.explode("w.keys").alias("k")).select("at", "place", "h", "k.j", "k.key").join(tree.entries.select("key", "value"), "key", "left")
     edge = (F.col("j") % 2 == 0) & F.col("value").isNotNull()
     states = F.collect_list(F.when((F.col("j") % 2 == 1) & F.col("value").isNotNull(), F.struct("j", "value")))
     each = each.groupBy("at", "place").agg(F.min("h").alias("h"), F.min(F.when(edge, F.struct("j", "value"))).alias("edge"), states.alias("states"))

@@ -722,9 +722,10 @@ class BruteTree:
         return (max(0, (n - suffix_tree.DISCOUNT) / self.count[len(past)][past]) if n >= suffix_tree.LEAST_EDGE else 0) + self.rest[past] * low
 
 
-@pytest.mark.parametrize("most", [1 << 19, 40])
+@pytest.mark.parametrize("most", [1 << 19, 40, 0])
 def test_suffix_tree_scores_by_the_longest_state(spark, monkeypatch, most):
-    monkeypatch.setattr(suffix_tree, "MOST_BROADCAST", most)
+    monkeypatch.setattr(suffix_tree, "MOST_WORDS", most)
+    monkeypatch.setattr(suffix_tree, "MOST_ENTRIES", most)
     r = random.Random(14)
     phrases = [[r.choice(WORDS[:9]) for _ in range(r.randrange(4, 8))] for _ in range(14)]
     data = [(i, " ".join(" ".join(r.choice(phrases)) if r.random() < 0.7 else r.choice(WORDS) for _ in range(r.randrange(1, 30)))) for i in range(150)]
