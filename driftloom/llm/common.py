@@ -79,18 +79,19 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.made: list[tuple[DataFrame, str]] = []
 
     def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{len(self.paths)}"
+        path = f"{self.folder}/{len(self.made)}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.made.append((out, path))
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            remove_folder(self.spark, self.paths[id(t)])
+        for table_, path in self.made:
+            if any(table_ is t for t in tables):
+                remove_folder(self.spark, path)
 
 
 def unused(stem: str, *frames: DataFrame) -> str:
