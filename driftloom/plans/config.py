@@ -5,7 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 from collections.abc import Sequence
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, is_dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.measures import Measure
 from ..operators.periods import DEFAULT_PERIODS, CompletePeriod, Period
@@ -13,7 +16,13 @@ from ..operators.resample import Resampler
 from ..operators.trend import Trend
 from .parameter import Parameter
 
-SEPARATOR, SUFFIX, DATE_FORMAT = ", ", ".parquet", "%b%y"
+SEPARATOR, SUFFIX = ", ", ".parquet"
+MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+
+
+def date_tag(day: dt.date) -> str:
+    """Month and year, whatever the locale."""
+    return f"{MONTHS[day.month - 1]}{day.year % 100:02d}"
 
 
 def count_tag(n: int) -> str:
@@ -25,6 +34,30 @@ def _file(prefix: str, parts: Sequence[str], suffix: str) -> str:
     return f"{prefix}_" * bool(prefix) + SEPARATOR.join(parts) + suffix
 
 
+def described(value) -> str:
+    """All that a value holds, field by field; tables by their schema and rows."""
+    if isinstance(value, DataFrame):
+        names = sorted(value.columns)
+        h = F.xxhash64(*[F.col(f"`{n}`") for n in names]).cast("decimal(38,0)")
+        return f"table({value.schema.simpleString()}, {value.select(F.count('*'), F.sum(h)).first()})"
+    if isinstance(value, (str, bytes, int, float, bool, dt.date, type(None))):
+        return repr(value)
+    if isinstance(value, dict):
+        return "{" + ", ".join(sorted(f"{described(k)}: {described(v)}" for k, v in value.items())) + "}"
+    if isinstance(value, (list, tuple)):
+        return "[" + ", ".join(map(described, value)) + "]"
+    if hasattr(value, "tolist"):
+        return described(value.tolist())
+    if callable(value) and hasattr(value, "__qualname__"):
+        return f"{value.__module__}.{value.__qualname__}"
+    own = {f.name: getattr(value, f.name) for f in fields(value)} if is_dataclass(value) else vars(value)
+    return f"{type(value).__module__}.{type(value).__qualname__}{described(own)}"
+
+
+def _key(config, settings: dict) -> str:
+    return hashlib.md5((described(config) + described(settings) * bool(settings)).encode()).hexdigest()
+
+
 @dataclass(frozen=True)
 class SimConfig:
     """One simulation; without ``evalperiods`` the complete period alone."""
@@ -42,15 +75,14 @@ class SimConfig:
         return cls(*args, evalperiods=DEFAULT_PERIODS)
 
     def tags(self) -> list[str]:
-        return [self.measure.tag, self.resampler.tag, self.trend.tag, self.parameter.measure.tag, count_tag(self.nsim), self.traindate.strftime(DATE_FORMAT)]
+        return [self.measure.tag, self.resampler.tag, self.trend.tag, self.parameter.measure.tag, count_tag(self.nsim), date_tag(self.traindate)]
 
     def savename(self, prefix: str = "", suffix: str = SUFFIX) -> str:
         return _file(prefix, self.tags(), suffix)
 
-    def key(self) -> str:
-        """Unlike the name, differs for configurations that differ in any way."""
-        more = [str(self.nsim), *(f"{p.tag}:{p.ranges()}" for p in self.evalperiods), repr(self.measure.params), self.parameter.tag]
-        return hashlib.md5("|".join([*self.tags(), *more]).encode()).hexdigest()
+    def key(self, **settings) -> str:
+        """Unlike the name, differs for configurations that differ in any field, and for other ``settings`` of a run."""
+        return _key(self, settings)
 
 
 @dataclass(frozen=True)
@@ -70,14 +102,13 @@ class SimDynamicConfig:
         return len(self.trends)
 
     def tags(self) -> list[str]:
-        return [self.measure.tag, self.resampler.tag, "DynamicRW", self.parameter.measure.tag, str(self.nfolds), count_tag(self.nsim), self.traindate.strftime(DATE_FORMAT), self.evalperiod.tag or "CompletePeriod"]
+        return [self.measure.tag, self.resampler.tag, "DynamicRW", self.parameter.measure.tag, str(self.nfolds), count_tag(self.nsim), date_tag(self.traindate), self.evalperiod.tag or "CompletePeriod"]
 
     def savename(self, prefix: str = "", suffix: str = SUFFIX) -> str:
         return _file(prefix, self.tags(), suffix)
 
-    def key(self) -> str:
-        more = [str(self.nsim), str(self.evalperiod.ranges()), repr(self.measure.params), self.parameter.tag, repr([list(t) for t in self.trends])]
-        return hashlib.md5("|".join([*self.tags(), *more]).encode()).hexdigest()
+    def key(self, **settings) -> str:
+        return _key(self, settings)
 
 
 def from_dict(values: dict) -> SimConfig | SimDynamicConfig:

@@ -39,24 +39,44 @@ def lowlevel(panel: Panel, config: SimConfig, seed: int = DEFAULT_SEED, short: b
     return M.evaluate(tagged(e, config.evalperiods), keys, short), traj
 
 
+def _settings(seed: int, short: bool | None) -> dict:
+    """Settings of a run that are part of its key: those that are not the defaults."""
+    return ({"seed": seed} if seed != DEFAULT_SEED else {}) | ({"short": short} if short is not None else {})
+
+
+def _own(config: SimConfig | SimDynamicConfig, key: str) -> dict:
+    """The configuration's own columns of its results."""
+    trend = config.trend.tag if isinstance(config, SimConfig) else "DynamicRW"
+    return {
+        "config_key": key, "name": config.savename(suffix=""), "measure": config.measure.name, "measure_tag": config.measure.tag, "params": repr(config.measure.params),
+        "resampler": config.resampler.tag, "trend": trend, "parameter": config.parameter.tag, "nsim": config.nsim, "traindate": config.traindate,
+    }
+
+
 def assessment(panel: Panel, config: SimConfig, seed: int = DEFAULT_SEED, short: bool = False) -> DataFrame:
     """The metrics with the configuration's own columns."""
     found, _ = lowlevel(panel, config, seed, short)
-    own = {
-        "config_key": config.key(), "name": config.savename(suffix=""), "measure": config.measure.name, "measure_tag": config.measure.tag, "params": repr(config.measure.params),
-        "resampler": config.resampler.tag, "trend": config.trend.tag, "parameter": config.parameter.tag, "nsim": config.nsim, "traindate": config.traindate,
-    }
-    return found.select(*[F.lit(v).alias(k) for k, v in own.items()], *found.columns)
+    return found.select(*[F.lit(v).alias(k) for k, v in _own(config, config.key()).items()], *found.columns)
+
 
+def assessment_batch(panel: Panel, configs: Sequence[SimConfig | SimDynamicConfig], path: str, seed: int = DEFAULT_SEED, short: bool = True, recompute: bool = False, trajectories_path: str | None = None) -> list[str]:
+    """Write the assessment of each configuration, static or dynamic (one row a fold), that the store lacks; returns the keys written.
 
-def assessment_batch(panel: Panel, configs: Sequence[SimConfig], path: str, seed: int = DEFAULT_SEED, short: bool = True, recompute: bool = False) -> list[str]:
-    """Write the assessment of each configuration that the store lacks; returns the keys written."""
+    Keys tell runs of another seed or of all metrics apart. With ``trajectories_path`` the trajectories are written there
+    under the same keys."""
     spark = panel.spark
-    have = set() if recompute else store.present_keys(spark, path, [c.key() for c in configs])
-    todo = [c for c in configs if c.key() not in have]
-    for c in todo:
-        store.save(assessment(panel, c, seed, short), path)
-    return [c.key() for c in todo]
+    keys = [c.key(**_settings(seed, None if short else short)) for c in configs]
+    have = set() if recompute else store.present_keys(spark, path, keys)
+    todo = [(k, c) for k, c in zip(keys, configs, strict=True) if k not in have]
+    for key, c in todo:
+        if isinstance(c, SimDynamicConfig):
+            found, traj, _ = lowlevel_dynamic(panel, c, seed, short)
+        else:
+            found, traj = lowlevel(panel, c, seed, short)
+        if trajectories_path:
+            store.save(traj.withColumn("config_key", F.lit(key)), trajectories_path)
+        store.save(found.select(*[F.lit(v).alias(k) for k, v in _own(c, key).items()], *found.columns), path)
+    return [key for key, _ in todo]
 
 
 def _fold_panel(panel: Panel, nfolds: int) -> Panel:

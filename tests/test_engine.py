@@ -243,6 +243,40 @@ def test_batch_and_online(spark, tmp_path):
         online("mae", configs[0], p)
 
 
+def test_keys_differ_with_every_field(spark):
+    from dataclasses import replace
+
+    param = Parameter(TotalIndex(), R.Identity(), D.IdentityTrend())
+    c = K.SimConfig(WeightedMean(), R.ScrambleByMonth(), D.ExponentialTrend(), param, 1500, dt.date(2019, 12, 1))
+    others = [
+        replace(c, measure=TotalIndex()), replace(c, trend=D.IdentityTrend()), replace(c, parameter=Parameter(WeightedMean(), R.Identity(), D.IdentityTrend())), replace(c, nsim=1501),
+        replace(c, traindate=dt.date(2019, 12, 2)), replace(c, evalperiods=()), *[replace(c, resampler=R.WeightedScramble(q)) for q in (0.6, 0.9)],
+        *[replace(c, resampler=R.ExtendedScramble(x)) for x in ((40, 50), ((90, 90)))],
+    ]
+    keys = [x.key() for x in [c, *others]] + [c.key(seed=3), c.key(short=False)]
+    assert len(set(keys)) == len(keys) and c.key() == replace(c).key()
+
+
+def test_batches_of_dynamic_configurations_keep_trajectories(spark, tmp_path):
+    p = panel(spark, items=2)
+    dynamic = K.SimDynamicConfig(TotalIndex(), R.Identity(), [[1.1] * 48, [1.2] * 48], Parameter(TotalIndex(), R.Identity()), 4, dt.date(2004, 12, 1))
+    static = K.SimConfig(TotalIndex(), R.Identity(), D.IdentityTrend(), Parameter(TotalIndex(), R.Identity()), 4, dt.date(2004, 12, 1))
+    path, kept = str(tmp_path / "results"), str(tmp_path / "trajectories")
+    assert assessment_batch(p, [static, dynamic], path, trajectories_path=kept) == [static.key(), dynamic.key()]
+    assert assessment_batch(p, [static, dynamic], path) == [] and assessment_batch(p, [static], path, seed=7) == [static.key(seed=7)]
+    n = {r.config_key: r["count"] for r in store.collect(spark, kept).groupBy("config_key").count().collect()}
+    assert n[dynamic.key()] == 2 * n[static.key()] > 0
+
+
+def test_least_absolute_weights_are_optimal():
+    r = np.random.default_rng(5)
+    for n, batches in ((2, 1), (4, 3), (3, 8), (6, 2)):
+        x, p_ = r.normal(0, 1, (batches, n)), r.normal(0, 0.3, batches)
+        b = C._least_absolute(x, p_)
+        tried = r.dirichlet(np.ones(n), 20_000)
+        assert abs(b.sum() - 1) < 1e-9 and b.min() >= 0 and np.abs(x @ b - p_).sum() <= np.abs(tried @ x.T - p_).sum(axis=1).min() + 1e-9
+
+
 def test_dynamic_on_a_zero_panel(spark):
     p = panel(spark, items=2)  # weights of a half keep all sums exact
     c = K.SimDynamicConfig(TotalIndex(), R.Identity(), [[1.1] * 48, [1.2] * 48], Parameter(TotalIndex(), R.Identity()), 10, dt.date(2004, 12, 1))
