@@ -26,6 +26,8 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: Two primes below 2^31, for each the base of its polynomial.
 PRIMES = ((2147483647, 1575931494), (2147483629, 1103515245))
+#: Bytes whose products with powers below 2^31 have a sum below 2^64.
+WIDE = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -219,7 +221,9 @@ class SpanHasher:
         for prime, base in PRIMES:
             up, down = _powers(prime, base, n + 1)
             total = np.zeros(n + 1, np.uint64)
-            terms = (data.astype(np.uint64) + np.uint64(1)) * up[:n] % np.uint64(prime)
+            terms = (data.astype(np.uint64) + np.uint64(1)) * up[:n]
+            if n > WIDE:  # sums of more terms could run over
+                terms %= np.uint64(prime)
             np.cumsum(terms, out=total[1:])
             self.parts.append((total, down, np.uint64(prime)))
 

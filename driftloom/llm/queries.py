@@ -68,7 +68,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", _held_out(5, 1).alias("held_out"))
-    return suffix_tree.train_and_score(spark, docs, ~F.col("held_out")).drop("text")
+    return suffix_tree.train_and_score(spark, docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality_model, op4_quality_rules, op5_suffix_dedup, op6_simhash, op7_decontaminate, op8_line_dedup, op9_toxicity, op10_suffix_tree)}

@@ -112,10 +112,13 @@ def _summed(keys: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
     key, n, size, held = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, []
 
     def merge() -> tuple[np.ndarray, np.ndarray]:
-        every = np.concatenate([key, *held])
-        weight = np.concatenate([n, np.ones(len(every) - len(key), np.int64)])
-        got, at = np.unique(every, return_inverse=True)
-        return got, np.bincount(at, weight, len(got)).astype(np.int64)
+        fresh = np.sort(np.concatenate(held)) if held else key[:0]
+        first = np.flatnonzero(np.append(True, fresh[1:] != fresh[:-1])) if len(fresh) else np.zeros(0, np.int64)
+        every = np.concatenate([key, fresh[first]])
+        order = np.argsort(every, kind="stable")  # two sorted runs, which are merged
+        every, weight = every[order], np.concatenate([n, np.diff(np.append(first, len(fresh)))])[order]
+        edge = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+        return every[edge], np.add.reduceat(weight, edge) if len(edge) else weight
 
     for k in keys:
         held.append(k)
@@ -340,9 +343,9 @@ def _lists(values: pa.Array, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)), values)
 
 
-def score(docs: DataFrame, tree: Tree, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, n_known, train_tokens, base_score and score."""
-    names = [c for c in docs.columns if c not in MADE]
+def score(docs: DataFrame, tree: Tree, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (all columns, or those in ``keep``) with n_tokens, n_known, train_tokens, base_score and score."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in MADE]
     body, row, known_, rare_, far_ = (unused(c, docs) for c in ("body", "row", "known", "rare", "far"))
     local = Local(tree)
     shared = docs.sparkSession.sparkContext.broadcast(local)
@@ -412,8 +415,8 @@ def _far(open_: DataFrame, tree: Tree, at_root) -> DataFrame:
     return each.groupBy("at").agg(F.lit(0.0).alias("base"), F.lit(0.0).alias("own"), F.lit(0).cast("long").alias("seen"), F.sum(total).alias("far"))
 
 
-def train_and_score(spark: SparkSession, docs: DataFrame, train, text: str = "text") -> DataFrame:
-    """``docs`` scored by the tree of its rows for which the condition ``train`` holds."""
+def train_and_score(spark: SparkSession, docs: DataFrame, train, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (see ``score``) scored by the tree of its rows for which the condition ``train`` holds."""
     texts = docs.filter(train).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = checkpointed(word_counts(texts))
-    return score(docs, fit(texts, counts), text)
+    return score(docs, fit(texts, counts), text, keep)
