@@ -73,7 +73,7 @@ def connected(edges: DataFrame, met: DataFrame, alike: Alike, verify: Callable[[
     Only components are asked for, so nodes that are connected already need no comparison. As long as the keys hold many
     pairs of different components, each node is compared with one leader of its keys, which makes pairs in proportion to
     the nodes; what is still apart then is compared pair by pair."""
-    turn, before = 0, None
+    turn, before, edges = 0, None, checkpointed(edges)
     while True:
         labels = components(edges)
         now = met.join(labels, "node", "left").select("key", "node", "x", F.coalesce("component", "node").alias("c"))

@@ -37,7 +37,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, SpanHasher, _SPACE, blocks, checkpointed, fields, mixed, unused
+from .common import Block, SpanHasher, Tables, _SPACE, blocks, checkpointed, fields, mixed, remove_folder, unused
 from .graph import connected
 
 #: Lengths from which one and two edits are allowed.
@@ -366,20 +366,24 @@ class Join:
 
     def classes(self) -> DataFrame:
         """(node, component) of the lines that are linked to others."""
+        tables = Tables(self.rows.sparkSession, "line-dedup")
         keyed = self.rows.select("text").mapInArrow(_to_entries, "key long, line long, bag long")
-        met = checkpointed(keyed.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_to_pairs, MET))
+        met = tables.write(keyed.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_to_pairs, MET))
         parts = F.array(*[F.xxhash64("key", F.lit(i), F.col("bag").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(PARTS)])
         again = met.filter("key is not null and b is null").select(F.explode(parts).alias("key"), F.col("a").alias("line"), "bag")
-        met2 = checkpointed(again.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_to_pairs, MET))
+        met2 = tables.write(again.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_to_pairs, MET))
         pairs = met.union(met2).filter("key is null").select("a", "b").distinct()
         hot = met.filter("b = 1").union(met2).filter("key is not null").select("key", "a", "bag").distinct()
         # from the short digests to the lines that have them
         wanted = pairs.select(F.col("a").alias("short")).union(pairs.select("b")).union(hot.select("a")).distinct()
         names = checkpointed(self.firsts.join(wanted, "short").select("short", "line"))
         x, y = names.select(F.col("short").alias("a"), F.col("line").alias("x")), names.select(F.col("short").alias("b"), F.col("line").alias("y"))
-        pairs = checkpointed(pairs.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        hot = checkpointed(hot.join(x, "a").select("key", F.col("x").alias("node"), F.col("bag").alias("x")))
-        return connected(self.verified(pairs), hot, _alike, self.verified)
+        pairs = tables.write(pairs.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        hot = tables.write(hot.join(x, "a").select("key", F.col("x").alias("node"), F.col("bag").alias("x")))
+        tables.drop(met, met2)
+        out = connected(self.verified(pairs), hot, _alike, self.verified)
+        remove_folder(self.rows.sparkSession, tables.folder)
+        return out
 
 
 def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

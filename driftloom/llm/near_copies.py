@@ -25,12 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fields, slices
+from .common import Tables, checkpointed, fields, remove_folder, slices
 from .graph import connected
 from .simhash import links, majority, shingles
 
-#: Texts that the order of shingles is learned from, and the occurrences and number of shingles that are moved back.
-SAMPLE, LEAST, MOST_COMMON = 50_000, 4, 200_000
+#: The order of shingles is learned from one text in SPARSE, of large corpora from some SAMPLE texts; the occurrences and
+#: number of shingles that are moved back.
+SPARSE, SAMPLE, LEAST, MOST_COMMON = 8, 50_000, 4, 200_000
 
 
 def _node(hashes: np.ndarray) -> int:
@@ -38,16 +39,28 @@ def _node(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(np.sort(hashes).tobytes())).view(np.int64))
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Four numbers whose bits are the parities of the different hashes by their leading byte."""
+    odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+ABOUT = ("n", "s0", "s1", "s2", "s3")
+
+
 def _described(rows: DataFrame, id: str, text: str, words: int) -> DataFrame:
-    """(id, fp, node) of each row."""
+    """(id, fp, node, x) of each row; x has the number of its different shingles and their sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             each = [shingles(t, words) for t in batch.column(text).to_pylist()]
             fps = np.fromiter(map(majority, each), np.uint64, len(each)).view(np.int64)
-            yield pa.record_batch([batch.column(id), pa.array(fps), pa.array(map(_node, each), pa.int64())], names=[id, "fp", "node"])
+            own = list(map(np.unique, each))
+            about = np.array([[len(u), *sketch(u)] for u in own], np.int64)
+            x = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(about[:, i])) for i in range(len(ABOUT))], list(ABOUT))
+            yield pa.record_batch([batch.column(id), pa.array(fps), pa.array(map(_node, each), pa.int64()), x], names=[id, "fp", "node", "x"])
 
-    return rows.mapInArrow(run, f"{fields(rows, id)}, fp long, node long")
+    return rows.mapInArrow(run, f"{fields(rows, id)}, fp long, node long, x struct<{', '.join(f'{c}:bigint' for c in ABOUT)}>")
 
 
 def _common(rows: DataFrame, id: str, text: str, words: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +71,7 @@ def _common(rows: DataFrame, id: str, text: str, words: int, n: int) -> tuple[np
             each = [np.unique(shingles(t, words)) for t in batch.column(text).to_pylist()]
             yield pa.record_batch([pa.array(np.concatenate(each).view(np.int64))], names=["key"])
 
-    drawn = rows.filter(F.pmod(F.xxhash64(id), F.lit(n // SAMPLE + 1)) == 0)
+    drawn = rows.filter(F.pmod(F.xxhash64(id), F.lit(max(SPARSE, n // SAMPLE + 1))) == 0)
     counts = drawn.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST)
     table = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).toPandas()
     key = table["key"].to_numpy(np.int64).view(np.uint64)
@@ -66,23 +79,14 @@ def _common(rows: DataFrame, id: str, text: str, words: int, n: int) -> tuple[np
     return key[order], table["n"].to_numpy(np.int64)[order]
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """Four numbers whose bits are the parities of the different hashes by their leading byte."""
-    odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
-
-
-_X = "struct<n:bigint,s0:bigint,s1:bigint,s2:bigint,s3:bigint>"
-
-
 def _entries(rows: DataFrame, text: str, words: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, node, x): the shingles under which each node is entered, and how many it has with their sketch."""
+    """(key, node): the shingles under which each node is entered."""
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = shared.value
         for batch in slices(batches, text):
-            keys, nodes, about, seen = [np.zeros(0, np.uint64)], [], [np.zeros((0, 5), np.int64)], set()
+            keys, nodes, seen = [np.zeros(0, np.uint64)], [], set()
             for t in batch.column(text).to_pylist():
                 hashes = shingles(t, words)
                 node = _node(hashes)
@@ -98,13 +102,10 @@ def _entries(rows: DataFrame, text: str, words: int, common: tuple[np.ndarray, n
                 n = len(own)
                 keys.append(own[np.argsort(rank, kind="stable")[: n + (-4 * n // 5) + 1]])
                 nodes.append(node)
-                about.append(np.concatenate([[n], sketch(own)])[None, :])
             each = [len(k) for k in keys[1:]]
-            x = np.repeat(np.concatenate(about), each, axis=0)
-            x = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in range(5)], ["n", "s0", "s1", "s2", "s3"])
-            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), each)), x], names=["key", "node", "x"])
+            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), each))], names=["key", "node"])
 
-    return rows.select(text).mapInArrow(run, f"key long, node long, x {_X}")
+    return rows.select(text).mapInArrow(run, "key long, node long")
 
 
 def _verified(pairs: DataFrame, first: DataFrame, rows: DataFrame, id: str, text: str, words: int) -> DataFrame:
@@ -135,11 +136,14 @@ def _alike(a: Column, b: Column) -> Column:
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """(id, component_id): the smallest id of the component, for the rows that have an id."""
     rows = docs.select(id, text).filter(F.col(id).isNotNull())
+    tables = Tables(docs.sparkSession, "near-copies")
     described = checkpointed(_described(rows, id, text, words))
-    first = checkpointed(described.groupBy("node").agg(F.min(id).alias("first"), F.min("fp").alias("fp")))
-    entries = checkpointed(_entries(rows, text, words, _common(rows, id, text, words, first.count())))
+    first = checkpointed(described.groupBy("node").agg(F.min(id).alias("first"), F.min("fp").alias("fp"), F.min("x").alias("x")))
+    entries = tables.write(_entries(rows, text, words, _common(rows, id, text, words, first.count())))
     ends = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    met = checkpointed(entries.join(ends, "key").select("key", "node", "x").distinct())
+    # sizes and sketches only join the entries that meet others
+    met = tables.write(entries.join(ends, "key").select("key", "node").distinct().join(first.select("node", "x"), "node").select("key", "node", "x"))
+    tables.drop(entries)
 
     of = first.groupBy("fp").agg(F.min("node").alias("node"))
     copies = first.join(of.withColumnRenamed("node", "a"), "fp").select("a", F.col("node").alias("b")).filter("a <> b")
@@ -147,6 +151,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     edges = checkpointed(copies.union(near.select("x", "y")))
 
     labels = connected(edges, met, _alike, lambda pairs: _verified(pairs, first, rows, id, text, words))
+    remove_folder(docs.sparkSession, tables.folder)
     labelled = first.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     return described.join(labelled.join(least, "component").select("node", "component_id"), "node").select(id, "component_id")
