@@ -141,9 +141,10 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     first = checkpointed(described.groupBy("node").agg(F.min(id).alias("first"), F.min("fp").alias("fp"), F.min("x").alias("x")))
     entries = tables.write(_entries(rows, text, words, _common(rows, id, text, words, first.count())))
     ends = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    # sizes and sketches only join the entries that meet others
-    met = tables.write(entries.join(ends, "key").select("key", "node").distinct().join(first.select("node", "x"), "node").select("key", "node", "x"))
-    tables.drop(entries)
+    # sizes and sketches only join the entries that meet others; the files' size says little of the rows', so none is broadcast
+    meeting = entries.join(ends.hint("merge"), "key").select("key", "node").distinct()
+    met = checkpointed(meeting.join(first.select("node", "x"), "node").select("key", "node", "x"))
+    remove_folder(docs.sparkSession, tables.folder)
 
     of = first.groupBy("fp").agg(F.min("node").alias("node"))
     copies = first.join(of.withColumnRenamed("node", "a"), "fp").select("a", F.col("node").alias("b")).filter("a <> b")
@@ -151,7 +152,6 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     edges = checkpointed(copies.union(near.select("x", "y")))
 
     labels = connected(edges, met, _alike, lambda pairs: _verified(pairs, first, rows, id, text, words))
-    remove_folder(docs.sparkSession, tables.folder)
     labelled = first.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     return described.join(labelled.join(least, "component").select("node", "component_id"), "node").select(id, "component_id")
