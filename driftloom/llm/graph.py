@@ -14,14 +14,24 @@ from .common import checkpointed
 Alike = Callable[[Column, Column], Column]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("b", "a"))
+#: Edges up to which a round is dealt over tasks of EACH edges; beyond, the session's settings tell.
+SMALL, EACH = 1_000_000, 50_000
+
+
+def _dealt(edges: DataFrame, n: int) -> DataFrame:
+    """The different edges, those of one ``a`` together: what joins and groups by ``a`` moves nothing more."""
+    return (edges.repartition(n // EACH + 1, "a") if n <= SMALL else edges.repartition("a")).distinct()
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    both = _dealt(edges.union(edges.select("b", "a")), n)
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+def _small_star(down: DataFrame, n: int) -> DataFrame:
+    """``down`` has edges from the greater to the smaller node, as the large star gives them."""
+    down = _dealt(down, n)
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
@@ -34,11 +44,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = checkpointed(edges.select("a", "b").filter("a <> b").distinct())
     was = None
     while True:
-        mark = now.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == was or mark[0] == 0:
+        n, mark = now.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if (n, mark) == was or n == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
-        was = mark
-        now = checkpointed(_small_star(_large_star(now).distinct()).filter("a <> b").distinct())
+        was = n, mark
+        now = checkpointed(_dealt(_small_star(_large_star(now, n), n).filter("a <> b"), n))
+
 
 #: Nodes of a key compared with all others of it in one task.
 TILE = 1024
@@ -87,7 +98,9 @@ def connected(edges: DataFrame, met: DataFrame, alike: Alike, verify: Callable[[
         # all pairs if they are few, or if another turn of leaders does not make them much fewer
         last = total <= FEW * n or (before is not None and 2 * total > before)
         pairs = checkpointed(_across(mixed, classes, alike) if last else _led(mixed, alike, turn))
-        edges = checkpointed(edges.union(verify(pairs)))
+        # keys of one component stay so, and the stars of the components stand for the edges so far
+        met = mixed.select("key", "node", "x")
+        edges = checkpointed(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verify(pairs)))
         if last:
             return components(edges)
         turn, before = turn + 1, total
