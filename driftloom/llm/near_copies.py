@@ -4,7 +4,9 @@ Texts with the same shingles are one node. Two sets of shingles of a Jaccard sim
 first n - ceil(0.8 n) + 1 shingles of each, in whatever order all sets are sorted. So each node is entered under these
 shingles only. Nodes of a common entry are candidates if their sizes allow it and so do their sketches: 256 bits, each
 the parity of the shingles that fall to it, of which two sets differ in no more than they differ in shingles, a ninth of
-both sizes at most. Candidates are verified by their whole sets. No such pair is lost.
+both sizes at most. Of the pairs found, only those are verified by their whole sets whose wide sketches allow it too:
+these have a bit for each shingle, so that unlike texts of any length are told apart without their sets. No such pair is
+lost.
 The order is by the count in a sample of the texts, then by hash: common phrases come last and are seldom entered.
 The sample decides what the join costs, not what it finds.
 
@@ -48,8 +50,24 @@ def sketch(own: np.ndarray) -> np.ndarray:
 ABOUT = ("n", "s0", "s1", "s2", "s3")
 
 
+def wide_sketch(own: np.ndarray) -> bytes:
+    """The parities of the different hashes by their low bits: a power of two of them, as many as hashes or more."""
+    bits = max(256, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two wide sketches differ, the longer one folded to the size of the shorter one."""
+    short, long = sorted((np.frombuffer(s, np.uint8) for s in (x, y)), key=len)
+    while len(long) > len(short):
+        half = len(long) // 2
+        long = long[:half] ^ long[half:]
+    return int(np.bitwise_count(short ^ long).sum())
+
+
 def _described(rows: DataFrame, id: str, text: str, words: int) -> DataFrame:
-    """(id, fp, node, x) of each row; x has the number of its different shingles and their sketch."""
+    """(id, fp, node, x, wide) of each row; x has the number of its different shingles and their sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -58,9 +76,10 @@ def _described(rows: DataFrame, id: str, text: str, words: int) -> DataFrame:
             own = list(map(np.unique, each))
             about = np.array([[len(u), *sketch(u)] for u in own], np.int64)
             x = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(about[:, i])) for i in range(len(ABOUT))], list(ABOUT))
-            yield pa.record_batch([batch.column(id), pa.array(fps), pa.array(map(_node, each), pa.int64()), x], names=[id, "fp", "node", "x"])
+            wide = pa.array(map(wide_sketch, own), pa.binary())
+            yield pa.record_batch([batch.column(id), pa.array(fps), pa.array(map(_node, each), pa.int64()), x, wide], names=[id, "fp", "node", "x", "wide"])
 
-    return rows.mapInArrow(run, f"{fields(rows, id)}, fp long, node long, x struct<{', '.join(f'{c}:bigint' for c in ABOUT)}>")
+    return rows.mapInArrow(run, f"{fields(rows, id)}, fp long, node long, x struct<{', '.join(f'{c}:bigint' for c in ABOUT)}>, wide binary")
 
 
 def _common(rows: DataFrame, id: str, text: str, words: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +127,23 @@ def _entries(rows: DataFrame, text: str, words: int, common: tuple[np.ndarray, n
     return rows.select(text).mapInArrow(run, "key long, node long")
 
 
+def _likely(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose wide sketches allow four fifths of common shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = np.fromiter(map(differing, batch.column("u").to_pylist(), batch.column("v").to_pylist()), np.int64, batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array(9 * differ <= batch.column("n").to_numpy()))
+
+    one = first.select(F.col("node").alias("a"), F.col("x.n").alias("m"), F.col("wide").alias("u"))
+    two = first.select(F.col("node").alias("b"), F.col("x.n").alias("n"), F.col("wide").alias("v"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", (F.col("m") + F.col("n")).alias("n"), "u", "v")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, first: DataFrame, rows: DataFrame, id: str, text: str, words: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that share four fifths of their shingles."""
+    pairs = checkpointed(_likely(pairs, first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -138,7 +172,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     rows = docs.select(id, text).filter(F.col(id).isNotNull())
     tables = Tables(docs.sparkSession, "near-copies")
     described = checkpointed(_described(rows, id, text, words))
-    first = checkpointed(described.groupBy("node").agg(F.min(id).alias("first"), F.min("fp").alias("fp"), F.min("x").alias("x")))
+    first = checkpointed(described.groupBy("node").agg(F.min(id).alias("first"), F.min("fp").alias("fp"), F.min("x").alias("x"), F.min("wide").alias("wide")))
     entries = tables.write(_entries(rows, text, words, _common(rows, id, text, words, first.count())))
     ends = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
     # sizes and sketches only join the entries that meet others; the files' size says little of the rows', so none is broadcast
