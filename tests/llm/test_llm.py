@@ -444,6 +444,17 @@ def test_components(spark, empty):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_wide_sketches_lose_no_pair():
+    r = np.random.default_rng(15)
+    for n in (0, 1, 200, 256, 257, 1000, 5000):
+        a = np.unique(r.integers(0, 1 << 64, n, np.uint64))
+        for drop in (0, n // 9, n // 2, n):
+            b = np.unique(np.concatenate([a[drop:], r.integers(0, 1 << 64, drop // 2, np.uint64)]))
+            assert near_copies.differing(near_copies.wide_sketch(a), near_copies.wide_sketch(b)) <= len(np.setxor1d(a, b))
+    a, b = (np.unique(r.integers(0, 1 << 64, 5000, np.uint64)) for _ in range(2))
+    assert 9 * near_copies.differing(near_copies.wide_sketch(a), near_copies.wide_sketch(b)) > 10_000  # unlike ones are told apart
+
+
 # 7 decontamination
 
 QUESTION = "The farmer John Smith sold 45 kg of apples to the market in Paris on Monday morning and then bought 12 liters of milk."
