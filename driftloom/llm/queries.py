@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, quality_model
+from . import bpe, decontaminate, language_id, line_dedup, periodic_runs, quality_model
 from . import quality_rules as rules
 from . import simhash, suffix_dedup, suffix_tree, toxicity
 from .common import bucket_of, table
@@ -71,5 +71,16 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.train_and_score(spark, docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality_model, op4_quality_rules, op5_suffix_dedup, op6_simhash, op7_decontaminate, op8_line_dedup, op9_toxicity, op10_suffix_tree)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of each document (some of them planted by the id, see ``with_tails``) and digests of runs and collapsed text."""
+    docs = periodic_runs.with_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs)
+    most = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), most.alias("m"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.expr("(1000 * m.length) div (-m.q)")
+    return out.select("doc_id", "n_runs", (-F.col("m.s")).alias("start"), F.col("m.length").alias("length"), (-F.col("m.q")).alias("period"), exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality_model, op4_quality_rules, op5_suffix_dedup, op6_simhash, op7_decontaminate, op8_line_dedup, op9_toxicity, op10_suffix_tree, op12_periodic_runs)}
 ORACLE_SQL = {"op4_quality_rules": rules.oracle()}
