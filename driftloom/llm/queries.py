@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, language_id, line_dedup, periodic_runs, quality_model
 from . import quality_rules as rules
-from . import simhash, suffix_dedup, suffix_tree, toxicity
+from . import simhash, suffix_dedup, suffix_tree, token_files, toxicity
 from .common import bucket_of, table
 
 
@@ -71,6 +71,13 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.train_and_score(spark, docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the token files that were written."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of each document (some of them planted by the id, see ``with_tails``) and digests of runs and collapsed text."""
     docs = periodic_runs.with_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -82,5 +89,5 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_runs", (-F.col("m.s")).alias("start"), F.col("m.length").alias("length"), (-F.col("m.q")).alias("period"), exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality_model, op4_quality_rules, op5_suffix_dedup, op6_simhash, op7_decontaminate, op8_line_dedup, op9_toxicity, op10_suffix_tree, op12_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality_model, op4_quality_rules, op5_suffix_dedup, op6_simhash, op7_decontaminate, op8_line_dedup, op9_toxicity, op10_suffix_tree, op11_token_files, op12_periodic_runs)}
 ORACLE_SQL = {"op4_quality_rules": rules.oracle()}
