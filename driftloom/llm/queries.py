@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, periodic_runs, quality_model
+from . import bpe, collocations, decontaminate, language_id, line_dedup, periodic_runs, quality_model
 from . import quality_rules as rules
 from . import simhash, suffix_dedup, suffix_tree, token_files, toxicity
 from .common import bucket_of, table
@@ -89,5 +89,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_runs", (-F.col("m.s")).alias("start"), F.col("m.length").alias("length"), (-F.col("m.q")).alias("period"), exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality_model, op4_quality_rules, op5_suffix_dedup, op6_simhash, op7_decontaminate, op8_line_dedup, op9_toxicity, op10_suffix_tree, op11_token_files, op12_periodic_runs)}
-ORACLE_SQL = {"op4_quality_rules": rules.oracle()}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language by how much more often their words occur together than apart."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality_model, op4_quality_rules, op5_suffix_dedup, op6_simhash, op7_decontaminate, op8_line_dedup, op9_toxicity, op10_suffix_tree, op11_token_files, op12_periodic_runs, op13_collocations)}
+ORACLE_SQL = {"op4_quality_rules": rules.oracle(), "op13_collocations": collocations.oracle()}
