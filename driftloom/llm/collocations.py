@@ -140,7 +140,8 @@ def fragments(ids: np.ndarray, first: int, last: int) -> np.ndarray:
 
 def _distinct(rows: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The different rows and how often each occurs."""
-    order = np.lexsort(rows.T[::-1]) if len(rows) else np.zeros(0, np.int64)
+    # the pivot first, so that neighbours share it and compress well
+    order = np.lexsort(rows.T[[*range(2 * SIDE, SIDE, -1), *range(SIDE - 1, -1, -1), SIDE]]) if len(rows) else np.zeros(0, np.int64)
     rows = rows[order]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
@@ -149,11 +150,34 @@ def _distinct(rows: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nd
     return rows[starts], np.add.reduceat(ones, starts) if len(starts) else ones
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    """The numbers of each row up to its ends, as 64-bit integers."""
-    mask = rows >= 0
-    sizes = np.concatenate(([0], np.cumsum(mask.sum(axis=1)) * 8)).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(sizes.tobytes()), pa.py_buffer(rows[mask].tobytes())]).cast(pa.binary())
+def _binary(rows: np.ndarray, counts: np.ndarray, kind: str) -> pa.Array:
+    """Each row as integers of one kind: count * (SIDE + 1) + words before the pivot, then the words but for the pivot."""
+    wide = rows.copy()
+    wide[:, SIDE] = -1
+    wide = np.column_stack((counts * (SIDE + 1) + (rows[:, :SIDE] >= 0).sum(axis=1), wide))
+    mask = wide >= 0
+    flat = wide[mask].astype(kind)
+    sizes = np.concatenate(([0], np.cumsum(mask.sum(axis=1)) * flat.itemsize)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(sizes.tobytes()), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+
+
+def _unpacked(fragment: pa.Array, pivot: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and counts of ``_binary``."""
+    fragment = fragment.cast(pa.large_binary())
+    size = np.dtype(kind).itemsize
+    offsets = np.frombuffer(fragment.buffers()[1], np.int64, len(fragment) + 1, fragment.offset * 8) // size
+    flat = np.frombuffer(fragment.buffers()[2], kind).astype(np.int64)
+    head = flat[offsets[:-1]]
+    row = np.repeat(np.arange(len(fragment)), np.diff(offsets) - 1)
+    inside = np.ones(offsets[-1] - offsets[0], bool)
+    inside[offsets[:-1] - offsets[0]] = False
+    k = np.flatnonzero(inside)  # words in order; those from the pivot's place on stand one further
+    place = k - (offsets[row] - offsets[0]) - 1
+    before = head[row] % (SIDE + 1)
+    rows = np.full((len(fragment), 2 * SIDE + 1), -1, np.int64)
+    rows[row, place - before + SIDE + (place >= before)] = flat[offsets[0] : offsets[-1]][k]
+    rows[:, SIDE] = pivot
+    return rows, head // (SIDE + 1)
 
 
 def mine(rows: np.ndarray, counts: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -185,19 +209,13 @@ def mine(rows: np.ndarray, counts: np.ndarray, least: int) -> Iterator[tuple[np.
             codes[left, right] = alive[order[keep]], group[keep]
 
 
-def _mined(least: int):
+def _mined(least: int, kind: str):
     """Fragments by pivot and group, in order; those of several pivots are mined together."""
 
     def rows_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(held).combine_chunks()
-        fragment = part.column("fragment").combine_chunks().cast(pa.large_binary())
-        offsets = np.frombuffer(fragment.buffers()[1], np.int64, len(fragment) + 1, fragment.offset * 8) // 8
-        flat = np.frombuffer(fragment.buffers()[2], np.int64)
-        row = np.repeat(np.arange(len(fragment)), np.diff(offsets))
-        place = np.arange(offsets[0], offsets[-1]) - offsets[row] - part.column("at").to_numpy()[row] + SIDE
-        rows = np.full((len(fragment), 2 * SIDE + 1), -1, np.int64)
-        rows[row, place] = flat[offsets[0] : offsets[-1]]
-        counts, split = part.column("c").to_numpy(), part.column("dealt").to_numpy() >= 0
+        rows, counts = _unpacked(part.column("fragment").combine_chunks(), part.column("pivot").to_numpy(), kind)
+        split = part.column("dealt").to_numpy() >= 0
         for partial in (False, True):
             some = split == partial
             if some.any():
@@ -259,32 +277,36 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     f = sent.column("f").to_numpy()
     groups = np.append(-(-f // SPLIT), -(-f[-1] // SPLIT) if len(f) else 1)  # others are no more frequent than the last
     shared = spark.sparkContext.broadcast((number, groups, seed))
+    kind = "<i4" if seed is None else "<i8"  # hashes need more than 32 bits
 
     def fragmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, groups, seed = shared.value
         of: dict[str, _Numbers] = {}
+        parts: list[np.ndarray] = []
+
+        def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
+            rows, c = _distinct(np.concatenate(parts))
+            pivot = rows[:, SIDE]
+            dealt = groups[np.minimum(pivot, len(groups) - 1)]
+            mixed = (rows.view(np.uint64) * (np.arange(1, 2 * SIDE + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))).sum(axis=1, dtype=np.uint64) >> np.uint64(33)
+            group = np.where(dealt > 1, (mixed % dealt.astype(np.uint64)).astype(np.int64), -1)
+            return pa.RecordBatch.from_arrays([pa.array(pivot), pa.array(group), _binary(rows, c, kind)], ["pivot", "dealt", "fragment"])
+
         for batch in slices(batches, "text"):
-            parts = []
             for g, stretches in _by_language(batch):
                 if g not in of:
                     of[g] = _Numbers(g, number.get(g, {}), seed)
                 get = of[g].__getitem__
                 parts += [fragments(np.fromiter(map(get, w), np.int64, len(w)), first, last) for w, first, last in stretches]
-            if not parts:
-                continue
-            rows, c = _distinct(np.concatenate(parts))
-            if not len(rows):
-                continue
-            pivot = rows[:, SIDE]
-            dealt = groups[np.minimum(pivot, len(groups) - 1)]
-            mixed = (rows.view(np.uint64) * (np.arange(1, 2 * SIDE + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))).sum(axis=1, dtype=np.uint64) >> np.uint64(33)
-            group = np.where(dealt > 1, (mixed % dealt.astype(np.uint64)).astype(np.int64), -1)
-            at = (rows[:, :SIDE] >= 0).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pivot), pa.array(group), pa.array(at), pa.array(c), _binary(rows)], ["pivot", "dealt", "at", "c", "fragment"])
+            if sum(map(len, parts)) >= TOGETHER:
+                yield packed(parts)
+                parts.clear()
+        if sum(map(len, parts)):
+            yield packed(parts)
 
-    sent_rows = rows.mapInArrow(fragmented, "pivot long, dealt long, at long, c long, fragment binary")
+    sent_rows = rows.mapInArrow(fragmented, "pivot long, dealt long, fragment binary")
     dealt = sent_rows.repartition("pivot", "dealt").sortWithinPartitions("pivot", "dealt")
-    mined = made.write(dealt.mapInArrow(_mined(least), "ids array<long>, a long, partial boolean"))
+    mined = made.write(dealt.mapInArrow(_mined(least, kind), "ids array<long>, a long, partial boolean"))
     summed = mined.filter("partial").groupBy("ids").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
     phrases = made.write(mined.filter("not partial").select("ids", "a").union(summed))
     made.drop(mined)
