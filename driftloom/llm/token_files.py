@@ -18,10 +18,10 @@ its documents precede those of the shards after it.
 ``read`` gives the documents back. ``Shard`` is for random access to a shard's bytes (a memory map, say): any range of
 ids, any document, without reading the blocks before.
 
-Texts are cut at ASCII white space and each piece is encoded once in a while (``Words`` keeps the ids of short pieces).
-That gives the tokenizer's own ids if its normaliser and its splitting do not look across white space and drop it, as in
-``word_bpe_49k.json``; ``Words`` refuses vocabularies for which a probe shows otherwise. Strings of special tokens in a
-text are ordinary text.
+Texts are cut at ASCII white space and between words and marks, and each piece is encoded once in a while (``Words`` keeps
+the ids of short pieces). That gives the tokenizer's own ids if its splitting never spans such a cut, drops white space, and
+its normaliser ignores case, as in ``word_bpe_49k.json``; ``Words`` refuses vocabularies for which a probe shows otherwise.
+Strings of special tokens in a text are ordinary text.
 
 Cases: a null text counts as empty and has the end id alone; null ids come first; repeated rows are documents of their
 own; an empty table makes a folder without documents. Other columns of the input are not written.
@@ -30,8 +30,10 @@ own; an empty table makes a folder without documents. Other columns of the input
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,11 +49,15 @@ from .common import shared_folder, slices
 BLOCK_IDS, SHARD_BYTES, LEAST_BYTES = 1 << 16, 48 << 20, 1 << 20
 MAGIC, TRAILER = b"idpack01", 56
 #: Pieces kept by a worker, and their most bytes.
-KEPT, SHORT = 1 << 19, 40
+KEPT, SHORT = 3 << 17, 40
 #: Bytes of a longer text that are cut into pieces at a time, and pieces encoded together.
-CHUNK, TOGETHER = 1 << 20, 1 << 12
+CHUNK, TOGETHER = 1 << 20, 1 << 9
 #: Text whose ids tell whether white space may be cut at.
-PROBE = "It's 12 o'clock.\tÁ é\n\n x y <|endoftext|>  ΣΣ 'll we 'll"
+PROBE = "It's 12 O'Clock.\tH\u0331a. x,y;Z! \u00c1\u00e9. 5:\u00f7? \u00d7! \u00d1x, \u00c1 e\u0301\n\n x y <|endoftext|>  \u03a3\u03a3 'll we 'll"
+#: Marks that no match of the tokenizer's splitting joins to a letter or digit before.
+MARKS = b".,;:!?"
+#: Begins a character beyond U+00FF.
+WIDE = re.compile(rb"[\xc4-\xff]")
 NUMBERS = ("ids", "blocks", "table_bytes", "block_ids", "width", "shard")
 
 
@@ -115,39 +121,74 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.encode_special_tokens = True
+        # letters of U+0000 to U+00FF make one word; the model takes it as the splitting hands it on
+        letters = [c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()]
+        self.letters = {ord(c): x[0][0] for c in letters if len(x := self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) == 1}
+        self.model = self.tokenizer.model
         self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # what was kept until there was too much
         whole = self.tokenizer.encode(PROBE, add_special_tokens=False).ids
-        if np.frombuffer(b"".join(self.encode(PROBE.encode())), "<u4").tolist() != whole:
+        if np.frombuffer(self.encode([PROBE.encode()])[0], "<u4").tolist() != whole:
             raise ValueError("this tokenizer looks across white space")
 
-    def _fill(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        made: dict[bytes, bytes] = {}
-        for i in range(0, len(pieces), TOGETHER):
-            some = pieces[i : i + TOGETHER]
+    def _fill(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of pieces that are not kept; a mark after a letter or digit is a match of its own."""
+        older = self.older
+        made = {p: older[p] for p in pieces if p in older}
+        marked = [p for p in pieces if p not in made and p[-1] in MARKS and p[-2:-1].isalnum()]
+        new = {p for p in pieces if p not in made}.difference(marked)
+        for p in {x for m in marked for x in (m[:-1], m[-1:])}:
+            if p in self.kept or p in older:
+                made[p] = self.kept[p] if p in self.kept else older[p]
+            else:
+                new.add(p)
+        rest, model, letters = [], self.model.tokenize, self.letters
+        for p in new:
+            if p.isalpha():  # of ASCII
+                made[p] = array("I", [t.id for t in model(p.decode())]).tobytes()
+            elif not WIDE.search(p) and (word := p.decode(errors="replace")).isalpha() and letters.keys() >= set(map(ord, word)):
+                made[p] = array("I", [t.id for t in model(word.translate(letters))]).tobytes()
+            else:
+                rest.append(p)
+        for i in range(0, len(rest), TOGETHER):
+            some = rest[i : i + TOGETHER]
             encoded = self.tokenizer.encode_batch_fast([p.decode(errors="replace") for p in some], add_special_tokens=False)
-            made |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(some, encoded, strict=True)}
+            made |= {p: array("I", e.ids).tobytes() for p, e in zip(some, encoded, strict=True)}
+        made |= {p: made[p[:-1]] + made[p[-1:]] for p in marked}
         return made
 
-    def encode(self, text: bytes) -> Iterator[bytes]:
-        """The ids of a text, as little-endian unsigned 32-bit integers, in parts."""
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        split = [_pieces(t) for t in texts]
+        missing = set().union(*split).difference(self.kept)
+        if not missing:
+            return [b"".join(map(self.kept.__getitem__, own)) for own in split]
+        if len(self.kept) + len(missing) > KEPT:
+            self.kept, self.older = {}, self.kept
+            missing = set().union(*split)
+        made = self._fill(missing)
+        self.kept |= {p: i for p, i in made.items() if len(p) <= SHORT}
+        now = self.kept if max(map(len, made)) <= SHORT else self.kept | made
+        return [b"".join(map(now.__getitem__, own)) for own in split]
+
+    def parts(self, text: bytes) -> Iterator[bytes]:
+        """The ids of a long text, in parts."""
         at = 0
         while at < len(text):
             end = len(text) if len(text) - at <= CHUNK else _space(text, at + CHUNK)
-            pieces = text[at:end].split()  # at the six white space characters of ASCII
-            missing = [p for p in dict.fromkeys(pieces) if p not in self.kept]
-            if missing:
-                if len(self.kept) + len(missing) > KEPT:
-                    self.kept.clear()
-                    missing = list(dict.fromkeys(pieces))
-                made = self._fill(missing)
-                self.kept |= {p: i for p, i in made.items() if len(p) <= SHORT}
-                long = {p: i for p, i in made.items() if len(p) > SHORT}
-                yield b"".join([self.kept[p] if p in self.kept else long[p] for p in pieces])
-            else:
-                yield b"".join(map(self.kept.__getitem__, pieces))
+            yield from self.encode([text[at:end]])
             at = end
 
 
+def _pieces(text: bytes) -> list[bytes]:
+    """Split at the six white space characters of ASCII; lower case where no combining mark can follow."""
+    if text.isascii():
+        return text.lower().split()
+    if not WIDE.search(text):
+        return text.decode(errors="replace").lower().encode().split()
+    return [p.lower() if p.isascii() else p for p in text.split()]
+
+
 def _space(text: bytes, at: int) -> int:
     """The place of the first white space from ``at`` on."""
     found = [i for c in b" \t\n\x0b\x0c\r" if (i := text.find(c, at)) >= 0]
@@ -222,17 +263,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, id: str = "doc
     dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "id", "h").sortWithinPartitions(*order)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, encode, last = None, words(shared.value).encode, np.array([end], "<u4").tobytes()
+        writer, own, last = None, words(shared.value), np.array([end], "<u4").tobytes()
         for batch in slices(batches, "text"):
             writer = writer or _Writer(width, TaskContext.get().partitionId(), batch.column("id").type)
             sizes = np.zeros(batch.num_rows, np.int64)
             out: list[bytes] = []
-            for i, t in enumerate(batch.column("text").cast(pa.large_binary())):
-                for part in encode(t.as_py()):
+            texts = [t.as_py() for t in batch.column("text").cast(pa.large_binary())]  # about a block, or one longer text
+            for i, parts in enumerate(map(own.parts, texts) if len(texts) == 1 else ([x] for x in own.encode(texts))):
+                for part in (*parts, last):
                     sizes[i] += len(part) // 4
                     out += writer.add(part)
-                sizes[i] += 1
-                out += writer.add(last)
             writer.ids.append(batch.column("id"))
             writer.sizes.append(sizes)
             if out:
@@ -279,7 +319,7 @@ def read(spark: SparkSession, folder: str, id: str = "doc_id", id_type: str = "l
                     first = last
 
     rows = files.select("content").mapInArrow(unpacked, f"id {id_type}, shard long, place long, n_tokens long, ids binary")
-    rows = rows.join(before, "shard")
+    rows = rows.join(F.broadcast(before), "shard")  # two numbers for each shard, so that the ids need not move
     return rows.select(F.col("id").alias(id), (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids")
 
 

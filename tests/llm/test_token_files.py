@@ -90,7 +90,11 @@ def test_pieces_and_chunks(tokenizer, monkeypatch):
     monkeypatch.setattr(token_files, "CHUNK", 7)
     monkeypatch.setattr(token_files, "KEPT", 30)
     for text in [t for t in ODD if t] + [" ".join(f"w{i}" for i in range(500)) * 2]:
-        assert np.frombuffer(b"".join(words.encode(text.encode())), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(words.parts(text.encode())), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    texts = [t or "" for t in ODD] + ["Ciónmente. ciónmente, x... $. a.b Ñ! ÷? É.", "word", ""]
+    for _ in range(2):
+        for text, ids in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f, pytest.raises(ValueError):
         token_files.Words(f.read())
 
