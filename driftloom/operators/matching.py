@@ -48,13 +48,17 @@ def observations(prior: Panel, actual: Panel) -> DataFrame:
 
 
 def build(observed: DataFrame, weighing: Weighing = synthetic_weights) -> DataFrame:
-    """(item_id, month, idx, value, weight, cum_lo, cum_hi, is_actual): sorted by value, weights summing to 1."""
+    """(item_id, month, idx, value, weight, cum_lo, cum_hi, is_actual): sorted by value, weights summing to 1.
+
+    Each item and month has prior and actual observations, else a ValueError names the first that lacks either."""
     bad = F.coalesce((F.col("month") < 1) | (F.col("month") > 12), F.lit(True))
-    wrong, n, prior, actual = observed.agg(F.count_if(bad), F.count("*"), F.count_if(~F.col("is_actual")), F.count_if("is_actual")).first()
+    sides = observed.groupBy(*KEYS).agg(F.count_if(bad).alias("bad"), F.count_if(~F.col("is_actual")).alias("prior"), F.count_if("is_actual").alias("actual"))
+    lacks = F.when(F.col("actual") == 0, "actual").when(F.col("prior") == 0, "prior")
+    wrong, lacking = sides.agg(F.sum("bad"), F.min(F.when(lacks.isNotNull(), F.struct("item_id", "month", lacks.alias("side"))))).first()
     if wrong:
         raise ValueError("a month lies between 1 and 12")
-    if n and not (prior and actual):
-        raise ValueError(f"there are no {'actual' if prior else 'prior'} observations")
+    if lacking:
+        raise ValueError(f"there are no {lacking['side']} observations of {lacking['item_id']} in month {lacking['month']}")
     out = observed.select(*KEYS, "value", "is_actual", weighing(F.col("value"), F.col("is_actual")).alias("_w"))
     order = Window.partitionBy(*KEYS).orderBy("value", "is_actual")
     out = out.select(*KEYS, F.row_number().over(order).alias("idx"), "value", (F.col("_w") / F.sum("_w").over(_over())).alias("weight"), "is_actual")

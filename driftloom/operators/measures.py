@@ -6,7 +6,7 @@ aggregation over items followed by windows over months, all by the same keys."""
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +28,24 @@ def yearly(monthly: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 class Measure(ABC):
+    """A measure that ``joint`` says so takes part in ``together``: from ``item_values`` (arrays of an item's months, made in
+    its row) and ``month_values`` (aggregates over a month's items) ``change`` gives the month's change."""
+
     name: str
     tag: str
+    joint = False
+
+    def item_values(self, n: Column) -> Column | None:
+        """An array by month of a series of n months with the column vals."""
+        return None
+
+    def month_values(self, own: Column | None) -> Column:
+        """An aggregate over rows w, v and ``own``, the measure's item value."""
+        raise NotImplementedError
+
+    def change(self, value: Column, order: Window) -> Column:
+        """The month's change from the aggregate; ``order`` is a replicate's months."""
+        return value
 
     @property
     def params(self) -> tuple:
@@ -64,12 +80,42 @@ def _chained(long: DataFrame, keys: Sequence[str], segment: Column) -> DataFrame
     return total.select(*keys, "t_global", "date", (100 * (F.col("_x") / before - 1)).alias("m"))
 
 
+def _item_index(n: Column, starts: Callable[[Column], Column]) -> Column:
+    """An item's index by month, 100 before the months that ``starts`` names (counted from 0)."""
+
+    def step(acc: Column, i: Column) -> Column:
+        before = F.when((i == 0) | starts(i), F.lit(100.0)).otherwise(F.element_at(acc, F.lit(-1)))
+        return F.array_append(acc, before * (1 + F.get("vals", i) / 100))
+
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), F.array().cast("array<double>"), step)).otherwise(F.array().cast("array<double>"))
+
+
+def _index_change(value: Column, order: Window, starts: Callable[[Column], Column]) -> Column:
+    i = F.col("t") - 1
+    before = F.when((i == 0) | starts(i), F.lit(100.0)).otherwise(F.lag(value).over(order))
+    return 100 * (value / before - 1)
+
+
+def _weighted_mean(v: Column) -> Column:
+    return F.sum(F.col("w") * v) / F.sum("w")
+
+
 @dataclass(frozen=True, repr=False)
 class TotalIndex(Measure):
     """The change of the weighted mean of item indices, chained over bases."""
 
     name = "Total index"
     tag = "Total"
+    joint = True
+
+    def item_values(self, n: Column) -> Column:
+        return _item_index(n, lambda i: F.lit(False))
+
+    def month_values(self, own: Column | None) -> Column:
+        return _weighted_mean(own)
+
+    def change(self, value: Column, order: Window) -> Column:
+        return _index_change(value, order, lambda i: F.lit(False))
 
     def monthly(self, panel: Panel) -> DataFrame:
         return _chained(panel.changes(), panel.keys, F.lit(0))
@@ -82,6 +128,20 @@ class RebasedIndex(Measure):
     period: int = 60
     maxchanges: int | None = None
     name = "Total index with synthetic base changes"
+    joint = True
+
+    def _starts(self, i: Column) -> Column:
+        begins = F.pmod(i, F.lit(self.period)) == 0
+        return begins if self.maxchanges is None else begins & (i <= self.period * self.maxchanges)
+
+    def item_values(self, n: Column) -> Column:
+        return _item_index(n, self._starts)
+
+    def month_values(self, own: Column | None) -> Column:
+        return _weighted_mean(own)
+
+    def change(self, value: Column, order: Window) -> Column:
+        return _index_change(value, order, self._starts)
 
     @property
     def tag(self) -> str:
@@ -102,6 +162,10 @@ class RebasedIndex(Measure):
 class WeightedMean(Measure):
     name = "Weighted mean"
     tag = "WeightedMean"
+    joint = True
+
+    def month_values(self, own: Column | None) -> Column:
+        return _weighted_mean(F.col("v"))
 
     def monthly(self, panel: Panel) -> DataFrame:
         return panel.changes().groupBy(*panel.keys, "t_global", "date").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
@@ -113,6 +177,10 @@ class PercentileEq(Measure):
 
     q: float
     name = "Percentile"
+    joint = True
+
+    def month_values(self, own: Column | None) -> Column:
+        return F.percentile("v", self.q / 100)
 
     @property
     def tag(self) -> str:
@@ -132,6 +200,10 @@ class PercentileWeighted(Measure):
 
     q: float
     name = "Weighted percentile"
+    joint = True
+
+    def month_values(self, own: Column | None) -> Column:
+        return _weighted_percentiles([self.q])[0]
 
     @property
     def tag(self) -> str:
@@ -168,8 +240,58 @@ class Ensemble(Measure):
         raise ValueError("an ensemble has no single monthly series")
 
     def apply(self, panel: Panel) -> DataFrame:
+        """All measures from one pass over the panel, so that they see its replicates without drawing them again."""
+        parts = self.measures
+        if all(m.joint for m in parts) and len({m.tag for m in parts}) == len(parts):
+            return together(panel, {m.tag: m for m in parts})
         out = None
-        for m in self.measures:
+        for m in parts:
             one = m.apply(panel).withColumn("measure_id", F.lit(m.tag))
             out = one if out is None else out.unionByName(one)
         return out
+
+
+def _weighted_percentiles(qs: Sequence[float]) -> Column:
+    """The weighted percentiles of a month as an array: its items sorted once, then one walk along them for each."""
+    items = F.array_sort(F.collect_list(F.struct("v", "item_id", "w")))
+
+    def first(sorted_: Column, total: Column, q: float) -> Column:
+        start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("m"))
+        step = lambda acc, x: F.struct((acc["c"] + x["w"]).alias("c"), F.coalesce(acc["m"], F.when(acc["c"] + x["w"] >= q / 100 * total - 1e-12, x["v"])).alias("m"))
+        return F.aggregate(sorted_, start, step)["m"]
+
+    total = lambda s: F.aggregate(s, F.lit(0.0), lambda acc, x: acc + x["w"])
+    # one-element arrays bind the sorted items and their total to names
+    return F.get(F.transform(F.array(items), lambda s: F.get(F.transform(F.array(total(s)), lambda t: F.array(*[first(s, t, q) for q in qs])), 0)), 0)
+
+
+def together(panel: Panel, measures: dict[str, Measure]) -> DataFrame:
+    """(keys..., t_global, date, measure_id, infl) of several joint measures by one aggregation and one set of windows.
+
+    Item indices are made in the items' rows; all percentiles come from one buffer a month, all weighted ones from one
+    sorted list a month."""
+    names = list(measures)
+    rows = {f"_x{i}": own for i, k in enumerate(names) if (own := measures[k].item_values(F.size("vals"))) is not None}
+    series = panel.series.select(*panel.keys, "base_id", "item_id", "w", "vals", *[c.alias(k) for k, c in rows.items()])
+    long = series.select(*panel.keys, "base_id", "item_id", "w", F.posexplode(F.arrays_zip("vals", *rows)).alias("_i", "_z"))
+    starts = {b.base_id: b.start_date for b in panel.bases}
+    place = [(F.col("_i") + 1).alias("t"), (F.col("_i") + 1 + panel.per_base(panel.offsets())).alias("t_global"), F.add_months(panel.per_base(starts), F.col("_i")).alias("date")]
+    long = long.select(*panel.keys, "base_id", *place, "item_id", "w", F.col("_z.vals").alias("v"), *[F.col(f"_z.{k}").alias(k) for k in rows])
+    equal = [i for i, k in enumerate(names) if isinstance(measures[k], PercentileEq)]
+    weighted = [i for i, k in enumerate(names) if isinstance(measures[k], PercentileWeighted)]
+    found = [measures[k].month_values(F.col(f"_x{i}") if f"_x{i}" in rows else None).alias(f"_v{i}") for i, k in enumerate(names) if i not in equal and i not in weighted]
+    if equal:
+        found.append(F.percentile("v", F.array(*[F.lit(measures[names[i]].q / 100) for i in equal])).alias("_eq"))
+    if weighted:
+        found.append(_weighted_percentiles([measures[names[i]].q for i in weighted]).alias("_wt"))
+    months = long.groupBy(*panel.keys, "base_id", "t", "t_global", "date").agg(*found)
+    several = [F.col("_eq")[j].alias(f"_v{i}") for j, i in enumerate(equal)] + [F.col("_wt")[j].alias(f"_v{i}") for j, i in enumerate(weighted)]
+    single = [c for c in months.columns if c.startswith("_v")]
+    months = months.select(*panel.keys, "t", "t_global", "date", *single, *several)
+    order = Window.partitionBy(*panel.keys).orderBy("t_global") if panel.keys else Window.partitionBy(F.lit(0)).orderBy("t_global")
+    changes = months.select(*panel.keys, "t_global", "date", *[measures[k].change(F.col(f"_v{i}"), order).alias(f"_m{i}") for i, k in enumerate(names)], F.row_number().over(order).alias("_n"))
+    year = order.rowsBetween(-11, 0)
+    rates = changes.select(*panel.keys, "t_global", "date", "_n", *[(100 * (F.product(1 + F.col(f"_m{i}") / 100).over(year) - 1)).alias(k) for i, k in enumerate(names)])
+    ids = [*panel.keys, "t_global", "date"]
+    kept = rates.filter("_n >= 12").select(*ids, *[f"`{k}`" for k in names])
+    return kept.unpivot([F.col(c) for c in ids], [F.col(f"`{k}`") for k in names], "measure_id", "infl").select(*ids, "infl", "measure_id")

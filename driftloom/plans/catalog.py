@@ -27,7 +27,7 @@ from ..sources.panel import THREE_BASES, TWO_BASES, Panel, sales_panel
 from . import oracle as S
 from .config import SimConfig, SimDynamicConfig
 from .parameter import Parameter, total, total_legacy_rebase, total_rebase, weighted_mean
-from .simulate import assessment, assessment_dynamic, lowlevel, lowlevel_dynamic, online, trajectories
+from .simulate import assessment, assessment_dynamic, evaluate_batch, lowlevel, lowlevel_dynamic, online, trajectories
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -252,6 +252,15 @@ def infl_ensemble(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ENSEMBLE.apply(sales_panel(spark, d)))
 
 
+JOINT = Ensemble(tuple(m for m, _ in MEASURES.values()))
+
+
+@query("infl_together", S.build([S.panel(), S.scramble("sample", SMALL), *[S.yearly(f"m{i}", sql("sample", ["rep"]), ["rep"]) for i, sql in enumerate(S.MEASURES)]], " UNION ALL ".join(f"SELECT CAST(rep AS BIGINT) AS rep, CAST(t_global AS BIGINT) AS t_global, date, round(infl, 6) AS infl, '{m.tag}' AS measure_id FROM m{i}" for i, m in enumerate(JOINT.parts))))
+def infl_together(spark: SparkSession, d: str) -> DataFrame:
+    """Six measures of the same replicates from one pass over them."""
+    return rounded(JOINT.apply(SVM.sample(sales_panel(spark, d), SMALL)))
+
+
 # parameters and trajectories ---------------------------------------------------------------------------------------
 
 _POP = [S.population("pop0"), S.trended("pop", "pop0", _EXP)]
@@ -361,6 +370,18 @@ def assessment_static(spark: SparkSession, d: str) -> DataFrame:
     return assessment(sales_panel(spark, d), _config(), short=False)
 
 
+SWEEP = tuple(range(50, 81))
+_SWEEP = f"SELECT rep, unnest([{', '.join(map(str, SWEEP))}]) AS q, t_global, date, unnest(quantile_cont(v, [{', '.join(str(q / 100) for q in SWEEP)}])) AS m FROM tsample GROUP BY rep, t_global, date"
+
+
+@query("assessment_sweep", S.build([S.panel(), SVM_SQL, S.trended("tsample", "sample", _EXP, "rep,"), S.yearly("traj", _SWEEP, ["rep", "q"]), *_PARAM, S.errors("err"), _TAGGED, S.per_rep("r", "terr", ["tag", "q"])], f"SELECT 'PercEq-' || q AS measure_tag, tag, {S.picked(S.short_metrics())} FROM r GROUP BY tag, q"))
+def assessment_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """A configuration for each percentile from 50 to 80: one set of replicates, one pass over them."""
+    configs = [replace(_config(), measure=PercentileEq(q)) for q in SWEEP]
+    found = evaluate_batch(sales_panel(spark, d), configs)
+    return rounded(found.select("measure_tag", "tag", *M.SHORT))
+
+
 # folds -------------------------------------------------------------------------------------------------------------
 
 FOLDS = [[1 + 0.002 * t * f for t in range(1, 71)] for f in (1, 2, 3)]
@@ -518,6 +539,83 @@ def weights_penalty(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.createDataFrame([(a, b, C.constraint_penalty((a, b))) for a, b in _CANDIDATES], "w1 double, w2 double, penalty double"))
 
 
+# three measures and more: what the searches find against a grid of weights
+TRIO = Ensemble((WeightedMean(), PercentileEq(70), PercentileWeighted(60)))
+TRIO_NAMES = tuple(m.tag for m in TRIO.parts)
+_TRIO = [S.panel(), SVM_SQL, S.trended("tsample", "sample", _EXP, "rep,"), S.yearly("a", S.weighted_mean("tsample", ["rep"]), ["rep"]), S.yearly("b", S.percentile("tsample", 0.7, ["rep"]), ["rep"]), S.yearly("c", S.percentile_weighted("tsample", 0.6, ["rep"]), ["rep"]), *_PARAM]
+_WIDE = "wide AS (SELECT a.rep, a.t_global, a.date, a.infl AS x, b.infl AS y, c.infl AS z, p.infl AS pi FROM a JOIN b USING (rep, t_global) JOIN c USING (rep, t_global) JOIN param p USING (t_global))"
+
+
+def grid(parts: int, edge: bool = True) -> np.ndarray:
+    """All weights of three measures in steps of 1 / parts, with or without those that have a 0."""
+    first = 0 if edge else 1
+    found = [(i, j, parts - i - j) for i in range(first, parts + 1) for j in range(first, parts + 1 - i) if parts - i - j >= first]
+    return np.array(found) / parts
+
+
+def _grid_sql(parts: int, edge: bool = True) -> str:
+    first = 0 if edge else 1
+    return f"grid AS (SELECT CAST(row_number() OVER (ORDER BY i, j) - 1 AS BIGINT) AS candidate, i / {parts} AS u, j / {parts} AS v, ({parts} - i - j) / {parts} AS w FROM range({first}, {parts + 1}) r(i), range({first}, {parts + 1}) s(j) WHERE {parts} - i - j >= {first})"
+
+
+_EACH = "cand AS (SELECT candidate, u, v, w, rep, u * x + v * y + w * z AS infl, pi, u * x + v * y + w * z - pi AS e FROM wide CROSS JOIN grid)"
+
+
+def _trio(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _traj(spark, d, TRIO), PARAMETER.trajectory(sales_panel(spark, d))
+
+
+@query("weights_candidates", S.build([*_TRIO, _WIDE, _grid_sql(4), _EACH, S.per_rep("r", "cand", ["candidate"])], f"SELECT candidate, {S.picked(S.short_metrics())} FROM r GROUP BY candidate"))
+def weights_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """All short metrics of a generation of weights, in one job."""
+    return rounded(C.evaluate_candidates(*_trio(spark, d), TRIO_NAMES, grid(4)))
+
+
+def _bound(spark: SparkSession, tried: np.ndarray, value: float) -> DataFrame:
+    """The best of the grid, and whether the search is no worse."""
+    low = float(np.min(tried))
+    return rounded(spark.createDataFrame([(low, bool(value <= low + 1e-9))], "grid_objective double, no_worse boolean"), 5)
+
+
+_LAM, _BATCHES, _FINE = 0.0001, 4, 20
+_BARRIER = f"{_LAM!r} * (1 / (100 * u) + 1 / (100 * v) + 1 / (100 * w))"
+
+
+def _bound_sql(edge: bool, objective: str, parts: int = _FINE) -> str:
+    return S.build([*_TRIO, _WIDE, _grid_sql(parts, edge), _EACH, S.per_rep("r", "cand", ["candidate", "u", "v", "w"])], f"SELECT round(min(o), 5) AS grid_objective, true AS no_worse FROM ({objective})")
+
+
+@query("weights_share_rmse_bound", _bound_sql(False, f"SELECT 10 * avg(rmse_k) + {_BARRIER} AS o FROM r GROUP BY candidate, u, v, w"))
+def weights_share_rmse_bound(spark: SparkSession, d: str) -> DataFrame:
+    m = C.moments(C.moment_rows(*_trio(spark, d), TRIO_NAMES), TRIO_NAMES)
+    tried = [10 * C._metric(m, w, "rmse") + C._penalty(w, _LAM) for w in grid(_FINE, False)]
+    return _bound(spark, tried, C.share_weights_rmse(m, _LAM, _BATCHES)["value"])
+
+
+@query("weights_share_absme_bound", _bound_sql(False, f"SELECT 10 * avg(m) + {_BARRIER} AS o FROM (SELECT candidate, u, v, w, abs(avg(me_k)) AS m FROM r GROUP BY candidate, u, v, w, (rep - 1) // {REPS // _BATCHES}) GROUP BY candidate, u, v, w"))
+def weights_share_absme_bound(spark: SparkSession, d: str) -> DataFrame:
+    m = C.moments(C.moment_rows(*_trio(spark, d), TRIO_NAMES), TRIO_NAMES)
+    mean_x, mean_p = m.mx.reshape(_BATCHES, -1, 3).mean(axis=1), m.mp.reshape(_BATCHES, -1).mean(axis=1)
+    tried = [10 * np.abs(mean_x @ w - mean_p).mean() + C._penalty(w, _LAM) for w in grid(_FINE, False)]
+    return _bound(spark, tried, C.share_weights_absme(m, _LAM, _BATCHES)["value"])
+
+
+@query("weights_share_corr_bound", _bound_sql(True, "SELECT -avg(rho) AS o FROM r GROUP BY candidate"))
+def weights_share_corr_bound(spark: SparkSession, d: str) -> DataFrame:
+    m = C.moments(C.moment_rows(*_trio(spark, d), TRIO_NAMES), TRIO_NAMES)
+    return _bound(spark, [-C.mean_corr(m, w) for w in grid(_FINE)], -C.share_weights_corr(m)["value"])
+
+
+for _metric in ("mae", "huber"):
+
+    @query(f"weights_{_metric}_bound", _bound_sql(True, f"SELECT {S.short_metrics()[_metric]} AS o FROM r GROUP BY candidate", 8))
+    def _weights_bound(spark: SparkSession, d: str, metric: str = _metric) -> DataFrame:
+        traj, population = _trio(spark, d)
+        found = C.trajectory_weights(traj, population, TRIO_NAMES, metric)
+        tried = C.evaluate_candidates(traj, population, TRIO_NAMES, grid(8)).agg(F.min(metric).alias("low"))
+        return rounded(tried.select(F.col("low").alias("grid_objective"), (F.lit(found["value"]) <= F.col("low") + 1e-9).alias("no_worse")), 5)
+
+
 @query("soft_threshold", S.build([S.panel()], "SELECT CAST(base_id AS BIGINT) AS base_id, CAST(t AS BIGINT) AS t, item_id, round(v - greatest(-2.0, least(2.0, v)), 6) AS z FROM panel"))
 def soft_threshold_(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sales_panel(spark, d).changes().select("base_id", "t", "item_id", soft_threshold(F.col("v"), 2.0).alias("z")))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import hashlib
+import inspect
+import types
 from collections.abc import Sequence
 from dataclasses import dataclass, fields, is_dataclass
 
@@ -34,6 +37,19 @@ def _file(prefix: str, parts: Sequence[str], suffix: str) -> str:
     return f"{prefix}_" * bool(prefix) + SEPARATOR.join(parts) + suffix
 
 
+def _code(code: types.CodeType) -> str:
+    inner = [_code(c) if isinstance(c, types.CodeType) else repr(sorted(map(repr, c)) if isinstance(c, frozenset) else c) for c in code.co_consts]
+    return f"({code.co_code.hex()}, {inner}, {code.co_names}, {code.co_varnames})"
+
+
+def _function(f: types.FunctionType) -> str:
+    """A function by what it does and holds: its code, default values and the values that it closes over."""
+    own = inspect.unwrap(f)
+    cells = [c.cell_contents for c in own.__closure__ or ()]
+    held = [f"{own.__module__}.{own.__qualname__}" if c is own else described(c) for c in cells]
+    return f"{own.__module__}.{own.__qualname__}{_code(own.__code__)}, {described(own.__defaults__)}, {described(own.__kwdefaults__)}, {held}"
+
+
 def described(value) -> str:
     """All that a value holds, field by field; tables by their schema and rows."""
     if isinstance(value, DataFrame):
@@ -48,6 +64,12 @@ def described(value) -> str:
         return "[" + ", ".join(map(described, value)) + "]"
     if hasattr(value, "tolist"):
         return described(value.tolist())
+    if isinstance(value, functools.partial):
+        return f"partial({described(value.func)}, {described(value.args)}, {described(value.keywords)})"
+    if hasattr(value, "__code__"):
+        return _function(value)
+    if hasattr(value, "__func__"):  # a bound method
+        return f"{described(value.__self__)}.{_function(value.__func__)}"
     if callable(value) and hasattr(value, "__qualname__"):
         return f"{value.__module__}.{value.__qualname__}"
     own = {f.name: getattr(value, f.name) for f in fields(value)} if is_dataclass(value) else vars(value)

@@ -123,6 +123,17 @@ def index(source: str, segment: str = "0", keys: Sequence[str] = ()) -> str:
 )"""
 
 
+#: The measures of ``infl_together``, as functions of a source and keys.
+MEASURES = (
+    lambda source, keys: index(source, "0", keys),
+    lambda source, keys: index(source, "(t - 1) // 12", keys),
+    lambda source, keys: index(source, "least((t - 1) // 9, 2)", keys),
+    weighted_mean,
+    lambda source, keys: percentile(source, 0.7, keys),
+    lambda source, keys: percentile_weighted(source, 0.7, keys),
+)
+
+
 def errors(name: str, traj: str = "traj", param: str = "param", on: str = "t_global") -> str:
     return f"{name} AS (SELECT x.*, y.infl AS pi, x.infl - y.infl AS e FROM {traj} x JOIN (SELECT {on}, infl FROM {param}) y USING ({on}))"
 

@@ -6,19 +6,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.counter import DEFAULT_SEED
 from ..operators import metrics as M
-from ..operators.measures import Measure
+from ..operators.measures import Measure, together
 from ..operators.periods import tagged
 from ..operators.resample import Resampler
 from ..operators.trend import FoldTrend, Trend
 from ..sources import store
 from ..sources.panel import Panel
-from .config import SimConfig, SimDynamicConfig
+from .config import SimConfig, SimDynamicConfig, described
 
 
 def trajectories(measure: Measure, resampler: Resampler, trend: Trend, panel: Panel, reps: int = 100, seed: int = DEFAULT_SEED) -> DataFrame:
@@ -59,24 +60,98 @@ def assessment(panel: Panel, config: SimConfig, seed: int = DEFAULT_SEED, short:
     return found.select(*[F.lit(v).alias(k) for k, v in _own(config, config.key()).items()], *found.columns)
 
 
+def _groups(configs: dict[str, SimConfig | SimDynamicConfig]) -> list[dict[str, SimConfig | SimDynamicConfig]]:
+    """Configurations that see the same replicates: resampler, trend or folds' trends, and training date are the same.
+
+    Draws are functions of a replicate's number, so fewer replicates are the first of more."""
+    found: dict[str, dict] = {}
+    for key, c in configs.items():
+        dynamic = isinstance(c, SimDynamicConfig)
+        same = described([c.resampler, [list(map(float, t)) for t in c.trends] if dynamic else c.trend, c.traindate, dynamic])
+        found.setdefault(same, {})[key] = c
+    return list(found.values())
+
+
+def _drawn(panel: Panel, configs: dict[str, SimConfig | SimDynamicConfig], seed: int) -> DataFrame:
+    """(config_key, [fold,] rep, t_global, date, infl, pi, measure_id) of one group: its replicates are drawn once, all
+    measures come from one pass over them, and each configuration takes the rows of its measures and first replicates."""
+    one = next(iter(configs.values()))
+    most = max(c.nsim for c in configs.values())
+    cut = panel.slice(last=one.traindate)
+    if isinstance(one, SimDynamicConfig):
+        cut, trend, keys = _fold_panel(cut, one.nfolds), _fold_trend(panel, one), ["fold"]
+        own_seed = F.lit(seed) + F.col("fold") + one.nfolds
+        parameters = {k: replace(c.parameter, trend=trend) for k, c in configs.items()}
+    else:
+        trend, keys, own_seed = one.trend, [], seed
+        parameters = {k: c.parameter for k, c in configs.items()}
+    sample = trend.apply(one.resampler.sample(cut, most, own_seed))
+    measures = {described(m): m for c in configs.values() for m in c.measure.measures}
+    ids = {k: f"m{i}" for i, k in enumerate(measures)}
+    joint = {ids[k]: m for k, m in measures.items() if m.joint}
+    parts = [together(sample, joint)] if joint else []
+    parts += [m.apply(sample).withColumn("measure_id", F.lit(ids[k])) for k, m in measures.items() if not m.joint]
+    traj = reduce(DataFrame.unionByName, parts)
+    populations = {described([c.parameter.measure, c.parameter.resampler, keys or c.parameter.trend]): k for k, c in configs.items()}
+    which = {name: i for i, name in enumerate(populations)}
+    pis = [parameters[k].trajectory(cut).select(*keys, "t_global", F.col("infl").alias("pi"), F.lit(i).alias("_p")) for i, k in enumerate(populations.values())]
+    rows = []
+    for key, c in configs.items():
+        p = which[described([c.parameter.measure, c.parameter.resampler, keys or c.parameter.trend])]
+        rows += [(key, ids[described(m)], m.tag if len(c.measure.measures) > 1 else None, p, c.nsim) for m in c.measure.measures]
+    # a few rows for each configuration, some months for each parameter
+    wanted = panel.spark.createDataFrame(rows, "config_key string, measure_id string, _tag string, _p int, _nsim int")
+    out = traj.join(F.broadcast(wanted), "measure_id").filter("rep <= _nsim").join(F.broadcast(reduce(DataFrame.unionByName, pis)), [*keys, "t_global", "_p"])
+    return out.select("config_key", *keys, "rep", "t_global", "date", "infl", "pi", F.col("_tag").alias("measure_id"))
+
+
+def _evaluated(drawn: DataFrame, configs: dict[str, SimConfig | SimDynamicConfig], short: bool) -> DataFrame:
+    """The assessment rows of one group, from the rows of ``_drawn``."""
+    by_periods: dict[tuple, list[str]] = {}
+    for key, c in configs.items():
+        by_periods.setdefault((c.evalperiod,) if isinstance(c, SimDynamicConfig) else tuple(c.evalperiods), []).append(key)
+    tags = None
+    for periods, keys in by_periods.items():
+        here = F.col("config_key").isin(keys)
+        own = F.array_compact(F.array(*[F.when(p.mask(), F.lit(p.tag)) for p in periods]).cast("array<string>"))
+        tags = F.when(here, own) if tags is None else tags.when(here, own)
+    dynamic = "fold" in drawn.columns
+    several = any(len(c.measure.measures) > 1 for c in configs.values())
+    keys = ["config_key", "fold" if dynamic else "tag", *["measure_id"] * several]
+    e = drawn.withColumn("e", F.col("infl") - F.col("pi")).withColumn("tag", F.explode(tags))
+    found = M.evaluate(e, keys, short)
+    own = [_own(c, key) for key, c in configs.items()]
+    kinds = {"nsim": "int", "traindate": "date"}
+    info = drawn.sparkSession.createDataFrame([tuple(x.values()) for x in own], ", ".join(f"{k} {kinds.get(k, 'string')}" for k in own[0]))
+    return found.join(F.broadcast(info), "config_key").select(*own[0], *[c for c in found.columns if c != "config_key"])
+
+
+def evaluate_batch(panel: Panel, configs: Sequence[SimConfig | SimDynamicConfig], seed: int = DEFAULT_SEED, short: bool = True) -> DataFrame:
+    """The assessment of many configurations, a job for each group that shares its replicates (see ``_groups``).
+
+    One row for each configuration and tag or fold, and measure of an ensemble; columns that some lack are null there."""
+    keyed = {c.key(**_settings(seed, None if short else short)): c for c in configs}
+    parts = [_evaluated(_drawn(panel, group, seed), group, short) for group in _groups(keyed)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def assessment_batch(panel: Panel, configs: Sequence[SimConfig | SimDynamicConfig], path: str, seed: int = DEFAULT_SEED, short: bool = True, recompute: bool = False, trajectories_path: str | None = None) -> list[str]:
     """Write the assessment of each configuration, static or dynamic (one row a fold), that the store lacks; returns the keys written.
 
-    Keys tell runs of another seed or of all metrics apart. With ``trajectories_path`` the trajectories are written there
-    under the same keys."""
+    Configurations that share their replicates are drawn and evaluated together. Keys tell runs of another seed or of all
+    metrics apart. With ``trajectories_path`` the trajectories are written there first, under the same keys, and the metrics
+    are those of the trajectories written."""
     spark = panel.spark
-    keys = [c.key(**_settings(seed, None if short else short)) for c in configs]
-    have = set() if recompute else store.present_keys(spark, path, keys)
-    todo = [(k, c) for k, c in zip(keys, configs, strict=True) if k not in have]
-    for key, c in todo:
-        if isinstance(c, SimDynamicConfig):
-            found, traj, _ = lowlevel_dynamic(panel, c, seed, short)
-        else:
-            found, traj = lowlevel(panel, c, seed, short)
+    keyed = {c.key(**_settings(seed, None if short else short)): c for c in configs}
+    have = set() if recompute else store.present_keys(spark, path, list(keyed))
+    todo = {k: c for k, c in keyed.items() if k not in have}
+    for group in _groups(todo):
+        drawn = _drawn(panel, group, seed)
         if trajectories_path:
-            store.save(traj.withColumn("config_key", F.lit(key)), trajectories_path)
-        store.save(found.select(*[F.lit(v).alias(k) for k, v in _own(c, key).items()], *found.columns), path)
-    return [key for key, _ in todo]
+            store.save(drawn, trajectories_path)
+            drawn = spark.read.schema(drawn.schema).parquet(trajectories_path).filter(F.col("config_key").isin(list(group)))
+        store.save(_evaluated(drawn, group, short), path)
+    return list(todo)
 
 
 def _fold_panel(panel: Panel, nfolds: int) -> Panel:

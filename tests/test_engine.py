@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from driftloom.operators.measures import PercentileEq, TotalIndex, WeightedMean
 from driftloom.operators.periods import B10, CompletePeriod, EvalPeriod, PeriodVector, eval_periods
 from driftloom.plans import config as K
 from driftloom.plans.parameter import Parameter, total, weighted_mean
-from driftloom.plans.simulate import assessment_batch, assessment_dynamic, lowlevel, online, trajectories
+from driftloom.plans.simulate import assessment_batch, assessment_dynamic, lowlevel, lowlevel_dynamic, online, trajectories
 from driftloom.sources import store
 from driftloom.sources.panel import Base, from_changes
 
@@ -352,3 +353,147 @@ def test_streams_of_replicates(spark, tmp_path):
     got = totals(spark, str(tmp_path / "out")).first()
     want = M.evaluate(cells).first()
     assert abs(got.mse - want.mse) < 1e-12 and abs(got.absme - want.absme) < 1e-12
+
+
+def test_ensembles_draw_their_replicates_once(spark):
+    from driftloom.operators.measures import Ensemble, PercentileWeighted, RebasedIndex
+
+    p = panel(spark, (30, 14), 5, lambda b, t, i: ((t * 13 + i * 7 + b) % 11) - 4)
+    parts = (TotalIndex(), RebasedIndex(12), RebasedIndex(9, 1), WeightedMean(), PercentileEq(70), PercentileEq(30.5), PercentileWeighted(60), PercentileWeighted(100))
+    sample = R.ScrambleByMonth().sample(p, 4)
+    whole = Ensemble(parts).apply(sample)
+    got = {(r.measure_id, r.rep, r.t_global): (r.date, r.infl) for r in whole.collect()}
+    want = {(m.tag, r.rep, r.t_global): (r.date, r.infl) for m in parts for r in m.apply(sample).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("cartesian") == 0 and len(re.findall(r"md5\(", plan.split("== Initial Plan ==")[-1])) == len(re.findall(r"md5\(", sample.series._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]))
+    assert {r.measure_id for r in Ensemble(parts[:2]).apply(p).collect()} == {"Total", "TotalRebase(12)"}
+
+
+def test_batches_share_their_replicates(spark, tmp_path):
+    from driftloom.operators.measures import Ensemble
+    from driftloom.plans.simulate import _drawn, _groups, evaluate_batch
+
+    p = panel(spark, (24, 24), 4, lambda b, t, i: ((t * 13 + i * 7 + b) % 11) - 4)
+    param, other = (Parameter(m, R.ScrambleByMonth(), D.IdentityTrend()) for m in (WeightedMean(), TotalIndex()))
+    last = dt.date(2004, 12, 1)
+    half = EvalPeriod(start=dt.date(2002, 1, 1), final=dt.date(2003, 1, 1), tag="half")
+    configs = [K.SimConfig(PercentileEq(q), R.ScrambleByMonth(), D.IdentityTrend(), param, 5 + q % 3, last, (CompletePeriod(), half) if q % 2 else (CompletePeriod(),)) for q in range(50, 81)]
+    configs.append(K.SimConfig(TotalIndex(), R.ScrambleByMonth(), D.ExponentialTrend(), other, 4, last))
+    configs.append(K.SimConfig(WeightedMean(), R.ScrambleByMonth(), D.IdentityTrend(), other, 9, last))
+    configs.append(K.SimConfig(Ensemble((WeightedMean(), PercentileEq(70))), R.ScrambleByMonth(), D.IdentityTrend(), param, 6, last))
+    configs += [K.SimDynamicConfig(m, R.ScrambleByMonth(), [[1.1] * 48, [1.2] * 48], param, n, last) for m, n in ((TotalIndex(), 3), (WeightedMean(), 4))]
+    keyed = {c.key(): c for c in configs}
+    groups = _groups(keyed)
+    assert sorted(map(len, groups)) == [1, 2, 33]
+    drawn = _drawn(p, max(groups, key=len), 1)
+    dealt = re.findall(r"Exchange hashpartitioning\(rep", drawn._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1])
+    assert len(dealt) == 1
+    found = evaluate_batch(p, configs).collect()
+    for c in configs[::7] + configs[-5:]:
+        own = [r for r in found if r.config_key == c.key()]
+        if isinstance(c, K.SimDynamicConfig):
+            want = {(r.fold, None): r for r in lowlevel_dynamic(p, c, short=True)[0].collect()}
+            got = {(r.fold, None): r for r in own}
+        else:
+            want = {(r.tag, r.asDict().get("measure_id")): r for r in lowlevel(p, c, short=True)[0].collect()}
+            got = {(r.tag, r.measure_id): r for r in own}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k][m] - want[k][m]) < 1e-9 for k in want for m in M.SHORT)
+        assert {r.nsim for r in own} == {c.nsim} and {r.measure_tag for r in own} == {c.measure.tag}
+    path, kept = str(tmp_path / "r"), str(tmp_path / "t")
+    assert assessment_batch(p, configs, path, trajectories_path=kept) == list(keyed) and assessment_batch(p, configs, path) == []
+    stored = {(r.config_key, r.tag, r.fold, r.measure_id): r.mse for r in store.collect(spark, path).collect()}
+    assert stored.keys() == {(r.config_key, r.tag, r.fold, r.measure_id) for r in found}
+    assert all(abs(stored[r.config_key, r.tag, r.fold, r.measure_id] - r.mse) < 1e-9 for r in found)
+    assert {r.config_key: r.n for r in store.collect(spark, kept).groupBy("config_key").agg(F.count_distinct("rep").alias("n")).collect()} == {k: c.nsim for k, c in keyed.items()}
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 8])
+def test_shares_with_a_barrier_are_optimal(n):
+    r = np.random.default_rng(n)
+    for batches, lam in ((1, 0.0), (2, 1e-6), (3, 1e-4), (5, 0.01), (10, 1.0)):
+        k, t = 10 * batches, 30
+        p = r.normal(3, 1, t)
+        x = p[None, :, None] + r.normal(r.normal(0, 0.4, n), r.uniform(0.1, 1, n), (k, t, n))
+        m = C.Moments(tuple(map(str, range(n))), np.einsum("kti,ktj->kij", x, x) / t, np.einsum("kti,t->ki", x, p) / t, np.full(k, (p * p).mean()), x.mean(axis=1), np.full(k, p.mean()))
+        mean_x, mean_p = m.mx.reshape(batches, -1, n).mean(axis=1), m.mp.reshape(batches, -1).mean(axis=1)
+        rmse = lambda w: np.sqrt(np.maximum(np.einsum("ci,kij,cj->ck", w, m.xx, w, optimize=True) - 2 * w @ m.xp.T + m.pp, 0)).mean(axis=1)
+        absme = lambda w: np.abs(w @ mean_x.T - mean_p).mean(axis=1)
+        for found, metric in ((C.share_weights_rmse(m, lam, batches), rmse), (C.share_weights_absme(m, lam, batches), absme)):
+            cost = lambda w: 10 * metric(w) + (lam * (1 / (100 * w)).sum(axis=1) if lam else 0)  # noqa: B023, E731
+            b = found["weights"]
+            assert abs(b.sum() - 1) < 1e-9 and b.min() >= 0 and abs(cost(b[None])[0] - found["value"]) < 1e-9
+            best = b
+            for spread in (None, 0.3, 0.1, 0.03, 0.01, 1e-3, 1e-4):  # random search, then around what is best
+                tried = r.dirichlet(np.ones(n), 4000) if spread is None else np.abs(best + spread * r.normal(size=(4000, n)))
+                tried = np.maximum(tried, 1e-12)
+                tried /= tried.sum(axis=1, keepdims=True)
+                values = cost(tried)
+                assert found["value"] <= values.min() + 1e-6, (n, batches, lam, metric)
+                best = tried[values.argmin()]
+
+
+def test_norms_that_reach_zero():
+    m, *_ = moments(perfect=True, n=2)
+    assert np.allclose(C.share_weights_rmse(m)["weights"], [1, 0], atol=1e-4)
+    one = C.Norms(np.ones(1), np.ones((1, 1, 1)), np.zeros((1, 1)), np.zeros(1))
+    assert C.sum_of_norms(one).tolist() == [1.0]
+
+
+def test_generations_of_weights(spark):
+    from driftloom.operators.measures import Ensemble
+
+    p = panel(spark, (40,), 4, lambda b, t, i: ((t * 13 + i * 7) % 11) - 4)
+    e = Ensemble((WeightedMean(), PercentileEq(70), PercentileEq(40)))
+    names = tuple(m.tag for m in e.parts)
+    traj = trajectories(e, R.ScrambleByMonth(), D.IdentityTrend(), p, 4)
+    pop = Parameter(WeightedMean(), trend=D.IdentityTrend()).trajectory(p)
+    jobs = []
+    objective = C.by_trajectories(traj.persist(), pop, names, "mae")
+
+    def counted(w):
+        jobs.append(len(w))
+        return objective(w)
+
+    b = C.searched_weights(counted, 3)
+    assert len(jobs) <= 20 and abs(b.sum() - 1) < 1e-9 and b.min() >= 0
+    grid = np.array([(i, j, 10 - i - j) for i in range(11) for j in range(11 - i)]) / 10
+    assert objective(b) <= objective(grid).min() + 1e-6
+    flat = lambda w: (np.atleast_2d(w)[:, 0] - 0.3) ** 2 + np.abs(np.atleast_2d(w)[:, 1] - 0.1)
+    assert np.allclose(C.searched_weights(flat, 4, x_abstol=1e-5, most=60)[:2], [0.3, 0.1], atol=1e-3)
+    cached = len(spark.sparkContext._jsc.getPersistentRDDs())
+    assert C.trajectory_weights(traj, pop, names, "huber")["value"] <= C.by_trajectories(traj, pop, names, "huber")(grid).min() + 1e-6
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) <= cached
+    m = C.moments(C.moment_rows(traj, pop, names), names)
+    w = np.array([0.2, 0.5, 0.3])
+    assert C.evaluate_combination(m, w) == -C.mean_corr(m, w)
+
+
+def test_keys_tell_functions_apart():
+    import functools
+
+    def shifted(a):
+        return lambda t: t + a
+
+    def scaled(t, by=2):
+        return t * by
+
+    one, two = (lambda t: t + 1), (lambda t: t + 2)
+    different = [one, two, shifted(1), shifted(2), functools.partial(scaled, by=3), functools.partial(scaled, by=4), scaled, D.sine]
+    assert len({K.described(f) for f in different}) == len(different)
+    assert K.described(shifted(1)) == K.described(shifted(1)) and K.described(functools.partial(scaled, by=3)) == K.described(functools.partial(scaled, by=3))
+    param = Parameter(TotalIndex(), R.Identity(), D.IdentityTrend())
+    keys = {K.SimConfig(TotalIndex(), R.Identity(), D.AnalyticTrend(f), param, 5, dt.date(2003, 1, 1)).key() for f in different}
+    assert len(keys) == len(different)
+
+
+def test_one_sided_observations_are_refused(spark):
+    rows = [("a", 1, 1.0, False), ("a", 1, 2.0, True), ("b", 1, 1.0, False), ("b", 1, 3.0, True)]
+    schema = "item_id string, month int, value double, is_actual boolean"
+    assert G.build(spark.createDataFrame(rows, schema)).count() == 4
+    with pytest.raises(ValueError, match="no actual observations of b in month 2"):
+        G.build(spark.createDataFrame([*rows, ("b", 2, 1.0, False), ("c", 1, 1.0, True)], schema))
+    with pytest.raises(ValueError, match="no prior observations of c in month 1"):
+        G.build(spark.createDataFrame([*rows, ("c", 1, 1.0, True)], schema))
+    assert G.build(spark.createDataFrame([], schema)).count() == 0
