@@ -78,11 +78,43 @@ def stats(dist: DataFrame) -> DataFrame:
     return mean.join(spread, list(KEYS)).select(*KEYS, "n", "mean", std.alias("std"))
 
 
+def guide_of(cum: Column) -> Column:
+    """A guide table of n + 1 entries for n ascending cumulated weights: entry j is the number of them up to j / n.
+
+    A draw u starts at entry floor(u n) and needs not look beyond entry floor(u n) + 1, on average one weight further."""
+    n = F.size(cum)
+    cell = lambda i: F.when(i < 0, F.lit(0)).otherwise(F.least(F.ceil(F.get(cum, i) * n).cast("int"), n))
+    steps = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_repeat(i, F.greatest(cell(i) - cell(i - 1), F.lit(0))))
+    return F.concat(F.flatten(steps), F.array_repeat(n, n + 1 - cell(n - 1)))
+
+
+def picked(values: Column, cum: Column, guide: Column, u: Column) -> Column:
+    """The first value whose cumulated weight is above u, found through the guide table.
+
+    One weight more on either side is looked at, as j / n and cum n are rounded."""
+
+    def at(u: Column) -> Column:
+        n = F.size(values)
+        j = F.floor(u * n).cast("int")
+        low, high = F.greatest(F.get(guide, j) - 1, F.lit(0)), F.least(F.get(guide, j + 1) + 1, n)
+        return F.get(values, low + F.size(F.filter(F.slice(cum, low + 1, high - low), lambda c: c <= u)))
+
+    # a one-element array binds the draw to a name, so that it is made once
+    return F.get(F.transform(F.array(u), at), 0)
+
+
+def _arrays(dist: DataFrame) -> DataFrame:
+    """(item_id, month, values, cum, weights): one row for each distribution."""
+    rows = dist.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("idx", "value", "cum_hi", "weight"))).alias("_d"))
+    return rows.select(*KEYS, F.col("_d.value").alias("values"), F.col("_d.cum_hi").alias("cum"), F.col("_d.weight").alias("weights"))
+
+
 def sample(dist: DataFrame, n: int, seed: int = DEFAULT_SEED, stream: str = "match") -> DataFrame:
-    """(item_id, month, k, value): ``n`` draws with replacement from each distribution."""
-    keys = dist.select(*KEYS).distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    draws = keys.withColumn("u", uniform(seed, stream, "item_id", "month", "k"))
-    return draws.join(dist, list(KEYS)).filter((F.col("u") >= F.col("cum_lo")) & (F.col("u") < F.col("cum_hi"))).select(*KEYS, "k", "value")
+    """(item_id, month, k, value): ``n`` draws with replacement from each distribution, each in constant time on average.
+
+    Draws are made in the distributions' own rows; nothing is joined."""
+    rows = _arrays(dist).withColumn("guide", guide_of(F.col("cum"))).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    return rows.select(*KEYS, "k", picked(F.col("values"), F.col("cum"), F.col("guide"), uniform(seed, stream, "item_id", "month", "k")).alias("value"))
 
 
 def sample_distinct(dist: DataFrame, n: int, ordered: bool = False, seed: int = DEFAULT_SEED, stream: str = "match") -> DataFrame:
@@ -97,10 +129,9 @@ def sample_distinct(dist: DataFrame, n: int, ordered: bool = False, seed: int =
 
 def packed(dist: DataFrame, first_month: int) -> DataFrame:
     """One row for each item and month, with slot 1 for ``first_month``, as ``Synthetic`` takes it."""
-    rows = dist.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("idx", "value", "cum_hi", "weight"))).alias("_d"))
-    expected = F.aggregate("_d", F.lit(0.0), lambda acc, x: acc + x["value"] * x["weight"])
+    expected = F.aggregate(F.zip_with("values", "weights", lambda x, w: x * w), F.lit(0.0), lambda acc, x: acc + x)
     slot = F.pmod(F.col("month") - first_month, F.lit(12)) + 1
-    return rows.select("item_id", slot.cast("int").alias("slot"), "month", F.col("_d.value").alias("values"), F.col("_d.cum_hi").alias("cum"), expected.alias("expected"))
+    return _arrays(dist).select("item_id", slot.cast("int").alias("slot"), "month", "values", "cum", guide_of(F.col("cum")).alias("guide"), expected.alias("expected"))
 
 
 def describe(dist: DataFrame) -> DataFrame:

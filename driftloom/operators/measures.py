@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.panel import Panel
+from .selection import percentiles
 
 
 def _by(keys: Sequence[str], *more: str) -> list[str]:
@@ -171,13 +172,23 @@ class WeightedMean(Measure):
         return panel.changes().groupBy(*panel.keys, "t_global", "date").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
 
 
+def _spread(panel: Panel, q: float, weight: str | None) -> DataFrame:
+    keys = _by(panel.keys, "t_global", "date")
+    return percentiles(panel.changes(), keys, "v", [q], weight).select(*keys, F.get("percentiles", F.lit(0)).alias("m"))
+
+
 @dataclass(frozen=True, repr=False)
 class PercentileEq(Measure):
-    """The q-th percentile of the items' changes, 0 to 100."""
+    """The q-th percentile of the items' changes, 0 to 100; ``spread`` finds it by counts (``selection``), for months of
+    very many items."""
 
     q: float
+    spread: bool = False
     name = "Percentile"
-    joint = True
+
+    @property
+    def joint(self) -> bool:
+        return not self.spread
 
     def month_values(self, own: Column | None) -> Column:
         return F.percentile("v", self.q / 100)
@@ -191,16 +202,22 @@ class PercentileEq(Measure):
         return (self.q,)
 
     def monthly(self, panel: Panel) -> DataFrame:
+        if self.spread:
+            return _spread(panel, self.q, None)
         return panel.changes().groupBy(*panel.keys, "t_global", "date").agg(F.percentile("v", self.q / 100).alias("m"))
 
 
 @dataclass(frozen=True, repr=False)
 class PercentileWeighted(Measure):
-    """The first change, in order, at which the weights so far reach q percent of all."""
+    """The first change, in order, at which the weights so far reach q percent of all; ``spread`` as in ``PercentileEq``."""
 
     q: float
+    spread: bool = False
     name = "Weighted percentile"
-    joint = True
+
+    @property
+    def joint(self) -> bool:
+        return not self.spread
 
     def month_values(self, own: Column | None) -> Column:
         return _weighted_percentiles([self.q])[0]
@@ -214,6 +231,8 @@ class PercentileWeighted(Measure):
         return (self.q,)
 
     def monthly(self, panel: Panel) -> DataFrame:
+        if self.spread:
+            return _spread(panel, self.q, "w")
         keys = _by(panel.keys, "t_global", "date")
         order = Window.partitionBy(*keys).orderBy("v", "item_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         rows = panel.changes().select(*keys, "v", F.sum("w").over(order).alias("_c"), F.sum("w").over(Window.partitionBy(*keys)).alias("_t"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.counter import DEFAULT_SEED, uniform
 from ..sources.panel import Base, Panel, rechained
+from .matching import picked
 
 YEAR = 12
 #: Series (items of bases) up to which a panel is broadcast to its replicates (some 1 KB each); larger ones are
@@ -258,8 +259,8 @@ class Mixture(Resampler):
 class Synthetic(Resampler):
     """A lone base's months drawn from matched distributions, one for each item and calendar month in turn.
 
-    ``matching`` has item_id, slot (1 for the first month), month, values, cum and expected, as ``matching.packed``
-    makes it."""
+    ``matching`` has item_id, slot (1 for the first month), month, values, cum, guide and expected, as
+    ``matching.packed`` makes it; a draw takes constant time on average."""
 
     matching: DataFrame
     periods: int | None = None
@@ -288,7 +289,7 @@ class Synthetic(Resampler):
             raise ValueError("the distributions and the base start in different months")
 
     def prepare(self, panel: Panel) -> Panel:
-        by_item = self.matching.filter(F.col("slot") <= YEAR).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("slot", "values", "cum", "expected"))).alias("_dists"))
+        by_item = self.matching.filter(F.col("slot") <= YEAR).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("slot", "values", "cum", "guide", "expected"))).alias("_dists"))
         return replace(panel, series=panel.series.join(by_item, "item_id"))
 
     def _slot(self, t: Column) -> Column:
@@ -296,9 +297,8 @@ class Synthetic(Resampler):
 
     def draw(self, base: Base, at: int, seed: int | Column) -> Column:
         def one(t: Column) -> Column:
-            u = uniform(seed, self.stream, "rep", t, "item_id")
             d = self._slot(t)
-            return F.get(d["values"], F.size(F.filter(d["cum"], lambda c: c <= u)))
+            return picked(d["values"], d["cum"], d["guide"], uniform(seed, self.stream, "rep", t, "item_id"))
 
         return _months(self.length(base, at, 1), one)
 

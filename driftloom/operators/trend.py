@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from abc import ABC
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +114,10 @@ class FoldTrend(Trend):
         raise ValueError("a fold's trend is applied to panels with folds")
 
 
+#: Blocks of candidates that ``generated`` makes for all folds at once.
+FIRST_BLOCKS = 4
+
+
 def zero_mean(y: Column, atol: float = 0.1) -> Column:
     """Whether the mean of the array y is 0 within ``atol``."""
     return F.abs(F.aggregate(y, F.lit(0.0), lambda acc, x: acc + x) / F.size(y)) <= atol
@@ -120,26 +126,48 @@ def zero_mean(y: Column, atol: float = 0.1) -> Column:
 def generated(spark: SparkSession, nfolds: int, length: int = 360, phi: float = 1.0, sigma: float = 0.05, accept: Callable[[Column], Column] = zero_mean, seed: int = DEFAULT_SEED, block: int = 32, most_blocks: int = 64) -> DataFrame:
     """(fold, candidate, y, factors): for each fold the first autoregressive path that ``accept`` takes.
 
-    y_1 = sigma e_1, y_t = phi y_(t-1) + sigma e_t; factors are exp(y). Candidates are made in blocks, each path one row,
-    until every fold has one; after ``most_blocks`` blocks a RuntimeError says which folds have none."""
-    found: dict[int, tuple] = {}
-    for b in range(most_blocks):
-        missing = [f for f in range(1, nfolds + 1) if f not in found]
-        if not missing:
-            break
-        paths = candidates(spark, missing, range(b * block + 1, (b + 1) * block + 1), length, phi, sigma, seed).filter(accept(F.col("y")))
-        for r in paths.groupBy("fold").agg(F.min_by(F.struct("candidate", "y"), "candidate").alias("p")).collect():
-            found[r["fold"]] = (r["fold"], r["p"]["candidate"], r["p"]["y"])
-    else:
-        if len(found) < nfolds:
-            raise RuntimeError(f"no accepted path for folds {sorted(set(range(1, nfolds + 1)) - set(found))} in {most_blocks * block} candidates")
-    rows = spark.createDataFrame([found[f] for f in sorted(found)], "fold int, candidate int, y array<double>")
-    return rows.withColumn("factors", F.transform("y", F.exp))
+    y_1 = sigma e_1, y_t = phi y_(t-1) + sigma e_t; factors are exp(y). One plan makes ``FIRST_BLOCKS`` blocks of candidates
+    for all folds, a row each, dealt over tasks; another makes the rest for the folds that then have none, if any. After
+    ``most_blocks`` blocks a RuntimeError says which folds have none. Only the accepted paths reach the driver."""
+
+    def first(folds: Sequence[int], numbers: range) -> list[tuple]:
+        paths = candidates(spark, folds, numbers, length, phi, sigma, seed).filter(accept(F.col("y")))
+        return [(r["fold"], r["p"]["candidate"], r["p"]["y"]) for r in paths.groupBy("fold").agg(F.min_by(F.struct("candidate", "y"), "candidate").alias("p")).collect()]
+
+    early = min(FIRST_BLOCKS, most_blocks) * block
+    found = first(range(1, nfolds + 1), range(1, early + 1))
+    lacking = sorted(set(range(1, nfolds + 1)) - {r[0] for r in found})
+    if lacking and early < most_blocks * block:
+        found += first(lacking, range(early + 1, most_blocks * block + 1))
+        lacking = sorted(set(range(1, nfolds + 1)) - {r[0] for r in found})
+    if lacking:
+        raise RuntimeError(f"no accepted path for folds {lacking} in {most_blocks * block} candidates")
+    return spark.createDataFrame(sorted(found), "fold int, candidate int, y array<double>").withColumn("factors", F.transform("y", F.exp))
+
+
+def autoregression(y: DataFrame, order: str = "t_global", value: str = "y") -> tuple[float, float]:
+    """(phi, sigma) of y_t = phi y_(t-1) + sigma e_t by least squares over the rows of a short series."""
+    pairs = y.select(F.col(value).alias("a"), F.lag(value).over(Window.orderBy(order)).alias("b")).filter("b is not null")
+    phi, n, yy, yb, bb = pairs.agg(F.try_divide(F.sum(F.col("a") * F.col("b")), F.sum(F.col("b") * F.col("b"))), F.count("*"), F.sum(F.col("a") * F.col("a")), F.sum(F.col("a") * F.col("b")), F.sum(F.col("b") * F.col("b"))).first()
+    if phi is None:
+        raise ValueError("the series is too short, or 0 throughout")
+    return phi, math.sqrt(max(yy - 2 * phi * yb + phi * phi * bb, 0) / max(n - 1, 1))
+
+
+def log_level(panel: Panel) -> DataFrame:
+    """(t_global, y): the log of the weighted mean price level against its own straight line, as a trend's log factor."""
+    monthly = panel.changes().groupBy("t_global").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    order = Window.orderBy("t_global")  # one row a month
+    level = monthly.select("t_global", F.sum(F.log1p(F.col("m") / 100)).over(order).alias("_l"))
+    slope = F.max_by("_l", "t_global").over(Window.partitionBy()) / F.max("t_global").over(Window.partitionBy())
+    return level.select("t_global", (F.col("_l") - slope * F.col("t_global")).alias("y"))
 
 
 def candidates(spark: SparkSession, folds: Sequence[int], numbers: Sequence[int], length: int, phi: float, sigma: float, seed: int = DEFAULT_SEED) -> DataFrame:
-    """(fold, candidate, y): autoregressive paths."""
-    grid = spark.createDataFrame([(f,) for f in folds], "fold int").select("fold", F.explode(F.array(*[F.lit(int(n)) for n in numbers])).alias("candidate"))
+    """(fold, candidate, y): autoregressive paths of folds and consecutive numbers, dealt over tasks."""
+    n = len(numbers)
+    fold = F.element_at(F.array(*[F.lit(int(f)) for f in folds]), (F.expr(f"id div {n}") + 1).cast("int"))
+    grid = spark.range(len(folds) * n).select(fold.alias("fold"), (F.col("id") % n + numbers[0]).cast("int").alias("candidate"))
     shocks = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda t: sigma * normal(seed, "drw", "fold", "candidate", t))
     step = F.aggregate(
         "_e",
@@ -155,15 +183,28 @@ def latest_file(files: DataFrame, path: str = "path") -> DataFrame:
     return dated.filter("date is not null").groupBy().agg(F.max_by(path, "date").alias(path), F.max("date").alias("date"))
 
 
-def read_calibrated(spark: SparkSession, folder: str) -> TableTrend:
-    """The trend of the latest ``RWTREND <date>.parquet`` in a folder: columns t_global and log factor y."""
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "RWTREND *.parquet").load(folder).select("path")
-    decoded = names.select(F.regexp_replace("path", "%20", " ").alias("path"))
-    found = latest_file(decoded).first()
+def write_calibrated(y: DataFrame, folder: str, date: dt.date) -> None:
+    """Write (t_global, y), log factors by month, as the calibration of a date; an older one of that date is replaced."""
+    y.select("t_global", "y").coalesce(1).write.mode("overwrite").parquet(f"{folder}/RWTREND {date}.parquet")
+
+
+def calibrated(spark: SparkSession, folder: str) -> DataFrame:
+    """(t_global, y, date) of the latest ``RWTREND <date>.parquet`` in a folder; each may be a file or a folder of files.
+
+    Only names are listed to find it, and only its files are read."""
+    try:
+        names = spark.read.format("binaryFile").load(f"{folder}/RWTREND *.parquet").select("path")
+        found = latest_file(names.select(F.regexp_extract(F.regexp_replace("path", "%20", " "), r"^(.*RWTREND \d{4}-\d{2}-\d{2}\.parquet)", 1).alias("path"))).first()
+    except AnalysisException:
+        found = None
     if not found or not found["path"]:
         raise FileNotFoundError(f"no calibrated trend in {folder}")
-    rows = spark.read.parquet(found["path"]).orderBy("t_global").select(F.exp("y").alias("factor")).collect()
-    return TableTrend([r["factor"] for r in rows])
+    return spark.read.parquet(found["path"]).select("t_global", "y", F.lit(found["date"]).alias("date"))
+
+
+def read_calibrated(spark: SparkSession, folder: str) -> TableTrend:
+    """``calibrated`` as a trend: some factors a year."""
+    return TableTrend([r["factor"] for r in calibrated(spark, folder).orderBy("t_global").select(F.exp("y").alias("factor")).collect()])
 
 
 def offsets_of(periods: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ Doubles are rounded, integers are longs: values then compare equal across engine
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
@@ -22,12 +23,13 @@ from ..operators import resample as R
 from ..operators import trend as D
 from ..operators.measures import Ensemble, Measure, PercentileEq, PercentileWeighted, RebasedIndex, TotalIndex, WeightedMean
 from ..operators.periods import CompletePeriod, EvalPeriod, PeriodVector, tagged
+from ..operators.selection import percentiles
 from ..sources import store
 from ..sources.panel import THREE_BASES, TWO_BASES, Panel, sales_panel
 from . import oracle as S
 from .config import SimConfig, SimDynamicConfig
 from .parameter import Parameter, total, total_legacy_rebase, total_rebase, weighted_mean
-from .simulate import assessment, assessment_dynamic, evaluate_batch, lowlevel, lowlevel_dynamic, online, trajectories
+from .simulate import assessment, assessment_dynamic, assessment_store, evaluate_batch, lowlevel, lowlevel_dynamic, online, trajectories
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -230,6 +232,32 @@ def trend_zeromean_filter(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found.select("fold", "candidate", (F.col("t") + 1).alias("t"), "factor"), 5)
 
 
+_CALIBRATED = """level AS (SELECT t_global, sum(ln(1 + m / 100)) OVER (ORDER BY t_global) AS l FROM (SELECT t_global, sum(w * v) / sum(w) AS m FROM panel GROUP BY t_global)),
+calibrated AS (SELECT t_global, l - (SELECT max_by(l, t_global) / max(t_global) FROM level) * t_global AS y FROM level)"""
+
+
+@query("trend_calibrated", S.build([S.panel(), _CALIBRATED, S.trended("tr", "(SELECT * FROM panel JOIN calibrated USING (t_global))", "exp(y)")], f"SELECT {CELLS} FROM tr"))
+def trend_calibrated(spark: SparkSession, d: str) -> DataFrame:
+    """Two calibrations are written, from the panel's own price level; the latest is read back and imposed."""
+    p, folder = sales_panel(spark, d), f"{store.working_folder(spark)}/trends-{uuid.uuid4().hex}"
+    y = D.log_level(p)
+    D.write_calibrated(y.withColumn("y", F.col("y") + 1), folder, dt.date(2000, 12, 31))
+    D.write_calibrated(y, folder, dt.date(2001, 10, 31))
+    return _long(D.read_calibrated(spark, folder).apply(p))
+
+
+_AR = "pairs AS (SELECT y, lag(y) OVER (ORDER BY t_global) AS b FROM calibrated), ar AS (SELECT phi, sqrt((yy - 2 * phi * yb + phi * phi * bb) / (n - 1)) AS sigma FROM (SELECT sum(y * b) / sum(b * b) AS phi, sum(y * y) AS yy, sum(y * b) AS yb, sum(b * b) AS bb, count(*) AS n FROM pairs WHERE b IS NOT NULL))"
+_PATHS = f"shock AS (SELECT fold, candidate, t, sigma * {S.normal('drw', 'fold', 'candidate', 't')} AS e FROM range(1, 4) f(fold) CROSS JOIN range(1, 65) c(candidate) CROSS JOIN range(1, 61) g(t), ar), path AS (SELECT s.fold, s.candidate, s.t, sum(pow(phi, s.t - x.t) * x.e) AS y FROM shock s JOIN shock x ON x.fold = s.fold AND x.candidate = s.candidate AND x.t <= s.t, ar GROUP BY ALL)"
+
+
+@query("trend_fitted_paths", S.build([S.panel(), _CALIBRATED, _AR, _PATHS, "ok AS (SELECT fold, min(candidate) AS candidate FROM (SELECT fold, candidate FROM path GROUP BY ALL HAVING abs(avg(y)) <= 0.1) GROUP BY fold)"], "SELECT p.fold, p.candidate, p.t, round(exp(p.y), 5) AS factor FROM path p JOIN ok USING (fold, candidate)"))
+def trend_fitted_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of three folds with the persistence and the spread of the panel's own price level, all in one plan."""
+    phi, sigma = D.autoregression(D.log_level(sales_panel(spark, d)))
+    found = D.generated(spark, 3, 60, phi, sigma, most_blocks=2).select("fold", "candidate", F.posexplode("factors").alias("t", "factor"))
+    return rounded(found.select(F.col("fold").cast("long").alias("fold"), F.col("candidate").cast("long").alias("candidate"), (F.col("t") + 1).cast("long").alias("t"), "factor"), 5)
+
+
 # measures ----------------------------------------------------------------------------------------------------------
 
 _RATES = "SELECT CAST(t_global AS BIGINT) AS t_global, date, round(infl, 6) AS infl FROM traj"
@@ -240,6 +268,8 @@ MEASURES: dict[str, tuple[Measure, str]] = {
     "weighted_mean": (WeightedMean(), S.weighted_mean("panel")),
     "percentile_eq": (PercentileEq(70), S.percentile("panel", 0.7)),
     "percentile_weighted": (PercentileWeighted(70), S.percentile_weighted("panel", 0.7)),
+    "percentile_eq_spread": (PercentileEq(70, spread=True), S.percentile("panel", 0.7)),
+    "percentile_weighted_spread": (PercentileWeighted(70, spread=True), S.percentile_weighted("panel", 0.7)),
 }
 for _name, (_measure, _sql) in MEASURES.items():
     query(f"infl_{_name}", S.build([S.panel(), S.yearly("traj", _sql)], _RATES))(lambda spark, d, m=_measure: rounded(m.apply(sales_panel(spark, d))))
@@ -252,7 +282,22 @@ def infl_ensemble(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ENSEMBLE.apply(sales_panel(spark, d)))
 
 
-JOINT = Ensemble(tuple(m for m, _ in MEASURES.values()))
+_SPREAD = (0, 10, 50, 70, 99.5, 100)
+_LINES = "l AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_extendedprice AS v, l_quantity AS w FROM lineitem)"
+_SPREAD_EQ = f"SELECT month, {', '.join(f'round(quantile_cont(v, {q / 100}), 6) AS p{i}' for i, q in enumerate(_SPREAD))} FROM l GROUP BY month"
+_SPREAD_W = f"SELECT month, {', '.join(f'round(min(CASE WHEN c >= {q / 100!r} * total - 1e-12 THEN v END), 6) AS w{i}' for i, q in enumerate(_SPREAD))} FROM (SELECT month, v, sum(w) OVER (PARTITION BY month ORDER BY v) AS c, sum(w) OVER (PARTITION BY month) AS total FROM l) GROUP BY month"
+
+
+@query("percentiles_spread", f"WITH {_LINES} SELECT * FROM ({_SPREAD_EQ}) JOIN ({_SPREAD_W}) USING (month)")
+def percentiles_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of all lines of a month, plain and weighted by quantity, by counts in buckets."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.trunc("l_shipdate", "month").alias("month"), F.col("l_extendedprice").alias("v"), F.col("l_quantity").alias("w"))
+    one, two = percentiles(lines, ["month"], "v", _SPREAD), percentiles(lines, ["month"], "v", _SPREAD, "w").withColumnRenamed("percentiles", "weighted")
+    both = one.join(two, "month")
+    return rounded(both.select("month", *[F.get(c, F.lit(i)).alias(f"{k}{i}") for c, k in (("percentiles", "p"), ("weighted", "w")) for i in range(len(_SPREAD))]))
+
+
+JOINT = Ensemble(tuple(m for m, _ in MEASURES.values() if m.joint))
 
 
 @query("infl_together", S.build([S.panel(), S.scramble("sample", SMALL), *[S.yearly(f"m{i}", sql("sample", ["rep"]), ["rep"]) for i, sql in enumerate(S.MEASURES)]], " UNION ALL ".join(f"SELECT CAST(rep AS BIGINT) AS rep, CAST(t_global AS BIGINT) AS t_global, date, round(infl, 6) AS infl, '{m.tag}' AS measure_id FROM m{i}" for i, m in enumerate(JOINT.parts))))
@@ -382,6 +427,21 @@ def assessment_sweep(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found.select("measure_tag", "tag", *M.SHORT))
 
 
+_RESUMED = (50, 60, 70, 80)
+
+
+@query("store_resumed", S.build([S.panel(), SVM_SQL, S.trended("tsample", "sample", _EXP, "rep,"), S.yearly("traj", f"SELECT rep, unnest([{', '.join(map(str, _RESUMED))}]) AS q, t_global, date, unnest(quantile_cont(v, [{', '.join(str(q / 100) for q in _RESUMED)}])) AS m FROM tsample GROUP BY rep, t_global, date", ["rep", "q"]), *_PARAM, S.errors("err"), S.per_rep("r", "err", ["q"])], f"SELECT 'PercEq-' || q AS measure_tag, {S.picked(S.short_metrics())}, CAST(sum(n) AS BIGINT) AS cells FROM r GROUP BY q"))
+def store_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Two configurations are stored, then four are asked for: the two that lack are added; all are collected."""
+    kept = store.Store(spark, f"{store.working_folder(spark)}/results-{uuid.uuid4().hex}")
+    p, configs = sales_panel(spark, d), [replace(_config(), measure=PercentileEq(q), evalperiods=(CompletePeriod(),)) for q in _RESUMED]
+    first, then = (assessment_store(p, c, kept) for c in (configs[:2], configs))
+    if len(first) != 2 or len(then) != 2:
+        raise RuntimeError("the store did not resume")
+    cells = kept.read("trajectories").groupBy("config_key").agg(F.count("*").alias("cells"))
+    return rounded(kept.read("metrics").join(cells, "config_key").select("measure_tag", *M.SHORT, "cells"))
+
+
 # folds -------------------------------------------------------------------------------------------------------------
 
 FOLDS = [[1 + 0.002 * t * f for t in range(1, 71)] for f in (1, 2, 3)]

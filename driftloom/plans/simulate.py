@@ -154,6 +154,18 @@ def assessment_batch(panel: Panel, configs: Sequence[SimConfig | SimDynamicConfi
     return list(todo)
 
 
+def assessment_store(panel: Panel, configs: Sequence[SimConfig | SimDynamicConfig], kept: store.Store, seed: int = DEFAULT_SEED, short: bool = True, recompute: bool = False) -> list[str]:
+    """``assessment_batch`` into a ``Store``: metrics and trajectories of a group appear together; returns the keys written.
+
+    The metrics are computed from the trajectories as written, so replicates are drawn once."""
+    keyed = {c.key(**_settings(seed, None if short else short)): c for c in configs}
+    have = set() if recompute else kept.present(list(keyed))
+    todo = {k: c for k, c in keyed.items() if k not in have}
+    for group in _groups(todo):
+        kept.commit_with(_drawn(panel, group, seed), "trajectories", lambda drawn, group=group: {"metrics": _evaluated(drawn, group, short)}, list(group))
+    return list(todo)
+
+
 def _fold_panel(panel: Panel, nfolds: int) -> Panel:
     folds = panel.spark.range(1, nfolds + 1).select(F.col("id").cast("int").alias("fold"))
     return replace(panel, series=panel.series.crossJoin(F.broadcast(folds)), keys=(*panel.keys, "fold"))

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from driftloom.functions.counter import normal, uniform
@@ -497,3 +498,110 @@ def test_one_sided_observations_are_refused(spark):
     with pytest.raises(ValueError, match="no prior observations of c in month 1"):
         G.build(spark.createDataFrame([*rows, ("c", 1, 1.0, True)], schema))
     assert G.build(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_percentiles_by_counts(spark):
+    from driftloom.operators.selection import percentiles
+
+    r = np.random.default_rng(3)
+    groups = {"skewed": np.exp(6 * r.normal(size=30_000)), "ties": r.integers(0, 3, 5000).astype(float), "one": np.array([2.5]), "two": np.array([-1.0, 4.0]), "same": np.full(700, 7.0), "negative": -np.exp(r.normal(size=999)), None: r.normal(size=101)}
+    data = [(g, float(v), float(w)) for g, vs in groups.items() for v, w in zip(vs, r.uniform(0, 1, len(vs)), strict=True)]
+    schema = "g string, v double, w double"
+    df = spark.createDataFrame([*data, ("ties", None, 1.0), ("empty", None, 2.0)], schema).repartition(5)
+    qs = (0, 1, 33.3, 50, 70, 99.9, 100)
+    got = {x.g: x.percentiles for x in percentiles(df, ["g"], "v", qs).collect()}
+    assert got.pop("empty") == [None] * len(qs) and got.keys() == groups.keys()
+    for g, vs in groups.items():
+        assert np.allclose(got[g], np.percentile(vs, qs), rtol=1e-9, atol=1e-12), g
+    got = {x.g: x.percentiles for x in percentiles(df, ["g"], "v", qs, "w").collect()}
+    for g in groups:
+        rows = sorted((v, w) for k, v, w in data if k == g)
+        total, sums = sum(w for _, w in rows), np.cumsum([w for _, w in rows])
+        want = [rows[min(int(np.searchsorted(sums, q / 100 * total - 1e-12)), len(rows) - 1)][0] for q in qs]
+        assert got[g] == want, g
+    assert percentiles(spark.createDataFrame([], schema), ["g"], "v", qs).count() == 0
+
+
+def test_percentiles_of_a_million_items(spark):
+    from driftloom.operators.selection import percentiles
+
+    df = spark.range(0, 1_000_000, numPartitions=8).select(F.lit(1).alias("t"), F.exp(9 * F.randn(5)).alias("v"))
+    found = percentiles(df, ["t"], "v", [70])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"\bSort\b|Window|SortMergeJoin|SortAggregate", plan)
+    assert abs(found.first().percentiles[0] / df.agg(F.percentile("v", 0.7)).first()[0] - 1) < 1e-12
+
+
+def test_guide_tables_pick_as_the_whole_distribution(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for i, n in enumerate((1, 2, 7, 100, 3, 5)):
+        w = r.uniform(0, 1, n) ** 6
+        w[: n // 2] = 0 if i == 3 else w[: n // 2]
+        cum = np.cumsum(w / w.sum())
+        cum[-1] = 1.0
+        rows.append((i, [float(k) for k in range(n)], cum.tolist()))
+    us = [*r.uniform(0, 1, 300), 0.0, 0.5, 1 - 2**-33, *[float(np.nextafter(c, x)) for _, _, cum in rows for c in cum[:-1] for x in (0, 1)], *[c for _, _, cum in rows for c in cum[:-1]]]
+    df = spark.createDataFrame(rows, "i int, v array<double>, cum array<double>").withColumn("guide", G.guide_of(F.col("cum")))
+    assert all(len(x.guide) == len(x.v) + 1 for x in df.collect())
+    got = df.withColumn("u", F.explode(F.array(*[F.lit(float(u)) for u in us]))).select("i", "u", G.picked(F.col("v"), F.col("cum"), F.col("guide"), F.col("u")).alias("x"))
+    cums = {i: cum for i, _, cum in rows}
+    for x in got.collect():
+        assert x.x == sum(c <= x.u for c in cums[x.i]), x
+    dist = spark.createDataFrame([("a", 1, 1, 1.0, 1.0, 0.0, 1.0, True)], "item_id string, month int, idx int, value double, weight double, cum_lo double, cum_hi double, is_actual boolean")
+    plan = G.sample(dist, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and G.sample(dist, 5).count() == 5
+
+
+def test_store_shows_whole_commits_only(spark, tmp_path, monkeypatch):
+    from driftloom.plans import simulate
+
+    kept = store.Store(spark, str(tmp_path / "s"))
+    assert kept.present(["a"]) == set() and kept.vacuum() == []
+    with pytest.raises(FileNotFoundError):
+        kept.read("metrics")
+    p = panel(spark, (24, 12), 3, lambda b, t, i: (t * 7 + i * 3 + b) % 5 - 1)
+    param = Parameter(WeightedMean(), R.ScrambleByMonth(), D.IdentityTrend())
+    configs = [K.SimConfig(m, R.ScrambleByMonth(), D.IdentityTrend(), param, 3, dt.date(2003, 12, 1)) for m in (WeightedMean(), TotalIndex())]
+    whole, evaluated = DataFrameWriter.parquet, simulate._evaluated
+    for broken in ("metrics", "manifest"):
+
+        def cut_off(self, path, *a, **b):
+            if broken in path:  # noqa: B023
+                raise RuntimeError("the driver died")
+            whole(self, path, *a, **b)
+
+        monkeypatch.setattr(DataFrameWriter, "parquet", cut_off)
+        with pytest.raises(RuntimeError, match="died"):
+            simulate.assessment_store(p, configs[:1], kept)
+        monkeypatch.setattr(DataFrameWriter, "parquet", whole)
+        assert kept.present([configs[0].key()]) == set()
+        with pytest.raises(FileNotFoundError):
+            kept.read("trajectories")
+    assert simulate.assessment_store(p, configs[:1], kept) == [configs[0].key()]
+    assert len(kept.vacuum()) == 2 and kept.read("metrics").count() == 1
+    assert simulate.assessment_store(p, configs, kept) == [configs[1].key()]
+    before = {r.config_key: r.mse for r in kept.read("metrics").collect()}
+    assert simulate.assessment_store(p, configs, kept, recompute=True) == [c.key() for c in configs]
+    assert {r.config_key: r.mse for r in kept.read("metrics").collect()} == before and kept.read("metrics").count() == 2
+    n = kept.read("trajectories").count()
+    assert len(kept.vacuum()) == 2 and kept.read("trajectories").count() == n == 2 * 3 * 25 and simulate._evaluated is evaluated
+
+
+def test_calibrated_trends(spark, tmp_path):
+    folder = str(tmp_path / "trends")
+    with pytest.raises(FileNotFoundError):
+        D.read_calibrated(spark, folder)
+    y = spark.createDataFrame([(t, 0.1 * t) for t in range(1, 6)], "t_global int, y double")
+    D.write_calibrated(y, folder, dt.date(2020, 6, 30))
+    D.write_calibrated(y.withColumn("y", -F.col("y")), folder, dt.date(2019, 12, 31))
+    assert np.allclose(D.read_calibrated(spark, folder).values, np.exp(0.1 * np.arange(1, 6)))
+    assert {r.date for r in D.calibrated(spark, folder).collect()} == {dt.date(2020, 6, 30)}
+    path = np.zeros(4000)
+    shocks = np.random.default_rng(1).normal(size=4000)
+    for t in range(1, 4000):
+        path[t] = 0.8 * path[t - 1] + 0.3 * shocks[t]
+    phi, sigma = D.autoregression(spark.createDataFrame([(t, float(v)) for t, v in enumerate(path)], "t_global int, y double"))
+    assert abs(phi - 0.8) < 0.03 and abs(sigma - 0.3) < 0.02
+    late = D.generated(spark, 3, 12, accept=lambda y: F.element_at(y, 1) > 0.12, block=4, most_blocks=90).collect()  # one in a hundred or so
+    assert [r.fold for r in late] == [1, 2, 3] and max(r.candidate for r in late) > 16 and all(r.y[0] > 0.12 for r in late)
