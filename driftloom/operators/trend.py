@@ -179,7 +179,7 @@ def candidates(spark: SparkSession, folds: Sequence[int], numbers: Sequence[int]
 
 def latest_file(files: DataFrame, path: str = "path") -> DataFrame:
     """The row whose path, ``RWTREND <date>.<ending>``, has the latest date."""
-    dated = files.withColumn("date", F.to_date(F.regexp_extract(F.col(path), r"RWTREND (\d{4}-\d{2}-\d{2})\.", 1)))
+    dated = files.withColumn("date", F.regexp_extract(F.col(path), r"RWTREND (\d{4}-\d{2}-\d{2})\.", 1).try_cast("date"))
     return dated.filter("date is not null").groupBy().agg(F.max_by(path, "date").alias(path), F.max("date").alias("date"))
 
 

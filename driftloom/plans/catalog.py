@@ -202,12 +202,18 @@ _TABLE = "(1 + 0.001 * (t_global - 1) * (CASE WHEN (t_global - 1) % 2 = 0 THEN 1
 
 @query("trend_offsets", S.build([S.panel(THREE_BASES)], "SELECT CAST(base_id AS BIGINT) AS base_id, CAST(min(t_global) AS BIGINT) AS first, CAST(max(t_global) AS BIGINT) AS last FROM panel GROUP BY base_id"))
 def trend_offsets(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(b.base_id, i, b.n_periods) for i, b in enumerate(sales_panel(spark, d, THREE_BASES).bases)]
-    return rounded(D.offsets_of(spark.createDataFrame(rows, "base_id int, ord int, n_periods int")))
+    months = sales_panel(spark, d, THREE_BASES).changes()
+    return rounded(D.offsets_of(months.groupBy("base_id").agg(F.col("base_id").alias("ord"), F.max("t").alias("n_periods"))))
 
 
 def _factor_query(name: str, trend: D.Trend, sql: str) -> None:
-    query(name, f"SELECT t_global, round({sql}, 6) AS factor FROM range(1, 71) g(t_global)")(lambda spark, d: rounded(trend.factors(spark, 70)))
+    """The factors of the months that the panel has."""
+
+    def of_months(spark: SparkSession, d: str) -> DataFrame:
+        p = sales_panel(spark, d)
+        return rounded(p.changes().select("t_global").distinct().join(trend.factors(spark, p.periods), "t_global"))
+
+    query(name, S.build([S.panel()], f"SELECT CAST(t_global AS BIGINT) AS t_global, round({sql}, 6) AS factor FROM (SELECT DISTINCT t_global FROM panel)"))(of_months)
 
 
 _factor_query("trend_analytic", SINE, _SINE)
@@ -217,21 +223,6 @@ _factor_query("trend_identity", D.IdentityTrend(), "1.0::DOUBLE")
 _panel_query("trend_apply", SINE.apply, [S.trended("tr", "panel", _SINE)], f"SELECT {CELLS} FROM tr", THREE_BASES)
 _panel_query("trend_apply_identity", D.IdentityTrend().apply, [], f"SELECT {CELLS} FROM panel")
 
-_DRW = f"shock AS (SELECT fold, candidate, t, 0.05 * {S.normal('drw', 'fold', 'candidate', 't')} AS e FROM range(1, 4) f(fold) CROSS JOIN range(1, 65) c(candidate) CROSS JOIN range(1, 61) g(t)), path AS (SELECT fold, candidate, t, sum(e) OVER (PARTITION BY fold, candidate ORDER BY t) AS y FROM shock)"
-
-
-@query("trend_dynamic", f"WITH {_DRW} SELECT fold, candidate, t, round(exp(y), 5) AS factor FROM path WHERE candidate <= 4")
-def trend_dynamic(spark: SparkSession, d: str) -> DataFrame:
-    paths = D.candidates(spark, [1, 2, 3], range(1, 5), 60, 1.0, 0.05).select("fold", "candidate", F.posexplode("y").alias("t", "y"))
-    return rounded(paths.select("fold", "candidate", (F.col("t") + 1).alias("t"), F.exp("y").alias("factor")), 5)
-
-
-@query("trend_zeromean_filter", f"WITH {_DRW}, ok AS (SELECT fold, min(candidate) AS candidate FROM (SELECT fold, candidate FROM path GROUP BY ALL HAVING abs(avg(y)) <= 0.1) GROUP BY fold) SELECT p.fold, p.candidate, p.t, round(exp(p.y), 5) AS factor FROM path p JOIN ok USING (fold, candidate)")
-def trend_zeromean_filter(spark: SparkSession, d: str) -> DataFrame:
-    found = D.generated(spark, 3, length=60).select("fold", "candidate", F.posexplode("factors").alias("t", "factor"))
-    return rounded(found.select("fold", "candidate", (F.col("t") + 1).alias("t"), "factor"), 5)
-
-
 _CALIBRATED = """level AS (SELECT t_global, sum(ln(1 + m / 100)) OVER (ORDER BY t_global) AS l FROM (SELECT t_global, sum(w * v) / sum(w) AS m FROM panel GROUP BY t_global)),
 calibrated AS (SELECT t_global, l - (SELECT max_by(l, t_global) / max(t_global) FROM level) * t_global AS y FROM level)"""
 
@@ -250,12 +241,29 @@ _AR = "pairs AS (SELECT y, lag(y) OVER (ORDER BY t_global) AS b FROM calibrated)
 _PATHS = f"shock AS (SELECT fold, candidate, t, sigma * {S.normal('drw', 'fold', 'candidate', 't')} AS e FROM range(1, 4) f(fold) CROSS JOIN range(1, 65) c(candidate) CROSS JOIN range(1, 61) g(t), ar), path AS (SELECT s.fold, s.candidate, s.t, sum(pow(phi, s.t - x.t) * x.e) AS y FROM shock s JOIN shock x ON x.fold = s.fold AND x.candidate = s.candidate AND x.t <= s.t, ar GROUP BY ALL)"
 
 
-@query("trend_fitted_paths", S.build([S.panel(), _CALIBRATED, _AR, _PATHS, "ok AS (SELECT fold, min(candidate) AS candidate FROM (SELECT fold, candidate FROM path GROUP BY ALL HAVING abs(avg(y)) <= 0.1) GROUP BY fold)"], "SELECT p.fold, p.candidate, p.t, round(exp(p.y), 5) AS factor FROM path p JOIN ok USING (fold, candidate)"))
-def trend_fitted_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Paths of three folds with the persistence and the spread of the panel's own price level, all in one plan."""
-    phi, sigma = D.autoregression(D.log_level(sales_panel(spark, d)))
-    found = D.generated(spark, 3, 60, phi, sigma, most_blocks=2).select("fold", "candidate", F.posexplode("factors").alias("t", "factor"))
-    return rounded(found.select(F.col("fold").cast("long").alias("fold"), F.col("candidate").cast("long").alias("candidate"), (F.col("t") + 1).cast("long").alias("t"), "factor"), 5)
+_FITTED = [S.panel(), _CALIBRATED, _AR, _PATHS]
+
+
+def _fit(spark: SparkSession, d: str) -> tuple[float, float]:
+    """The persistence and the spread of the panel's own price level."""
+    return D.autoregression(D.log_level(sales_panel(spark, d)))
+
+
+def _months_of(paths: DataFrame) -> DataFrame:
+    found = paths.select("fold", "candidate", F.posexplode("factors").alias("t", "factor"))
+    return rounded(found.select("fold", "candidate", (F.col("t") + 1).alias("t"), "factor"), 5)
+
+
+@query("trend_dynamic", S.build(_FITTED, "SELECT fold, candidate, t, round(exp(y), 5) AS factor FROM path WHERE candidate <= 4"))
+def trend_dynamic(spark: SparkSession, d: str) -> DataFrame:
+    paths = D.candidates(spark, [1, 2, 3], range(1, 5), 60, *_fit(spark, d))
+    return _months_of(paths.withColumn("factors", F.transform("y", F.exp)))
+
+
+@query("trend_zeromean_filter", S.build([*_FITTED, "ok AS (SELECT fold, min(candidate) AS candidate FROM (SELECT fold, candidate FROM path GROUP BY ALL HAVING abs(avg(y)) <= 0.1) GROUP BY fold)"], "SELECT p.fold, p.candidate, p.t, round(exp(p.y), 5) AS factor FROM path p JOIN ok USING (fold, candidate)"))
+def trend_zeromean_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of three folds, all in one plan."""
+    return _months_of(D.generated(spark, 3, 60, *_fit(spark, d), most_blocks=2))
 
 
 # measures ----------------------------------------------------------------------------------------------------------
@@ -487,26 +495,29 @@ def fold_trajectories(spark: SparkSession, d: str) -> DataFrame:
 
 # configurations and the store --------------------------------------------------------------------------------------
 
-_CONFIGS = [("PercEq-60", 1000, "2019-12-01"), ("PercEq-70", 1500, "2020-12-01"), ("WeightedMean", 20, "2001-10-01")]
-
-
-@query("config_keys", f"SELECT measure || ', SVM, EXP3%, WeightedMean, ' || (CASE WHEN nsim >= 1000 THEN (nsim // 1000) || 'k' ELSE nsim || '' END) || ', ' || strftime(d, '%b%y') AS name FROM (VALUES {', '.join(f'({m!r}, {n}, DATE {t!r})' for m, n, t in _CONFIGS)}) c(measure, nsim, d)")
+@query("config_keys", S.build([S.panel(THREE_BASES)], "SELECT measure || ', SVM, EXP3%, WeightedMean, ' || (CASE WHEN nsim >= 1000 THEN (nsim // 1000) || 'k' ELSE nsim || '' END) || ', ' || strftime(last, '%b%y') AS name FROM (SELECT base_id, CASE WHEN base_id = 3 THEN 'WeightedMean' ELSE 'PercEq-' || (50 + 10 * base_id) END AS measure, count(*) AS nsim, max(date) AS last FROM panel GROUP BY base_id)"))
 def config_keys(spark: SparkSession, d: str) -> DataFrame:
-    c = spark.createDataFrame(_CONFIGS, "measure string, nsim int, d string")
-    count = F.when(F.col("nsim") >= 1000, F.concat(F.expr("nsim div 1000").cast("string"), F.lit("k"))).otherwise(F.col("nsim").cast("string"))
-    return c.select(F.concat_ws(", ", "measure", F.lit(SVM.tag), F.lit(EXPONENTIAL.tag), F.lit(PARAMETER.measure.tag), count, F.date_format(F.to_date("d"), "MMMyy")).alias("name"))
+    """The names of a configuration for each base: as many replicates as it has changes, trained up to its end."""
+    bases = sales_panel(spark, d, THREE_BASES).changes().groupBy("base_id").agg(F.count("*").alias("nsim"), F.max("date").alias("last")).collect()
+    configs = [SimConfig(WeightedMean() if r["base_id"] == 3 else PercentileEq(50 + 10 * r["base_id"]), SVM, EXPONENTIAL, PARAMETER, r["nsim"], r["last"]) for r in bases]
+    if len({c.key() for c in configs}) != len(configs):
+        raise RuntimeError("keys of different configurations are equal")
+    return spark.createDataFrame([(c.savename(suffix=""),) for c in configs], "name string")
 
 
-@query("pending_configs", "SELECT config_key FROM (VALUES ('a'), ('b'), ('c')) r(config_key) WHERE config_key NOT IN (SELECT config_key FROM (VALUES ('b'), ('b')) s(config_key))")
+@query("pending_configs", "SELECT DISTINCT p_type AS config_key FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size > 45)")
 def pending_configs(spark: SparkSession, d: str) -> DataFrame:
-    requested, stored = (spark.createDataFrame([(k,) for k in ks], "config_key string") for ks in ("abc", "bb"))
-    return store.pending(requested, stored)
+    """The types of parts that are asked for but have no large part, as a store of those with one would tell."""
+    parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_type").alias("config_key"), "p_size")
+    return store.pending(parts.select("config_key").distinct(), parts.filter("p_size > 45"))
 
 
-@query("latest_calibration", "SELECT path, max(d) AS date FROM (SELECT unnest(['RWTREND 2019-12-31.parquet', 'RWTREND 2020-06-30.parquet', 'other.parquet']) AS path), LATERAL (SELECT try_cast(regexp_extract(path, 'RWTREND ([0-9-]{10})', 1) AS DATE) AS d) WHERE d IS NOT NULL GROUP BY path ORDER BY date DESC LIMIT 1")
+@query("latest_calibration", "SELECT 'RWTREND ' || strftime(max(o_orderdate), '%Y-%m-%d') || '.parquet' AS path, CAST(max(o_orderdate) AS DATE) AS date FROM orders WHERE o_orderpriority = '1-URGENT'")
 def latest_calibration(spark: SparkSession, d: str) -> DataFrame:
-    files = spark.createDataFrame([("RWTREND 2019-12-31.parquet",), ("RWTREND 2020-06-30.parquet",)], "path string")
-    return D.latest_file(files)
+    """The latest of files that are named by the days of orders; those of other priorities are no calibrations."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    prefix = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("RWTREND ")).otherwise(F.lit("other "))
+    return D.latest_file(orders.select(F.concat(prefix, F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".parquet")).alias("path")))
 
 
 # combinations ------------------------------------------------------------------------------------------------------
@@ -591,12 +602,14 @@ _search("weights_share_absme", lambda m: C.share_weights_absme(m, 0.01)["weights
 _search("weights_share_corr", lambda m: C.share_weights_corr(m)["weights"])
 _search("weights_metric_nm", lambda m: C.metric_weights(m, "rmse"))
 
-_CANDIDATES = [(0.5, 0.5), (1.2, -0.2), (0.4, 0.4), (-0.5, 1.0)]
+_W1, _W2 = "round(1.2 - 10 * l_discount, 2)", "round(10 * l_tax - 0.2, 2)"
 
 
-@query("weights_penalty", f"SELECT w1, w2, round(CASE WHEN w1 < 0 THEN 2 - 2 * w1 ELSE 0 END + CASE WHEN w2 < 0 THEN 2 - 2 * w2 ELSE 0 END + CASE WHEN abs(w1 + w2 - 1) >= 0.01 THEN 5 + 2 * abs(w1 + w2 - 1) ELSE 0 END, 6) AS penalty FROM (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE)' for a, b in _CANDIDATES)}) c(w1, w2)")
+@query("weights_penalty", f"SELECT w1, w2, round(CASE WHEN w1 < 0 THEN 2 - 2 * w1 ELSE 0 END + CASE WHEN w2 < 0 THEN 2 - 2 * w2 ELSE 0 END + CASE WHEN abs(w1 + w2 - 1) >= 0.01 THEN 5 + 2 * abs(w1 + w2 - 1) ELSE 0 END, 6) AS penalty FROM (SELECT DISTINCT {_W1} AS w1, {_W2} AS w2 FROM lineitem)")
 def weights_penalty(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(spark.createDataFrame([(a, b, C.constraint_penalty((a, b))) for a, b in _CANDIDATES], "w1 double, w2 double, penalty double"))
+    """The penalty of each pair of weights that the lines' discounts and taxes give."""
+    pairs = spark.read.parquet(f"{d}/lineitem.parquet").select(F.expr(_W1).alias("w1"), F.expr(_W2).alias("w2")).distinct()
+    return rounded(pairs.withColumn("penalty", C.penalty_of(F.array("w1", "w2"))))
 
 
 # three measures and more: what the searches find against a grid of weights
