@@ -105,16 +105,23 @@ def unused(stem: str, *frames: DataFrame) -> str:
     return name
 
 
+def others(df: DataFrame, *made: str) -> list[str]:
+    """The columns of ``df`` but for those named like ``made``, whatever the case."""
+    gone = {m.lower() for m in made}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, most: int, seed: str) -> DataFrame:
     """(h, text, label) of at most ``most`` different labelled texts, drawn by hashes; several labels of one id count as their
-    maximum, null texts as empty, and equal texts of one id once."""
-    wanted = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(label).cast("int").alias("label"))
-    wanted = wanted.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(most)
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(wanted), "id")
-    rows = checkpointed(rows.withColumn("h", F.xxhash64("id", "text")).dropDuplicates(["id", "h"]))
-    # ids may belong to several texts
-    drawn = rows.select("h").orderBy(F.xxhash64(F.lit(seed), F.col("h")), "h").limit(most)
-    return rows.join(F.broadcast(drawn.distinct()), "h", "left_semi").select("h", "text", "label")
+    maximum, null texts as empty, and equal texts of one id once.
+
+    Labels meet the hashes of the texts before any is drawn, so labels without a text take no place; texts do not move
+    for that."""
+    wanted = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("id", "text"))
+    met = rows.select("id", "h").join(wanted, "id").select("h", "label").distinct()
+    drawn = checkpointed(met.orderBy(F.xxhash64(F.lit(seed), F.col("h")), "h", "label").limit(most))  # bounded by ``most``
+    return checkpointed(rows.select("h", "text").join(F.broadcast(drawn), "h").dropDuplicates(["h"]))
 
 
 def fields(df: DataFrame, *names: str) -> str:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import others
+
 #: Bytes of a window, and labelled texts that training takes of each language.
 WINDOW, PER_LANGUAGE = 192, 300
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
 
 def identify(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = others(docs, "lang_pred", "score")
     kept = docs.select(*[F.col(f"`{c}`") for c in names])
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double"
 

@@ -37,7 +37,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, SpanHasher, _SPACE, blocks, checkpointed, fields, mixed, unused
+from .common import _SPACE, Block, SpanHasher, blocks, checkpointed, fields, mixed, others, unused
 from .graph import connected
 
 #: Lengths from which one and two edits are allowed.
@@ -397,7 +397,7 @@ def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the lines that are not the first of their class, with n_lines and n_removed."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names = others(docs, "n_lines", "n_removed")
     whose, places_ = unused("gone_id", docs), unused("gone_places", docs)
     gone = removals(docs, id, text).select(F.col("id").alias(whose), F.col("places").alias(places_))
     joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(gone, F.col(f"`{id}`") == F.col(whose), "left").drop(whose)

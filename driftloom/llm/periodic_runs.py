@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, SPACE_RE, unused
+from .common import BLOCK_BYTES, SPACE_RE, others, unused
 
 #: Comparisons of one text from which its lags are dealt over several tasks, and comparisons of one part.
 WORK = 1 << 27
@@ -185,7 +185,7 @@ def periodic_runs(docs: DataFrame, text: str = "text", least: int = 12, exponent
     one space."""
     if exponent < 2:
         raise ValueError("a run holds its period at least twice")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("runs", "collapsed")]
+    kept = [F.col(f"`{c}`") for c in others(docs, "runs", "collapsed")]
     body, n, key, part, parts, found = (unused(x, docs) for x in ("body", "n", "key", "part", "parts", "found"))
     rows = docs.select(*kept, F.col(f"`{text}`").alias(body))
     # of n words and n / exponent lags

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Block, SpanHasher, blocks, labelled_sample, mixed
+from .common import LOWER, Block, SpanHasher, blocks, labelled_sample, mixed, others
 
 MOST_LABELLED = 4_000
 #: Features (a power of two).
@@ -186,7 +186,7 @@ class NormedModel(Model):
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with score and predicted."""
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names = others(docs, "score", "predicted")
     kept = docs.select(*[F.col(f"`{c}`") for c in names])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 

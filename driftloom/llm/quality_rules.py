@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, unused
+from .common import SPACE_RE, others, unused
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -84,7 +84,7 @@ def _repeated(words: Column, hashes: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed and the ratios."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in _MADE]
+    kept = [F.col(f"`{c}`") for c in others(docs, *_MADE)]
     t, w, ls, h, g = (unused(c, docs) for c in ("body", "words", "solid_lines", "hashes", "windows"))
     spaces = " \t\n\x0b\f\r"
     out = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(t))

@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, SpanHasher, blocks, Tables, release, unused
+from .common import Block, SpanHasher, Tables, blocks, others, release, unused
 
 LENGTH, GRAM = 50, 24
 #: Bytes of distinct segments sorted together (one anchor's segments always are).
@@ -397,7 +397,7 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans (removed runs) and kept (the remaining bytes)."""
-    names = [c for c in docs.columns if c not in MADE]
+    names = others(docs, *MADE)
     whose, ranges_ = unused("gone_id", docs), unused("gone_ranges", docs)
     gone = repeated(docs, id, text).select(F.col("doc").alias(whose), F.col("ranges").alias(ranges_))
     release(docs.sparkSession)

@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Block, Lookup, SpanHasher, Tables, blocks, checkpointed, mixed, release, remove_folder, unused
+from .common import LOWER, Block, Lookup, SpanHasher, Tables, blocks, checkpointed, mixed, others, release, remove_folder, unused
 
 #: Words of the longest context; taken off each count of a next symbol.
 DEPTH, DISCOUNT = 4, 0.75
-LEAST_CONTEXT, LEAST_EDGE, LEAST_GAIN = 20, 5, 8.0
+LEAST_CONTEXT, LEAST_EDGE, LEAST_GAIN = 20, 3, 8.0
 #: Words and entries of the tree that executors have at hand (16 bytes each).
 MOST_WORDS, MOST_ENTRIES = 1 << 19, 1 << 22
 #: Bits of a filter (a power of two); a filter is an eighth as many bytes.
@@ -345,7 +345,7 @@ def _lists(values: pa.Array, owner: np.ndarray, n: int) -> pa.Array:
 
 def score(docs: DataFrame, tree: Tree, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (all columns, or those in ``keep``) with n_tokens, n_known, train_tokens, base_score and score."""
-    names = [c for c in (docs.columns if keep is None else keep) if c not in MADE]
+    names = [c for c in others(docs, *MADE) if keep is None or c in keep]
     body, row, known_, rare_, far_ = (unused(c, docs) for c in ("body", "row", "known", "rare", "far"))
     local = Local(tree)
     shared = docs.sparkSession.sparkContext.broadcast(local)

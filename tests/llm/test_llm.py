@@ -810,3 +810,60 @@ def test_pipeline_against_brute_force(spark, duck):
     end = C.run(spark, SF).collect()
     texts = {x.doc_id: x.text for x in clean.collect()}
     assert {x.doc_id: x.decoded_sha256 for x in end} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts.items()}
+
+
+def test_readings_do_not_depend_on_where_agreement_is_put_out(monkeypatch):
+    r = random.Random(8)
+    chars = toxicity.CharModel({f"{a}{b}{c}": r.randrange(1, 40) for a in "^abcils" for b in "abcils" for c in "abcils$"})
+    spans = ["".join(r.choice("abcils0135$!-. *") for _ in range(n)) for n in (24,) * 120 + (300,) * 5]
+    whole = [chars._viterbi(x) for x in spans]
+    for window in (1, 8, 50):
+        monkeypatch.setattr(toxicity, "WINDOW", window)
+        for x, (score, text) in zip(spans, whole, strict=True):
+            got = chars._viterbi(x)
+            assert got[1] == text and abs(got[0] - score) < 1e-9
+
+
+def test_labels_without_a_text_take_no_place(spark):
+    from driftloom.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)] + [(7, "text 7"), (8, "another"), (None, "x"), (9000, None)], "doc_id long, text string")
+    labels = spark.range(40_500).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic")).union(spark.createDataFrame([(7, None), (8, 1), (None, 1)], "doc_id long, toxic int"))
+    got = labelled_sample(docs, labels, "doc_id", "text", "toxic", 4000, "s").collect()
+    assert len(got) == 502 and len({x.h for x in got}) == 502  # with the second text of 8 and the null one of 9000
+    assert {x.label for x in got if x.text in ("text 8", "another")} == {1} and "" in {x.text for x in got}
+    few = labelled_sample(docs, labels, "doc_id", "text", "toxic", 60, "s").collect()
+    assert len(few) == 60 and {x.h for x in few} <= {x.h for x in got}
+    assert labelled_sample(docs.limit(0), labels, "doc_id", "text", "toxic", 60, "s").count() == 0
+
+
+def test_columns_named_like_the_output_in_another_case(spark):
+    df = spark.createDataFrame([(1, "some words here. " * 5, "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    made = {"Score": "score", "PREDICTED": "predicted", "Lang_Pred": "lang_pred", "N_Words": "n_words", "Kept": "kept", "N_Lines": "n_lines", "N_Tokens": "n_tokens", "N_Bytes": "n_bytes"}
+    other = clashing(df, *made)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for found, own in (
+        (language_id.identify(other, language_id.fit(df)), {"lang_pred", "score"}),
+        (quality_model.score(other, quality_model.fit(df, labels)), {"score", "predicted"}),
+        (toxicity.score(other, toxicity.fit(df, labels)), {"score", "predicted"}),
+        (rules.quality_rules(other), {"n_words", "kept", "n_lines"}),
+        (suffix_dedup.dedup(other), {"n_bytes", "kept"}),
+        (line_dedup.dedup(other), {"n_lines"}),
+        (suffix_tree.train_and_score(spark, other, F.lit(True)), {"n_tokens", "score"}),
+    ):
+        lower = [c.lower() for c in found.columns]
+        assert len(set(lower)) == len(lower) and own <= set(found.columns)
+        assert {c for c in made if made[c] not in own} <= set(found.columns) and found.count() == 2
+
+
+def test_pipeline_stages_keep_the_columns_of_the_caller(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, "all clear words in a line\nand another line here\n" + f"number {i * 1111} of many", 7.5, "p", 3, "k") for i in range(6)] + [(None, None, 1.0, None, None, None), (3, "", 2.0, "q", 1, "k"), (4, "all clear words in a line", 7.5, "p", 3, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Score double, predicted string, n_lines int, N_Removed string")
+    spark.createDataFrame([(i, i % 2, int(i == 99)) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and sorted(map(str, clean.collect())) == sorted(map(str, docs.collect()))
+    kept = corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {(x.Score, x.predicted, x.n_lines, x.N_Removed) for x in kept.collect()} <= {x[2:] for x in rows}
+    assert [x.text for x in kept.filter("doc_id = 5").collect()] == ["number 5555 of many"]
