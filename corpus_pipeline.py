@@ -7,37 +7,56 @@
 4. benchmark decontamination: documents that an item of ``benchmark`` contaminates go.
 5. BPE: the remaining texts are encoded, decoded again and handed on with their ids.
 
-All stages but the last return the columns of ``documents``; n_chars is that of the text they return.
+All stages but the last return the columns of the documents they are given, whatever their names, with the caller's
+values; n_chars is that of the text they return.
+
+Cases, for every stage: a null text counts as empty; rows with a null id stay, as do empty texts (toxicity scores them like
+others); of repeated rows line dedup and near-dedup keep the first lines and documents; texts are taken whole, whatever their
+length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.llm import bpe, decontaminate, line_dedup, near_copies, toxicity
-from driftloom.llm.common import shared_folder, table
+from driftloom.llm.common import shared_folder, table, unused
 
 #: Words of a shingle; texts that share four fifths of their shingles are near copies, as are those whose fingerprints
 #: over the shingles differ in two bits or less.
 SHINGLE = 5
 
 
+def _through(operator: Callable[[DataFrame], DataFrame], docs: DataFrame, keep: str, *made: str) -> DataFrame:
+    """The rows of ``operator``, which adds the columns ``made``, for which ``keep`` holds, with the columns of ``docs``.
+
+    Columns of the caller's that are named like those are set aside meanwhile."""
+    aside = {c: unused(f"own_{c}", docs) for c in docs.columns if c.lower() in made}
+    out = operator(docs.withColumnsRenamed(aside)).filter(keep)
+    return out.drop(*made).withColumnsRenamed({v: k for k, v in aside.items()})
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without those that score as toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(docs.columns)
+    return _through(lambda d: toxicity.score(d, model), docs, "predicted = 0", "score", "predicted").select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without repeated lines; a document of which nothing is left goes."""
-    out = line_dedup.dedup(docs).filter("n_removed < n_lines or n_lines = 0")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+
+    def cut(d: DataFrame) -> DataFrame:
+        out = line_dedup.dedup(d)
+        if "n_chars" not in d.columns:
+            return out
+        return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(d.schema["n_chars"].dataType))
+
+    return _through(cut, docs, "n_removed < n_lines or n_lines = 0", "n_lines", "n_removed").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
