@@ -762,7 +762,7 @@ def test_suffix_tree_scores_by_the_longest_state(spark, monkeypatch, most):
 
 
 def test_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op1_language_id", "op3_quality_model", "op9_toxicity"])
