@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import others
+from .common import others, slices
 
 #: Bytes of a window, and labelled texts that training takes of each language.
 WINDOW, PER_LANGUAGE = 192, 300
@@ -132,7 +132,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, bytes) of all windows of the texts that have letters."""
-    for batch in batches:
+    for batch in slices(batches, "text"):
         langs, found = [], []
         for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             w = windows(t or "")
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
-        for batch in batches:
+        for batch in slices(batches, text):
             total = np.zeros((batch.num_rows, max(1, len(net.languages))))
             lettered = np.zeros(batch.num_rows, bool)
             held: list[np.ndarray] = []

@@ -37,7 +37,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, Block, SpanHasher, blocks, checkpointed, fields, mixed, others, unused
+from .common import _SPACE, Block, SpanHasher, blocks, checkpointed, fields, mixed, others, slices, unused
 from .graph import connected
 
 #: Lengths from which one and two edits are allowed.
@@ -332,7 +332,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _at_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(line, bytes) of the lines at the places in the column ``places``."""
-    for batch in batches:
+    for batch in slices(batches, "text"):
         for t, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
             parts = (t or "").split("\n")
             found = [parts[p].strip(" \t\n\x0b\x0c\r").encode() for p in places if p < len(parts)]  # other rows may have the same id
@@ -404,7 +404,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
-        for batch in batches:
+        for batch in slices(batches, text):
             texts, total, removed = [], [], []
             for t, places in zip(batch.column(text).to_pylist(), batch.column(places_).to_pylist(), strict=True):
                 parts = (t or "").split("\n")

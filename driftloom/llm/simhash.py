@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, checkpointed, fields
+from .common import LOWER, checkpointed, fields, slices
 from .graph import components
 
 SEED = 42
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     """One row (id, fp) for each row; fp holds the fingerprint's bits in a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             fps = np.fromiter((fingerprint(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=[id, "fp"])
 

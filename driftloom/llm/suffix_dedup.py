@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, SpanHasher, Tables, blocks, others, release, unused
+from .common import Block, SpanHasher, Tables, blocks, others, release, slices, unused
 
 LENGTH, GRAM = 50, 24
 #: Bytes of distinct segments sorted together (one anchor's segments always are).
@@ -204,7 +204,7 @@ def _by_anchor(batches: Iterator[pa.RecordBatch], sized: str, most: int, settle)
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, content, least, segment): the bytes of each document's places in the column needs."""
-    for batch in batches:
+    for batch in slices(batches, "text"):
         for t, doc, needs in zip(batch.column("text").to_pylist(), batch.column("doc").to_pylist(), batch.column("needs").to_pylist(), strict=True):
             raw = (t or "").encode()
             columns = [[n["h"] for n in needs], [n["content"] for n in needs], [doc] * len(needs)]
@@ -404,7 +404,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(gone, F.col(f"`{id}`").cast("long") == F.col(whose), "left").drop(whose)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             n, removed, spans, kept = [], [], [], []
             for t, ranges in zip(batch.column(text).to_pylist(), batch.column(ranges_).to_pylist(), strict=True):
                 raw = (t or "").encode()
