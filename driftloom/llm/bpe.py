@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import FORGET
+
 #: Pieces in each of a worker's two memories, and states of its transducer; what is full starts anew.
 MOST_PIECES, MOST_STATES = 200_000, 150_000
 #: Rows of a batch that are Python objects at a time.
@@ -443,6 +445,9 @@ def codec(ranks: bytes, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
+FORGET.append(codec.cache_clear)
+
+
 def _rank_file(path: str):
     """The rank file as a broadcast, so that only the driver opens it; it is some megabytes."""
     with open(path, "rb") as f:
