@@ -14,9 +14,16 @@ of them. So of an item's n windows, m of which suffice, any n - m + 1 hold one t
 n - m + 1 that the fewest items have find the candidates, and only these meet all windows of the item. A window that
 many items share therefore brings only those together with a document that little else can find.
 
+Items of one sequence of windows whose values are equal at the same places form a class, which a document meets once,
+however many items it has: an item's values are judged by where they repeat. Windows with a value that stands for several
+ones count only for items that hold the document's own values there, so such items are told apart by the values that
+repeat in them (a variant of the class). ``class_matches`` gives a row for each document and class (or variant, where the
+class as a whole is not found), ``members`` the classes' items, ``matches`` all pairs of documents and items. So documents
+and items of one template take rows in proportion to the documents, times the ways in which the items' values repeat.
+
 Cases: null and empty texts, and items of fewer than four words, have no window and match nothing; items
-whose windows and slots are all the same are one item, named by the smallest id; repeated rows of a document count once;
-rows without an id cannot be named and are never contaminated; empty tables give an empty table. Only ids and texts are
+whose windows and slots are all the same are one item, named by the smallest id; of an id with several texts each is an item; repeated
+rows of a document count once; rows without an id cannot be named and are never contaminated; empty tables give an empty table. Only ids and texts are
 read, so further columns cannot clash.
 """
 
@@ -126,54 +133,162 @@ def _values(slots: Column) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
-def known_windows(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> DataFrame:
-    """(h, item, item_at, theirs, n, size, first): each window of each item, the values of its slots, the number of
-    windows of the item, the tokens of the window, and whether it is one of those that find candidates."""
-    tokens = benchmark.filter(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.size(templates(F.col(text))).alias("size"))
-    mine = windows(tokens, "id", "text").withColumn("size", F.lit(WINDOW))
+def _by_text(benchmark: DataFrame, id: str, text: str) -> DataFrame:
+    """(key, all): an item of the benchmark, named by id and text, and its windows in order.
+
+    Each slot of a window has its value, the first place in the item that holds the value (its label), and whether
+    another place does."""
+    tokens = benchmark.filter(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("text")).alias("key"), F.col(text).alias("text"))
+    tokens = tokens.distinct().withColumn("size", F.size(templates(F.col("text"))))
+    mine = windows(tokens, "key", "text").withColumn("size", F.lit(WINDOW))
     for size in range(LEAST_WORDS, WINDOW):  # whole items
-        mine = mine.union(windows(tokens.filter(F.col("size") == size), "id", "text", sizes=(size,)).withColumn("size", F.lit(size)))
-    mine = mine.withColumn("slots", _values(F.col("slots")))
-    mine = mine.filter(F.col("size") - F.coalesce(F.size("slots"), F.lit(0)) >= LEAST_WORDS)
-    items = mine.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "h", "slots", "size"))).alias("all"))
-    items = items.groupBy("all").agg(F.min("id").alias("item"))
-    each = items.select("item", F.size("all").alias("n"), F.explode("all").alias("w"))
-    each = each.select("w.h", "item", F.col("w.at").alias("item_at"), F.col("w.slots").alias("theirs"), "n", "w.size")
-    owners = each.groupBy("h").agg(F.countDistinct("item").alias("owners"))
+        mine = mine.union(windows(tokens.filter(F.col("size") == size), "key", "text", sizes=(size,)).withColumn("size", F.lit(size)))
+    mine = mine.withColumnRenamed("id", "key").filter(F.col("size") - F.coalesce(F.size(_values(F.col("slots"))), F.lit(0)) >= LEAST_WORDS)
+    mine = checkpointed(mine)
+    slots = mine.select("key", "at", F.posexplode("slots").alias("k", "value")).filter("value is not null").withColumn("place", F.col("at") + F.col("k"))
+    labels = slots.groupBy("key", "value").agg(F.min("place").alias("label"), (F.countDistinct("place") > 1).alias("repeats"))
+    marks = slots.join(labels, ["key", "value"]).groupBy("key", "at").agg(F.sort_array(F.collect_list(F.struct("place", "value", "label", "repeats"))).alias("marks"))
+    every = mine.join(marks, ["key", "at"], "left").groupBy("key")
+    return every.agg(F.sort_array(F.collect_list(F.struct("at", "h", "size", "marks"))).alias("all"))
+
+
+def _classes(by_text: DataFrame) -> DataFrame:
+    """(item, family, variant, all) of items that differ; each is named by its smallest key."""
+    items = by_text.groupBy("all").agg(F.min("key").alias("item"))
+    pattern = F.transform("all", lambda w: F.struct(w["at"].alias("at"), w["h"].alias("h"), w["size"].alias("size"), F.transform(w["marks"], lambda m: m["label"]).alias("labels")))
+    fixed = F.flatten(F.transform("all", lambda w: F.coalesce(F.filter(w["marks"], lambda m: m["repeats"]), F.array())))
+    fixed = F.array_sort(F.array_distinct(F.transform(fixed, lambda m: F.struct(m["label"].alias("label"), m["value"].alias("value")))))
+    items = items.withColumn("pattern", pattern).withColumn("fixed", fixed)
+    families = items.groupBy("pattern").agg(F.min("item").alias("family"))
+    variants = items.groupBy("pattern", "fixed").agg(F.min("item").alias("variant"))
+    return items.join(families, "pattern").join(variants, ["pattern", "fixed"])
+
+
+def _known_windows(items: DataFrame) -> DataFrame:
+    """(h, family, item_at, labels, n, size, first): each window of each class, its slots' labels, the number of windows of
+    the class, the tokens of the window, and whether it is one of those that find candidates."""
+    each = items.filter("item = family").select("family", F.size("pattern").alias("n"), F.explode("pattern").alias("w"))
+    each = each.select("w.h", "family", F.col("w.at").alias("item_at"), "w.labels", "n", "w.size")
+    owners = each.groupBy("h").agg(F.countDistinct("family").alias("owners"))
     enough = F.least(F.ceil(LEAST_SHARE * F.col("n")), F.lit(LEAST_WINDOWS))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("owners", "item_at"))
+    rank = F.row_number().over(Window.partitionBy("family").orderBy("owners", "item_at"))
     return each.join(owners, "h").withColumn("first", rank <= F.col("n") - enough + 1).drop("owners")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item, n_windows, share, exact) of each contaminated document and item.
+def _enough(found: Column) -> Column:
+    return (found >= LEAST_SHARE * F.col("n")) | (found >= LEAST_WINDOWS)
 
-    ``n_windows`` are the item's windows found with consistent slots, ``share`` their share of all that it has,
-    ``exact`` whether all slots agree."""
-    known = checkpointed(known_windows(benchmark, item, item_text))
-    sizes = tuple(sorted(r["size"] for r in known.select("size").distinct().collect()))  # eight at most
+
+def _found(docs: DataFrame, items: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What documents hold of classes.
+
+    base (id, family, n, sure, clean, ats, values): the windows that count for all items of the class, whether no
+    alignment with one of them has a value that stands for several, the windows with slots among them and their values.
+    more (id, family, variant, more): the windows that count for a variant besides.
+    verbatim (family, ats, values, item, variant): the items that hold these values in these windows."""
+    known = checkpointed(_known_windows(items))
+    sizes = tuple(sorted(r["size"] for r in known.select("size").distinct().collect())) or (WINDOW,)  # five at most
     small = known.count() <= MOST_BROADCAST
     hint = F.broadcast if small else (lambda df: df)
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    probes = known.filter("first").select("h", "item")
-    candidates = checkpointed(windows(rows, "id", "text", False, sizes or (WINDOW,)).join(hint(probes), "h").select("id", "item").distinct())
+    probes = known.filter("first").select("h", "family")
+    candidates = checkpointed(windows(rows, "id", "text", False, sizes).join(hint(probes), "h").select("id", "family").distinct())
     # only what the benchmark meets goes on; it is read twice below
     again = rows.join(candidates.select("id").distinct(), "id", "left_semi")
-    hits = windows(again, "id", "text", True, sizes or (WINDOW,)).join(hint(known), "h").join(candidates, ["id", "item"], "left_semi")
-    hits = hits.select("id", "item", "n", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), F.arrays_zip("theirs", _values(F.col("slots")).alias("ours")).alias("pairs"))
-    hits = checkpointed(hits)
-    slots = hits.filter("pairs is not null").select("id", "item", "diagonal", F.explode("pairs").alias("p")).select("id", "item", "diagonal", "p.theirs", "p.ours")
-    by_value = slots.groupBy("id", "item", "diagonal", "theirs").agg(F.min("ours").alias("low"), F.max("ours").alias("high"))
-    checked = by_value.groupBy("id", "item", "diagonal").agg(F.collect_set(F.when(F.col("low") != F.col("high"), F.col("theirs"))).alias("mixed"), F.min((F.col("low") == F.col("theirs")) & (F.col("high") == F.col("theirs"))).alias("same"))
-    found = hits.join(checked, ["id", "item", "diagonal"], "left")
-    conflicting = F.exists("pairs", lambda p: (p["theirs"] != p["ours"]) & F.array_contains("mixed", p["theirs"]))
-    found = found.filter(~F.coalesce(conflicting, F.lit(False)))
-    found = found.groupBy("id", "item").agg(F.countDistinct("item_at").alias("n_windows"), F.min("n").alias("n"), F.min(F.coalesce("same", F.lit(True))).alias("exact"))
-    found = found.filter((F.col("n_windows") >= LEAST_SHARE * F.col("n")) | (F.col("n_windows") >= LEAST_WINDOWS))
-    return found.select(F.col("id").alias(id), F.col("item").alias(item), F.col("n_windows").cast("long").alias("n_windows"), (F.col("n_windows") / F.col("n")).alias("share"), "exact")
+    hits = windows(again, "id", "text", True, sizes).join(hint(known), "h").join(candidates, ["id", "family"], "left_semi")
+    pairs = F.zip_with("labels", _values(F.col("slots")), lambda a, b: F.struct(a.alias("label"), b.alias("ours")))
+    hits = checkpointed(hits.select("id", "family", "n", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), pairs.alias("pairs")))
+
+    alignment = ["id", "family", "diagonal"]
+    slots = hits.select(*alignment, F.explode("pairs").alias("p")).select(*alignment, "p.label", "p.ours")
+    mixed = slots.groupBy(*alignment, "label").agg(F.min("ours").alias("low"), F.max("ours").alias("high")).filter("low <> high")
+    mixed = mixed.groupBy(*alignment).agg(F.collect_set("label").alias("mixed"))
+    torn = F.filter("pairs", lambda p: F.array_contains("mixed", p["label"]))
+    judged = hits.join(mixed, alignment, "left").withColumn("torn", F.array_sort(F.array_distinct(torn)))
+    judged = checkpointed(judged.withColumn("counts", F.coalesce(F.size("torn"), F.lit(0)) <= 0))
+
+    seen = F.when(F.col("counts") & F.col("pairs").isNotNull(), F.struct("item_at", F.transform("pairs", lambda p: p["ours"]).alias("ours")))
+    base = judged.groupBy("id", "family").agg(
+        F.min("n").alias("n"),
+        F.countDistinct(F.when(F.col("counts"), F.col("item_at"))).alias("sure"),
+        F.min(F.when(F.col("counts"), F.col("mixed").isNull())).alias("clean"),
+        F.sort_array(F.collect_set(seen)).alias("seen"),
+    )
+    base = base.select("id", "family", "n", "sure", F.coalesce("clean", F.lit(False)).alias("clean"), F.col("seen.item_at").alias("ats"), F.col("seen.ours").alias("values"))
+
+    fixed = items.filter("item = variant").select("family", "variant", F.explode("fixed").alias("f")).select("family", "variant", "f.label", F.col("f.value").alias("ours"))
+    asked = judged.filter(~F.col("counts")).select(*alignment, "item_at", "torn").distinct()
+    each = asked.select(*alignment, "item_at", "torn", F.explode("torn").alias("t")).select(*alignment, "item_at", "torn", "t.label", "t.ours")
+    held = each.join(fixed, ["family", "label", "ours"]).groupBy(*alignment, "variant", "item_at", "torn").agg(F.count(F.lit(1)).alias("held"))
+    held = held.filter(F.col("held") == F.size("torn")).select("id", "family", "variant", "item_at").distinct()
+    counted = judged.filter("counts").select("id", "family", "item_at", F.lit(1).alias("known")).distinct()
+    more = held.join(counted, ["id", "family", "item_at"], "left").groupBy("id", "family", "variant")
+    more = more.agg(F.count(F.when(F.col("known").isNull(), 1)).alias("more"))
+
+    base = checkpointed(base)
+    wanted = base.filter("clean").select("family", "ats").distinct()
+    by_place = F.map_from_arrays(F.col("all.at"), F.transform("all", lambda w: F.transform(w["marks"], lambda m: m["value"])))
+    verbatim = items.select("family", "item", "variant", by_place.alias("of")).join(wanted, "family")
+    verbatim = verbatim.select("family", "ats", F.transform("ats", lambda a: F.element_at("of", a)).alias("values"), "item", "variant")
+    return base, checkpointed(more), verbatim
+
+
+def members(benchmark: DataFrame, item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item, class_id, variant_id) of each item that has a window: its class and variant, named by their smallest ids."""
+    by_text = checkpointed(_by_text(benchmark, item, item_text))
+    out = by_text.join(_classes(by_text).select("all", "family", "variant"), "all")
+    return out.select(F.col("key.id").alias(item), F.col("family.id").alias("class_id"), F.col("variant.id").alias("variant_id"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id, item, n_windows, share, exact) of each contaminated document and item: all pairs, which may be many.
+
+    ``n_windows`` are the item's windows found with consistent slots, ``share`` their share of all that it has,
+    ``exact`` whether all slots agree."""
+    items = checkpointed(_classes(_by_text(benchmark, item, item_text)))
+    base, more, verbatim = _found(docs, items, id, text)
+    out = base.join(items.select("family", "variant", "item"), "family").join(more, ["id", "family", "variant"], "left")
+    out = out.withColumn("found", F.col("sure") + F.coalesce("more", F.lit(0))).filter(_enough(F.col("found")))
+    out = out.join(verbatim.select("family", "ats", "values", "item", F.lit(True).alias("same")), ["family", "ats", "values", "item"], "left")
+    exact = F.col("clean") & F.col("more").isNull() & F.col("same").isNotNull()
+    return out.select(F.col("id").alias(id), F.col("item.id").alias(item), F.col("found").cast("long").alias("n_windows"), (F.col("found") / F.col("n")).alias("share"), exact.alias("exact"))
+
+
+def class_matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id, item, n_windows, share, exact, class_id, variant_id, n_items) of each contaminated document and class of items.
+
+    ``n_items`` items of the class contaminate the document: all of it where ``variant_id`` is null, else those of this
+    variant (``members`` lists both). ``item`` is the one whose slots all agree (``exact``), else the one with most
+    windows found, the smallest of several; ``n_windows`` and ``share`` are as found for it."""
+    items = checkpointed(_classes(_by_text(benchmark, item, item_text)))
+    base, more, verbatim = _found(docs, items, id, text)
+    same = verbatim.groupBy("family", "ats", "values").agg(F.min(F.struct("item", "variant")).alias("same"))
+    best = more.groupBy("id", "family").agg(F.min(F.struct((-F.col("more")).alias("less"), "variant")).alias("best"))
+    whole = base.filter(_enough(F.col("sure"))).join(same, ["family", "ats", "values"], "left").join(best, ["id", "family"], "left")
+    whole = whole.withColumn("variant", F.col("same.variant")).join(more, ["id", "family", "variant"], "left")
+    exact = F.col("clean") & F.col("more").isNull() & F.col("same").isNotNull()
+    extra = F.when(exact, 0).otherwise(F.coalesce(-F.col("best.less"), F.lit(0)))
+    other = F.when(F.col("best.less") < 0, F.col("best.variant")).otherwise(F.col("family"))
+    none = F.lit(None).cast(items.schema["item"].dataType)
+    whole = whole.select("id", F.when(exact, F.col("same.item")).otherwise(other).alias("item"), (F.col("sure") + extra).alias("found"), "n", exact.alias("exact"), "family", none.alias("variant"))
+    whole = whole.join(items.groupBy("family").agg(F.count(F.lit(1)).alias("n_items")), "family")
+    part = base.filter(~_enough(F.col("sure"))).join(more, ["id", "family"]).withColumn("found", F.col("sure") + F.col("more")).filter(_enough(F.col("found")))
+    part = part.select("id", F.col("variant").alias("item"), "found", "n", F.lit(False).alias("exact"), "family", "variant")
+    part = part.join(items.groupBy("family", "variant").agg(F.count(F.lit(1)).alias("n_items")), ["family", "variant"])
+    out = whole.unionByName(part)
+    return out.select(
+        F.col("id").alias(id),
+        F.col("item.id").alias(item),
+        F.col("found").cast("long").alias("n_windows"),
+        (F.col("found") / F.col("n")).alias("share"),
+        "exact",
+        F.col("family.id").alias("class_id"),
+        F.col("variant.id").alias("variant_id"),
+        "n_items",
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
-    found = matches(docs, benchmark, id, text, item, item_text).select(id).distinct()
+    found = class_matches(docs, benchmark, id, text, item, item_text).select(id).distinct()
     return docs.join(found, id, "left_anti").select(docs.columns)

@@ -46,8 +46,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, item_id, n_windows, share, exact) of each contaminated document and benchmark item."""
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """(doc_id, item_id, n_windows, share, exact, class_id, variant_id, n_items) of each contaminated document and class of
+    benchmark items."""
+    return decontaminate.class_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -573,6 +573,45 @@ def test_decontamination_against_brute_force(spark):
     assert (550, 50) in want and any(i in range(30, 40) for _, i in want)
 
 
+def linked_items(docs, bench):
+    """The rows of class_matches by document, and the pairs that they and the membership stand for."""
+    got = decontaminate.class_matches(docs, bench).collect()
+    kin = decontaminate.members(bench).collect()
+    every = [(x, m.item_id) for x in got for m in kin if m.class_id == x.class_id and x.variant_id in (None, m.variant_id)]
+    assert all(x.n_items == len({i for y, i in every if y is x}) for x in got)
+    return got, {(x.doc_id, i) for x, i in every}
+
+
+def test_classes_and_members_lose_no_link(spark):
+    r = random.Random(5)
+    text = "the shop of {} sells {} kg of pears and {} kg of plums for {} coins to those who come before the noon bell has rung"
+
+    def fill():
+        return text.format(*(r.choice("123") for _ in range(4)))
+
+    bench = [(k, t) for k, t in enumerate(dict.fromkeys(fill() for _ in range(60)))]
+    data = [(k, fill() if k % 3 else fill().rsplit(" for ", 1)[0]) for k in range(40)]
+    docs, items = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    want = brute_matches(data, bench)
+    got, pairs = linked_items(docs, items)
+    assert pairs == set(want) and len(want) > 300
+    for x in got:
+        mine = {i: want[x.doc_id, i] for d, i in pairs if d == x.doc_id}
+        assert (x.n_windows, round(x.share, 9), x.exact) == mine[x.item_id]
+    assert {x.doc_id for x in got if x.exact} == {d for (d, _), v in want.items() if v[2]}
+
+
+def test_one_template_gives_rows_in_proportion(spark):
+    text = "a train leaves the town of the north at {} with {} people and reaches the town of the south long before the evening"
+    bench = spark.createDataFrame([(k, text.format(1000 + k, 5000 + k)) for k in range(150)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, text.format(1075 + k, 5075 + k)) for k in range(150)], "doc_id long, text string")
+    got = decontaminate.class_matches(docs, bench).collect()
+    assert len(got) == 150 and all(x.n_items == 150 and x.class_id == 0 and x.variant_id is None for x in got)
+    assert {(x.doc_id, x.item_id) for x in got if x.exact} == {(k, k + 75) for k in range(75)}
+    twice = spark.createDataFrame([(1, text.format(1, 2)), (1, text.format(1, 2)), (1, "other words that stand under the same id as the ones above")], "item_id long, text string")
+    assert {x.item_id for x in decontaminate.class_matches(docs.limit(3), twice).collect()} == {1}
+
+
 def test_both_join_paths_agree(spark, monkeypatch):
     broadcast = queries.op7_decontaminate(spark, SF).toPandas()
     monkeypatch.setattr(decontaminate, "MOST_BROADCAST", -1)
