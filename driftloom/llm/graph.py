@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, release
 
 Alike = Callable[[Column, Column], Column]
 
@@ -104,3 +104,4 @@ def connected(edges: DataFrame, met: DataFrame, alike: Alike, verify: Callable[[
         if last:
             return components(edges)
         turn, before = turn + 1, total
+        release(edges.sparkSession)  # a turn's many shuffles are small, so the heap does not fill before the disk does
