@@ -11,11 +11,12 @@ that an equal or shorter line's segments may equal; those that some alignment wi
 meet by hash in sorted partitions. Entries of a key are compared by their byte histograms (folded into 16 counters;
 each edit changes at most two by one). Candidate pairs are verified by a banded bit-parallel edit distance.
 
-Keys of more than ``HOT`` entries are not compared in their task. Their entries are keyed anew by parts of the histograms
-(linked lines agree in at least two of six parts, so each line has fifteen such keys). Of keys that are hot still, and of
-those with more than ``FEW`` near pairs for each entry, lines
+Probes meet index entries only, so keys without an index entry, however many lines probe them, bring nothing together and
+end in their task. Keys of more than ``HOT`` entries are not compared in theirs. Their entries are keyed anew by parts of
+the histograms (linked lines agree in at least two of six parts, so each line has fifteen such keys), unless all are alike.
+Of those, of keys that are hot still, and of those with more than ``FEW`` near pairs for each entry, lines
 are compared with leaders turn by turn, then those that are still apart with each other, dealt over tasks
-(``graph.connected``). No entry and no pair of different classes is dropped.
+(``graph.connected``). No index entry that another line meets and no pair of different classes is dropped.
 
 Lines are told apart by 128-bit BLAKE2b digests of their bytes, keys by half as long hashes; the latter only bring lines
 together that are then compared in full.
@@ -43,9 +44,13 @@ from .graph import connected
 #: Lengths from which one and two edits are allowed.
 ONE, TWO = 20, 40
 #: Entries of a key up to which they are compared in one task, and near pairs for each of them up to which these leave it.
-HOT, FEW = 64, 2
+HOT, FEW = 4096, 2
+#: Entries of a key held to see whether all are alike, and how far from the first their histograms then are at most.
+HELD, ALIKE = 1 << 16, 8
 #: Pairs verified at a time, bytes of their lines, and bytes between two looks for pairs that are too far apart already.
 CHUNK, CHUNK_BYTES, LOOK = 4096, 4 << 20, 64
+#: Pairs of histograms compared at a time.
+NEAR_PAIRS = 1 << 16
 #: Histograms of linked lines differ by at most 4 in all, so of six parts of the counters two are equal.
 PARTS = [sum(15 << 4 * c for c in range(16) if c % 6 in kept) for kept in combinations(range(6), 2)]
 
@@ -129,13 +134,29 @@ def histograms(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
-def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Whether histograms a (column) and b (row) differ by at most ``most``, counters compared modulo 16."""
-    total = np.zeros((len(a), len(b)), np.uint8)
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How much histograms a and b differ in all, counters compared modulo 16."""
+    total = np.zeros(np.broadcast_shapes(a.shape, b.shape), np.int64)
     for c in range(16):
-        d = (((a[:, None] >> np.uint64(4 * c)) - (b[None, :] >> np.uint64(4 * c))) & np.uint64(15)).astype(np.uint8)
+        d = ((a >> np.uint64(4 * c)) - (b >> np.uint64(4 * c)) & np.uint64(15)).astype(np.int64)
         total += np.minimum(d, 16 - d)
-    return total <= most
+    return total
+
+
+def _near(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the histograms a[i] and b[j] that differ by at most ``most``."""
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, NEAR_PAIRS // max(1, len(b)))
+    for i in range(0, len(a), step):
+        other = a[i : i + step, None] ^ b[None, :]
+        other |= other >> np.uint64(1)
+        other |= other >> np.uint64(2)
+        other &= np.uint64(0x1111111111111111)  # a bit for each counter that differs; such histograms differ by one at least
+        p, q = np.nonzero(np.bitwise_count(other) <= most)
+        same = _differ(a[i + p], b[q]) <= most
+        x.append(i + p[same])
+        y.append(q[same])
+    return np.concatenate(x), np.concatenate(y)
 
 
 def _distinct(block: Block) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -161,7 +182,8 @@ def _short(digests: list[bytes]) -> np.ndarray:
 
 
 def _to_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, line, bag): the lowest bit of ``line`` tells probes from index entries."""
+    """(key, line, bag): the sign of ``line`` tells index entries, which thus come first, from probes; the other bits are
+    those of the short digest but for its lowest."""
     for _, block in blocks(batches, "text"):
         start, end, found = _distinct(block)
         if not len(start):
@@ -169,17 +191,21 @@ def _to_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line, bag = _short(list(map(digest, found))), histograms(block.data, start, end)
         del found
         for key, rows, probe in entries(SpanHasher(block.data), start, end):
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array((line[rows] | np.uint64(probe)).view(np.int64)), pa.array(bag[rows].view(np.int64))], names=["key", "line", "bag"])
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array((line[rows] >> ONE_BIT | np.uint64(not probe) << INDEX).view(np.int64)), pa.array(bag[rows].view(np.int64))], names=["key", "line", "bag"])
 
 
 MET = "key long, a long, b long, bag long"
+#: Place of the sign of an index entry.
+INDEX, ONE_BIT = np.uint64(63), np.uint64(1)
 
 
 def _to_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of keys of up to HOT entries (key null, a, b): lines with near histograms, a < b. Of others, and of those with too
-    many pairs (b 1, else null), the entries (key, a, b, bag) with a the line. The entries come sorted by key and line."""
+    many pairs or all alike (b 1, else null), the entries (key, a, b, bag) with a the line as it came. Keys without an
+    index entry or of one line give nothing. The entries come sorted by key and line."""
     key = line = bag = np.zeros(0, np.uint64)
     hot: np.uint64 | None = None  # the key at the end of the last batch, if it is known to be hot
+    index = False  # whether that key has an index entry
 
     def out(keys, a, b, bags) -> pa.RecordBatch:
         n = len(a)
@@ -188,27 +214,33 @@ def _to_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settled(key: np.ndarray, line: np.ndarray, bag: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        size, plain = np.diff(edge), line & ~np.uint64(1)
-        # lines are sorted as signed values, so that one line's two entries are neighbours and ends differ if any do
-        several = plain[edge[:-1]] != plain[edge[1:] - 1]
+        size, plain = np.diff(edge), line << ONE_BIT
+        # index entries are first
+        several = (line[edge[:-1]] >> INDEX).astype(bool)
+        several &= np.minimum.reduceat(plain, edge[:-1]) != np.maximum.reduceat(plain, edge[:-1])
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         dense = np.zeros(len(size), bool)
-        for g in np.flatnonzero(several & (size <= HOT)).tolist():
+        for g in np.flatnonzero(several).tolist():
             i, j = edge[g], edge[g + 1]
-            index = i + np.flatnonzero((line[i:j] & np.uint64(1)) == 0)
-            x, y = np.nonzero(_near(bag[i:j], bag[index], 4) & (plain[i:j, None] != plain[None, index]))
+            if j - i > HOT:
+                dense[g] = (_differ(bag[i:j], bag[i : i + 1]) <= ALIKE).all()
+                continue
+            n = int(np.count_nonzero(line[i:j] >> INDEX))
+            x, y = _near(bag[i:j], bag[i : i + n], 4)
+            other = plain[i + x] != plain[i + y]
+            x, y = x[other], y[other]
             if len(x) > 2 * FEW * (j - i):
                 dense[g] = True
             elif len(x):
-                pairs.append((plain[i + x], plain[index[y]]))
+                pairs.append((plain[i + x], plain[i + y]))
         if pairs:
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
             a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield out(None, a, b, None)
-        for rows, mark in ((several & (size > HOT), None), (dense, np.ones(int(size[dense].sum()), np.int64))):
+        for rows, mark in ((several & ~dense & (size > HOT), None), (dense, np.ones(int(size[dense].sum()), np.int64))):
             many = np.repeat(rows, size)
             if many.any():
-                yield out(key[many], plain[many], mark, bag[many])
+                yield out(key[many], line[many], mark, bag[many])
 
     for batch in batches:
         if not batch.num_rows:
@@ -219,8 +251,8 @@ def _to_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, line, bag = key[new], line[new], bag[new]
         if hot is not None:
             n = int(np.argmax(key != hot)) if (key != hot).any() else len(key)
-            if n:
-                yield out(key[:n], line[:n] & ~np.uint64(1), None, bag[:n])
+            if n and index:
+                yield out(key[:n], line[:n], None, bag[:n])
             if n == len(key):
                 key, line, bag = key[n:], line[n:], bag[n:]
                 continue
@@ -230,9 +262,11 @@ def _to_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if cut:
             yield from settled(key[:cut], line[:cut], bag[:cut])
         key, line, bag = key[cut:], line[cut:], bag[cut:]
-        if len(key) > HOT:
+        index = bool(line[0] >> INDEX)
+        if not index or len(key) > HELD:
             hot = key[0]
-            yield out(key, line & ~np.uint64(1), None, bag)
+            if index:
+                yield out(key, line, None, bag)
             key, line, bag = key[:0], line[:0], bag[:0]
     if len(key):
         yield from settled(key, line, bag)
@@ -372,7 +406,7 @@ class Join:
         again = met.filter("key is not null and b is null").select(F.explode(parts).alias("key"), F.col("a").alias("line"), "bag")
         met2 = checkpointed(again.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_to_pairs, MET))
         pairs = met.union(met2).filter("key is null").select("a", "b").distinct()
-        hot = met.filter("b = 1").union(met2).filter("key is not null").select("key", "a", "bag").distinct()
+        hot = met.filter("b = 1").union(met2).filter("key is not null").select("key", F.shiftleft("a", 1).alias("a"), "bag").distinct()
         # from the short digests to the lines that have them
         wanted = pairs.select(F.col("a").alias("short")).union(pairs.select("b")).union(hot.select("a")).distinct()
         names = checkpointed(self.firsts.join(wanted, "short").select("short", "line"))

@@ -715,6 +715,36 @@ def test_many_lines_of_one_segment_and_very_long_lines(spark):
     assert [got[k] for k in (400, 401, 402, 403)] == [0, 1, 0, 0]
 
 
+def test_keys_without_an_index_entry_end_in_their_task():
+    import numpy as np
+    import pyarrow as pa
+
+    def entries(key, lines, bags, index):
+        line = np.asarray(lines, np.uint64) >> np.uint64(1) | np.asarray(index, np.uint64) << line_dedup.INDEX
+        order = np.argsort(line.view(np.int64), kind="stable")
+        columns = np.full(len(line), key), line[order].view(np.int64), np.asarray(bags, np.int64)[order]
+        return pa.record_batch(list(map(pa.array, columns)), names=["key", "line", "bag"])
+
+    def made(*batches):
+        return [x for b in line_dedup._to_pairs(iter(batches)) for x in b.to_pylist()]
+
+    lines, far = np.arange(2, 20_002, 2), np.arange(10_000) * 0x123457
+    for at in (3000, 7000, 10_000):  # probes alone, in one batch or more
+        probes = entries(1, lines, far, np.zeros(10_000))
+        assert made(probes.slice(0, at), probes.slice(at), entries(2, [2, 4], [0, 0], [0, 0])) == []
+    assert [(x["key"], x["a"], x["b"]) for x in made(entries(1, lines, far, np.zeros(10_000)), entries(2, [2, 4], [0, 0], [1, 0]))] == [(None, 2, 4)]
+    # many lines under one key: the few near ones leave the task as pairs
+    r = np.random.default_rng(3)
+    bags = r.integers(0, 1 << 62, 600)
+    bags[10] = bags[500] ^ 1
+    assert [(x["key"], x["a"], x["b"]) for x in made(entries(1, lines[:600], bags, np.ones(600)))] == [(None, int(lines[10]), int(lines[500]))]
+    # as entries if they are too many for a task or all alike, each once
+    many = made(entries(1, lines, far, np.arange(10_000) == 5))
+    assert len(many) == 10_000 and all(x["key"] == 1 and x["b"] is None for x in many)
+    alike = made(entries(1, lines, np.zeros(10_000), np.arange(10_000) == 5))
+    assert len(alike) == 10_000 and all(x["key"] == 1 and x["b"] == 1 for x in alike)
+
+
 # 10 suffix tree
 
 
