@@ -111,19 +111,33 @@ def others(df: DataFrame, *made: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
+def _labelled(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """(id, text, h) of the texts and (id, label) of the labels; several labels of one id count as their maximum, null texts
+    as empty."""
+    wanted = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("id", "text"))
+    return rows, wanted
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, most: int, seed: str) -> DataFrame:
     """(h, text, label) of at most ``most`` different labelled texts, drawn by hashes; several labels of one id count as their
     maximum, null texts as empty, and equal texts of one id once.
 
     Labels meet the hashes of the texts before any is drawn, so labels without a text take no place; texts do not move
     for that."""
-    wanted = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("id", "text"))
+    rows, wanted = _labelled(docs, labels, id, text, label)
     met = rows.select("id", "h").join(wanted, "id").select("h", "label").distinct()
     drawn = checkpointed(met.orderBy(F.xxhash64(F.lit(seed), F.col("h")), "h", "label").limit(most))  # bounded by ``most``
     return checkpointed(rows.select("h", "text").join(F.broadcast(drawn), "h").dropDuplicates(["h"]))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str) -> DataFrame:
+    """(h, text, label) of all different labelled texts, with the cases of ``labelled_sample``."""
+    rows, wanted = _labelled(docs, labels, id, text, label)
+    # equal texts of one id are where the join has brought them
+    return checkpointed(rows.join(wanted, "id").dropDuplicates(["id", "h"]).select("h", "text", "label"))
+
+
 def fields(df: DataFrame, *names: str) -> str:
     """DDL of the named columns of ``df``."""
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)

@@ -12,8 +12,8 @@ toxicity: kept are features whose log-likelihood ratio against independence is b
 are tried, with the lower confidence bound of their precision as weight. A text's score comes from a logistic curve over
 the strongest word and the number and rate of strong and weaker ones, fitted on the same labelled rows.
 
-Model and curve are fitted on at most ``MOST_LABELLED`` labelled texts, drawn by a hash of id and text; all their
-trigrams and features that may be significant reach the driver.
+Model and curve are fitted on all labelled texts. Trigrams and features are counted, and the curve's gradients summed, by
+Spark; what reaches the driver are the different trigrams, the significant features and a few sums for each step.
 
 Cases: null and empty texts score 0; rows without an id are scored and never held out; labels that are null or of
 absent documents are ignored; without labels of both kinds every score is 0; repeated rows are learned from once and
@@ -34,15 +34,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, Lookup, SpanHasher, labelled_sample, others, slices
+from .common import Block, Lookup, SpanHasher, checkpointed, labelled, others, slices
 
-MOST_LABELLED = 12_000
 #: Prefix lengths in bytes; 0 stands for the whole word.
 LENGTHS = (0, 4, 5, 6, 7, 8, 9, 10)
 #: Least log-likelihood ratio of a feature, and the confidence of its precision in standard deviations.
 LEAST_G2, SIGMA = 22.0, 1.64
 #: Weight from which a word is strong evidence by itself, and the ridge of the logistic curve.
 STRONG, RIDGE = 0.9, 0.5
+#: Newton steps at most, and the step that ends them.
+STEPS, SETTLED = 40, 1e-10
 THRESHOLD = 0.3
 #: Characters after which what all readings agree in is put out, remembered spans and their longest.
 WINDOW, MEMORY, REMEMBERED = 4096, 50_000, 64
@@ -365,20 +366,40 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression with a small ridge, by Newton steps."""
-    beta = np.zeros(x.shape[1])
-    for _ in range(40):
-        p = _sigmoid(x @ beta)
-        g = x.T @ (p - y) + RIDGE * beta
-        h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + RIDGE * np.eye(x.shape[1])
-        beta = beta - np.clip(np.linalg.solve(h, g), -2, 2)
+def _moments(beta: np.ndarray):
+    """For a step from beta: the sums of the gradient and the curvature over a task's rows (toxic, x, n)."""
+    size = len(beta)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + size * size)
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            y, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("toxic", "n"))
+            p = _sigmoid(x @ beta)
+            total[:size] += x.T @ (n * (p - y))
+            total[size:] += ((x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x).ravel()
+        yield pa.record_batch([pa.array([total.tolist()])], names=["sums"])
+
+    return run
+
+
+def _curve(rows: DataFrame, size: int) -> np.ndarray:
+    """Logistic regression with a small ridge, by Newton steps, of the rows (toxic, x, n)."""
+    beta = np.zeros(size)
+    for _ in range(STEPS):
+        parts = [r["sums"] for r in rows.mapInArrow(_moments(beta), "sums array<double>").collect()]
+        total = np.array([math.fsum(c) for c in zip(*parts, strict=True)]) if parts else np.zeros(size + size * size)
+        g, h = total[:size] + RIDGE * beta, total[size:].reshape(size, size) + RIDGE * np.eye(size)
+        step = np.clip(np.linalg.solve(h, g), -2, 2)
+        beta = beta - step
+        if np.abs(step).max() < SETTLED:
+            break
     return beta
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learn from the texts of ``docs`` that ``labels`` marks (both already restricted to training rows)."""
-    rows = labelled_sample(docs, labels, id, text, label, MOST_LABELLED, "toxicity").select("text", F.col("label").cast("long").alias("toxic"))
+    rows = labelled(docs, labels, id, text, label).select("text", F.col("label").cast("long").alias("toxic"))
     grams = rows.mapInArrow(_count_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     chars = CharModel({g: n for g, n in grams.collect()})
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -395,23 +416,31 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     # twice the logarithm of the rate's inverse is the most that one text can add to the ratio
     least = max(2, math.ceil(LEAST_G2 / (2 * math.log((toxic + other) / toxic))))
     found = found.groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("a") >= least)
-    table = found.filter(F.col("a") * other > F.col("b") * toxic).toArrow().sort_by("feature")
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy().astype(float) for c in ("a", "b"))
+            g2, low = weigh(a, b, toxic, other)
+            good = (g2 >= LEAST_G2) & (low > max(0.1, 1.5 * toxic / (toxic + other)))
+            yield pa.record_batch([batch.column("feature").filter(pa.array(good)), pa.array(low[good])], names=["feature", "low"])
+
+    table = found.filter(F.col("a") * other > F.col("b") * toxic).mapInArrow(judged, "feature long, low double").toArrow().sort_by("feature")
     if not len(table):
         return Model(chars, none)
-    a, b = table["a"].to_numpy().astype(float), table["b"].to_numpy().astype(float)
-    g2, low = weigh(a, b, toxic, other)
-    good = (g2 >= LEAST_G2) & (low > max(0.1, 1.5 * toxic / (toxic + other)))
-    model = Model(chars, Lookup(table["feature"].to_numpy().view(np.uint64)[good], low[good]))
+    model = Model(chars, Lookup(table["feature"].to_numpy().view(np.uint64), table["low"].to_numpy()))
+    size = model.summary(Block(pa.array([""]))).shape[1]
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x = model.summary(restored(batch.column("text"), chars))
-            yield pa.record_batch([batch.column("toxic"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["toxic", "x"])
-
-    seen = rows.mapInArrow(summaries, "toxic long, x array<double>").toPandas()
-    x, y = np.stack(seen["x"]), seen["toxic"].to_numpy(float)
-    order = np.lexsort((*x.T, y))  # sums then do not depend on how rows arrive
-    model.curve = _curve(x[order][x[order][:, 1] > 0], y[order][x[order][:, 1] > 0])
+            some = x[:, 1] > 0
+            each = pa.FixedSizeListArray.from_arrays(pa.array(x[some].ravel()), size).cast(pa.list_(pa.float64()))
+            yield pa.record_batch([batch.column("toxic").filter(pa.array(some)), each], names=["toxic", "x"])
+
+    seen = rows.mapInArrow(summaries, "toxic long, x array<double>").groupBy("toxic", "x").agg(F.count("*").alias("n"))
+    # in order, so that sums do not depend on how rows arrive
+    seen = checkpointed(seen.sortWithinPartitions("toxic", "x")).coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+    model.curve = _curve(seen, size)
     return model
 
 

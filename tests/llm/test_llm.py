@@ -228,6 +228,27 @@ def test_toxicity(spark, empty):
     assert {x.score for x in toxicity.score(df, none).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    """Words of three toxic texts each among 24,000, which a sample of half of them would mostly lose."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(6)
+    rare = ["qaxor", "wezul", "yimpok", "vudgab", "zorfen", "kibjat", "hoquex", "jyvrum", "pexnil", "fawzog"]
+    bad = {100 * i: rare[i // 3] if i < 30 else "blorgface" for i in range(240)}
+    data = [(i, " ".join([r.choice(WORDS) for _ in range(6)] + ([bad[i]] if i in bad else []))) for i in range(24_000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in range(24_000)], "doc_id long, toxic int")
+    model = toxicity.fit(docs.union(docs.limit(50)), labels)
+    found = model.summary(toxicity.restored(pa.array([*rare, "blorgface", WORDS[0]]), model.chars))
+    assert (found[:11, 1] > 0).all() and found[11, 1] == 0
+    # the curve is where the gradient over all texts with a found word vanishes
+    texts = sorted(t for i, t in data if i in bad)
+    x = model.summary(toxicity.restored(pa.array(texts), model.chars))
+    g = x.T @ (toxicity._sigmoid(x @ model.curve) - 1) + toxicity.RIDGE * model.curve
+    assert np.abs(g).max() < 1e-6
+
+
 def test_disguised_words_are_restored():
     import pyarrow as pa
 
