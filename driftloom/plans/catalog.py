@@ -23,7 +23,7 @@ from ..operators import resample as R
 from ..operators import trend as D
 from ..operators.measures import Ensemble, Measure, PercentileEq, PercentileWeighted, RebasedIndex, TotalIndex, WeightedMean
 from ..operators.periods import CompletePeriod, EvalPeriod, PeriodVector, tagged
-from ..operators.selection import percentiles
+from ..operators.selection import percentiles_of
 from ..sources import store
 from ..sources.panel import THREE_BASES, TWO_BASES, Panel, sales_panel
 from . import oracle as S
@@ -300,9 +300,8 @@ _SPREAD_W = f"SELECT month, {', '.join(f'round(min(CASE WHEN c >= {q / 100!r} *
 def percentiles_spread(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of all lines of a month, plain and weighted by quantity, by counts in buckets."""
     lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.trunc("l_shipdate", "month").alias("month"), F.col("l_extendedprice").alias("v"), F.col("l_quantity").alias("w"))
-    one, two = percentiles(lines, ["month"], "v", _SPREAD), percentiles(lines, ["month"], "v", _SPREAD, "w").withColumnRenamed("percentiles", "weighted")
-    both = one.join(two, "month")
-    return rounded(both.select("month", *[F.get(c, F.lit(i)).alias(f"{k}{i}") for c, k in (("percentiles", "p"), ("weighted", "w")) for i in range(len(_SPREAD))]))
+    both = percentiles_of(lines, ["month"], "v", _SPREAD, {"plain": None, "weighted": "w"}).filter("month is not null")
+    return rounded(both.select("month", *[F.get(c, F.lit(i)).alias(f"{k}{i}") for c, k in (("plain", "p"), ("weighted", "w")) for i in range(len(_SPREAD))]))
 
 
 JOINT = Ensemble(tuple(m for m, _ in MEASURES.values() if m.joint))

@@ -532,6 +532,25 @@ def test_percentiles_of_a_million_items(spark):
     assert abs(found.first().percentiles[0] / df.agg(F.percentile("v", 0.7)).first()[0] - 1) < 1e-12
 
 
+def test_plain_and_weighted_percentiles_take_the_same_passes(spark, tmp_path):
+    from driftloom.operators.selection import percentiles, percentiles_of
+
+    made = spark.range(0, 60_000, numPartitions=4).select(F.expr("id % 3").alias("g"), F.exp(3 * F.randn(7)).alias("v"), F.expr("cast(1 + id % 50 as double)").alias("w"))
+    made.write.parquet(f"{tmp_path}/t")
+    df, qs = spark.read.parquet(f"{tmp_path}/t"), (0, 10, 50, 70, 99.5, 100)
+    both = percentiles_of(df, ["g"], "v", qs, {"plain": None, "by": "w"})
+    plan = both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    # one sketch for both kinds, and no pass of its own for the groups without a value
+    assert len(set(re.findall(r"percentile_approx\(_v#\d+", plan))) == 1 and "LeftAnti" not in plan
+    got = {x.g: (x.plain, x.by) for x in both.collect()}
+    one, two = ({x.g: x.percentiles for x in percentiles(df, ["g"], "v", qs, w).collect()} for w in (None, "w"))
+    assert got == {g: (one[g], two[g]) for g in range(3)}
+    for g, rows in made.toPandas().sort_values("v").groupby("g"):
+        assert np.allclose(got[g][0], np.percentile(rows.v, qs), rtol=1e-12)
+        sums = rows.w.cumsum().to_numpy()
+        assert got[g][1] == [rows.v.to_numpy()[np.searchsorted(sums, q / 100 * sums[-1] - 1e-12)] for q in qs]
+
+
 def test_guide_tables_pick_as_the_whole_distribution(spark):
     r = np.random.default_rng(4)
     rows = []
