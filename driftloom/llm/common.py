@@ -96,6 +96,25 @@ class Tables:
                 remove_folder(self.spark, path)
 
 
+#: Numbers of 64 bits in a filter of keys, a power of two.
+FILTER_WORDS = 1 << 18
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame, of: str) -> DataFrame:
+    """The rows whose ``key`` may be in the column ``of`` of ``wanted``: all that are, and as many others as hashes fall together.
+
+    A bit for each hash of ``wanted``, FILTER_WORDS numbers at most, goes to the tasks, so that a join moves few other rows."""
+
+    def placed(c: str):
+        h = F.xxhash64(c)
+        return F.shiftrightunsigned(h, 64 - (FILTER_WORDS.bit_length() - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+    (w, b), (at, bit) = placed(of), placed(key)
+    word, bits = unused("word", rows), unused("bits", rows)
+    words = wanted.select(w.alias(word), b.alias("b")).groupBy(word).agg(F.bit_or("b").alias(bits))
+    return rows.withColumn(word, at).join(F.broadcast(words), word).filter(F.col(bits).bitwiseAND(bit) != 0).select(rows.columns)
+
+
 def unused(stem: str, *frames: DataFrame) -> str:
     """A column name that no frame has, whatever the case."""
     taken = {c.lower() for f in frames for c in f.columns}

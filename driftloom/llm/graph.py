@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, release
@@ -14,17 +14,22 @@ from .common import checkpointed, release
 Alike = Callable[[Column, Column], Column]
 
 
-#: Edges up to which a round is dealt over tasks of EACH edges; beyond, the session's settings tell.
+#: Edges up to which a round is dealt over tasks of EACH edges, so that a round on no more than EACH is one task without a
+#: shuffle; beyond SMALL, the session's settings tell.
 SMALL, EACH = 1_000_000, 50_000
 
 
 def _dealt(edges: DataFrame, n: int) -> DataFrame:
     """The different edges, those of one ``a`` together: what joins and groups by ``a`` moves nothing more."""
+    if n <= EACH:
+        return edges.coalesce(1).distinct()
     return (edges.repartition(n // EACH + 1, "a") if n <= SMALL else edges.repartition("a")).distinct()
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = _dealt(edges.union(edges.select("b", "a")), n)
+    if n <= EACH:  # a join would deal the rows of one task anew
+        return both.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a")))).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
@@ -32,6 +37,8 @@ def _large_star(edges: DataFrame, n: int) -> DataFrame:
 def _small_star(down: DataFrame, n: int) -> DataFrame:
     """``down`` has edges from the greater to the smaller node, as the large star gives them."""
     down = _dealt(down, n)
+    if n <= EACH:
+        return down.withColumn("m", F.min("b").over(Window.partitionBy("a"))).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
@@ -46,7 +53,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         n, mark = now.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (n, mark) == was or n == 0:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+            return out.coalesce(1) if n <= EACH else out
         was = n, mark
         now = checkpointed(_dealt(_small_star(_large_star(now, n), n).filter("a <> b"), n))
 

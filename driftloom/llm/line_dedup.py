@@ -38,7 +38,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, Block, SpanHasher, blocks, checkpointed, fields, mixed, others, slices, unused
+from .common import _SPACE, Block, SpanHasher, blocks, checkpointed, fields, likely, mixed, others, release, slices, unused
 from .graph import connected
 
 #: Lengths from which one and two edits are allowed.
@@ -389,19 +389,19 @@ class Join:
     def __init__(self, rows: DataFrame, firsts: DataFrame):
         self.rows, self.firsts = rows, firsts
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) of lines that are within the threshold."""
-        wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
-        at = self.firsts.join(wanted, "line", "left_semi").groupBy(F.col("first.id").alias("at")).agg(F.collect_list("first.place").alias("places"))
-        texts = self.rows.join(at, self.rows["id"] == at["at"]).select("text", "places").mapInArrow(_at_places, "line binary, bytes binary")
-        texts = checkpointed(texts.groupBy("line").agg(F.min("bytes").alias("bytes")))
-        both = pairs.join(texts.select(F.col("line").alias("a"), F.col("bytes").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("bytes").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(_verified, "a binary, b binary")
+    def fetched(self, names: DataFrame) -> DataFrame:
+        """(line, bytes) of the lines ``names`` (line, first), each from its first place. Of the texts only those move that
+        hold such a place."""
+        at = names.groupBy(F.col("first.id").alias("at")).agg(F.collect_list("first.place").alias("places"))
+        texts = likely(self.rows, "id", at, "at").join(at, F.col("id") == F.col("at")).select("text", "places")
+        return texts.mapInArrow(_at_places, "line binary, bytes binary").groupBy("line").agg(F.min("bytes").alias("bytes"))
 
     def classes(self) -> DataFrame:
         """(node, component) of the lines that are linked to others."""
+        spark = self.rows.sparkSession
         keyed = self.rows.select("text").mapInArrow(_to_entries, "key long, line long, bag long")
         met = checkpointed(keyed.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_to_pairs, MET))
+        release(spark)  # the entries are more than the texts, and the heap does not fill before the disk does
         parts = F.array(*[F.xxhash64("key", F.lit(i), F.col("bag").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(PARTS)])
         again = met.filter("key is not null and b is null").select(F.explode(parts).alias("key"), F.col("a").alias("line"), "bag")
         met2 = checkpointed(again.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_to_pairs, MET))
@@ -409,11 +409,19 @@ class Join:
         hot = met.filter("b = 1").union(met2).filter("key is not null").select("key", F.shiftleft("a", 1).alias("a"), "bag").distinct()
         # from the short digests to the lines that have them
         wanted = pairs.select(F.col("a").alias("short")).union(pairs.select("b")).union(hot.select("a")).distinct()
-        names = checkpointed(self.firsts.join(wanted, "short").select("short", "line"))
+        names = checkpointed(self.firsts.join(wanted, "short").select("short", "line", "first"))
         x, y = names.select(F.col("short").alias("a"), F.col("line").alias("x")), names.select(F.col("short").alias("b"), F.col("line").alias("y"))
         pairs = checkpointed(pairs.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
         hot = checkpointed(hot.join(x, "a").select("key", F.col("x").alias("node"), F.col("bag").alias("x")))
-        return connected(self.verified(pairs), hot, _alike, self.verified)
+        texts = checkpointed(self.fetched(names))
+        release(spark)
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            """Those of the pairs (a, b) of lines that are within the threshold."""
+            both = pairs.join(texts.select(F.col("line").alias("a"), F.col("bytes").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("bytes").alias("y")), "b")
+            return both.select("a", "b", "x", "y").mapInArrow(_verified, "a binary, b binary")
+
+        return connected(verified(pairs), hot, _alike, verified)
 
 
 def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from conftest import SF, rows
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, decontaminate, graph, language_id, line_dedup, near_copies, quality_model, queries, simhash, suffix_dedup, suffix_tree, toxicity
+from driftloom.llm import bpe, common, decontaminate, graph, language_id, line_dedup, near_copies, quality_model, queries, simhash, suffix_dedup, suffix_tree, toxicity
 from driftloom.llm import quality_rules as rules
 from driftloom.llm.graph import components
 
@@ -712,6 +712,27 @@ def test_line_dedup(spark, empty, monkeypatch):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_likely_rows_are_all_that_are_wanted_and_few_others(spark):
+    rows_ = spark.range(20_000).select(F.concat(F.lit("d"), "id").alias("id"), F.lit("x").alias("word"))
+    wanted = rows_.filter("substring(id, 2) < 200").select(F.col("id").alias("at"))
+    got = common.likely(rows_, "id", wanted, "at")
+    assert got.columns == ["id", "word"] and got.count() < wanted.count() + 200
+    assert wanted.join(got, F.col("id") == F.col("at"), "left_anti").count() == 0
+
+
+def test_texts_are_moved_once_for_all_turns(spark, monkeypatch):
+    moved, verified = [], []
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    monkeypatch.setattr(line_dedup, "FEW", 0)
+    monkeypatch.setattr(graph, "FEW", 0)
+    fetched, connected = line_dedup.Join.fetched, graph.connected
+    monkeypatch.setattr(line_dedup.Join, "fetched", lambda self, names: moved.append(1) or fetched(self, names))
+    monkeypatch.setattr(line_dedup, "connected", lambda e, m, a, verify: connected(e, m, a, lambda p: verified.append(1) or verify(p)))
+    data = [(k, f"number {k:05d} of a family of lines that differ in one or two figures") for k in range(100)]
+    got = line_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string")).agg(F.sum("n_removed")).first()
+    assert got[0] == 99 and len(moved) == 1 and len(verified) > 1
+
+
 def test_lines_of_equal_polynomials_stay(spark):
     """The Thue-Morse order and its opposite, which polynomials modulo a power of two take for equal."""
     bits = [0]
