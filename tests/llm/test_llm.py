@@ -733,6 +733,14 @@ def test_texts_are_moved_once_for_all_turns(spark, monkeypatch):
     assert got[0] == 99 and len(moved) == 1 and len(verified) > 1
 
 
+def test_rounds_on_few_edges_shuffle_nothing(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k - 1) for k in range(1, 200)], "a long, b long")
+    for each in (graph.EACH, 50):
+        monkeypatch.setattr(graph, "EACH", each)
+        assert ("hashpartitioning" in graph._dealt(graph._small_star(graph._large_star(edges, 199), 199), 199)._jdf.queryExecution().executedPlan().toString()) == (each == 50)
+        assert {(x.node, x.component) for x in components(edges).collect()} == {(k, 0) for k in range(200)}
+
+
 def test_lines_of_equal_polynomials_stay(spark):
     """The Thue-Morse order and its opposite, which polynomials modulo a power of two take for equal."""
     bits = [0]
