@@ -7,11 +7,14 @@ a state if the training texts gain at least ``LEAST_GAIN`` in log-likelihood fro
 (the count times the divergence of the two). A state's distribution is absolutely discounted and gives what is left
 to that of its suffix, so each is a proper distribution. A symbol is scored by the longest state that ends its past.
 
-All bounds are counts, so the tree grows with the corpus. It is grown level by level as tables: a run of words counts only
-if its context is a candidate and its suffix is frequent, so that each pass counts few runs beyond the pairs. What a pass needs to
-know of the level before is two bits for each hash, of ``FILTER_BITS`` bits whatever the size; a wrong bit only makes
-work, as counts decide. For scoring, the most frequent words and entries of the tree, up to ``MOST_WORDS`` and ``MOST_ENTRIES``, go to the
-executors; what a text has of others is joined to the tables.
+All bounds are counts, so the tree grows with the corpus. Contexts that end in one word, and what follows them, are in one part, as are
+their suffixes: a part's places in the texts make its part of the tree without another shuffle, and the texts to be scored meet it there. A
+place travels as the codes of its symbol and of the words before it, packed by part; what returns is a sum for each document and part. The contexts of a
+hot word (or of a hot run of words) are dealt over several parts by the word before; its own distribution is counted first and
+given to these. So cost and space grow with the texts, and a task holds one part. Only a run of four words is not dealt further: equal places of it are summed up.
+Executors have the ``MOST_WORDS`` most frequent words at hand; others travel as hashes, and their counts are joined.
+
+Words are told apart by 64-bit hashes alone.
 
 Cases: a null or empty text is its end alone; rows without an id are training rows; repeated rows count and are scored
 each; without any training text every symbol has the root's probability of an unseen one; an empty table gives an
@@ -26,18 +29,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import LOWER, Block, Lookup, SpanHasher, Tables, blocks, checkpointed, mixed, others, release, remove_folder, unused
 
 #: Words of the longest context; taken off each count of a next symbol.
 DEPTH, DISCOUNT = 4, 0.75
 LEAST_CONTEXT, LEAST_EDGE, LEAST_GAIN = 20, 3, 8.0
-#: Words and entries of the tree that executors have at hand (16 bytes each).
+#: Words (below 2^24) and entries of the tree that a task has at hand.
 MOST_WORDS, MOST_ENTRIES = 1 << 19, 1 << 22
-#: Bits of a filter (a power of two); a filter is an eighth as many bytes.
-FILTER_BITS = 1 << 26
 #: The hash that stands for the end of a text, and keys that a task sums up before it hands them on.
 END = np.uint64(0x0D15EA5E0DDBA115)
 HELD = 1 << 21
@@ -64,7 +67,7 @@ class Runs:
     places where these are in one text."""
 
     def __init__(self, hashes: np.ndarray, owner: np.ndarray):
-        self.hashes = hashes
+        self.hashes, self.owner = hashes, owner
         new = np.ones(len(owner), bool)
         new[1:] = owner[1:] != owner[:-1]
         begin = np.flatnonzero(new)
@@ -83,30 +86,6 @@ class Runs:
         return np.flatnonzero(self.place >= k - 1)
 
 
-class Filter:
-    """Two bits for each hash, named by its leading and its last bits."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    @staticmethod
-    def of(hashes: DataFrame) -> Filter:
-        """The filter of the column h; at most FILTER_BITS / 64 pairs of numbers reach the driver."""
-        places = F.array(F.shiftrightunsigned("h", 64 - (FILTER_BITS.bit_length() - 1)), F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)))
-        at = hashes.select(F.explode(places).alias("at"))
-        bits = at.select(F.shiftright("at", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int")).alias("b"))
-        found = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-        words = np.zeros(FILTER_BITS // 64, np.uint64)
-        words[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
-        return Filter(words)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for at in (hashes >> np.uint64(64 - (FILTER_BITS.bit_length() - 1)), hashes & np.uint64(FILTER_BITS - 1)):
-            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) > 0
-        return out
-
-
 def _summed(keys: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Counts of 64-bit keys, summed up to about HELD keys at a time."""
     key, n, size, held = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, []
@@ -143,69 +122,207 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _pass(texts: DataFrame, k: int, here: Filter, often: Filter) -> DataFrame:
-    """One reading of the texts: (g, described, n, context, suffix). Not described are the counts of the runs of k + 1 symbols
-    whose first k are in ``often`` and whose last k are in ``here``; described, for k > 1, are the runs of k that are in
-    ``here``: what precedes their last symbol, and what follows their first."""
-    shared = texts.sparkSession.sparkContext.broadcast((here.words, often.words))
+def _most(table: DataFrame, most: int, *columns: Column | str) -> tuple[int, pa.Table]:
+    """Those rows of the highest counts n that are ``most`` or fewer, and the least count of them (1 for all rows)."""
+    by_count = table.groupBy("n").agg(F.count("*").alias("rows")).toArrow().sort_by([("n", "descending")])
+    fits = int((np.cumsum(by_count["rows"].to_numpy()) <= most).sum())
+    least = 1 if fits == len(by_count) else by_count["n"][fits - 1].as_py() if fits else 1 << 62
+    return least, table.filter(F.col("n") >= least).select(*columns).toArrow()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, context = map(Filter, shared.value)
-        described: list[tuple[np.ndarray, ...]] = []
-        size = 0
 
-        def rows(key, n, context, suffix) -> pa.RecordBatch:
-            columns = [pa.nulls(len(key), pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (key, n, context, suffix)]
-            return pa.record_batch(columns, names=["g", "n", "context", "suffix"])
-
-        def distinct() -> tuple[np.ndarray, ...]:
-            every = [np.concatenate(x) for x in zip(*described, strict=True)]
-            _, first = np.unique(every[0], return_index=True)
-            return tuple(x[first] for x in every)
-
-        def keys() -> Iterator[np.ndarray]:
-            nonlocal size
-            for _, block in blocks(batches, "text"):
-                runs = Runs(*symbols(block))
-                short, known = runs.run(k), np.zeros(len(runs.hashes), bool)
-                at = runs.whole(k)
-                known[at] = now.has(short[at])
-                if k > 1:
-                    at = np.flatnonzero(known)
-                    _, first = np.unique(short[at], return_index=True)
-                    at = at[first]
-                    described.append((short[at], runs.run(k - 1)[at - 1], runs.run(k - 1)[at]))
-                    size += len(at)
-                    if size >= HELD // 4:
-                        described[:] = [distinct()]
-                        size = len(described[0][0])
-                at = runs.whole(k + 1)
-                at = at[known[at]]
-                at = at[context.has(short[at - 1])]
-                yield runs.run(k + 1)[at].view(np.int64)
-
-        for key, n in _summed(keys()):
-            yield rows(key, n, None, None)
-            if size >= HELD:
-                g, *rest = distinct()
-                yield rows(g, None, *rest)
-                described.clear()
-                size = 0
-        if described:
-            g, *rest = distinct()
-            yield rows(g, None, *rest)
+class Words:
+    """The most frequent symbols of the training texts, those that executors have at hand, by falling count: ``hashes`` and
+    counts ``n``. Others occur less than ``least`` times."""
+
+    def __init__(self, counts: DataFrame):
+        self.least, rows = _most(counts, MOST_WORDS, "h", "n")
+        order = np.argsort(-rows["n"].to_numpy(), kind="stable")
+        self.hashes, self.n = rows["h"].to_numpy().view(np.uint64)[order], rows["n"].to_numpy()[order]
+        self.rank = Lookup(self.hashes, np.arange(len(order), dtype=np.int32))
+        self.edges, self.contexts = (int((self.n >= least).sum()) for least in (LEAST_EDGE, LEAST_CONTEXT))
+        self.table = np.concatenate([np.zeros(2, np.uint64), self.hashes])
+        # whether symbols that are not at hand may be next symbols or part of a context
+        self.far = self.least > LEAST_EDGE, self.least > LEAST_CONTEXT
+
+    def codes(self, at: np.ndarray, rank: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of n symbols, of which those at ``at`` are at hand, as next symbols and in contexts: rank + 2, 1 if not at
+        hand, 0 if too rare."""
+        out = []
+        for most, far in zip((self.edges, self.contexts), self.far, strict=True):
+            code = np.full(n, int(far), np.int32)
+            code[at] = np.where(rank < most, rank + 2, 0)
+            out.append(code)
+        return out[0], out[1]
+
+
+def part_size() -> int:
+    """Places of the training texts in a part: each makes less than eight entries, a next symbol and a state for each of four levels."""
+    return max(64, MOST_ENTRIES // 8)
+
+
+class Parts:
+    """Which part a place in a text belongs to: that of the word before it, so that all contexts which end in a word are
+    in one part. A hot context (more than ``size`` places) has parts of its own, by the word before it: these hold the contexts
+    that are longer than it."""
+
+    def __init__(self, total: int):
+        self.size = part_size()
+        self.cold = self.n = max(1, -(-total // self.size))
+        self.hot: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pairs: list[tuple[int, int, int, bool]] = []  # level, context, part that needs it, whether the part is its own
+        self._above: dict[int, list[tuple[int, int]]] = {}
+
+    def add(self, rows: list[tuple[int, int, int | None]]) -> None:
+        """The hot contexts (hash, places, hash of the context without its first word) of the next level."""
+        level = len(self.hot) + 1
+        rows = sorted((h & (1 << 64) - 1, h, n, above) for h, n, above in rows)
+        split = np.array([-(-n // self.size) for _, _, n, _ in rows], np.int64)
+        base = self.n + np.cumsum(split) - split
+        self.n += int(split.sum())
+        self.hot.append((np.array([r[0] for r in rows], np.uint64), base, split))
+        for (_, h, _, above), b, s in zip(rows, base.tolist(), split.tolist(), strict=True):
+            line = self._above[h] = [*(self._above[above] if above is not None else []), (level, h)]
+            self.pairs += [(k, c, p, c == h) for p in range(b, b + s) for k, c in line]
+
+    def level(self, part: int) -> int:
+        """The words of the shortest contexts that a part holds."""
+        return 1 + sum(len(base) > 0 and part >= base[0] for _, base, _ in self.hot)
+
+    def of(self, runs: Runs, at: np.ndarray, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of the places ``at``, and whether they have a context that their part holds."""
+        part = (mixed(runs.hashes[at - 1]) % np.uint64(self.cold)).astype(np.int64)
+        held, left = np.ones(len(at), bool), np.arange(len(at))
+        for k, (keys, base, split) in enumerate(self.hot, 1):
+            if not len(keys):
+                break
+            i, hit = _within(keys, runs.run(k)[at[left] - 1])
+            left, i = left[hit], i[hit]
+            longer = codes[k + 1][left] != 0
+            by = np.where(longer, runs.run(k + 1)[at[left] - 1], runs.hashes[at[left]])
+            part[left] = base[i] + (mixed(by) % split[i].astype(np.uint64)).astype(np.int64)
+            held[left] = longer
+            left = left[longer]
+        return part, held
+
+
+def _within(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the sorted keys have h, and whether they do."""
+    i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return i, keys[i] == h
+
+
+class Places:
+    """The places of texts that have a context, as codes: of the next symbol and of the ``depth`` words before it, the
+    nearest first, 0 from a word on that is too rare for a context. Packed by part as compressed planes of bytes."""
+
+    def __init__(self, words: Words, parts: Parts, depth: int):
+        self.words, self.parts, self.depth, self.held, self.size = words, parts, depth, [], 0
+
+    def codes(self, runs: Runs, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        symbol, word = self.words.codes(*found, len(runs.hashes))
+        codes = [symbol]
+        for j in range(1, self.depth + 1):
+            c = np.zeros_like(word)
+            c[j:] = word[:-j]
+            c[runs.place < j] = 0
+            if j > 1:
+                c[codes[-1] == 0] = 0
+            codes.append(c)
+        at = np.flatnonzero(codes[1])
+        return at, [c[at] for c in codes]
+
+    def add(self, runs: Runs, found: tuple[np.ndarray, np.ndarray], number: np.ndarray | None) -> None:
+        """Takes the places of a block; ``number`` has the document of each symbol, if any is to be kept."""
+        at, codes = self.codes(runs, found)
+        part, held = self.parts.of(runs, at, codes)
+        if number is None:
+            at, part, codes = at[held], part[held], [c[held] for c in codes]
+        far = [runs.hashes[at - j] if self.words.far[j > 0] else None for j in range(self.depth + 1)]
+        self.held.append((part, codes, far, None if number is None else number[at].astype(np.int32)))
+        self.size += len(runs.hashes)
+
+    def packed(self) -> Iterator[tuple[int, bytes]]:
+        """(part, packed places) of all places taken since the last call."""
+        if not self.held:
+            return
+        part = np.concatenate([x[0] for x in self.held])
+        order = np.argsort(part.astype(np.uint16) if self.parts.n <= 1 << 16 else part, kind="stable")
+        part = part[order]
+        columns = [np.concatenate([x[1][j] for x in self.held])[order] for j in range(self.depth + 1)]
+        far = [None if self.held[0][2][j] is None else np.concatenate([x[2][j] for x in self.held])[order] for j in range(self.depth + 1)]
+        number = None if self.held[0][3] is None else np.concatenate([x[3] for x in self.held])[order]
+        self.held, self.size = [], 0
+        if not len(part):
+            return
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        if number is not None:
+            step = np.diff(number, prepend=0)
+            step[first] = number[first]
+            columns.append(step)
+        planes = np.stack([(c >> (8 * b)).astype(np.uint8) for c in columns for b in range(3)])
+        codec = pa.Codec("zstd", compression_level=1)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
+            hashes = [h[a:b][c[a:b] == 1] for c, h in zip(columns, far, strict=False) if h is not None]
+            extra = np.concatenate(hashes).tobytes() if hashes else b""
+            head = np.array([b - a, len(extra)], np.int64).tobytes()
+            yield int(part[a]), head + extra + codec.compress(planes[:, a:b].tobytes(), asbytes=True)
+
 
-    found = texts.mapInArrow(run, "g long, n long, context long, suffix long")
-    found = found.groupBy("g", F.col("n").isNull().alias("described")).agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix"))
-    return found.filter(F.col("described") | (F.col("n") >= LEAST_EDGE))
+    @staticmethod
+    def unpacked(data: bytes, words: Words, depth: int, numbered: bool = False) -> tuple[np.ndarray, list[np.ndarray], np.ndarray | None]:
+        """(codes of the next symbols, hashes of these and of the words before them or 0, documents if ``numbered``)."""
+        n, size = np.frombuffer(data, np.int64, 2).tolist()
+        columns = depth + 1 + numbered
+        raw = pa.Codec("zstd").decompress(memoryview(data)[16 + size :], 3 * columns * n, asbytes=True)
+        planes = np.frombuffer(raw, np.uint8).reshape(columns, 3, n).astype(np.int32)
+        codes = planes[:, 0] | planes[:, 1] << 8 | planes[:, 2] << 16
+        far, used, hashes = np.frombuffer(data, np.uint64, size // 8, 16), 0, []
+        for j in range(depth + 1):
+            h = words.table[codes[j]]
+            if words.far[j > 0]:
+                open_ = np.flatnonzero(codes[j] == 1)
+                h[open_] = far[used : used + len(open_)]
+                used += len(open_)
+            hashes.append(h)
+        return codes[0], hashes, np.cumsum(codes[-1]) if numbered else None
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Cuts batches where the sorted column ``by`` changes."""
+    for batch in batches:
+        value = batch.column(by).to_numpy()
+        cuts = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1).tolist(), len(value)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield int(value[a]), batch.slice(a, b - a)
+
+
+def _chain(hashes: list[np.ndarray], k: int, last: int, at: np.ndarray) -> np.ndarray:
+    """Hash of the run from the k-th word before a symbol to the ``last``-th, as ``Runs`` makes it."""
+    x = hashes[k][at]
+    for j in range(k - 1, last - 1, -1):
+        x = mixed(x * _STEP + hashes[j][at])
+    return x
+
+
+def _numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different value, and the number of the value at each place."""
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
 
 class Tree:
-    """``total`` and ``distinct`` symbols of the training texts, ``counts`` of each (h, n), and ``entries`` (key, n, value): of the next symbols of
-    states the log10 probability, of states that of what they leave to their suffixes."""
+    """``total`` and ``distinct`` symbols of the training texts, ``counts`` of each (h, n), and ``entries`` by part: rows (part, kind, data, h, x) with a
+    key h and a value x, or packed keys and values. Of the next symbols of states the value is the log10 of how much likelier they are
+    than by the root, of states that of what they leave to their suffixes. ``words`` and ``parts`` deal texts to the entries."""
 
-    def __init__(self, counts: DataFrame, total: int, distinct: int, entries: DataFrame | None, depth: int):
-        self.counts, self.total, self.distinct, self.entries, self.depth = counts, total, distinct, entries, depth
+    def __init__(self, counts: DataFrame, total: int, distinct: int, depth: int):
+        self.counts, self.total, self.distinct, self.depth = counts, total, distinct, depth
+        self.words, self.parts, self.entries = Words(counts), Parts(total), None
 
     @property
     def unseen(self) -> float:
@@ -222,51 +339,239 @@ def state_key(k: int, run: np.ndarray) -> np.ndarray:
     return mixed(run + np.uint64(2 * k + 1))
 
 
+def _hot_pass(texts: DataFrame, tree: Tree, shared, k: int) -> DataFrame:
+    """(what, g, context, suffix, n) of the hot contexts of k words: 0 for runs that end in a next symbol, 1 for the contexts that are a
+    word longer (suffix: the hot one); for k = 1, 2 for symbols g that are not at hand in the cold part ``context``."""
+    depth = tree.depth
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, parts = shared.value
+        hot, places = parts.hot[k - 1][0], Places(words, parts, depth)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            what, g, context, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
+            first, number = _numbered(mixed(g + what.astype(np.uint64)) + np.where(what == 2, mixed(context), np.uint64(0)))
+            columns = [what[first].astype(np.int8), *[x[first].view(np.int64) for x in (g, context, suffix)], np.bincount(number, minlength=len(first)).astype(np.int64)]
+            return pa.record_batch([pa.array(x) for x in columns], names=["what", "g", "context", "suffix", "n"])
+
+        for _, block in blocks(batches, "text"):
+            runs = Runs(*symbols(block))
+            at, codes = places.codes(runs, words.rank.find(runs.hashes))
+            there = codes[k] != 0
+            ctx = runs.run(k)[at[there] - 1]
+            inside = _within(hot, ctx)[1] if len(hot) else np.zeros(len(ctx), bool)
+            p, ctx, next_ = at[there][inside], ctx[inside], [c[there][inside] for c in codes]
+            edge, longer = next_[0] != 0, next_[k + 1] != 0
+            held.append((np.zeros(int(edge.sum()), np.int64), runs.run(k + 1)[p[edge]], ctx[edge], runs.run(k)[p[edge]]))
+            held.append((np.ones(int(longer.sum()), np.int64), runs.run(k + 1)[p[longer] - 1], ctx[longer], ctx[longer]))
+            if k == 1 and words.far[0]:
+                far = np.flatnonzero(codes[0] == 1)
+                part, cold = parts.of(runs, at[far], [c[far] for c in codes])
+                cold = part < parts.cold
+                h = runs.hashes[at[far]][cold]
+                held.append((np.full(len(h), 2), h, part[cold].astype(np.uint64), np.zeros(len(h), np.uint64)))
+            size += sum(len(x[0]) for x in held[-3:])
+            if size >= HELD:
+                yield rows()
+                held.clear()
+                size = 0
+        if held:
+            yield rows()
+
+    found = texts.mapInArrow(run, "what byte, g long, context long, suffix long, n long")
+    return found.groupBy("what", "g", F.when(F.col("what") == 2, F.col("context")).otherwise(0).alias("part")).agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
+
+
+def fit(texts: DataFrame, counts: DataFrame, depth: int = DEPTH) -> Tree:
+    """The tree of the column text, given the counts of its symbols; ``depth`` is 2 or more."""
+    spark = texts.sparkSession
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tree = Tree(counts, total, distinct, depth)
+    tables = Tables(spark, "suffix-tree")
+    root = (F.col("n") + 0.5) / F.lit(10**tree.unseen)
+    known = counts.filter(F.col("n") >= LEAST_EDGE).select(F.col("h").alias("g"), root.alias("q"), root.alias("root"))
+    # at most total / size rows of each level reach the driver
+    hot = counts.filter((F.col("n") > tree.parts.size) & (F.col("h") != F.lit(int(END.view(np.int64))))).select("h", "n", F.lit(None).cast("long").alias("above"))
+    levels, given = [], []
+    for k in range(1, depth):
+        tree.parts.add([tuple(r) for r in hot.collect()])
+        if not len(tree.parts.hot[-1][0]) and not (k == 1 and tree.words.far[0]):
+            break
+        shared = spark.sparkContext.broadcast((tree.words, tree.parts))
+        found = tables.write(_hot_pass(texts, tree, shared, k))
+        if k == 1 and tree.words.far[0]:
+            given.append(found.filter("what = 2").select(F.col("part").cast("int").alias("part"), F.col("g").alias("h")).join(counts.filter(F.col("n") >= LEAST_EDGE), "h").select("part", F.lit(0).cast("byte").alias("kind"), "h", root.alias("x"), root.alias("y")))
+        if not len(tree.parts.hot[-1][0]):
+            break
+        edges = found.filter((F.col("what") == 0) & (F.col("n") >= LEAST_EDGE)).select("g", "context", "suffix", "n")
+        runs = edges.join(known.select(F.col("g").alias("suffix"), F.col("q").alias("low"), "root"), "suffix")
+        runs = tables.write(runs.join(F.broadcast(hot.select(F.col("h").alias("context"), F.col("n").alias("often"))), "context"))
+        states = tables.write(_tested(runs))
+        share = (F.col("n") - DISCOUNT) / F.col("often")
+        q = F.when(F.col("rest").isNotNull(), share + F.col("rest") * F.col("low")).otherwise(F.col("low"))
+        known = tables.write(runs.join(states.select("context", "rest"), "context", "left").select("g", "context", q.alias("q"), "root", F.col("rest").isNotNull().alias("edge")))
+        levels.append((known, states))
+        hot = tables.write(found.filter((F.col("what") == 1) & (F.col("n") > tree.parts.size)).select(F.col("g").alias("h"), "n", F.col("suffix").alias("above")))
+    if tree.parts.pairs:
+        columns = zip(*tree.parts.pairs, strict=True)
+        pairs = F.broadcast(spark.createDataFrame(pa.table([pa.array(x) for x in columns], names=["level", "context", "part", "own"])).withColumn("part", F.col("part").cast("int")))
+    entries = []
+    for k, (known, states) in enumerate(levels, 1):
+        mine = pairs.filter(F.col("level") == k)
+        given.append(known.join(mine.filter("own"), "context").select("part", F.lit(1).cast("byte").alias("kind"), F.col("g").alias("h"), F.col("q").alias("x"), F.col("root").alias("y")))
+        edges = known.filter("edge").select("context", F.col("g").alias("h"), F.lit(False).alias("state"), F.log10(F.col("q") / F.col("root")).alias("x"))
+        both = edges.union(states.select("context", F.col("context").alias("h"), F.lit(True), F.log10("rest")))
+        entries.append(_keyed(both.join(mine, "context"), k))
+    shared = spark.sparkContext.broadcast((tree.words, tree.parts))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_places(texts, tree, shared), *given])
+    grown = _grown(rows.repartition(_tasks(spark, tree.parts), "part").sortWithinPartitions("part", "kind"), tree, shared)
+    tree.entries = checkpointed(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [grown, *entries]))
+    remove_folder(spark, tables.folder)
+    return tree
+
+
+def _tasks(spark: SparkSession, parts: Parts) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts.n // 4)
+
+
 def _keyed(rows: DataFrame, k: int) -> DataFrame:
-    """(key, n, value) of (g, n, value) and (c, n, rest): entries of level k."""
+    """(part, kind, h, x): entries of level k with their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, state = b.column("h").to_numpy().view(np.uint64), b.column("state").to_numpy(zero_copy_only=False)
             key = np.where(state, state_key(k, h), edge_key(k, h))
-            yield pa.record_batch([pa.array(key.view(np.int64)), b.column("n"), b.column("value")], names=["key", "n", "value"])
+            yield pa.record_batch([b.column("part"), pa.array(np.zeros(len(key), np.int8)), pa.array(key.view(np.int64)), b.column("x")], names=["part", "kind", "h", "x"])
 
-    return rows.select("h", "state", "n", "value").mapInArrow(run, "key long, n long, value double")
+    return rows.select("part", "h", "state", "x").mapInArrow(run, "part int, kind byte, h long, x double")
 
 
-def fit(texts: DataFrame, counts: DataFrame, depth: int = DEPTH) -> Tree:
-    """The tree of the column text, given the counts of its symbols."""
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = Tree(counts, total, distinct, None, depth)
-    tables = Tables(texts.sparkSession, "suffix-tree")
-    # runs of one symbol: how often, and the probability by the tree so far
-    known = counts.filter(F.col("n") >= LEAST_EDGE).select(F.col("h").alias("g"), "n", ((F.col("n") + 0.5) / F.lit(10**tree.unseen)).alias("q"))
-    found, parts = known, []
-    for k in range(1, depth + 2):
-        here = Filter.of(found.select(F.col("g").alias("h")))
-        often = Filter.of(found.filter(F.col("n") >= LEAST_CONTEXT).select(F.col("g").alias("h")))
-        after = tables.write(_pass(texts, k, here, often))
-        release(texts.sparkSession)
-        if k > 1:
-            # the runs of k symbols are next symbols after contexts of k - 1
-            runs = found.join(after.filter("described").select("g", "context", "suffix"), "g")
-            runs = runs.join(known.select(F.col("g").alias("suffix"), F.col("q").alias("low")), "suffix")
-            runs = tables.write(runs.join(known.filter(F.col("n") >= LEAST_CONTEXT).select(F.col("g").alias("context"), F.col("n").alias("often")), "context"))
-            states = tables.write(_tested(runs))
-            share = (F.col("n") - DISCOUNT) / F.col("often")
-            q = F.when(F.col("rest").isNotNull(), share + F.col("rest") * F.col("low")).otherwise(F.col("low"))
-            known = tables.write(runs.join(states.select("context", "rest"), "context", "left").select("g", "n", q.alias("q"), F.col("rest").isNotNull().alias("edge")))
-            edges = known.filter("edge").select(F.col("g").alias("h"), F.lit(False).alias("state"), "n", F.log10("q").alias("value"))
-            parts.append(_keyed(edges.union(states.select(F.col("context").alias("h"), F.lit(True), F.col("often"), F.log10("rest"))), k - 1))
-            tables.drop(runs)
-            release(texts.sparkSession)
-        found = after.filter("not described").select("g", "n")
-        if k > 1 and not often.words.any():
+def _places(texts: DataFrame, tree: Tree, shared) -> DataFrame:
+    """(part, kind, data): the places of the training texts."""
+    depth = tree.depth
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, parts = shared.value
+        places = Places(words, parts, depth)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if made := list(places.packed()):
+                part, data = zip(*made, strict=True)
+                yield pa.record_batch([pa.array(part, pa.int32()), pa.array(np.full(len(part), 2, np.int8)), pa.array(data, pa.binary())], names=["part", "kind", "data"])
+
+        for _, block in blocks(batches, "text"):
+            runs = Runs(*symbols(block))
+            places.add(runs, words.rank.find(runs.hashes), None)
+            if places.size >= HELD // 2:
+                yield from rows()
+        yield from rows()
+
+    return texts.mapInArrow(run, "part int, kind byte, data binary")
+
+
+def _grown(rows: DataFrame, tree: Tree, shared) -> DataFrame:
+    """(part, kind, data): the packed entries of each part, from its places and what it is given of roots and hot contexts."""
+    depth, scale = tree.depth, 10**tree.unseen
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, parts = shared.value
+        now, given, held, size = None, [], [], 0
+
+        def merged() -> list[np.ndarray]:
+            every = [np.concatenate(x) for x in zip(*held, strict=True)]
+            first, number = _numbered(_chain(every[:-2], depth, 0, np.arange(len(every[0]))))
+            return [x[first] for x in every[:-1]] + [np.bincount(number, every[-1], len(first))]
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if held:
+                *hashes, root, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+                low, level = root, parts.level(now)
+                if level > 1:
+                    # what is known of the hot context
+                    low, root = np.zeros(len(root)), root.copy()
+                    h, x, y = (np.concatenate(v) for v in zip(*given, strict=True)) if given else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+                    at, i = Lookup(h.view(np.uint64), np.arange(len(h))).find(_chain(hashes, level - 1, 0, np.arange(len(root))))
+                    low[at], root[at] = x[i], y[i]
+                key, value = _subtree(hashes, root, low, weight, level, depth)
+                if len(key):
+                    data = np.array([len(key)], np.int64).tobytes() + key.tobytes() + value.tobytes()
+                    yield pa.record_batch([pa.array([now], pa.int32()), pa.array([1], pa.int8()), pa.array([data], pa.binary())], names=["part", "kind", "data"])
+
+        for part, piece in _pieces(batches, "part"):
+            if part != now:
+                yield from rows()
+                now, given, held, size, far = part, [], [], 0, None
+            kind = piece.column("kind").to_numpy()
+            small = pa.array(kind < 2)
+            if (kind < 2).any():
+                given.append(tuple(piece.column(c).filter(small).to_numpy(zero_copy_only=False) for c in ("h", "x", "y")))
+            for data in piece.column("data").filter(pa.array(kind == 2)):
+                code, hashes, _ = Places.unpacked(data.as_py(), words, depth)
+                root = np.zeros(len(code))
+                near = code >= 2
+                root[near] = (words.n[code[near] - 2] + 0.5) / scale
+                if words.far[0] and part < parts.cold and given:
+                    if far is None:
+                        far = Lookup(np.concatenate([g[0] for g in given]).view(np.uint64), np.concatenate([g[1] for g in given]))
+                    open_ = np.flatnonzero(code == 1)
+                    at, x = far.find(hashes[0][open_])
+                    root[open_[at]] = x
+                held.append((*hashes, root, np.ones(len(code))))
+                size += len(code)
+                if size >= 2 * HELD:
+                    held = [tuple(merged())]
+                    size = len(held[0][0])
+        yield from rows()
+
+    grown = rows.mapInArrow(run, "part int, kind byte, data binary")
+    return grown.withColumns({"h": F.lit(None).cast("long"), "x": F.lit(None).cast("double")})
+
+
+def _subtree(hashes: list[np.ndarray], root: np.ndarray, low: np.ndarray, weight: np.ndarray, level: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of the contexts of ``level`` words and more. ``low`` has the probability of each symbol by the tree so far, 0
+    where it is no next symbol of the shorter context."""
+    keys, values = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    at = np.flatnonzero(hashes[level])
+    low = low[at]
+    for k in range(level, depth + 1):
+        # candidates, and the places that have one
+        first, context = _numbered(_chain(hashes, k, 1, at))
+        often = np.bincount(context, weight[at], len(first))
+        stays = often[context] >= LEAST_CONTEXT
+        at, low, context = at[stays], low[stays], context[stays]
+        if not len(at):
             break
-    if parts:
-        tree.entries = checkpointed(reduce(DataFrame.union, parts))
-    remove_folder(texts.sparkSession, tables.folder)
-    return tree
+        some = np.flatnonzero(low > 0)
+        run = _chain(hashes, k, 0, at[some])
+        first, edge = _numbered(run)
+        n = np.bincount(edge, weight[at[some]], len(first))
+        kept = n >= LEAST_EDGE
+        one = some[first[kept]]
+        n, c, q, run, base = n[kept], context[one], low[one], run[first[kept]], root[at[one]]
+        share = (n - DISCOUNT) / often[c]
+        rest = 1 - np.bincount(c, share, len(often))
+        gain = np.bincount(c, n * np.log((share + rest[c] * q) / q), len(often))
+        gain += np.maximum(often - np.bincount(c, n, len(often)), 0) * np.log(rest)
+        has = np.bincount(c, minlength=len(often)) > 0
+        state = has & (gain >= LEAST_GAIN)
+        q = np.where(state[c], share + rest[c] * q, q)
+        keys.append(edge_key(k, run[state[c]]))
+        values.append(np.log10(q[state[c]] / base[state[c]]))
+        which = np.full(len(often), -1)
+        which[context] = np.arange(len(context))
+        which = which[state]
+        keys.append(state_key(k, _chain(hashes, k, 1, at[which])))
+        values.append(np.log10(rest[state]))
+        if k < depth:
+            of = np.zeros(len(kept))
+            of[kept] = q
+            low = np.zeros(len(at))
+            low[some] = of[edge]
+            longer = hashes[k + 1][at] != 0
+            at, low = at[longer], low[longer]
+    return np.concatenate(keys), np.concatenate(values)
 
 
 def _tested(runs: DataFrame) -> DataFrame:
@@ -279,64 +584,21 @@ def _tested(runs: DataFrame) -> DataFrame:
     return gains.filter(F.col("gain") + lost >= LEAST_GAIN).select("context", "often", "rest")
 
 
-def _most(table: DataFrame, most: int, *columns: Column | str) -> tuple[int, pa.Table]:
-    """Those rows of the highest counts n that are ``most`` or fewer, and the least count of them (1 for all rows)."""
-    by_count = table.groupBy("n").agg(F.count("*").alias("rows")).toArrow().sort_by([("n", "descending")])
-    fits = int((np.cumsum(by_count["rows"].to_numpy()) <= most).sum())
-    least = 1 if fits == len(by_count) else by_count["n"][fits - 1].as_py() if fits else 1 << 62
-    return least, table.filter(F.col("n") >= least).select(*columns).toArrow()
-
 
-class Local:
-    """The part of a tree that executors have at hand, and a filter of the rest (none if there is no rest)."""
-
-    def __init__(self, tree: Tree):
-        self.depth, self.unseen = tree.depth, tree.unseen
-        _, words = _most(tree.counts, MOST_WORDS, "h", F.log10(F.col("n") + 0.5).alias("value"))
-        self.words = Lookup(words["h"].to_numpy().view(np.uint64), words["value"].to_numpy() - self.unseen)
-        self.entries, self.rest = Lookup(np.zeros(0, np.uint64), np.zeros(0)), None
-        if tree.entries is not None:
-            least, entries = _most(tree.entries, MOST_ENTRIES, "key", "value")
-            self.entries = Lookup(entries["key"].to_numpy().view(np.uint64), entries["value"].to_numpy())
-            if least > 1:
-                self.rest = Filter.of(tree.entries.filter(F.col("n") < least).select(F.col("key").alias("h")))
-
-    def score(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each symbol: log10 probability by the root (0 for words that are not at hand), by the states alone, whether
-        it ends at the root, whether its word is at hand, and whether it needs entries that are not at hand."""
-        root, known = np.zeros(len(hashes)), np.zeros(len(hashes), bool)
-        at, value = self.words.find(hashes)
-        root[at], known[at] = value, True
-        runs = Runs(hashes, owner)
-        states, open_, far = np.zeros(len(hashes)), np.ones(len(hashes), bool), np.zeros(len(hashes), bool)
-        for k in range(self.depth, 0, -1):
-            at = runs.whole(k + 1)
-            edge, state = edge_key(k, runs.run(k + 1)[at]), state_key(k, runs.run(k)[at - 1])
-            if self.rest is not None:
-                far[at] |= self.rest.has(edge) | self.rest.has(state)
-            left = np.flatnonzero(open_[at])
-            hit, value = self.entries.find(edge[left])
-            states[at[left[hit]]] += value
-            open_[at[left[hit]]] = False
-            left = np.flatnonzero(open_[at])
-            hit, value = self.entries.find(state[left])
-            states[at[left[hit]]] += value
-        return root, states, open_, known, far
-
-    def keys(self, hashes: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(which of ``at``, rank, key): entries that the symbols at these places may have, from the longest context on, each
-        next symbol before its state."""
-        runs = Runs(hashes, owner)
-        found = []
-        for i, k in enumerate(range(self.depth, 0, -1)):
-            there = np.flatnonzero(runs.place[at] >= k)
-            for j, key in ((2 * i, edge_key(k, runs.run(k + 1)[at[there]])), (2 * i + 1, state_key(k, runs.run(k)[at[there] - 1]))):
-                some = self.rest.has(key)
-                some[self.entries.find(key)[0]] = True
-                found.append((there[some], np.full(int(some.sum()), j, np.int8), key[some]))
-        which, rank, key = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(which, kind="stable")
-        return which[order], rank[order], key[order]
+def _gained(hashes: list[np.ndarray], entries: Lookup, depth: int) -> np.ndarray:
+    """How much likelier than by the root the symbols are by the longest state of the entries, as log10."""
+    gained, open_ = np.zeros(len(hashes[0])), np.ones(len(hashes[0]), bool)
+    for k in range(depth, 0, -1):
+        left = np.flatnonzero(open_ & (hashes[k] != 0))
+        context = _chain(hashes, k, 1, left)
+        hit, value = entries.find(state_key(k, context))
+        # next symbols are looked up after states only
+        left, context = left[hit], context[hit]
+        found, more = entries.find(edge_key(k, mixed(context * _STEP + hashes[0][left])))
+        value[found] = more
+        gained[left] += value
+        open_[left[found]] = False
+    return gained
 
 
 def _lists(values: pa.Array, owner: np.ndarray, n: int) -> pa.Array:
@@ -345,78 +607,135 @@ def _lists(values: pa.Array, owner: np.ndarray, n: int) -> pa.Array:
 
 def score(docs: DataFrame, tree: Tree, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (all columns, or those in ``keep``) with n_tokens, n_known, train_tokens, base_score and score."""
+    spark = docs.sparkSession
     names = [c for c in others(docs, *MADE) if keep is None or c in keep]
-    body, row, known_, rare_, far_ = (unused(c, docs) for c in ("body", "row", "known", "rare", "far"))
-    local = Local(tree)
-    shared = docs.sparkSession.sparkContext.broadcast(local)
-    kept = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(body), *[F.col(f"`{c}`") for c in names])
-    made = f"`{known_}` long, `{rare_}` array<struct<h:long,root:boolean>>, `{far_}` array<struct<h:long,keys:array<struct<j:byte,key:long>>>>, n_tokens long, base_score double, score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch, block in blocks(batches, body):
-            hashes, owner = symbols(block)
-            root, states, ends, known, far = model.score(hashes, owner)
-            p = np.where(far, 0.0, states + np.where(ends, root, 0.0))
-            rare, open_ = np.flatnonzero(~known), np.flatnonzero(far)
-            signed = hashes.view(np.int64)
-            rares = pa.StructArray.from_arrays([pa.array(signed[rare]), pa.array(ends[rare] & ~far[rare])], ["h", "root"])
-            which, rank, key = model.keys(hashes, owner, open_) if len(open_) else (open_, np.zeros(0, np.int8), open_)
-            keys = _lists(pa.StructArray.from_arrays([pa.array(rank), pa.array(key.view(np.int64))], ["j", "key"]), which, len(open_))
-            opens = pa.StructArray.from_arrays([pa.array(signed[open_]), keys], ["h", "keys"])
-            yield pa.record_batch(
-                [
-                    *batch.columns[1:],
-                    pa.array(np.bincount(owner[known], minlength=block.n).astype(np.int64)),
-                    _lists(rares, owner[rare], block.n),
-                    _lists(opens, owner[open_], block.n),
-                    pa.array(np.bincount(owner, minlength=block.n).astype(np.int64)),
-                    pa.array(np.bincount(owner, root, block.n)),
-                    pa.array(np.bincount(owner, p, block.n)),
-                ],
-                names=[*names, known_, rare_, far_, "n_tokens", "base_score", "score"],
-            )
-
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    first = checkpointed(kept.mapInArrow(run, f"{schema}, {made}".lstrip(", ")).withColumn(row, F.monotonically_increasing_id()))
-
-    def at_root(often: Column) -> Column:
-        return F.log10(F.coalesce(often, F.lit(0)) + 0.5) - tree.unseen
-
-    rare = first.select(F.col(row).alias("at"), F.explode(rare_).alias("w")).select("at", "w.h", "w.root").join(tree.counts, "h", "left")
-    more = rare.groupBy("at").agg(F.sum(at_root(F.col("n"))).alias("base"), F.sum(F.when(F.col("root"), at_root(F.col("n"))).otherwise(0.0)).alias("own"), F.count("n").alias("seen"))
-    if local.rest is not None:
-        more = more.withColumn("far", F.lit(0.0)).union(_far(first.select(F.col(row).alias("at"), F.posexplode(far_).alias("place", "w")), tree, at_root))
-        more = more.groupBy("at").agg(*[F.sum(c).alias(c) for c in ("base", "own", "seen", "far")])
-    else:
-        more = more.withColumn("far", F.lit(0.0))
-    more = more.select(F.col("at"), *[F.col(c).alias(unused(f"more_{c}", docs)) for c in ("base", "own", "seen", "far")])
-    base, own, seen, far = (F.coalesce(F.col(unused(f"more_{c}", docs)), F.lit(0)) for c in ("base", "own", "seen", "far"))
-    return first.join(more.withColumnRenamed("at", unused("more_at", docs)), F.col(row) == F.col(unused("more_at", docs)), "left").select(
-        *[F.col(f"`{c}`") for c in names],
+    there = unused("there", docs)
+    kept = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.struct(F.lit(True).alias(there), *[F.col(f"`{c}`") for c in names]).alias("kept"))
+    doc = StructType.fromDDL("n_known long, rare array<long>, n_tokens long, base_score double, score double")
+    doc = StructType([StructField("flush", LongType()), StructField("number", IntegerType()), StructField("kept", kept.schema["kept"].dataType), *doc.fields])
+    moved = StructType([*StructType.fromDDL("part int, kind byte, data binary").fields, *doc.fields])
+    shared = spark.sparkContext.broadcast((tree.words, tree.parts))
+    depth, unseen = tree.depth, tree.unseen
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, parts = shared.value
+        root = np.log10(words.n + 0.5) - unseen
+        places = Places(words, parts, depth)
+        flush, docs_ = TaskContext.get().partitionId() << 32, 0
+        empty = None
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if made := list(places.packed()):
+                part, data = zip(*made, strict=True)
+                own = [pa.array(part, pa.int32()), pa.array(np.full(len(part), 2, np.int8)), pa.array(data, pa.binary()), pa.array(np.full(len(part), flush))]
+                yield pa.record_batch([*own, *[pa.nulls(len(part), t) for t in empty]], names=moved.names)
+
+        for batch, block in blocks(batches, "text"):
+            runs = Runs(*symbols(block))
+            owner, n = runs.owner, block.n
+            at, rank = words.rank.find(runs.hashes)
+            base, known = np.zeros(len(owner)), np.zeros(len(owner), bool)
+            base[at], known[at] = root[rank], True
+            places.add(runs, (at, rank), owner + docs_)
+            rare = np.flatnonzero(~known)
+            total = np.bincount(owner, base, n)
+            columns = [
+                pa.array(np.arange(docs_, docs_ + n, dtype=np.int32)),
+                batch.column("kept"),
+                pa.array(np.bincount(owner[known], minlength=n).astype(np.int64)),
+                _lists(pa.array(runs.hashes[rare].view(np.int64)), owner[rare], n),
+                pa.array(np.bincount(owner, minlength=n).astype(np.int64)),
+                pa.array(total),
+                pa.array(total),
+            ]
+            empty = [c.type for c in columns]
+            own = [pa.array(np.full(n, (flush + (flush >> 32)) % parts.n, np.int32)), pa.array(np.full(n, 3, np.int8)), pa.nulls(n, pa.binary()), pa.array(np.full(n, flush))]
+            yield pa.record_batch([*own, *columns], names=moved.names)
+            docs_ += n
+            if places.size >= HELD // 2:
+                yield from rows()
+                flush, docs_ = flush + 1, 0
+        yield from rows()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, _ = shared.value
+        now, entries, keys, values = None, None, [], []
+        for part, piece in _pieces(batches, "part"):
+            if part != now:
+                now, entries, keys, values = part, None, [np.zeros(0, np.uint64)], [np.zeros(0)]
+            kind = piece.column("kind").to_numpy()
+            if (kind == 0).any():
+                row = pa.array(kind == 0)
+                keys.append(piece.column("h").filter(row).to_numpy(zero_copy_only=False).view(np.uint64))
+                values.append(piece.column("x").filter(row).to_numpy(zero_copy_only=False))
+            for data in piece.column("data").filter(pa.array(kind == 1)):
+                data = data.as_py()
+                n = int(np.frombuffer(data, np.int64, 1)[0])
+                keys.append(np.frombuffer(data, np.uint64, n, 8))
+                values.append(np.frombuffer(data, np.float64, n, 8 + 8 * n))
+            places = pa.array(kind == 2)
+            if (kind == 2).any() and entries is None:
+                entries = Lookup(np.concatenate(keys), np.concatenate(values))
+                keys, values = [], []
+            if (kind == 2).any():
+                rows = piece.filter(places)
+                made = []
+                for data in rows.column("data"):
+                    _, hashes, number = Places.unpacked(data.as_py(), words, depth, True)
+                    gained = _gained(hashes, entries, depth)
+                    first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+                    made.append(number[first].astype(np.int32).tobytes() + np.add.reduceat(gained, first).tobytes())
+                rows = rows.drop_columns(["part", "h", "x"])
+                yield rows.set_column(rows.schema.get_field_index("data"), "data", pa.array(made, pa.binary()))
+            if (kind == 3).any():
+                yield piece.filter(pa.array(kind == 3)).drop_columns(["part", "h", "x"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(0)
+        for flush, piece in _pieces(batches, "flush"):
+            if flush != now:
+                now, total = flush, np.zeros(0)
+            kind = piece.column("kind").to_numpy()
+            for data in piece.column("data").filter(pa.array(kind == 2)):
+                data = data.as_py()
+                n = len(data) // 12
+                number = np.frombuffer(data, np.int32, n)
+                if number[-1] >= len(total):
+                    total = np.append(total, np.zeros(max(number[-1] + 1 - len(total), len(total))))
+                total[number] += np.frombuffer(data[4 * n :], np.float64)
+            if (kind == 3).any():
+                rows = piece.filter(pa.array(kind == 3)).drop_columns(["kind", "data"])
+                number = rows.column("number").to_numpy()
+                if number.max() >= len(total):
+                    total = np.append(total, np.zeros(number.max() + 1 - len(total)))
+                yield rows.set_column(rows.schema.get_field_index("score"), "score", pa.array(rows.column("score").to_numpy() + total[number]))
+
+    dealt = kept.mapInArrow(deal, moved).unionByName(tree.entries, allowMissingColumns=True)
+    # sums of the documents of a flush by part, then the documents themselves
+    sums = dealt.repartition(_tasks(spark, tree.parts), "part").sortWithinPartitions("part", "kind").mapInArrow(meet, StructType([*moved.fields[1:]]))
+    first = sums.repartition("flush").sortWithinPartitions("flush", "kind").mapInArrow(add, doc)
+    first = checkpointed(first.select("kept", "n_known", "rare", "n_tokens", "base_score", "score").withColumn("row", F.monotonically_increasing_id()))
+    del dealt, sums
+    release(spark)
+
+    rare = first.select("row", F.explode("rare").alias("h")).join(tree.counts, "h", "left")
+    more = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5) - unseen).alias("base"), F.count("n").alias("seen"))
+    base = F.coalesce("base", F.lit(0.0))
+    return first.join(more, "row", "left").select(
+        *[F.col(f"kept.`{c}`").alias(c) for c in names],
         "n_tokens",
         # without training texts no symbol is known
-        (F.col(known_) + seen).cast("long").alias("n_known"),
+        (F.col("n_known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"),
         F.lit(tree.total).cast("long").alias("train_tokens"),
         (F.col("base_score") + base).alias("base_score"),
-        (F.col("score") + own + far).alias("score"),
+        (F.col("score") + base).alias("score"),
     )
 
 
-def _far(open_: DataFrame, tree: Tree, at_root) -> DataFrame:
-    """(at, base, own, seen, far): the log10 probabilities of symbols whose entries are looked up in the tables."""
-    each = open_.select("at", "place", F.col("w.h").alias("h"), F.explode("w.keys").alias("k")).select("at", "place", "h", "k.j", "k.key").join(tree.entries.select("key", "value"), "key", "left")
-    edge = (F.col("j") % 2 == 0) & F.col("value").isNotNull()
-    states = F.collect_list(F.when((F.col("j") % 2 == 1) & F.col("value").isNotNull(), F.struct("j", "value")))
-    each = each.groupBy("at", "place").agg(F.min("h").alias("h"), F.min(F.when(edge, F.struct("j", "value"))).alias("edge"), states.alias("states"))
-    each = each.join(tree.counts, "h", "left")
-    before = F.filter("states", lambda s: F.col("edge").isNull() | (s["j"] < F.col("edge.j")))
-    total = F.aggregate(before, F.lit(0.0), lambda t, s: t + s["value"]) + F.coalesce(F.col("edge.value"), at_root(F.col("n")))
-    return each.groupBy("at").agg(F.lit(0.0).alias("base"), F.lit(0.0).alias("own"), F.lit(0).cast("long").alias("seen"), F.sum(total).alias("far"))
-
-
 def train_and_score(spark: SparkSession, docs: DataFrame, train, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (see ``score``) scored by the tree of its rows for which the condition ``train`` holds."""
     texts = docs.filter(train).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = checkpointed(word_counts(texts))
-    return score(docs, fit(texts, counts), text, keep)
+    tree = fit(texts, counts)
+    release(spark)
+    return score(docs, tree, text, keep)
