@@ -9,7 +9,8 @@ to that of its suffix, so each is a proper distribution. A symbol is scored by t
 
 All bounds are counts, so the tree grows with the corpus. Contexts that end in one word, and what follows them, are in one part, as are
 their suffixes: a part's places in the texts make its part of the tree without another shuffle, and the texts to be scored meet it there. A
-place travels as the codes of its symbol and of the words before it, packed by part; what returns is a sum for each document and part. The contexts of a
+place travels as the codes of its symbol and of the words before it, packed by part; to be scored, only with the words that a state may have (a filter of
+bits tells; a wrong bit only makes work). What returns is a sum for each document and task. The contexts of a
 hot word (or of a hot run of words) are dealt over several parts by the word before; its own distribution is counted first and
 given to these. So cost and space grow with the texts, and a task holds one part. Only a run of four words is not dealt further: equal places of it are summed up.
 Executors have the ``MOST_WORDS`` most frequent words at hand; others travel as hashes, and their counts are joined.
@@ -41,6 +42,8 @@ DEPTH, DISCOUNT = 4, 0.75
 LEAST_CONTEXT, LEAST_EDGE, LEAST_GAIN = 20, 3, 8.0
 #: Words (below 2^24) and entries of the tree that a task has at hand.
 MOST_WORDS, MOST_ENTRIES = 1 << 19, 1 << 22
+#: Bits of the filter of states (a power of two); it is an eighth as many bytes.
+FILTER_BITS = 1 << 26
 #: The hash that stands for the end of a text, and keys that a task sums up before it hands them on.
 END = np.uint64(0x0D15EA5E0DDBA115)
 HELD = 1 << 21
@@ -160,6 +163,42 @@ def part_size() -> int:
     return max(64, MOST_ENTRIES // 8)
 
 
+class Filter:
+    """Two bits for each hash, named by its leading and its last bits; a wrong bit only makes work."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def places(hashes: np.ndarray) -> np.ndarray:
+        return np.stack([hashes >> np.uint64(64 - (FILTER_BITS.bit_length() - 1)), hashes & np.uint64(FILTER_BITS - 1)])
+
+    @staticmethod
+    def of_states(entries: DataFrame) -> Filter:
+        """The filter of the states' keys; at most FILTER_BITS / 64 pairs of numbers reach the driver."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = np.zeros(FILTER_BITS // 64, np.uint64)
+            for b in batches:
+                for data in b.column("data"):
+                    key, _, states = _unpacked(data.as_py())
+                    at = Filter.places(key[len(key) - states :]).ravel()
+                    np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+            w = np.flatnonzero(words)
+            yield pa.record_batch([pa.array(w), pa.array(words[w].view(np.int64))], names=["w", "b"])
+
+        found = entries.select("data").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        words = np.zeros(FILTER_BITS // 64, np.uint64)
+        words[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+        return Filter(words)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for at in Filter.places(hashes):
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) > 0
+        return out
+
+
 class Parts:
     """Which part a place in a text belongs to: that of the word before it, so that all contexts which end in a word are
     in one part. A hot context (more than ``size`` places) has parts of its own, by the word before it: these hold the contexts
@@ -215,8 +254,8 @@ class Places:
     """The places of texts that have a context, as codes: of the next symbol and of the ``depth`` words before it, the
     nearest first, 0 from a word on that is too rare for a context. Packed by part as compressed planes of bytes."""
 
-    def __init__(self, words: Words, parts: Parts, depth: int):
-        self.words, self.parts, self.depth, self.held, self.size = words, parts, depth, [], 0
+    def __init__(self, words: Words, parts: Parts, depth: int, states: Filter | None = None):
+        self.words, self.parts, self.depth, self.states, self.held, self.size = words, parts, depth, states, [], 0
 
     def codes(self, runs: Runs, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
         symbol, word = self.words.codes(*found, len(runs.hashes))
@@ -235,6 +274,14 @@ class Places:
         """Takes the places of a block; ``number`` has the document of each symbol, if any is to be kept."""
         at, codes = self.codes(runs, found)
         part, held = self.parts.of(runs, at, codes)
+        if self.states is not None:
+            # words beyond the longest state that a place may have make no difference
+            open_ = np.zeros(len(at), bool)
+            for k in range(self.depth, 0, -1):
+                there = np.flatnonzero(~open_ & (codes[k] != 0))
+                open_[there] = self.states.has(state_key(k, runs.run(k)[at[there] - 1]))
+                codes[k][~open_] = 0
+            at, part, codes = at[open_], part[open_], [c[open_] for c in codes]
         if number is None:
             at, part, codes = at[held], part[held], [c[held] for c in codes]
         far = [runs.hashes[at - j] if self.words.far[j > 0] else None for j in range(self.depth + 1)]
@@ -246,7 +293,11 @@ class Places:
         if not self.held:
             return
         part = np.concatenate([x[0] for x in self.held])
-        order = np.argsort(part.astype(np.uint16) if self.parts.n <= 1 << 16 else part, kind="stable")
+        if self.held[0][3] is None:  # like beside like
+            one, two = (np.concatenate([x[1][j] for x in self.held]) for j in (1, 2))
+            order = np.argsort(part << 40 | one.astype(np.int64) << 20 | two.astype(np.int64) & (1 << 20) - 1)
+        else:
+            order = np.argsort(part.astype(np.uint16) if self.parts.n <= 1 << 16 else part, kind="stable")
         part = part[order]
         columns = [np.concatenate([x[1][j] for x in self.held])[order] for j in range(self.depth + 1)]
         far = [None if self.held[0][2][j] is None else np.concatenate([x[2][j] for x in self.held])[order] for j in range(self.depth + 1)]
@@ -316,8 +367,7 @@ def _numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """``total`` and ``distinct`` symbols of the training texts, ``counts`` of each (h, n), and ``entries`` by part: rows (part, kind, data, h, x) with a
-    key h and a value x, or packed keys and values. Of the next symbols of states the value is the log10 of how much likelier they are
+    """``total`` and ``distinct`` symbols of the training texts, ``counts`` of each (h, n), and ``entries``: packed keys and values by (part, kind, data). Of the next symbols of states the value is the log10 of how much likelier they are
     than by the root, of states that of what they leave to their suffixes. ``words`` and ``parts`` deal texts to the entries."""
 
     def __init__(self, counts: DataFrame, total: int, distinct: int, depth: int):
@@ -423,7 +473,7 @@ def fit(texts: DataFrame, counts: DataFrame, depth: int = DEPTH) -> Tree:
         given.append(known.join(mine.filter("own"), "context").select("part", F.lit(1).cast("byte").alias("kind"), F.col("g").alias("h"), F.col("q").alias("x"), F.col("root").alias("y")))
         edges = known.filter("edge").select("context", F.col("g").alias("h"), F.lit(False).alias("state"), F.log10(F.col("q") / F.col("root")).alias("x"))
         both = edges.union(states.select("context", F.col("context").alias("h"), F.lit(True), F.log10("rest")))
-        entries.append(_keyed(both.join(mine, "context"), k))
+        entries.append(_keyed(both, k).join(mine, "context").select("part", "kind", "data"))
     shared = spark.sparkContext.broadcast((tree.words, tree.parts))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_places(texts, tree, shared), *given])
     grown = _grown(rows.repartition(_tasks(spark, tree.parts), "part").sortWithinPartitions("part", "kind"), tree, shared)
@@ -436,16 +486,27 @@ def _tasks(spark: SparkSession, parts: Parts) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts.n // 4)
 
 
+def _entries(key: np.ndarray, value: np.ndarray, states: int) -> bytes:
+    """Packed keys and values, of which the last ``states`` are those of states."""
+    return np.array([len(key), states], np.int64).tobytes() + key.tobytes() + value.tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    n, states = np.frombuffer(data, np.int64, 2).tolist()
+    return np.frombuffer(data, np.uint64, n, 16), np.frombuffer(data, np.float64, n, 16 + 8 * n), states
+
+
 def _keyed(rows: DataFrame, k: int) -> DataFrame:
-    """(part, kind, h, x): entries of level k with their keys."""
+    """(context, kind, data): the packed entries of each context of level k."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, state = b.column("h").to_numpy().view(np.uint64), b.column("state").to_numpy(zero_copy_only=False)
-            key = np.where(state, state_key(k, h), edge_key(k, h))
-            yield pa.record_batch([b.column("part"), pa.array(np.zeros(len(key), np.int8)), pa.array(key.view(np.int64)), b.column("x")], names=["part", "kind", "h", "x"])
+    def run(group: pa.Table) -> pa.Table:
+        h, x = group["h"].to_numpy().view(np.uint64), group["x"].to_numpy()
+        state = group["state"].to_numpy()
+        key = np.concatenate([edge_key(k, h[~state]), state_key(k, h[state])])
+        data = _entries(key, np.concatenate([x[~state], x[state]]), int(state.sum()))
+        return pa.table({"context": group["context"][:1], "kind": pa.array([1], pa.int8()), "data": pa.array([data], pa.binary())})
 
-    return rows.select("part", "h", "state", "x").mapInArrow(run, "part int, kind byte, h long, x double")
+    return rows.select("context", "h", "state", "x").groupBy("context").applyInArrow(run, "context long, kind byte, data binary")
 
 
 def _places(texts: DataFrame, tree: Tree, shared) -> DataFrame:
@@ -494,9 +555,9 @@ def _grown(rows: DataFrame, tree: Tree, shared) -> DataFrame:
                     h, x, y = (np.concatenate(v) for v in zip(*given, strict=True)) if given else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
                     at, i = Lookup(h.view(np.uint64), np.arange(len(h))).find(_chain(hashes, level - 1, 0, np.arange(len(root))))
                     low[at], root[at] = x[i], y[i]
-                key, value = _subtree(hashes, root, low, weight, level, depth)
+                key, value, states = _subtree(hashes, root, low, weight, level, depth)
                 if len(key):
-                    data = np.array([len(key)], np.int64).tobytes() + key.tobytes() + value.tobytes()
+                    data = _entries(key, value, states)
                     yield pa.record_batch([pa.array([now], pa.int32()), pa.array([1], pa.int8()), pa.array([data], pa.binary())], names=["part", "kind", "data"])
 
         for part, piece in _pieces(batches, "part"):
@@ -525,14 +586,13 @@ def _grown(rows: DataFrame, tree: Tree, shared) -> DataFrame:
                     size = len(held[0][0])
         yield from rows()
 
-    grown = rows.mapInArrow(run, "part int, kind byte, data binary")
-    return grown.withColumns({"h": F.lit(None).cast("long"), "x": F.lit(None).cast("double")})
+    return rows.mapInArrow(run, "part int, kind byte, data binary")
 
 
-def _subtree(hashes: list[np.ndarray], root: np.ndarray, low: np.ndarray, weight: np.ndarray, level: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and values of the contexts of ``level`` words and more. ``low`` has the probability of each symbol by the tree so far, 0
+def _subtree(hashes: list[np.ndarray], root: np.ndarray, low: np.ndarray, weight: np.ndarray, level: int, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys and values of the contexts of ``level`` words and more, last those of states, and how many these are. ``low`` has the probability of each symbol by the tree so far, 0
     where it is no next symbol of the shorter context."""
-    keys, values = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    keys, values, states, rests = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0, np.uint64)], [np.zeros(0)]
     at = np.flatnonzero(hashes[level])
     low = low[at]
     for k in range(level, depth + 1):
@@ -562,8 +622,8 @@ def _subtree(hashes: list[np.ndarray], root: np.ndarray, low: np.ndarray, weight
         which = np.full(len(often), -1)
         which[context] = np.arange(len(context))
         which = which[state]
-        keys.append(state_key(k, _chain(hashes, k, 1, at[which])))
-        values.append(np.log10(rest[state]))
+        states.append(state_key(k, _chain(hashes, k, 1, at[which])))
+        rests.append(np.log10(rest[state]))
         if k < depth:
             of = np.zeros(len(kept))
             of[kept] = q
@@ -571,7 +631,7 @@ def _subtree(hashes: list[np.ndarray], root: np.ndarray, low: np.ndarray, weight
             low[some] = of[edge]
             longer = hashes[k + 1][at] != 0
             at, low = at[longer], low[longer]
-    return np.concatenate(keys), np.concatenate(values)
+    return np.concatenate(keys + states), np.concatenate(values + rests), sum(map(len, states))
 
 
 def _tested(runs: DataFrame) -> DataFrame:
@@ -605,6 +665,20 @@ def _lists(values: pa.Array, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)), values)
 
 
+def _packed_sums(number: np.ndarray, sums: np.ndarray) -> bytes:
+    """Rising numbers and sums, as compressed planes of bytes; sums in units of 2^-40."""
+    values = np.stack([np.diff(number, prepend=0).astype(np.int64), np.rint(sums * 2.0**40).astype(np.int64)])
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1))
+    return np.int64(len(number)).tobytes() + pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpacked_sums(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    raw = pa.Codec("zstd").decompress(memoryview(data)[8:], 16 * n, asbytes=True)
+    step, units = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(2, 8, n).transpose(0, 2, 1)).view(np.int64).reshape(2, n)
+    return np.cumsum(step), units / 2.0**40
+
+
 def score(docs: DataFrame, tree: Tree, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (all columns, or those in ``keep``) with n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
@@ -614,13 +688,13 @@ def score(docs: DataFrame, tree: Tree, text: str = "text", keep: list[str] | Non
     doc = StructType.fromDDL("n_known long, rare array<long>, n_tokens long, base_score double, score double")
     doc = StructType([StructField("flush", LongType()), StructField("number", IntegerType()), StructField("kept", kept.schema["kept"].dataType), *doc.fields])
     moved = StructType([*StructType.fromDDL("part int, kind byte, data binary").fields, *doc.fields])
-    shared = spark.sparkContext.broadcast((tree.words, tree.parts))
+    shared = spark.sparkContext.broadcast((tree.words, tree.parts, Filter.of_states(tree.entries)))
     depth, unseen = tree.depth, tree.unseen
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts = shared.value
+        words, parts, states = shared.value
         root = np.log10(words.n + 0.5) - unseen
-        places = Places(words, parts, depth)
+        places = Places(words, parts, depth, states)
         flush, docs_ = TaskContext.get().partitionId() << 32, 0
         empty = None
 
@@ -658,37 +732,49 @@ def score(docs: DataFrame, tree: Tree, text: str = "text", keep: list[str] | Non
         yield from rows()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, _ = shared.value
+        words, *_ = shared.value
         now, entries, keys, values = None, None, [], []
+        # sums of a task's parts, by flush
+        held: dict[int, np.ndarray] = {}
+
+        def sums_() -> pa.RecordBatch:
+            made = []
+            for x in held.values():
+                number = np.flatnonzero(x)
+                made.append(_packed_sums(number, x[number]))
+            own = {"kind": pa.array(np.full(len(made), 2, np.int8)), "data": pa.array(made, pa.binary()), "flush": pa.array(list(held), pa.int64())}
+            return pa.record_batch([own[f.name] if f.name in own else pa.nulls(len(made), f.type) for f in schema], names=[f.name for f in schema])
+
         for part, piece in _pieces(batches, "part"):
+            schema = [f for f in piece.schema if f.name != "part"]
             if part != now:
                 now, entries, keys, values = part, None, [np.zeros(0, np.uint64)], [np.zeros(0)]
             kind = piece.column("kind").to_numpy()
-            if (kind == 0).any():
-                row = pa.array(kind == 0)
-                keys.append(piece.column("h").filter(row).to_numpy(zero_copy_only=False).view(np.uint64))
-                values.append(piece.column("x").filter(row).to_numpy(zero_copy_only=False))
             for data in piece.column("data").filter(pa.array(kind == 1)):
-                data = data.as_py()
-                n = int(np.frombuffer(data, np.int64, 1)[0])
-                keys.append(np.frombuffer(data, np.uint64, n, 8))
-                values.append(np.frombuffer(data, np.float64, n, 8 + 8 * n))
+                key, value, _ = _unpacked(data.as_py())
+                keys.append(key)
+                values.append(value)
             places = pa.array(kind == 2)
             if (kind == 2).any() and entries is None:
                 entries = Lookup(np.concatenate(keys), np.concatenate(values))
                 keys, values = [], []
             if (kind == 2).any():
                 rows = piece.filter(places)
-                made = []
-                for data in rows.column("data"):
+                for flush, data in zip(rows.column("flush").to_pylist(), rows.column("data"), strict=True):
                     _, hashes, number = Places.unpacked(data.as_py(), words, depth, True)
-                    gained = _gained(hashes, entries, depth)
-                    first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
-                    made.append(number[first].astype(np.int32).tobytes() + np.add.reduceat(gained, first).tobytes())
-                rows = rows.drop_columns(["part", "h", "x"])
-                yield rows.set_column(rows.schema.get_field_index("data"), "data", pa.array(made, pa.binary()))
+                    more = np.bincount(number, _gained(hashes, entries, depth))
+                    x = held.get(flush, more[:0])
+                    if len(x) < len(more):
+                        x = np.append(x, np.zeros(len(more) - len(x)))
+                    x[: len(more)] += more
+                    held[flush] = x
+                if sum(map(len, held.values())) > HELD:
+                    yield sums_()
+                    held.clear()
             if (kind == 3).any():
-                yield piece.filter(pa.array(kind == 3)).drop_columns(["part", "h", "x"])
+                yield piece.filter(pa.array(kind == 3)).drop_columns(["part"])
+        if held:
+            yield sums_()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(0)
@@ -697,12 +783,12 @@ def score(docs: DataFrame, tree: Tree, text: str = "text", keep: list[str] | Non
                 now, total = flush, np.zeros(0)
             kind = piece.column("kind").to_numpy()
             for data in piece.column("data").filter(pa.array(kind == 2)):
-                data = data.as_py()
-                n = len(data) // 12
-                number = np.frombuffer(data, np.int32, n)
+                number, more = _unpacked_sums(data.as_py())
+                if not len(number):
+                    continue
                 if number[-1] >= len(total):
                     total = np.append(total, np.zeros(max(number[-1] + 1 - len(total), len(total))))
-                total[number] += np.frombuffer(data[4 * n :], np.float64)
+                total[number] += more
             if (kind == 3).any():
                 rows = piece.filter(pa.array(kind == 3)).drop_columns(["kind", "data"])
                 number = rows.column("number").to_numpy()

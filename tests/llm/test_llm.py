@@ -895,6 +895,21 @@ def test_suffix_tree_scores_by_the_longest_state(spark, monkeypatch, most):
         assert abs(sum(tree.p(past, s) for s in seen) + tree.p(past, "unseen") - 1) < 1e-9
 
 
+def test_suffix_tree_deals_hot_contexts_and_moves_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "MOST_ENTRIES", 8 * 64)
+    texts = spark.createDataFrame([(" ".join(["a b c d", f"a b x{i % 5}"][i % 3 > 0] for i in range(j, j + 40)),) for j in range(60)], "text string")
+    tree = suffix_tree.fit(texts, common.checkpointed(suffix_tree.word_counts(texts)))
+    assert tree.parts.cold > 1 and all(len(keys) for keys, _, _ in tree.parts.hot[:2]) and tree.parts.n > tree.parts.cold
+    # rows are by part and hot context, not by entry
+    assert tree.entries.count() <= tree.parts.n + len(tree.parts.pairs)
+
+
+def test_suffix_tree_sums_are_packed():
+    number, sums = np.array([0, 3, 70000]), np.array([-1234.5678, 1e-9, 9.75])
+    back = suffix_tree._unpacked_sums(suffix_tree._packed_sums(number, sums))
+    assert back[0].tolist() == number.tolist() and np.abs(back[1] - sums).max() < 1e-12
+
+
 # registration and pipeline
 
 
